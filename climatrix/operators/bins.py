@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from climatrix.functions.binning import bin_index, bin_lower, bin_upper
 from climatrix.functions.calendar import epoch_micros
 from climatrix.functions.safe import nan_to_null
-from climatrix.operators.quantile import quantiles_from_pairs, value_counts
+from climatrix.operators.quantile import MAX_DISTINCT_FOR_MAP, quantiles_from_pairs, value_counts
 from climatrix.schema import GRID_MAP, GRID_SCATTER, GRID_SPATIAL
+from climatrix.session import materialize
 
 
 def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame:
@@ -123,6 +124,9 @@ def grid_mean(
         .agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"))
     )
     pts = per.join(stations.select("station", "lon", "lat"), "station").dropna(subset=["lon", "lat"])
+    # One row per station feeds both the extent and the binning: write it
+    # once so the fact table is scanned once.
+    pts = materialize(pts)
     return (
         _cells(pts, "lon", "lat", width, height)
         .groupBy("x_bin", "y_bin")
@@ -164,7 +168,12 @@ def density_2d(
     )
 
 
-def box_stats(df: DataFrame, value: str = "value", by: Sequence[str] = ("event_type",)) -> DataFrame:
+def box_stats(
+    df: DataFrame,
+    value: str = "value",
+    by: Sequence[str] = ("event_type",),
+    max_distinct: int = MAX_DISTINCT_FOR_MAP,
+) -> DataFrame:
     """Per group quartiles (linear), 1.5 IQR fences, whiskers (most
     extreme values inside the fences) and the outlier count.
 
@@ -172,8 +181,8 @@ def box_stats(df: DataFrame, value: str = "value", by: Sequence[str] = ("event_t
     read from the distinct (value, weight) pairs, not from the rows.
     """
     by = list(by)
-    pairs = value_counts(df, value, by)
-    q = quantiles_from_pairs(pairs, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    pairs = materialize(value_counts(df, value, by))  # read by both passes
+    q = quantiles_from_pairs(pairs, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"], max_distinct)
     q = q.withColumns(
         {
             "lower_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),

@@ -141,12 +141,14 @@ def kpi_variability(df: DataFrame) -> DataFrame:
 def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     """All headline indicators in one row from a single scan of ``df``.
 
-    The scan is reduced to one row per (year, station) with mergeable
-    partial aggregates (sums, counts, extremes, sums of squares). Everything
-    else - yearly means and deviations, the trend fit, distinct counts and
-    the continent count through the station table - runs on that small
-    table. ``df`` needs year, station and the measures; ``stations`` is used
-    only when ``df`` has no continent column.
+    1. The scan is reduced to one row per (year, station) with mergeable
+       partial aggregates (sums, counts, extremes, sums of squares).
+    2. Only that small table meets the station table (for continents).
+    3. ``rollup('year')`` aggregates it once into one row per year plus the
+       grand-total row (distinct stations and continents included).
+    4. A last aggregation over those (years + 1) rows fits the trend on the
+       yearly means, averages the yearly deviations and picks the totals.
+    Nothing is computed twice, so the fact table is read once.
     """
     cols = set(df.columns)
 
@@ -176,72 +178,75 @@ def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
     elif "continent" not in cols:
         per = per.withColumn("continent", F.lit(None).cast("string"))
 
-    yearly = per.groupBy("year").agg(
-        F.sum("t_sum").alias("t_sum"),
-        F.sum("t_cnt").alias("t_cnt"),
-        F.sum("t_sq").alias("t_sq"),
-    )
-    ys = yearly.select(
-        "year",
-        F.try_divide(F.col("t_sum"), F.col("t_cnt")).alias("m"),
-        F.sqrt(
-            F.try_divide(
-                F.col("t_sq") - F.col("t_sum") * F.col("t_sum") / F.col("t_cnt"),
-                F.col("t_cnt") - F.lit(1),
-            )
-        ).alias("s"),
-    ).agg(
-        F.count("year").alias("years"),
-        F.regr_slope("m", "year").alias("_slope"),
-        F.avg(F.when(F.col("year").isNotNull(), F.col("s"))).alias("_var"),
-    )
-    tot = per.agg(
-        F.try_divide(F.sum("t_sum"), F.sum("t_cnt")).alias("tavg_mean"),
-        F.coalesce(F.sum("p_sum"), F.lit(0.0)).alias("prcp_total"),
-        F.max("tx_max").alias("tmax_max"),
+    sums = ("n", "t_sum", "t_cnt", "t_sq", "p_sum", "h_sum", "h_cnt", "s_sum", "s_cnt", "w_sum", "w_cnt", "heat", "dry")
+    rolled = per.rollup("year").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.max("tx_max").alias("tx_max"),
         F.min("tn_min").alias("tn_min"),
-        F.try_divide(F.sum("h_sum"), F.sum("h_cnt")).alias("humidity_mean"),
-        F.try_divide(F.sum("s_sum"), F.sum("s_cnt")).alias("solar_mean"),
-        F.try_divide(F.sum("w_sum"), F.sum("w_cnt")).alias("wind_mean"),
-        F.sum("n").alias("rows"),
         F.count_distinct("station").alias("stations"),
-        F.count_distinct("continent").alias("_cont"),
-        F.try_divide(F.sum("heat") * F.lit(100.0), F.sum("n")).alias("heatwave_pct"),
-        F.try_divide(F.sum("dry") * F.lit(100.0), F.sum("n")).alias("drought_pct"),
+        F.count_distinct("continent").alias("continents"),
+        F.grouping_id().alias("gid"),
+    )
+    is_year = (F.col("gid") == 0) & F.col("year").isNotNull()
+    is_total = F.col("gid") == 1
+    ymean = F.try_divide(F.col("t_sum"), F.col("t_cnt"))
+    ystd = F.sqrt(
+        F.try_divide(
+            F.col("t_sq") - F.col("t_sum") * F.col("t_sum") / F.col("t_cnt"),
+            F.col("t_cnt") - F.lit(1),
+        )
+    )
+
+    def total(c: Column) -> Column:
+        return F.max(F.when(is_total, c))
+
+    out = rolled.agg(
+        total(F.try_divide(F.col("t_sum"), F.col("t_cnt"))).alias("tavg_mean"),
+        total(F.coalesce(F.col("p_sum"), F.lit(0.0))).alias("prcp_total"),
+        total(F.col("tx_max")).alias("tmax_max"),
+        total(F.col("tn_min")).alias("tmin_min"),
+        total(F.try_divide(F.col("h_sum"), F.col("h_cnt"))).alias("humidity_mean"),
+        total(F.try_divide(F.col("s_sum"), F.col("s_cnt"))).alias("solar_mean"),
+        total(F.try_divide(F.col("w_sum"), F.col("w_cnt"))).alias("wind_mean"),
+        total(F.col("n")).alias("rows"),
+        F.count(F.when(is_year, F.lit(1))).alias("years"),
+        total(F.col("stations")).alias("stations"),
+        total(F.col("continents")).alias("_cont"),
+        F.regr_slope(F.when(is_year, ymean), F.when(is_year, F.col("year"))).alias("_slope"),
+        F.avg(F.when(is_year, ystd)).alias("_var"),
+        total(F.try_divide(F.col("heat") * F.lit(100.0), F.col("n"))).alias("heatwave_pct"),
+        total(F.try_divide(F.col("dry") * F.lit(100.0), F.col("n"))).alias("drought_pct"),
     )
     multi = F.col("years") > 1
     slope = F.when(multi, F.coalesce(F.col("_slope"), F.lit(0.0))).otherwise(0.0)
-    absent = {c: c not in cols for c in ("tavg", "prcp", "tmax", "tmin", "humidity", "solar_radiation", "wind_speed")}
-    pick = lambda name, expr, default: (F.lit(default) if default is not None else expr).alias(name)
-    return (
-        tot.crossJoin(F.broadcast(ys))  # both sides are one row
-        .filter(F.col("rows") > 0)
-        .select(
-            pick("tavg_mean", F.col("tavg_mean"), 0.0 if absent["tavg"] else None),
-            pick("prcp_total", F.col("prcp_total"), 0.0 if absent["prcp"] else None),
-            pick("tmax_max", F.col("tmax_max"), 0.0 if absent["tmax"] else None),
-            pick("tmin_min", F.col("tn_min"), 0.0 if absent["tmin"] else None),
-            pick(
-                "humidity_mean",
-                F.col("humidity_mean"),
-                KPI_ABSENT_DEFAULTS["humidity_mean"] if absent["humidity"] else None,
-            ),
-            pick("solar_mean", F.col("solar_mean"), 0.0 if absent["solar_radiation"] else None),
-            pick("wind_mean", F.col("wind_mean"), 0.0 if absent["wind_speed"] else None),
-            F.col("rows"),
-            F.col("years").cast("bigint").alias("years"),
-            F.col("stations").cast("bigint").alias("stations"),
-            (
-                F.col("_cont")
-                if ("continent" in cols or stations is not None)
-                else F.lit(KPI_ABSENT_DEFAULTS["continents"])
-            )
-            .cast("bigint")
-            .alias("continents"),
-            (slope * F.lit(100.0)).alias("trend_century"),
-            (slope * F.lit(10.0)).alias("trend_decade"),
-            F.when(multi, F.col("_var")).otherwise(F.lit(0.0)).alias("variability"),
-            pick("heatwave_pct", F.col("heatwave_pct"), 0.0 if absent["tmax"] else None),
-            pick("drought_pct", F.col("drought_pct"), 0.0 if absent["prcp"] else None),
+
+    def pick(name: str, source: str, default: float | None) -> Column:
+        return (F.lit(default) if default is not None else F.col(source)).alias(name)
+
+    def absent(c: str) -> bool:
+        return c not in cols
+
+    return out.filter(F.col("rows") > 0).select(
+        pick("tavg_mean", "tavg_mean", 0.0 if absent("tavg") else None),
+        pick("prcp_total", "prcp_total", 0.0 if absent("prcp") else None),
+        pick("tmax_max", "tmax_max", 0.0 if absent("tmax") else None),
+        pick("tmin_min", "tmin_min", 0.0 if absent("tmin") else None),
+        pick("humidity_mean", "humidity_mean", KPI_ABSENT_DEFAULTS["humidity_mean"] if absent("humidity") else None),
+        pick("solar_mean", "solar_mean", 0.0 if absent("solar_radiation") else None),
+        pick("wind_mean", "wind_mean", 0.0 if absent("wind_speed") else None),
+        F.col("rows"),
+        F.col("years").cast("bigint").alias("years"),
+        F.col("stations").cast("bigint").alias("stations"),
+        (
+            F.col("_cont")
+            if ("continent" in cols or stations is not None)
+            else F.lit(KPI_ABSENT_DEFAULTS["continents"])
         )
+        .cast("bigint")
+        .alias("continents"),
+        (slope * F.lit(100.0)).alias("trend_century"),
+        (slope * F.lit(10.0)).alias("trend_decade"),
+        F.when(multi, F.col("_var")).otherwise(F.lit(0.0)).alias("variability"),
+        pick("heatwave_pct", "heatwave_pct", 0.0 if absent("tmax") else None),
+        pick("drought_pct", "drought_pct", 0.0 if absent("prcp") else None),
     )

@@ -16,6 +16,11 @@ unbounded. Here the k-th value is found by distributed rank selection:
 5. Per group at most 2 x len(probs) ranks remain; they are interpolated
    linearly (pandas / numpy default).
 
+When every group has few distinct values (temperatures in tenths of a
+degree have about a thousand), the same pairs go instead to Spark's exact
+``percentile`` with the counts as frequencies: one aggregation whose
+per-group map is bounded by that distinct count.
+
 The range-partitioned pairs are checkpointed to the session's shared
 checkpoint folder, so the partition ids read by steps 3 and 4 are the same
 data (and recovery after a lost executor re-reads, not re-derives, them).
@@ -29,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climatrix.functions.safe import nan_to_null
-from climatrix.session import shared_dir
+from climatrix.session import materialize
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -47,15 +52,50 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= F.lit(0.5), b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
+# Largest number of distinct values per group for which the weighted
+# ``percentile`` aggregate is used (its per-group map then holds at most this
+# many entries); above it the distributed rank selection runs.
+MAX_DISTINCT_FOR_MAP = 200_000
+
+
 def quantiles_from_pairs(
-    pairs: DataFrame, probs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None
+    pairs: DataFrame,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    names: Sequence[str] | None = None,
+    max_distinct: int = MAX_DISTINCT_FOR_MAP,
 ) -> DataFrame:
-    """``(by..., n, <name_i>...)`` exact linear quantiles from value counts."""
+    """``(by..., n, <name_i>...)`` exact linear quantiles from value counts.
+
+    ``pairs`` is read several times, so callers pass it materialized
+    (``climatrix.session.materialize``). If no group has more than ``max_distinct`` distinct values (one small
+    scalar job checks), Spark's exact ``percentile`` weighted by the counts
+    runs over the pairs - its per-group map is then bounded. Otherwise the
+    rank selection runs (module docstring); both give the same values.
+    """
     by = list(by)
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
-    spark = pairs.sparkSession
-    shared_dir(spark)  # make sure a checkpoint folder exists
+    widest = pairs.groupBy(*by).count().agg(F.max("count")).first()[0]
+    if widest is None:  # no values at all
+        empty = [F.lit(None).cast("double").alias(n) for n in names]
+        return pairs.select(*by, F.lit(0).cast("bigint").alias("n"), *empty).limit(0)
+    if widest <= max_distinct:
+        return _map_quantiles(pairs, probs, by, names)
+    return _rank_select_quantiles(pairs, probs, by, names)
+
+
+def _map_quantiles(pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]) -> DataFrame:
+    q = F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_w"))
+    return (
+        pairs.groupBy(*by)
+        .agg(F.sum("_w").alias("n"), q.alias("_q"))
+        .select(*by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    )
 
+
+def _rank_select_quantiles(
+    pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
+) -> DataFrame:
     counts = pairs.groupBy(*by).agg(F.sum("_w").alias("n"))
     pos = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(
@@ -102,10 +142,12 @@ def exact_quantiles(
     names: Sequence[str] | None = None,
     method: str = "exact",
     accuracy: int = 10_000,
+    max_distinct: int = MAX_DISTINCT_FOR_MAP,
 ) -> DataFrame:
     """Quantiles of ``value`` per group: ``(by..., n, <name_i>...)``.
 
-    ``method='exact'``: distributed rank selection (above).
+    ``method='exact'``: weighted ``percentile`` over distinct values when
+    they are few per group, else distributed rank selection (above).
     ``method='approx'``: ``percentile_approx`` (bounded sketch, approximate).
     """
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
@@ -123,4 +165,5 @@ def exact_quantiles(
         )
     if method != "exact":
         raise ValueError("method must be 'exact' or 'approx'")
-    return quantiles_from_pairs(value_counts(df, value, by), probs, by, names)
+    pairs = materialize(value_counts(df, value, by))
+    return quantiles_from_pairs(pairs, probs, by, names, max_distinct)

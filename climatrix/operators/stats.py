@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.safe import nan_to_null, pair_corr
-from climatrix.operators.quantile import exact_quantiles
+from climatrix.operators.quantile import MAX_DISTINCT_FOR_MAP, exact_quantiles
 
 
-def describe(df: DataFrame, cols: Sequence[str] = ("tavg",), method: str = "exact") -> DataFrame:
+def describe(
+    df: DataFrame,
+    cols: Sequence[str] = ("tavg",),
+    method: str = "exact",
+    max_distinct: int = MAX_DISTINCT_FOR_MAP,
+) -> DataFrame:
     """Count, mean, std, min, 25/50/75 %, max for each column.
 
     Moments come from one aggregation over the wide rows; quartiles from the
@@ -49,7 +54,10 @@ def describe(df: DataFrame, cols: Sequence[str] = ("tavg",), method: str = "exac
             F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]
         ).alias("column", "value")
     )
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"], method=method)
+    q = exact_quantiles(
+        long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"],
+        method=method, max_distinct=max_distinct,
+    )
     return m_long.join(q.drop("n"), "column", "left").select(
         "column",
         F.col("count").cast("bigint").alias("count"),

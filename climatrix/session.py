@@ -6,10 +6,10 @@ the caller. These helpers are for our own entry points only.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -52,14 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written intermediate table."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
 
-
-_counter = _count()
+    Used for small intermediate tables that feed two branches of a plan
+    (for instance an extent and the binning that needs it): the upstream
+    scan runs once, and a lost executor re-reads the files rather than
+    re-running the lineage.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
