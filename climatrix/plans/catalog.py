@@ -77,6 +77,28 @@ def q_unnest_results(spark, sf):
     return feed.unnest_results(spark, path, multi_line=False)
 
 
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    """S1 as a stream: pages land as files, a file stream appends typed and
+    scaled records to a year-partitioned table, which is then read back."""
+    from climatrix.streaming import land_observations
+
+    pages = scratch_path(spark, "landing")
+    feed.write_feed_pages(fixtures.observations_from_events(spark, sf), pages, "event_id")
+    table = scratch_path(spark, "observations")
+    land_observations(spark, pages, table, multi_line=False).awaitTermination()
+    return spark.read.parquet(table).select("date", "datatype", "station", "attributes", "value", "year")
+
+
+@register("prepare_feed")
+def q_prepare_feed(spark, sf):
+    """Landed pages -> unnest -> parse, calendar, scale, pivot, rename, tavg."""
+    path = scratch_path(spark, "feed-pages")
+    feed.write_feed_pages(fixtures.observations_from_events(spark, sf), path, "event_id")
+    obs = feed.unnest_results(spark, path, multi_line=False)
+    return prepare.prepare_feed(obs, ["TMAX", "TMIN", "PRCP", "AWND", "SNOW"])
+
+
 @register("select_observations")
 def q_select_observations(spark, sf):
     obs = fixtures.observations_from_measures(spark, sf)

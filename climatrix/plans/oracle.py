@@ -200,6 +200,13 @@ SQL: dict[str, str] = {
     # sources
     "unnest_results": _with(EV_OBS)
     + "SELECT date, datatype, station, attributes, round(value, 6) AS value FROM ev_obs",
+    "stream_ingest": _with(EV_OBS)
+    + "SELECT date, datatype, station, attributes, round(CASE WHEN datatype IN ('TMAX', 'TMIN', 'TAVG', 'PRCP') "
+    "THEN value / 10 ELSE value END, 6) AS value, CAST(year(date) AS INTEGER) AS year FROM ev_obs",
+    "prepare_feed": f"SELECT {KEYS}, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, "
+    "round(wind_avg, 6) AS wind_avg, round(snow, 6) AS snow, round((tmax + tmin) / 2, 6) AS tavg FROM ("
+    + _pivot(["TMAX", "TMIN", "PRCP", "AWND", "SNOW"], rename=True, rounded=False)
+    + ") q",
     "select_observations": _with(MEASURES, STATIONS)
     + ", obs AS (SELECT date, 'TMAX' AS datatype, station, CAST(NULL AS VARCHAR) AS attributes, tmax * 10 AS value FROM measures "
     "UNION ALL SELECT date, 'TMIN', station, NULL, tmin * 10 FROM measures "

@@ -1,0 +1,5 @@
+"""Structured Streaming entry points (incremental landing of feed pages)."""
+
+from climatrix.streaming.ingest import feed_stream, land_observations
+
+__all__ = ["feed_stream", "land_observations"]
