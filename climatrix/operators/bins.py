@@ -202,20 +202,36 @@ def box_stats(
 
 
 def violin_density(
-    df: DataFrame, value: str = "tavg", by: str = "continent", bins: int = 50
+    df: DataFrame,
+    value: str = "tavg",
+    by: str = "continent",
+    bins: int = 50,
+    stations: DataFrame | None = None,
 ) -> DataFrame:
     """Per group, binned relative density (bin count / group count) over
-    bins shared by all groups. Binned, not kernel-smoothed."""
+    bins shared by all groups. Binned, not kernel-smoothed.
+
+    When the group is a station attribute held in ``stations``, rows are
+    counted per (station, bin) first and only that table is joined.
+    """
     bins = int(bins)
-    pts = df.select(F.col(by), nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
+    key = by if (by in df.columns or stations is None) else "station"
+    pts = df.select(F.col(key), nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
     ext = pts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter(F.col("_lo").isNotNull())
     lo, hi = F.col("_lo"), F.col("_hi")
     cnt = (
         pts.crossJoin(F.broadcast(ext))
-        .groupBy(by, bin_index(F.col("_v"), lo, hi, bins).alias("bin"), "_lo", "_hi")
+        .groupBy(key, bin_index(F.col("_v"), lo, hi, bins).alias("bin"), "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    tot = pts.groupBy(by).agg(F.count(F.lit(1)).alias("_t"))
+    if key != by:
+        cnt = (
+            cnt.join(stations.select("station", by), "station")
+            .filter(F.col(by).isNotNull())
+            .groupBy(by, "bin", "_lo", "_hi")
+            .agg(F.sum("_n").alias("_n"))
+        )
+    tot = cnt.groupBy(by).agg(F.sum("_n").alias("_t"))
     return cnt.join(tot, by).select(
         by,
         F.col("bin").cast("int").alias("bin"),

@@ -27,21 +27,55 @@ def parallel_coordinates(
     return rows.select(*[c for c in PARALLEL_COLUMNS if c in df.columns])
 
 
-def scatter_3d(df: DataFrame, n: int = CAP_SCATTER_3D, key: str = "obs_id", seed: int = 42) -> DataFrame:
+def scatter_3d(
+    df: DataFrame,
+    n: int = CAP_SCATTER_3D,
+    key: str = "obs_id",
+    seed: int = 42,
+    stations: DataFrame | None = None,
+) -> DataFrame:
     """At most n rows of tavg, prcp, humidity, continent, station and a
-    size column (solar_radiation, else wind_speed)."""
+    size column (solar_radiation, else wind_speed).
+
+    With a separate station table the sample is drawn first and only its
+    n rows (a proven bound, so broadcast) are joined to the stations.
+    """
     size = "solar_radiation" if "solar_radiation" in df.columns else "wind_speed"
-    return sample_n(df, n, key, seed).select(
-        "tavg", "prcp", "humidity", "continent", "station", F.col(size).alias("size")
-    )
+    rows = sample_n(df, n, key, seed)
+    if "continent" not in df.columns and stations is not None:
+        st = stations.select("station", "continent")
+        rows = F.broadcast(rows).join(st, "station", "left")
+    return rows.select("tavg", "prcp", "humidity", "continent", "station", F.col(size).alias("size"))
 
 
-def frames(df: DataFrame, frame: str = "continent", x: str = "month", y: str = "tavg") -> DataFrame:
-    """Per animation frame and x, the mean of y, ordered by frame then x."""
+def frames(
+    df: DataFrame,
+    frame: str = "continent",
+    x: str = "month",
+    y: str = "tavg",
+    stations: DataFrame | None = None,
+) -> DataFrame:
+    """Per animation frame and x, the mean of y, ordered by frame then x.
+
+    A frame key held in ``stations`` is reached by summing per (x, station)
+    first and joining that small table (mean = sum / count).
+    """
+    if frame in df.columns or stations is None:
+        return (
+            df.filter(F.col(frame).isNotNull() & F.col(x).isNotNull())
+            .groupBy(frame, x)
+            .agg(F.avg(y).alias(f"{y}_mean"))
+            .orderBy(frame, x)
+        )
+    per = (
+        df.filter(F.col(x).isNotNull())
+        .groupBy(x, "station")
+        .agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))
+    )
+    j = per.join(stations.select("station", frame), "station").filter(F.col(frame).isNotNull())
     return (
-        df.filter(F.col(frame).isNotNull() & F.col(x).isNotNull())
-        .groupBy(frame, x)
-        .agg(F.avg(y).alias(f"{y}_mean"))
+        j.groupBy(frame, x)
+        .agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias(f"{y}_mean"))
         .orderBy(frame, x)
     )
 

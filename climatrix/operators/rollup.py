@@ -168,6 +168,20 @@ def date_span(df: DataFrame, col: str = "date") -> DataFrame:
     )
 
 
-def stacked_totals(df: DataFrame, x: str = "year", colour: str = "continent", y: str = "prcp") -> DataFrame:
-    """Total of ``y`` per x and colour group (what a stacked bar shows)."""
-    return _keyed(df, x, colour).groupBy(x, colour).agg(sum0(y).alias(f"{y}_sum"))
+def stacked_totals(
+    df: DataFrame,
+    x: str = "year",
+    colour: str = "continent",
+    y: str = "prcp",
+    stations: DataFrame | None = None,
+) -> DataFrame:
+    """Total of ``y`` per x and colour group (what a stacked bar shows).
+
+    When ``colour`` is a station attribute held in ``stations``, rows are
+    first summed per (x, station) and only that table is joined.
+    """
+    if colour in df.columns or stations is None:
+        return _keyed(df, x, colour).groupBy(x, colour).agg(sum0(y).alias(f"{y}_sum"))
+    per = _keyed(df, x, "station").groupBy(x, "station").agg(F.sum(y).alias("_s"))
+    j = _keyed(per.join(stations.select("station", colour), "station"), colour)
+    return j.groupBy(x, colour).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias(f"{y}_sum"))

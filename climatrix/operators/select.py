@@ -29,11 +29,21 @@ def filter_year_range(df: DataFrame, lo: int, hi: int, date_col: str = "date") -
     return df.filter(cond)
 
 
-def filter_continent(df: DataFrame, continent: str | None) -> DataFrame:
-    """equality on continent; None or an 'all' choice means no filter."""
+def filter_continent(
+    df: DataFrame, continent: str | None, stations: DataFrame | None = None
+) -> DataFrame:
+    """equality on continent; None or an 'all' choice means no filter.
+
+    Without a continent column, the station table is filtered first and the
+    observations keep the rows of those stations (inner join on the station
+    id, which also brings the continent column).
+    """
     if continent is None or continent in ALL:
         return df
-    return df.filter(F.col("continent") == F.lit(continent))
+    if "continent" in df.columns or stations is None:
+        return df.filter(F.col("continent") == F.lit(continent))
+    keys = stations.filter(F.col("continent") == F.lit(continent)).select("station", "continent")
+    return df.join(keys, "station")
 
 
 def filter_year_set(df: DataFrame, years: Iterable[int]) -> DataFrame:
@@ -56,8 +66,15 @@ def filter_threshold(
     return df.filter(F.col(col) > F.lit(float(threshold)))
 
 
-def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
-    """sorted distinct non-null values of one column."""
+def distinct_sorted(df: DataFrame, col: str, stations: DataFrame | None = None) -> DataFrame:
+    """sorted distinct non-null values of one column.
+
+    For a station attribute held in ``stations``, the distinct stations
+    present are joined (one row per station, not per observation).
+    """
+    if col not in df.columns and stations is not None:
+        present = df.select("station").dropna().distinct()
+        df = present.join(stations.select("station", col), "station")
     return df.select(col).dropna().distinct().orderBy(col)
 
 

@@ -260,7 +260,9 @@ def q_filter_year_range(spark, sf):
 
 @register("filter_continent")
 def q_filter_continent(spark, sf):
-    return select.filter_continent(_sd(spark, sf), "EUROPE").select("obs_id", "station", "continent", "tavg")
+    return select.filter_continent(_m(spark, sf), "EUROPE", stations=_st(spark, sf)).select(
+        "obs_id", "station", "continent", "tavg"
+    )
 
 
 @register("filter_year_set")
@@ -280,7 +282,7 @@ def q_filter_threshold(spark, sf):
 
 @register("distinct_sorted")
 def q_distinct_sorted(spark, sf):
-    return select.distinct_sorted(_sd(spark, sf), "continent")
+    return select.distinct_sorted(_m(spark, sf), "continent", stations=_st(spark, sf))
 
 
 @register("latest_years")
@@ -404,7 +406,7 @@ def q_date_span(spark, sf):
 
 @register("stacked_totals")
 def q_stacked_totals(spark, sf):
-    return rollup.stacked_totals(_sd(spark, sf), "year", "continent", "prcp")
+    return rollup.stacked_totals(_m(spark, sf), "year", "continent", "prcp", stations=_st(spark, sf))
 
 
 # ------------------------------------------------------ bins and grids
@@ -445,7 +447,7 @@ def q_box_stats(spark, sf):
 
 @register("violin_density")
 def q_violin_density(spark, sf):
-    return bins.violin_density(_sd(spark, sf), "tavg", "continent", 50)
+    return bins.violin_density(_m(spark, sf), "tavg", "continent", 50, stations=_st(spark, sf))
 
 
 # ---------------------------------------------------------- statistics
@@ -496,12 +498,12 @@ def q_parallel(spark, sf):
 
 @register("scatter_3d")
 def q_scatter_3d(spark, sf):
-    return feeds.scatter_3d(_sd(spark, sf), 5_000, "obs_id", 42)
+    return feeds.scatter_3d(_m(spark, sf), 5_000, "obs_id", 42, stations=_st(spark, sf))
 
 
 @register("frames")
 def q_frames(spark, sf):
-    return feeds.frames(_sd(spark, sf), "continent", "month", "tavg")
+    return feeds.frames(_m(spark, sf), "continent", "month", "tavg", stations=_st(spark, sf))
 
 
 @register("log_axis")
