@@ -3,7 +3,7 @@
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Each query is timed end to end (plan building, including any scalar
 pre-pass, plus full execution into Spark's ``noop`` sink) as the median of
-``$BENCH_RUNS`` runs after one warm-up run.
+``$BENCH_RUNS`` runs, after one warm-up pass over all of them.
 """
 
 from __future__ import annotations
@@ -72,9 +72,10 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = session(cpus)
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for name in names:  # warm-up: JIT, Python workers, file listings
+        run_once(spark, name, sf_dir)
     times = {}
     for name in names:
-        run_once(spark, name, sf_dir)  # warm-up
         times[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 4)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(

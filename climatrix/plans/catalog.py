@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climatrix.functions.safe import r6
+from climatrix.functions.safe import DIGITS
 from climatrix.operators import bins, feeds, kpi, prepare, profile, report, rollup, sample, select, stats
 from climatrix.session import scratch_path
 from climatrix.sources import feed, fixtures, sinks
@@ -25,13 +25,14 @@ REGISTRY: dict[str, Query] = {}
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round every double column to 6 decimals."""
-    return df.select(
-        *[
-            r6(f.name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    """Round every double column to 6 decimals (one projection)."""
+    exprs = [
+        f"round(`{f.name}`, {DIGITS}) AS `{f.name}`"
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        else f"`{f.name}`"
+        for f in df.schema.fields
+    ]
+    return df.selectExpr(*exprs)
 
 
 def register(name: str):

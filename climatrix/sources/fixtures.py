@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climatrix.functions.calendar import calendar_columns
 
 # Fixed values of the adapter: event type -> feed datatype code.
 EVENT_DATATYPE = {
@@ -30,50 +29,67 @@ EVENT_DATATYPE = {
 STATION_FORMAT = "ST%04d"
 
 
+# Column types of the driver's tables (FIXTURES.md section 2).
+# Declaring them skips schema inference (a footer read per table and query).
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def station_id(key: str) -> F.Column:
-    """'ST' + the key zero-padded to 4 digits, as ``format_string('ST%04d')``.
+    """'ST' + the key zero-padded to 4 digits, as ``format_string('ST%04d')``."""
+    return F.expr(station_id_sql(key))
 
-    lpad alone would truncate keys of 5+ digits, so those keep all digits;
-    this avoids a per-row ``String.format`` (about 3x slower, measured).
-    """
-    k = F.col(key)
-    digits = k.cast("string")
+
+def station_id_sql(key: str) -> str:
+    # lpad alone would truncate keys of 5+ digits, so those keep all digits;
+    # this avoids a per-row String.format (about 3x slower, measured).
     return (
-        F.when(k < 0, F.format_string(STATION_FORMAT, k))
-        .when(k < 10000, F.concat(F.lit("ST"), F.lpad(digits, 4, "0")))
-        .otherwise(F.concat(F.lit("ST"), digits))
+        f"CASE WHEN {key} < 0 THEN format_string('{STATION_FORMAT}', {key}) "
+        f"WHEN {key} < 10000 THEN concat('ST', lpad(CAST({key} AS STRING), 4, '0')) "
+        f"ELSE concat('ST', CAST({key} AS STRING)) END"
     )
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station-day measures from lineitem (no join)."""
-    li = table(spark, sf_dir, "lineitem")
-    tmax = F.col("l_quantity")
-    tmin = F.col("l_quantity") - F.lit(100) * F.col("l_discount")
-    cal = calendar_columns(F.col("l_shipdate"))
-    d = F.col("l_shipdate")
-    yyyymmdd = F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)  # cheaper than date_format
-    obs_id = F.concat_ws(
-        "-",
-        *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-        yyyymmdd.cast("string"),
-    )
-    return li.select(
-        obs_id.alias("obs_id"),
-        F.col("l_shipdate").alias("date"),
-        *[c.alias(n) for n, c in cal.items()],
-        station_id("l_suppkey").alias("station"),
-        tmax.alias("tmax"),
-        tmin.alias("tmin"),
-        ((tmax + tmin) / F.lit(2)).alias("tavg"),
-        (F.lit(100) * F.col("l_tax")).alias("prcp"),
-        (F.lit(30) + F.col("l_partkey") % F.lit(61)).cast("double").alias("humidity"),
-        (F.lit(200) * F.col("l_discount")).alias("wind_speed"),
-        (F.lit(100) + F.col("l_partkey") % F.lit(701)).cast("double").alias("solar_radiation"),
+    """Station-day measures from lineitem (no join), one projection.
+
+    ``obs_id`` (order, line, part, supplier, ship day) is unique per row.
+    """
+    tmin = "(l_quantity - 100 * l_discount)"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), "
+        "CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), "
+        "CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + dayofmonth(l_shipdate) AS STRING)) AS obs_id",
+        "l_shipdate AS date",
+        "year(l_shipdate) AS year",
+        "month(l_shipdate) AS month",
+        "dayofmonth(l_shipdate) AS day",
+        "dayofyear(l_shipdate) AS day_of_year",
+        "weekofyear(l_shipdate) AS week",
+        f"{station_id_sql('l_suppkey')} AS station",
+        "l_quantity AS tmax",
+        f"{tmin} AS tmin",
+        f"(l_quantity + {tmin}) / 2 AS tavg",
+        "100 * l_tax AS prcp",
+        "CAST(30 + l_partkey % 61 AS DOUBLE) AS humidity",
+        "200 * l_discount AS wind_speed",
+        "CAST(100 + l_partkey % 701 AS DOUBLE) AS solar_radiation",
     )
 
 
@@ -88,14 +104,13 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
     reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = F.broadcast(nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey))
-    k = F.col("s_suppkey")
-    return sup.join(geo, sup.s_nationkey == geo.n_nationkey, "left").select(
-        station_id("s_suppkey").alias("station"),
-        F.col("r_name").alias("continent"),
-        F.col("n_name").alias("country"),
-        ((k * F.lit(37)) % F.lit(181) - F.lit(90)).cast("double").alias("lat"),
-        ((k * F.lit(73)) % F.lit(361) - F.lit(180)).cast("double").alias("lon"),
-        ((k * F.lit(29)) % F.lit(3000)).cast("double").alias("elevation"),
+    return sup.join(geo, sup.s_nationkey == geo.n_nationkey, "left").selectExpr(
+        f"{station_id_sql('s_suppkey')} AS station",
+        "r_name AS continent",
+        "n_name AS country",
+        "CAST((s_suppkey * 37) % 181 - 90 AS DOUBLE) AS lat",
+        "CAST((s_suppkey * 73) % 361 - 180 AS DOUBLE) AS lon",
+        "CAST((s_suppkey * 29) % 3000 AS DOUBLE) AS elevation",
     )
 
 
