@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame
     """Equal-width counts over [min, max]; the last bin is closed.
 
     Output ``(bin, lo, hi, n)`` for every bin (empty bins have n = 0).
+    Two passes over the column (extent, then counts); the zero-fill works on
+    the counts, at most ``bins`` rows gathered into one row.
     """
     bins = int(bins)
     v = df.select(nan_to_null(F.col(column).cast("double")).alias("_v")).dropna()
@@ -34,15 +36,17 @@ def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame
     lo, hi = F.col("_lo"), F.col("_hi")
     counts = (
         v.crossJoin(F.broadcast(ext))
-        .groupBy(bin_index(F.col("_v"), lo, hi, bins).alias("bin"))
+        .groupBy(bin_index(F.col("_v"), lo, hi, bins).alias("bin"), "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    every = ext.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(counts, "bin", "left").select(
+    filled = counts.groupBy("_lo", "_hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "_n"))).alias("_m")
+    )
+    return filled.select("_lo", "_hi", "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
         F.col("bin").cast("int").alias("bin"),
         bin_lower(F.col("bin"), lo, hi, bins).alias("lo"),
         bin_upper(F.col("bin"), lo, hi, bins).alias("hi"),
-        F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n"),
+        F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("bigint").alias("n"),
     )
 
 
@@ -231,8 +235,10 @@ def violin_density(
             .groupBy(by, "bin", "_lo", "_hi")
             .agg(F.sum("_n").alias("_n"))
         )
-    tot = cnt.groupBy(by).agg(F.sum("_n").alias("_t"))
-    return cnt.join(tot, by).select(
+    # Group totals: a window per group over the counts (at most ``bins`` rows
+    # per group), so the counts are computed once.
+    cnt = cnt.withColumn("_t", F.sum("_n").over(Window.partitionBy(by)))
+    return cnt.select(
         by,
         F.col("bin").cast("int").alias("bin"),
         bin_lower(F.col("bin"), lo, hi, bins).alias("lo"),

@@ -38,13 +38,14 @@ def scatter_3d(
     size column (solar_radiation, else wind_speed).
 
     With a separate station table the sample is drawn first and only its
-    n rows (a proven bound, so broadcast) are joined to the stations.
+    n rows are joined to the stations (the sample is the preserved side of
+    the left join, so it cannot be the broadcast side; AQE picks the join
+    from the measured sizes).
     """
     size = "solar_radiation" if "solar_radiation" in df.columns else "wind_speed"
     rows = sample_n(df, n, key, seed)
     if "continent" not in df.columns and stations is not None:
-        st = stations.select("station", "continent")
-        rows = F.broadcast(rows).join(st, "station", "left")
+        rows = rows.join(stations.select("station", "continent"), "station", "left")
     return rows.select("tavg", "prcp", "humidity", "continent", "station", F.col(size).alias("size"))
 
 

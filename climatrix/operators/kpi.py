@@ -52,23 +52,23 @@ def kpi_distinct(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     stations present joined to the station table, so the join sees one row
     per station instead of one per observation.
     """
-    base = df.agg(
-        F.count_distinct("year").alias("years"),
-        (F.count_distinct("station") if _has(df, "station") else F.lit(0)).alias("stations"),
-        (F.count_distinct("continent") if _has(df, "continent") else F.lit(None)).alias("_cont"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
+    st = "station" if _has(df, "station") else None
+    keys = ["year"] + ([st] if st else []) + (["continent"] if _has(df, "continent") else [])
+    pairs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one scan, combined map-side
     if _has(df, "continent"):
-        cont = F.col("_cont")
-    elif stations is not None and _has(df, "station"):
-        present = df.select("station").distinct()
-        n = present.join(stations.select("station", "continent"), "station").agg(
-            F.count_distinct("continent").alias("_c2")
-        )
-        base = base.crossJoin(F.broadcast(n))  # one-row side
-        cont = F.col("_c2")
+        cont = F.count_distinct("continent")
+    elif stations is not None and st:
+        pairs = pairs.join(stations.select("station", "continent"), "station", "left")
+        cont = F.count_distinct("continent")
     else:
         cont = F.lit(KPI_ABSENT_DEFAULTS["continents"])
+    base = pairs.agg(
+        F.count_distinct("year").alias("years"),
+        (F.count_distinct(st) if st else F.lit(0)).alias("stations"),
+        cont.alias("_cont"),
+        F.sum("_n").alias("_rows"),
+    )
+    cont = F.col("_cont")
     return base.filter(F.col("_rows") > 0).select(
         F.col("years").cast("bigint").alias("years"),
         F.col("stations").cast("bigint").alias("stations"),
@@ -138,17 +138,15 @@ def kpi_variability(df: DataFrame) -> DataFrame:
     )
 
 
-def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
-    """All headline indicators in one row from a single scan of ``df``.
+def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """One row per year plus a grand-total row (``gid`` = 1) of mergeable
+    partials, from a single scan of ``df``.
 
     1. The scan is reduced to one row per (year, station) with mergeable
        partial aggregates (sums, counts, extremes, sums of squares).
     2. Only that small table meets the station table (for continents).
-    3. ``rollup('year')`` aggregates it once into one row per year plus the
-       grand-total row (distinct stations and continents included).
-    4. A last aggregation over those (years + 1) rows fits the trend on the
-       yearly means, averages the yearly deviations and picks the totals.
-    Nothing is computed twice, so the fact table is read once.
+    3. ``rollup('year')`` aggregates it once into the yearly rows and the
+       total row, distinct stations and continents included.
     """
     cols = set(df.columns)
 
@@ -172,14 +170,18 @@ def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
         F.count(m("wind_speed")).alias("w_cnt"),
         F.count_if(m("tmax") > F.lit(HEAT_THRESHOLD)).alias("heat"),
         F.count_if(m("prcp") < F.lit(DRY_THRESHOLD)).alias("dry"),
+        F.count_if(m("prcp") > F.lit(0.0)).alias("rainy"),
     )
     if "continent" not in cols and stations is not None:
         per = per.join(stations.select("station", "continent"), "station", "left")
     elif "continent" not in cols:
         per = per.withColumn("continent", F.lit(None).cast("string"))
 
-    sums = ("n", "t_sum", "t_cnt", "t_sq", "p_sum", "h_sum", "h_cnt", "s_sum", "s_cnt", "w_sum", "w_cnt", "heat", "dry")
-    rolled = per.rollup("year").agg(
+    sums = (
+        "n", "t_sum", "t_cnt", "t_sq", "p_sum", "h_sum", "h_cnt", "s_sum", "s_cnt",
+        "w_sum", "w_cnt", "heat", "dry", "rainy",
+    )
+    return per.rollup("year").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.max("tx_max").alias("tx_max"),
         F.min("tn_min").alias("tn_min"),
@@ -187,8 +189,11 @@ def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
         F.count_distinct("continent").alias("continents"),
         F.grouping_id().alias("gid"),
     )
+
+
+def yearly_mean_and_std(rolled: DataFrame) -> tuple[Column, Column, Column]:
+    """(is a year row, yearly mean of tavg, yearly sample std) over a rollup."""
     is_year = (F.col("gid") == 0) & F.col("year").isNotNull()
-    is_total = F.col("gid") == 1
     ymean = F.try_divide(F.col("t_sum"), F.col("t_cnt"))
     ystd = F.sqrt(
         F.try_divide(
@@ -196,10 +201,25 @@ def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
             F.col("t_cnt") - F.lit(1),
         )
     )
+    return is_year, ymean, ystd
+
+
+def total(c: Column) -> Column:
+    """The value of ``c`` on the rollup's grand-total row."""
+    return F.max(F.when(F.col("gid") == 1, c))
+
 
-    def total(c: Column) -> Column:
-        return F.max(F.when(is_total, c))
+def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """All headline indicators in one row from a single scan of ``df``.
 
+    Built on ``year_station_rollup``; a last aggregation over its
+    (years + 1) rows fits the trend on the yearly means, averages the yearly
+    deviations and picks the totals. Nothing is computed twice, so the fact
+    table is read once.
+    """
+    cols = set(df.columns)
+    rolled = year_station_rollup(df, stations)
+    is_year, ymean, ystd = yearly_mean_and_std(rolled)
     out = rolled.agg(
         total(F.try_divide(F.col("t_sum"), F.col("t_cnt"))).alias("tavg_mean"),
         total(F.coalesce(F.col("p_sum"), F.lit(0.0))).alias("prcp_total"),

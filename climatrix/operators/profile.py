@@ -6,14 +6,15 @@ humidity (100) and wind (20). Absent measures are first added as constants
 on the whole frame (P12), so their profile value is null (0 / 0).
 
 One pass over the rows: a per-year table of sums, counts, minima and maxima
-(one row per year); slices, extremes and the all-years mean come from it.
+(one row per year); slices, extremes (windows over that table) and the
+all-years mean come from it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from climatrix.operators.prepare import fill_missing_measures
@@ -47,6 +48,16 @@ def _extremes(per: DataFrame) -> DataFrame:
     return per.agg(*aggs)
 
 
+def _with_extremes(per: DataFrame) -> DataFrame:
+    """Each per-year row with the all-rows extremes, as windows over the
+    per-year table (one row per year), so the rows are aggregated once."""
+    w = Window.partitionBy()
+    cols = [F.max("year").over(w).alias("_latest")]
+    for i in range(len(M)):
+        cols += [F.min(f"lo{i}").over(w).alias(f"gl{i}"), F.max(f"hi{i}").over(w).alias(f"gh{i}")]
+    return per.select("*", *cols)
+
+
 def _long(wide: DataFrame, mean_prefix: str, keys: list[str]) -> DataFrame:
     stacked = F.stack(
         F.lit(len(M)),
@@ -65,27 +76,26 @@ def _long(wide: DataFrame, mean_prefix: str, keys: list[str]) -> DataFrame:
 
 
 def _slice_means(per: DataFrame) -> DataFrame:
+    keep = [c for i in range(len(M)) for c in (f"gl{i}", f"gh{i}")]
     return per.select(
-        "year", *[F.try_divide(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"ym{i}") for i in range(len(M))]
+        "year",
+        *[F.try_divide(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"ym{i}") for i in range(len(M))],
+        *keep,
     )
 
 
 def compare_years(df: DataFrame, years: Iterable[int]) -> DataFrame:
     """The year profile of each year in ``years`` - one job for all."""
-    per = _per_year(df)
-    sel = _slice_means(per.filter(F.col("year").isin([int(y) for y in years])))
-    return _long(sel.crossJoin(F.broadcast(_extremes(per))), "ym", ["year"])
+    per = _with_extremes(_per_year(df))
+    sel = per.filter(F.col("year").isin([int(y) for y in years]))
+    return _long(_slice_means(sel), "ym", ["year"])
 
 
 def year_profile(df: DataFrame, year: int | None = None) -> DataFrame:
     """Profile of one year (default: the latest year present)."""
-    per = _per_year(df)
-    if year is None:
-        latest = per.agg(F.max("year").alias("year"))
-        sel = per.join(F.broadcast(latest), "year")  # one-row key
-    else:
-        sel = per.filter(F.col("year") == int(year))
-    return _long(_slice_means(sel).crossJoin(F.broadcast(_extremes(per))), "ym", ["year"])
+    per = _with_extremes(_per_year(df))
+    target = F.col("_latest") if year is None else F.lit(int(year))
+    return _long(_slice_means(per.filter(F.col("year") == target)), "ym", ["year"])
 
 
 def reference_profile(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from climatrix.functions.safe import sum0
-from climatrix.operators.kpi import kpi_trend
+from climatrix.operators.kpi import total, year_station_rollup, yearly_mean_and_std
 
 
 def report_yearly(df: DataFrame, first: int | None = 10) -> DataFrame:
@@ -79,18 +79,26 @@ def report_station_counts(df: DataFrame, first: int = 15) -> DataFrame:
 
 def report_header(df: DataFrame) -> DataFrame:
     """First and last year, mean temp, trend per century, total prcp,
-    rainy days, rows and stations - one aggregation plus the A6 trend."""
-    head = df.agg(
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
-        F.avg("tavg").alias("temp_mean"),
-        sum0("prcp").alias("prcp_sum"),
-        F.count_if(F.col("prcp") > 0).alias("rainy_days"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("station").cast("bigint").alias("stations"),
-    ).filter(F.col("rows") > 0)
-    trend = kpi_trend(df).select("trend_century")
-    return head.crossJoin(F.broadcast(trend))  # both one row
+    rainy days, rows and stations - from the one-scan (year, station)
+    rollup shared with the dashboard."""
+    rolled = year_station_rollup(df)
+    is_year, ymean, _ = yearly_mean_and_std(rolled)
+    out = rolled.agg(
+        F.min(F.when(is_year, F.col("year"))).alias("first_year"),
+        F.max(F.when(is_year, F.col("year"))).alias("last_year"),
+        total(F.try_divide(F.col("t_sum"), F.col("t_cnt"))).alias("temp_mean"),
+        total(F.coalesce(F.col("p_sum"), F.lit(0.0))).alias("prcp_sum"),
+        total(F.col("rainy")).alias("rainy_days"),
+        total(F.col("n")).alias("rows"),
+        total(F.col("stations")).cast("bigint").alias("stations"),
+        F.count(F.when(is_year, F.lit(1))).alias("_years"),
+        F.regr_slope(F.when(is_year, ymean), F.when(is_year, F.col("year"))).alias("_slope"),
+    )
+    slope = F.when(F.col("_years") > 1, F.coalesce(F.col("_slope"), F.lit(0.0))).otherwise(0.0)
+    return out.filter(F.col("rows") > 0).select(
+        "first_year", "last_year", "temp_mean", "prcp_sum", "rainy_days", "rows", "stations",
+        (slope * F.lit(100.0)).alias("trend_century"),
+    )
 
 
 def report_stability(df: DataFrame) -> DataFrame:

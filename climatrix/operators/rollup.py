@@ -131,9 +131,9 @@ def resample_mean(
     """Mean of ``value_col`` per D / W / M / Q / Y bucket, gaps kept.
 
     Bad dates and non-numeric values become null and are dropped first.
-    The full calendar from the first to the last bucket is generated from
-    the one-row extent (its length is bounded by the time span, not by the
-    data) and left-joined to the bucket means, so empty buckets show as null.
+    Every bucket from the first to the last is listed; empty buckets show
+    as null. One pass over the rows: the gaps are generated from each
+    occupied bucket to the next.
     Output: ``(period timestamp_ntz, <value>_mean double)`` ordered by period.
     """
     if freq not in FREQUENCIES:
@@ -147,14 +147,20 @@ def resample_mean(
         v = v.try_cast("double")
     clean = df.select(t.alias("_t"), v.cast("double").alias("_v")).dropna()
     means = clean.groupBy(period_label(F.col("_t"), freq).alias("_p")).agg(F.avg("_v").alias("_m"))
-    extent = means.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"))
-    cal = extent.filter(F.col("lo").isNotNull()).select(
-        F.explode(period_calendar(F.col("lo"), F.col("hi"), freq)).alias("_p")
-    )
+    # Each bucket expands to itself plus the empty buckets up to the next one.
+    # The window runs over the bucket table, whose size is bounded by the
+    # time span (e.g. 36,525 rows for a century of days), not by the data.
+    nxt = F.lead("_p").over(Window.orderBy("_p"))
+    span = period_calendar(F.col("_p"), F.coalesce(F.col("_n"), F.col("_p")), freq)
+    gap = F.filter(span, lambda x: F.col("_n").isNull() | (x < F.col("_n")))
     name = f"{value_col}_mean"
     return (
-        cal.join(means, "_p", "left")
-        .select(F.col("_p").cast("timestamp_ntz").alias("period"), F.col("_m").alias(name))
+        means.withColumn("_n", nxt)
+        .select(F.explode(gap).alias("_x"), "_p", "_m")
+        .select(
+            F.col("_x").cast("timestamp_ntz").alias("period"),
+            F.when(F.col("_x") == F.col("_p"), F.col("_m")).alias(name),
+        )
         .orderBy("period")
     )
 

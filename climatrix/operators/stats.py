@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,11 +199,22 @@ def linear_trend(df: DataFrame, value: str = "tavg") -> DataFrame:
 
 
 def trend_line(df: DataFrame, value: str = "tavg") -> DataFrame:
-    """Yearly mean with the fitted value of the A20 line per year."""
-    fit = linear_trend(df, value).select("slope", "intercept")
+    """Yearly mean with the fitted value of the A20 line per year.
+
+    The fit is a window over the yearly table (one row per year), so the
+    rows are aggregated once.
+    """
     y = _yearly(df, value)
-    return y.crossJoin(F.broadcast(fit)).select(
+    m = F.col(f"{value}_mean")
+    yr = F.col("year").cast("double")
+    every = Window.partitionBy()
+    fitted = y.select(
         "year",
         f"{value}_mean",
-        (F.col("intercept") + F.col("slope") * F.col("year")).alias("fitted"),
+        F.regr_slope(m, yr).over(every).alias("_b"),
+        F.regr_intercept(m, yr).over(every).alias("_a"),
+        F.count(m).over(every).alias("_years"),
+    )
+    return fitted.filter(F.col("_years") > 1).select(
+        "year", f"{value}_mean", (F.col("_a") + F.col("_b") * F.col("year")).alias("fitted")
     )
