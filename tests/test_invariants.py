@@ -77,3 +77,27 @@ def test_chart_feeds_respect_caps(spark):
     assert feeds.parallel_coordinates(m, None, 50).count() == 50
     assert feeds.parallel_coordinates(m, [1996]).count() == m.filter("year = 1996").count()
     assert feeds.log_axis(m).filter("log10_prcp is null").count() == 0
+
+
+def test_streaming_landing_is_exactly_once_and_incremental(spark):
+    from climatrix.session import scratch_path
+    from climatrix.sources.feed import write_feed_pages
+    from climatrix.streaming import land_observations
+
+    obs = fixtures.observations_from_events(spark, SF_SMALL)
+    landing, table, ckpt = (scratch_path(spark, n) for n in ("landing", "table", "ckpt"))
+    first = obs.filter("event_id < 100")
+    write_feed_pages(first, f"{landing}/batch1", "event_id")
+    land_observations(spark, f"{landing}/*", table, ckpt, multi_line=False).awaitTermination()
+    assert spark.read.parquet(table).count() == first.count()
+    # Re-running with the same checkpoint lands nothing twice.
+    land_observations(spark, f"{landing}/*", table, ckpt, multi_line=False).awaitTermination()
+    assert spark.read.parquet(table).count() == first.count()
+    # New pages are picked up incrementally.
+    write_feed_pages(obs.filter("event_id >= 100"), f"{landing}/batch2", "event_id")
+    land_observations(spark, f"{landing}/*", table, ckpt, multi_line=False).awaitTermination()
+    landed = spark.read.parquet(table)
+    assert landed.count() == obs.count()
+    scaled = landed.filter("datatype = 'TMAX'").agg(F.sum("value")).first()[0]
+    raw = obs.filter("datatype = 'TMAX'").agg(F.sum("value")).first()[0]
+    assert abs(scaled * 10 - raw) < 1e-6
