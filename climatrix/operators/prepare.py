@@ -76,12 +76,15 @@ def pivot_observations(
         not_null = not_null & F.col(k).isNotNull()
     v = nan_to_null(value)
     aggs = [F.avg(F.when(F.col(datatype) == code, v)).alias(code) for code in codes]
-    return (
-        df.filter(not_null)
-        .groupBy(*keys)
-        .agg(*aggs)
-        .dropna(how="all", subset=codes)
-    )
+    # Calendar parts are functions of the date: shuffle on (date, station)
+    # only and derive them after the aggregation (narrower shuffle keys).
+    derived = [k for k in keys if k in CALENDAR_COLUMNS] if "date" in keys else []
+    group = [k for k in keys if k not in derived]
+    out = df.filter(not_null).groupBy(*group).agg(*aggs).dropna(how="all", subset=codes)
+    if derived:
+        parts = calendar_columns(F.col("date"))
+        out = out.withColumns({k: parts[k] for k in derived}).select(*keys, *codes)
+    return out
 
 
 def rename_codes(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
