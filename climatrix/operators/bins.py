@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from climatrix.functions.binning import bin_index, bin_lower, bin_upper
 from climatrix.functions.calendar import epoch_micros
 from climatrix.functions.safe import nan_to_null
+from climatrix.operators.keys import station_key
 from climatrix.operators.quantile import MAX_DISTINCT_FOR_MAP, quantiles_from_pairs, value_counts
 from climatrix.schema import GRID_MAP, GRID_SCATTER, GRID_SPATIAL
 from climatrix.session import materialize
@@ -121,13 +122,14 @@ def grid_mean(
             .groupBy("x_bin", "y_bin")
             .agg(F.avg("_v").alias(f"{value}_mean"))
         )
+    k = station_key(df, stations)
     per = (
-        df.select("station", nan_to_null(F.col(value)).alias("_v"))
+        df.select(k, nan_to_null(F.col(value)).alias("_v"))
         .dropna()
-        .groupBy("station")
+        .groupBy(k)
         .agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"))
     )
-    pts = per.join(stations.select("station", "lon", "lat"), "station").dropna(subset=["lon", "lat"])
+    pts = per.join(stations.select(k, "lon", "lat"), k).dropna(subset=["lon", "lat"])
     # One row per station feeds both the extent and the binning: write it
     # once so the fact table is scanned once.
     pts = materialize(pts)
@@ -219,7 +221,7 @@ def violin_density(
     counted per (station, bin) first and only that table is joined.
     """
     bins = int(bins)
-    key = by if (by in df.columns or stations is None) else "station"
+    key = by if (by in df.columns or stations is None) else station_key(df, stations)
     pts = df.select(F.col(key), nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
     ext = pts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter(F.col("_lo").isNotNull())
     lo, hi = F.col("_lo"), F.col("_hi")
@@ -230,7 +232,7 @@ def violin_density(
     )
     if key != by:
         cnt = (
-            cnt.join(stations.select("station", by), "station")
+            cnt.join(stations.select(key, by), key)
             .filter(F.col(by).isNotNull())
             .groupBy(by, "bin", "_lo", "_hi")
             .agg(F.sum("_n").alias("_n"))

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from climatrix.operators.keys import station_key
+
 from climatrix.operators.sample import sample_n
 from climatrix.operators.select import filter_year_set
 from climatrix.schema import CAP_PARALLEL, CAP_SCATTER, CAP_SCATTER_3D
@@ -45,7 +47,8 @@ def scatter_3d(
     size = "solar_radiation" if "solar_radiation" in df.columns else "wind_speed"
     rows = sample_n(df, n, key, seed)
     if "continent" not in df.columns and stations is not None:
-        rows = rows.join(stations.select("station", "continent"), "station", "left")
+        k = station_key(df, stations)
+        rows = rows.join(stations.select(k, "continent"), k, "left")
     return rows.select("tavg", "prcp", "humidity", "continent", "station", F.col(size).alias("size"))
 
 
@@ -68,12 +71,13 @@ def frames(
             .agg(F.avg(y).alias(f"{y}_mean"))
             .orderBy(frame, x)
         )
+    k = station_key(df, stations)
     per = (
         df.filter(F.col(x).isNotNull())
-        .groupBy(x, "station")
+        .groupBy(x, k)
         .agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))
     )
-    j = per.join(stations.select("station", frame), "station").filter(F.col(frame).isNotNull())
+    j = per.join(stations.select(k, frame), k).filter(F.col(frame).isNotNull())
     return (
         j.groupBy(frame, x)
         .agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias(f"{y}_mean"))

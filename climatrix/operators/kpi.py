@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from climatrix.functions.safe import share_pct, sum0
+from climatrix.operators.keys import station_key
 from climatrix.schema import DRY_THRESHOLD, HEAT_THRESHOLD, KPI_ABSENT_DEFAULTS
 
 
@@ -52,13 +53,13 @@ def kpi_distinct(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     stations present joined to the station table, so the join sees one row
     per station instead of one per observation.
     """
-    st = "station" if _has(df, "station") else None
+    st = station_key(df, stations) if (_has(df, "station") or _has(df, "station_key")) else None
     keys = ["year"] + ([st] if st else []) + (["continent"] if _has(df, "continent") else [])
     pairs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one scan, combined map-side
     if _has(df, "continent"):
         cont = F.count_distinct("continent")
     elif stations is not None and st:
-        pairs = pairs.join(stations.select("station", "continent"), "station", "left")
+        pairs = pairs.join(stations.select(st, "continent"), st, "left")
         cont = F.count_distinct("continent")
     else:
         cont = F.lit(KPI_ABSENT_DEFAULTS["continents"])
@@ -153,7 +154,8 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
     def m(c: str) -> Column:
         return F.col(c) if c in cols else F.lit(None).cast("double")
 
-    keys = ["year", "station"] + (["continent"] if "continent" in cols else [])
+    k = station_key(df, stations)
+    keys = ["year", k] + (["continent"] if "continent" in cols else [])
     per = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(m("tavg")).alias("t_sum"),
@@ -173,7 +175,7 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
         F.count_if(m("prcp") > F.lit(0.0)).alias("rainy"),
     )
     if "continent" not in cols and stations is not None:
-        per = per.join(stations.select("station", "continent"), "station", "left")
+        per = per.join(stations.select(k, "continent"), k, "left")
     elif "continent" not in cols:
         per = per.withColumn("continent", F.lit(None).cast("string"))
 
@@ -185,7 +187,7 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
         *[F.sum(c).alias(c) for c in sums],
         F.max("tx_max").alias("tx_max"),
         F.min("tn_min").alias("tn_min"),
-        F.count_distinct("station").alias("stations"),
+        F.count_distinct(k).alias("stations"),
         F.count_distinct("continent").alias("continents"),
         F.grouping_id().alias("gid"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from climatrix.functions.calendar import calendar_columns
 from climatrix.functions.safe import nan_to_null
+from climatrix.operators.keys import station_key
 from climatrix.schema import (
     CALENDAR_COLUMNS,
     CODE_TO_COLUMN,
@@ -112,8 +113,9 @@ def attach_station_attributes(df: DataFrame, stations: DataFrame) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge joins
     (AQE may still switch at run time from measured sizes).
     """
-    attrs = [c for c in stations.columns if c != "station" and c not in df.columns]
-    return df.join(stations.select("station", *attrs), "station", "left")
+    k = station_key(df, stations)
+    attrs = [c for c in stations.columns if c != k and c not in df.columns]
+    return df.join(stations.select(k, *attrs), k, "left")
 
 
 def warming_adjustment(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from climatrix.functions.calendar import period_calendar, period_label
 from climatrix.functions.safe import sum0
+from climatrix.operators.keys import station_key
 from climatrix.schema import FREQUENCIES
 
 
@@ -58,7 +59,8 @@ def continent_year(df: DataFrame, stations: DataFrame | None = None) -> DataFram
             F.avg("lat").alias("lat_mean"),
             F.avg("lon").alias("lon_mean"),
         )
-    per = _keyed(df, "year").groupBy("year", "station").agg(
+    k = station_key(df, stations)
+    per = _keyed(df, "year").groupBy("year", k).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("tavg").alias("t_sum"),
         F.count("tavg").alias("t_cnt"),
@@ -66,8 +68,8 @@ def continent_year(df: DataFrame, stations: DataFrame | None = None) -> DataFram
         F.min("tmin").alias("tn"),
         F.sum("prcp").alias("p_sum"),
     )
-    st = stations.select("station", "continent", "lat", "lon")
-    j = _keyed(per.join(st, "station"), "continent")
+    st = stations.select(k, "continent", "lat", "lon")
+    j = _keyed(per.join(st, k), "continent")
     return j.groupBy("year", "continent").agg(
         F.try_divide(F.sum("t_sum"), F.sum("t_cnt")).alias("tavg_mean"),
         F.max("tx").alias("tmax_max"),
@@ -188,6 +190,7 @@ def stacked_totals(
     """
     if colour in df.columns or stations is None:
         return _keyed(df, x, colour).groupBy(x, colour).agg(sum0(y).alias(f"{y}_sum"))
-    per = _keyed(df, x, "station").groupBy(x, "station").agg(F.sum(y).alias("_s"))
-    j = _keyed(per.join(stations.select("station", colour), "station"), colour)
+    k = station_key(df, stations)
+    per = _keyed(df, x, k).groupBy(x, k).agg(F.sum(y).alias("_s"))
+    j = _keyed(per.join(stations.select(k, colour), k), colour)
     return j.groupBy(x, colour).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias(f"{y}_sum"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climatrix.schema import WARM_DAY_THRESHOLD
+from climatrix.operators.keys import station_key
 from climatrix.sources.select import date_literal
 
 ALL = ("all", "All", "Tous", "*")
@@ -42,8 +43,9 @@ def filter_continent(
         return df
     if "continent" in df.columns or stations is None:
         return df.filter(F.col("continent") == F.lit(continent))
-    keys = stations.filter(F.col("continent") == F.lit(continent)).select("station", "continent")
-    return df.join(keys, "station")
+    k = station_key(df, stations)
+    keys = stations.filter(F.col("continent") == F.lit(continent)).select(k, "continent")
+    return df.join(keys, k)
 
 
 def filter_year_set(df: DataFrame, years: Iterable[int]) -> DataFrame:
@@ -73,8 +75,9 @@ def distinct_sorted(df: DataFrame, col: str, stations: DataFrame | None = None)
     present are joined (one row per station, not per observation).
     """
     if col not in df.columns and stations is not None:
-        present = df.select("station").dropna().distinct()
-        df = present.join(stations.select("station", col), "station")
+        k = station_key(df, stations)
+        present = df.select(k).dropna().distinct()
+        df = present.join(stations.select(k, col), k)
     return df.select(col).dropna().distinct().orderBy(col)
 
 

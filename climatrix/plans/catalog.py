@@ -291,6 +291,12 @@ def q_latest_years(spark, sf):
     return select.latest_years(_m(spark, sf), 3)
 
 
+@register("keep_latest_years")
+def q_keep_latest_years(spark, sf):
+    """F7 used as a left-semi key: the rows of the last two years."""
+    return select.keep_latest_years(_m(spark, sf), 2).select("obs_id", "year", "tavg")
+
+
 @register("sample_fraction")
 def q_sample_fraction(spark, sf):
     orders = fixtures.table(spark, sf, "orders")
@@ -371,6 +377,12 @@ def q_month_year_matrix(spark, sf):
     return rollup.month_year_matrix(_m(spark, sf))
 
 
+@register("month_year_matrix_wide")
+def q_month_year_matrix_wide(spark, sf):
+    """A11 wide form: one column per year of the fixture's span."""
+    return rollup.month_year_matrix(_m(spark, sf), years=list(range(1995, 2002)))
+
+
 @register("monthly_stream")
 def q_monthly_stream(spark, sf):
     return rollup.monthly_stream(_m(spark, sf))
@@ -497,6 +509,17 @@ def q_parallel(spark, sf):
     return feeds.parallel_coordinates(_m(spark, sf), None, 500, "obs_id", 42)
 
 
+@register("parallel_coordinates_years")
+def q_parallel_years(spark, sf):
+    return feeds.parallel_coordinates(_m(spark, sf), [1997, 2000])
+
+
+@register("grid_xy_category")
+def q_grid_xy_category(spark, sf):
+    """A23 with a text colour: point count per (cell, station)."""
+    return bins.grid_xy(_m(spark, sf), "tavg", "prcp", "station")
+
+
 @register("scatter_3d")
 def q_scatter_3d(spark, sf):
     return feeds.scatter_3d(_m(spark, sf), 5_000, "obs_id", 42, stations=_st(spark, sf))

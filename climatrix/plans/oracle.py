@@ -20,6 +20,7 @@ MEASURES = """measures AS (
     CAST(dayofyear(l_shipdate) AS INTEGER) AS day_of_year,
     CAST(weekofyear(l_shipdate) AS INTEGER) AS week,
     printf('ST%04d', l_suppkey) AS station,
+    l_suppkey AS station_key,
     l_quantity AS tmax,
     l_quantity - 100 * l_discount AS tmin,
     (l_quantity + (l_quantity - 100 * l_discount)) / 2 AS tavg,
@@ -30,7 +31,7 @@ MEASURES = """measures AS (
   FROM lineitem)"""
 
 STATIONS = """stations AS (
-  SELECT printf('ST%04d', s_suppkey) AS station, r_name AS continent, n_name AS country,
+  SELECT printf('ST%04d', s_suppkey) AS station, s_suppkey AS station_key, r_name AS continent, n_name AS country,
          CAST((s_suppkey * 37) % 181 - 90 AS DOUBLE) AS lat,
          CAST((s_suppkey * 73) % 361 - 180 AS DOUBLE) AS lon,
          CAST((s_suppkey * 29) % 3000 AS DOUBLE) AS elevation
@@ -40,7 +41,7 @@ STATIONS = """stations AS (
 
 STATION_DAY = """station_day AS (
   SELECT m.*, s.continent, s.country, s.lat, s.lon, s.elevation
-  FROM measures m LEFT JOIN stations s ON m.station = s.station)"""
+  FROM measures m LEFT JOIN stations s ON m.station_key = s.station_key)"""
 
 EV_OBS = """ev_obs AS (
   SELECT event_id,
@@ -229,7 +230,7 @@ SQL: dict[str, str] = {
     "sink_parquet": _m()
     + "SELECT obs_id, date, year, station, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp FROM measures",
     "preview": _m()
-    + "SELECT obs_id, date, year, month, day, day_of_year, week, station, round(tmax, 6) AS tmax, "
+    + "SELECT obs_id, date, year, month, day, day_of_year, week, station, station_key, round(tmax, 6) AS tmax, "
     "round(tmin, 6) AS tmin, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, round(humidity, 6) AS humidity, "
     "round(wind_speed, 6) AS wind_speed, round(solar_radiation, 6) AS solar_radiation "
     "FROM measures ORDER BY date, obs_id LIMIT 10",
@@ -286,6 +287,9 @@ SQL: dict[str, str] = {
     + "SELECT DISTINCT continent FROM station_day WHERE continent IS NOT NULL ORDER BY continent",
     "latest_years": _m()
     + "SELECT DISTINCT year FROM measures WHERE year IS NOT NULL ORDER BY year DESC LIMIT 3",
+    "keep_latest_years": _m()
+    + "SELECT obs_id, year, round(tavg, 6) AS tavg FROM measures WHERE year IN "
+    "(SELECT DISTINCT year FROM measures WHERE year IS NOT NULL ORDER BY year DESC LIMIT 2)",
     "sample_n": _sample("orders", "o_orderkey, round(o_totalprice, 6) AS o_totalprice", "o_orderkey", 500),
     "cap_rows": _sample(
         "measures", "obs_id, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp", "obs_id", 5000, _m()
@@ -344,6 +348,10 @@ SQL: dict[str, str] = {
     "month_year_matrix": _m()
     + "SELECT month, year, round(avg(tavg), 6) AS tavg_mean FROM measures "
     "WHERE month IS NOT NULL AND year IS NOT NULL GROUP BY month, year HAVING avg(tavg) IS NOT NULL",
+    "month_year_matrix_wide": _m()
+    + "SELECT month, "
+    + ", ".join(f"round(avg(tavg) FILTER (WHERE year = {y}), 6) AS \"{y}\"" for y in range(1995, 2002))
+    + " FROM measures WHERE month IS NOT NULL AND year IS NOT NULL GROUP BY month",
     "monthly_stream": _m()
     + ", a AS (SELECT year, month, avg(tavg) AS tavg_mean, coalesce(sum(prcp), 0) AS prcp_sum FROM measures "
     "WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month)\n"
@@ -445,6 +453,14 @@ SQL: dict[str, str] = {
         500,
         _m(),
     ),
+    "parallel_coordinates_years": _m()
+    + "SELECT round(tavg, 6) AS tavg, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, "
+    "round(humidity, 6) AS humidity, round(wind_speed, 6) AS wind_speed, year FROM measures WHERE year IN (1997, 2000)",
+    "grid_xy_category": _m()
+    + ", p AS (SELECT tavg, prcp, station FROM measures WHERE tavg IS NOT NULL AND prcp IS NOT NULL)\n"
+    "SELECT * FROM ("
+    + _grid("p", "tavg", "prcp", 800, 500, "station, count(*) AS n").replace("GROUP BY 1, 2", "GROUP BY 1, 2, station")
+    + ") g WHERE station IS NOT NULL",
     "scatter_3d": _sample(
         "station_day",
         "round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, round(humidity, 6) AS humidity, continent, station, "

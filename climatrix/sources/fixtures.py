@@ -69,7 +69,8 @@ def station_id_sql(key: str) -> str:
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station-day measures from lineitem (no join), one projection.
 
-    ``obs_id`` (order, line, part, supplier, ship day) is unique per row.
+    ``obs_id`` (order, line, part, supplier, ship day) is unique per row;
+    ``station_key`` is the integer key behind the text ``station`` id.
     """
     tmin = "(l_quantity - 100 * l_discount)"
     return table(spark, sf_dir, "lineitem").selectExpr(
@@ -83,6 +84,7 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dayofyear(l_shipdate) AS day_of_year",
         "weekofyear(l_shipdate) AS week",
         f"{station_id_sql('l_suppkey')} AS station",
+        "l_suppkey AS station_key",
         "l_quantity AS tmax",
         f"{tmin} AS tmin",
         f"(l_quantity + {tmin}) / 2 AS tavg",
@@ -106,6 +108,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = F.broadcast(nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey))
     return sup.join(geo, sup.s_nationkey == geo.n_nationkey, "left").selectExpr(
         f"{station_id_sql('s_suppkey')} AS station",
+        "s_suppkey AS station_key",
         "r_name AS continent",
         "n_name AS country",
         "CAST((s_suppkey * 37) % 181 - 90 AS DOUBLE) AS lat",
