@@ -81,7 +81,7 @@ def quantiles_from_pairs(
         return pairs.select(*by, F.lit(0).cast("bigint").alias("n"), *empty).limit(0)
     if widest <= max_distinct:
         return _map_quantiles(pairs, probs, by, names)
-    return _rank_select_quantiles(pairs, probs, by, names)
+    return rank_select_quantiles(pairs, probs, by, names)
 
 
 def _map_quantiles(pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def _map_quantiles(pairs: DataFrame, probs: Sequence[float], by: list[str], name
     )
 
 
-def _rank_select_quantiles(
+def rank_select_quantiles(
     pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
 ) -> DataFrame:
     counts = pairs.groupBy(*by).agg(F.sum("_w").alias("n"))

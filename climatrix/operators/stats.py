@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.safe import nan_to_null, pair_corr
-from climatrix.operators.quantile import MAX_DISTINCT_FOR_MAP, exact_quantiles
+from climatrix.operators.quantile import (
+    MAX_DISTINCT_FOR_MAP,
+    rank_select_quantiles,
+    exact_quantiles,
+    value_counts,
+)
+from climatrix.session import materialize
 
 
 def describe(
@@ -20,47 +26,65 @@ def describe(
 ) -> DataFrame:
     """Count, mean, std, min, 25/50/75 %, max for each column.
 
-    Moments come from one aggregation over the wide rows; quartiles from the
-    distributed exact selection over the columns stacked to ``(column,
-    value)``. Output: one row per column. (``DataFrame.summary`` is not used:
+    One pass over the rows: the columns are stacked to ``(column, value)``
+    and reduced to distinct values with counts, written once. Moments (with
+    an exact two-pass variance) and quartiles are read from that small
+    table. Output: one row per column. (``DataFrame.summary`` is not used:
     its quartiles are approximate.)
     """
     cols = list(cols)
-    moments = df.agg(
-        *[
-            x
-            for i, c in enumerate(cols)
-            for x in (
-                F.count(nan_to_null(F.col(c).cast("double"))).alias(f"n{i}"),
-                F.avg(nan_to_null(F.col(c).cast("double"))).alias(f"m{i}"),
-                F.stddev_samp(nan_to_null(F.col(c).cast("double"))).alias(f"s{i}"),
-                F.min(nan_to_null(F.col(c).cast("double"))).alias(f"lo{i}"),
-                F.max(nan_to_null(F.col(c).cast("double"))).alias(f"hi{i}"),
-            )
-        ]
-    )
-    m_long = moments.select(
-        F.stack(
-            F.lit(len(cols)),
-            *[
-                x
-                for i, c in enumerate(cols)
-                for x in (F.lit(c), F.col(f"n{i}"), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"))
-            ],
-        ).alias("column", "count", "mean", "std", "min", "max")
-    )
     long = df.select(
         F.stack(
             F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]
         ).alias("column", "value")
     )
-    q = exact_quantiles(
-        long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"],
-        method=method, max_distinct=max_distinct,
-    )
-    return m_long.join(q.drop("n"), "column", "left").select(
+    if method == "approx":
+        q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"], method=method)
+        m = long.groupBy("column").agg(
+            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"),
+        )
+    else:
+        pairs = materialize(value_counts(long, "value", ["column"]))
+        # One small job over the distinct values: per column the number of
+        # distinct values (decides the quantile path), count, mean, extremes.
+        # k rows come back to the driver.
+        first = pairs.groupBy("column").agg(
+            F.count(F.lit(1)).alias("_distinct"),
+            F.sum("_w").alias("count"),
+            (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"),
+            F.min("_v").alias("min"),
+            F.max("_v").alias("max"),
+        ).collect()
+        spark = df.sparkSession
+        m = spark.createDataFrame(
+            [(r["column"], r["count"], r["mean"], r["min"], r["max"]) for r in first],
+            "column string, count bigint, mean double, min double, max double",
+        )
+        mean_of = F.lit(None).cast("double")
+        for r in first:
+            mean_of = F.when(F.col("column") == r["column"], F.lit(r["mean"])).otherwise(mean_of)
+        # Exact two-pass variance: squared deviations from the known means.
+        ss = F.sum(F.col("_w") * (F.col("_v") - mean_of) ** 2).alias("_ss")
+        widest = max((r["_distinct"] for r in first), default=0)
+        probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
+        if widest <= max_distinct:
+            pq = F.percentile(F.col("_v"), probs, F.col("_w"))
+            q = pairs.groupBy("column").agg(ss, pq.alias("_q")).select(
+                "column", "_ss", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
+            )
+        else:
+            q = rank_select_quantiles(pairs, probs, ["column"], names).drop("n").join(
+                pairs.groupBy("column").agg(ss), "column"
+            )
+        m = m.join(q.select("column", "_ss"), "column", "left").withColumn(
+            "std", F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - F.lit(1))))
+        )
+        q = q.drop("_ss")
+    present = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return present.join(m, "column", "left").join(q.drop("n"), "column", "left").select(
         "column",
-        F.col("count").cast("bigint").alias("count"),
+        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
         "mean",
         "std",
         "min",
@@ -75,81 +99,111 @@ def numeric_column_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _cross_sums(cols: list[str], centre: list[float]):
-    """Per Arrow batch: pairwise-complete sums of centred values, one row per
-    (i <= j): n, sum x_i, sum x_j, sum x_i^2, sum x_j^2, sum x_i x_j, all over
-    the rows where both columns are present. Memory per task is O(k^2)."""
+def _partition_moments(cols: list[str]):
+    """Per task: pairwise-complete count, means, second moments and
+    co-moments for every column pair (i <= j), merged over the task's Arrow
+    batches with the parallel (Chan) update. Each batch is first centred on
+    its own column means, so the sums are well conditioned. One row per pair
+    per task; memory per task is O(k^2)."""
     import numpy as np
     import pandas as pd
 
-    c = np.asarray(centre, dtype="float64")
-    iu, ju = np.triu_indices(len(cols))
+    k = len(cols)
+    iu, ju = np.triu_indices(k)
 
     def run(batches):
+        n = np.zeros((k, k))
+        a = np.zeros((k, k))  # a[i, j]: mean of column i over rows where i and j are present
+        b = np.zeros((k, k))  # b[i, j]: sum of squared deviations of i on those rows
+        c = np.zeros((k, k))  # c[i, j]: co-moment of i and j on those rows
+        seen = False
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
             present = ~np.isnan(x)
-            d = np.where(present, x - c, 0.0)
+            if not present.any():
+                continue
+            shift = np.where(present.any(axis=0), np.nanmean(np.where(present, x, np.nan), axis=0), 0.0)
+            d = np.where(present, x - shift, 0.0)
             mk = present.astype("float64")
-            n = mk.T @ mk
-            sx = d.T @ mk  # sx[i, j] = sum of d_i where j is present
-            sxx = (d * d).T @ mk
-            sxy = d.T @ d
+            nb = mk.T @ mk
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sb = d.T @ mk
+                ab_c = np.where(nb > 0, sb / nb, 0.0)  # centred pairwise means
+                bb = (d * d).T @ mk - ab_c * sb
+                cb = d.T @ d - ab_c * sb.T
+                ab = ab_c + shift[:, None]
+                tot = n + nb
+                delta = ab - a
+                w = np.where(tot > 0, n * nb / tot, 0.0)
+                a = np.where(tot > 0, a + delta * np.where(tot > 0, nb / tot, 0.0), 0.0)
+                b = b + bb + delta * delta * w
+                c = c + cb + delta * delta.T * w
+            n = tot
+            seen = True
+        if seen:
             yield pd.DataFrame(
                 {
                     "i": iu.astype("int32"),
                     "j": ju.astype("int32"),
                     "n": n[iu, ju],
-                    "sx": sx[iu, ju],
-                    "sy": sx[ju, iu],
-                    "sxx": sxx[iu, ju],
-                    "syy": sxx[ju, iu],
-                    "sxy": sxy[iu, ju],
+                    "mi": a[iu, ju],
+                    "mj": a[ju, iu],
+                    "m2i": b[iu, ju],
+                    "m2j": b[ju, iu],
+                    "cij": c[iu, ju],
                 }
             )
 
     return run
 
 
-# Relative size under which a centred sum of squares is taken as exactly 0
-# (a column constant on the pair's rows): r is then null, as pandas gives NaN.
-CONSTANT_TOLERANCE = 1e-12
+# A second moment this small relative to n * mean^2 is a constant column
+# (rounding residue): r is then null, as for an exact constant.
+CONSTANT_TOLERANCE = 1e-20
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise Pearson r over pairwise-complete rows, long form
     ``(a, b, r)`` with both triangles and the diagonal.
 
-    Two passes. (1) One small aggregation gives each column's mean, used to
-    centre the values (keeps the sums well conditioned). (2) Each task turns
-    its Arrow batches into the k x k masked cross-product sums with numpy
-    (``mapInPandas``); Spark sums them per (i, j) - k(k+1)/2 groups - and
-    forms r = cov / (sd_a sd_b) with ``try_divide``, so a constant column
-    gives null rather than an error. A single SQL aggregation with k(k-1)/2
-    ``covar_samp``/``stddev_samp`` triples would exceed the whole-stage
-    codegen field limit and run interpreted (measured 50x slower at k = 9).
-    The diagonal is 1 where the column varies, null otherwise.
+    One pass over the rows. Each task turns its Arrow batches into per-pair
+    counts, means, second moments and co-moments with numpy
+    (``mapInPandas``). Spark then merges the per-task rows per (i, j) with
+    the same parallel update: windows per pair over a table of one row per
+    task. It forms r = C / sqrt(M2_a M2_b) with ``try_divide``, so a constant
+    column gives null rather than an error.
+
+    A single SQL aggregation with k(k-1)/2 ``covar_samp``/``stddev_samp``
+    triples would exceed the whole-stage codegen field limit and run
+    interpreted (measured 50x slower at k = 9). The diagonal is 1 where the
+    column varies, null otherwise.
     """
     cols = list(cols) if cols else numeric_column_names(df)
     vals = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    means = vals.agg(*[F.avg(c).alias(c) for c in cols]).collect()[0]  # k numbers
-    centre = [float(means[c]) if means[c] is not None else 0.0 for c in cols]
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = (
-        vals.mapInPandas(_cross_sums(cols, centre), schema)
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    schema = "i int, j int, n double, mi double, mj double, m2i double, m2j double, cij double"
+    parts = vals.mapInPandas(_partition_moments(cols), schema)
+    pair = Window.partitionBy("i", "j")
+    tot_n = F.sum("n").over(pair)
+    mu_i = F.try_divide(F.sum(F.col("n") * F.col("mi")).over(pair), tot_n)
+    mu_j = F.try_divide(F.sum(F.col("n") * F.col("mj")).over(pair), tot_n)
+    with_mu = parts.select("*", tot_n.alias("_n"), mu_i.alias("_mui"), mu_j.alias("_muj"))
+    di = F.col("mi") - F.col("_mui")
+    dj = F.col("mj") - F.col("_muj")
+    merged = with_mu.groupBy("i", "j").agg(
+        F.max("_n").alias("n"),
+        F.max("_mui").alias("mui"),
+        F.max("_muj").alias("muj"),
+        F.sum(F.col("m2i") + F.col("n") * di * di).alias("vx"),
+        F.sum(F.col("m2j") + F.col("n") * dj * dj).alias("vy"),
+        F.sum(F.col("cij") + F.col("n") * di * dj).alias("cxy"),
     )
     n = F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    flat_x = vx <= F.lit(CONSTANT_TOLERANCE) * F.col("sxx")
-    flat_y = vy <= F.lit(CONSTANT_TOLERANCE) * F.col("syy")
+    flat_x = F.col("vx") <= F.lit(CONSTANT_TOLERANCE) * n * F.col("mui") * F.col("mui")
+    flat_y = F.col("vy") <= F.lit(CONSTANT_TOLERANCE) * n * F.col("muj") * F.col("muj")
     r = (
         F.when((n < 2) | flat_x | flat_y, F.lit(None).cast("double"))
         .when(F.col("i") == F.col("j"), F.lit(1.0))
-        .otherwise(F.try_divide(cxy, F.sqrt(vx * vy)))
+        .otherwise(F.try_divide(F.col("cxy"), F.sqrt(F.col("vx") * F.col("vy"))))
     )
     names = F.array(*[F.lit(c) for c in cols])
     a = F.element_at(names, F.col("i") + 1)
@@ -162,7 +216,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
             F.struct(b.alias("a"), a.alias("b"), F.col("r")),
         )
     )
-    return sums.withColumn("r", r).select(F.inline(both))
+    return merged.withColumn("r", r).select(F.inline(both))
 
 
 def _yearly(df: DataFrame, value: str) -> DataFrame:

@@ -182,3 +182,15 @@ def test_profile_values_in_unit_interval(spark):
     m = fixtures.measures(spark, SF_SMALL)
     for r in profile.compare_years(m, [1996, 1999]).collect():
         assert 0.0 <= r["normalised"] <= 1.0
+
+
+@pytest.mark.parametrize("max_distinct", [0, 10**9])
+def test_describe_both_quantile_paths_match_pandas(spark, max_distinct):
+    import pandas as pd
+
+    df, data = _skewed(spark)
+    d = rows(stats.describe(df, ["v"], max_distinct=max_distinct))[0]
+    ref = pd.Series([v for _, v in data]).describe()
+    for ours, theirs in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                         ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
+        assert d[ours] == pytest.approx(ref[theirs], abs=1e-9), ours
