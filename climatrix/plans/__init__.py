@@ -1,0 +1 @@
+"""Registered queries (catalog) and their DuckDB twins (oracle)."""

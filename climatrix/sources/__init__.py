@@ -1,0 +1 @@
+"""Readers, request-style selection, sinks and the fixture adapter."""
