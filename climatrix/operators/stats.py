@@ -77,12 +77,13 @@ def describe(
             q = rank_select_quantiles(pairs, probs, ["column"], names).drop("n").join(
                 pairs.groupBy("column").agg(ss), "column"
             )
-        m = m.join(q.select("column", "_ss"), "column", "left").withColumn(
+        m = m.join(F.broadcast(q.select("column", "_ss")), "column", "left").withColumn(
             "std", F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - F.lit(1))))
         )
         q = q.drop("_ss")
     present = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return present.join(m, "column", "left").join(q.drop("n"), "column", "left").select(
+    # Every table here has one row per requested column: broadcasts are bounded.
+    return present.join(F.broadcast(m), "column", "left").join(F.broadcast(q.drop("n")), "column", "left").select(
         "column",
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
         "mean",
