@@ -23,15 +23,20 @@ from climatrix.operators.quantile import MAX_DISTINCT_FOR_MAP, quantiles_from_pa
 from climatrix.schema import GRID_MAP, GRID_SCATTER, GRID_SPATIAL
 from climatrix.session import materialize
 
+MAX_BINS = 100_000  # bounds the one-row zero-fill of the histogram
+
 
 def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame:
     """Equal-width counts over [min, max]; the last bin is closed.
 
     Output ``(bin, lo, hi, n)`` for every bin (empty bins have n = 0).
     Two passes over the column (extent, then counts); the zero-fill works on
-    the counts, at most ``bins`` rows gathered into one row.
+    the counts, at most ``bins`` rows gathered into one row. The dashboard
+    offers 10 to 500 bins; any count from 1 up to ``MAX_BINS`` is accepted.
     """
     bins = int(bins)
+    if not 1 <= bins <= MAX_BINS:
+        raise ValueError(f"bins must be between 1 and {MAX_BINS}, got {bins}")
     v = df.select(nan_to_null(F.col(column).cast("double")).alias("_v")).dropna()
     ext = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter(F.col("_lo").isNotNull())
     lo, hi = F.col("_lo"), F.col("_hi")

@@ -46,9 +46,14 @@ def kpi_summary(df: DataFrame) -> DataFrame:
     return out.filter(F.col("rows") > 0)
 
 
-def kpi_distinct(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+def kpi_distinct(
+    df: DataFrame, stations: DataFrame | None = None, approx: bool = False
+) -> DataFrame:
     """A3: distinct years, stations and continents.
 
+    ``approx=True`` uses ``approx_count_distinct`` (HyperLogLog++, fixed
+    memory per group) instead of exact distinct counts.
+
     Without a continent column, continents are counted over the distinct
     stations present joined to the station table, so the join sees one row
     per station instead of one per observation.
@@ -56,16 +61,17 @@ def kpi_distinct(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     st = station_key(df, stations) if (_has(df, "station") or _has(df, "station_key")) else None
     keys = ["year"] + ([st] if st else []) + (["continent"] if _has(df, "continent") else [])
     pairs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one scan, combined map-side
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     if _has(df, "continent"):
-        cont = F.count_distinct("continent")
+        cont = distinct("continent")
     elif stations is not None and st:
         pairs = pairs.join(stations.select(st, "continent"), st, "left")
-        cont = F.count_distinct("continent")
+        cont = distinct("continent")
     else:
         cont = F.lit(KPI_ABSENT_DEFAULTS["continents"])
     base = pairs.agg(
-        F.count_distinct("year").alias("years"),
-        (F.count_distinct(st) if st else F.lit(0)).alias("stations"),
+        distinct("year").alias("years"),
+        (distinct(st) if st else F.lit(0)).alias("stations"),
         cont.alias("_cont"),
         F.sum("_n").alias("_rows"),
     )

@@ -194,3 +194,17 @@ def test_describe_both_quantile_paths_match_pandas(spark, max_distinct):
     for ours, theirs in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
                          ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
         assert d[ours] == pytest.approx(ref[theirs], abs=1e-9), ours
+
+
+def test_options_dataset_approx_and_bins(spark):
+    from climatrix.sources.select import select_observations
+
+    obs = spark.createDataFrame(
+        [(dt.datetime(2020, 1, 1), "TMAX", "S1", None, 1.0, "daily"), (dt.datetime(2020, 1, 1), "TMAX", "S1", None, 2.0, "monthly")],
+        "date timestamp_ntz, datatype string, station string, attributes string, value double, dataset string",
+    )
+    assert select_observations(obs, "2020-01-01", "2020-01-01", dataset="daily").count() == 1
+    df = spark.createDataFrame([(2000, "S1"), (2001, "S2"), (2001, "S2")], "year int, station string")
+    assert rows(kpi.kpi_distinct(df, approx=True)) == [{"years": 2, "stations": 2, "continents": 1}]
+    with pytest.raises(ValueError):
+        bins.histogram(df.selectExpr("cast(year as double) as tavg"), "tavg", 0)
