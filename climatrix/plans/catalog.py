@@ -156,7 +156,7 @@ def q_sink_json(spark, sf):
 def q_sink_parquet(spark, sf):
     path = scratch_path(spark, "parquet")
     rows = _m(spark, sf).select("obs_id", "date", "year", "station", "tavg", "prcp")
-    sinks.sink_parquet(rows, path, partition_by=("year",))
+    sinks.sink_parquet(rows, path, partition_by=("year",), cluster_by=("station", "date"))
     return sinks.read_parquet(spark, path).select("obs_id", "date", "year", "station", "tavg", "prcp")
 
 

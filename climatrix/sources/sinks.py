@@ -31,15 +31,24 @@ def sink_parquet(
     partition_by: tuple[str, ...] | list[str] = ("year",),
     mode: str = "overwrite",
     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
+    cluster_by: tuple[str, ...] | list[str] | None = None,
 ) -> str:
     """Parquet, partitioned (by year by default) for partition pruning.
 
-    No repartition by the partition column: a hot year would land in one
-    task. Each task sorts its rows by the partition columns (Spark does this)
-    and rolls files at ``max_records_per_file``.
+    Without ``cluster_by`` there is no shuffle: each task sorts its rows by
+    the partition columns (Spark does this) and rolls files at
+    ``max_records_per_file``; every task may then write one file per year.
+    With ``cluster_by`` the rows are first range-partitioned on
+    (partition columns, cluster columns): a hot year is split across many
+    tasks by the cluster key, each task writes about one file, and the files
+    are sorted, so Parquet min/max statistics prune on the cluster key too.
+    Never ``repartition('year')`` alone: one task would get a whole year.
     """
-    w = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
     cols = [c for c in partition_by if c in df.columns]
+    if cluster_by:
+        keys = cols + [c for c in cluster_by if c in df.columns and c not in cols]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    w = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
     if cols:
         w = w.partitionBy(*cols)
     w.parquet(path)
