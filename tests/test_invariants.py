@@ -101,3 +101,34 @@ def test_streaming_landing_is_exactly_once_and_incremental(spark):
     scaled = landed.filter("datatype = 'TMAX'").agg(F.sum("value")).first()[0]
     raw = obs.filter("datatype = 'TMAX'").agg(F.sum("value")).first()[0]
     assert abs(scaled * 10 - raw) < 1e-6
+
+
+def test_feed_pages_multiline_and_missing_results(spark):
+    import json
+    import os
+
+    from climatrix.session import scratch_path
+    from climatrix.sources.feed import unnest_results
+
+    from urllib.parse import urlparse
+
+    folder = scratch_path(spark, "api-pages")
+    local = urlparse(folder).path  # the shared folder is a local file: URI in tests
+    os.makedirs(local)
+    page = {
+        "metadata": {"resultset": {"count": 2}},
+        "results": [
+            {"date": "2020-01-01T00:00:00", "datatype": "TMAX", "station": "GHCND:X", "attributes": ",,S,", "value": 125},
+            {"date": "2020-01-02T00:00:00", "datatype": "PRCP", "station": "GHCND:X", "attributes": ",,S,", "value": 3},
+        ],
+    }
+    with open(f"{local}/page1.json", "w") as fh:
+        json.dump(page, fh, indent=2)  # one pretty-printed document per file
+    with open(f"{local}/page2.json", "w") as fh:
+        json.dump({"metadata": {}}, fh, indent=2)  # no results -> no rows
+    got = unnest_results(spark, folder, multi_line=True)
+    assert [f.dataType.simpleString() for f in got.schema.fields] == [
+        "timestamp_ntz", "string", "string", "string", "double"
+    ]
+    rows = sorted(got.collect(), key=lambda r: r["date"])
+    assert len(rows) == 2 and rows[0]["value"] == 125.0 and rows[1]["datatype"] == "PRCP"
