@@ -7,7 +7,7 @@ A rainy day is a day with prcp > 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climatrix.functions.safe import sum0
@@ -112,13 +112,12 @@ def report_stability(df: DataFrame) -> DataFrame:
 def flag_extremes(table: DataFrame, col: str) -> DataFrame:
     """Mark the rows holding the max and the min of ``col``.
 
-    Meant for the small aggregated report tables: the window has no
-    partition key, so the table goes to one task.
+    The extremes are a one-row aggregate, broadcast back to the rows, so the
+    table is never gathered into one task whatever its size.
     """
-    w = Window.partitionBy()
-    return table.withColumns(
-        {
-            f"{col}_is_max": F.col(col) == F.max(col).over(w),
-            f"{col}_is_min": F.col(col) == F.min(col).over(w),
-        }
+    ext = table.agg(F.max(col).alias("_hi"), F.min(col).alias("_lo"))
+    return table.crossJoin(F.broadcast(ext)).select(
+        *table.columns,
+        (F.col(col) == F.col("_hi")).alias(f"{col}_is_max"),
+        (F.col(col) == F.col("_lo")).alias(f"{col}_is_min"),
     )
