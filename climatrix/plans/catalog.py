@@ -469,6 +469,18 @@ def q_describe(spark, sf):
     return stats.describe(_m(spark, sf), ["tavg", "prcp", "tmax"])
 
 
+@register("describe_rank_select")
+def q_describe_rank_select(spark, sf):
+    """A18 through the distributed rank selection (as for columns with more
+    distinct values per group than the weighted-percentile map allows)."""
+    return stats.describe(_m(spark, sf), ["tavg", "prcp", "tmax"], max_distinct=0)
+
+
+@register("box_stats_rank_select")
+def q_box_stats_rank_select(spark, sf):
+    return bins.box_stats(_ev(spark, sf), "value", ["event_type"], max_distinct=0)
+
+
 CORR_COLUMNS = ["tmax", "tmin", "tavg", "prcp", "humidity", "wind_speed", "solar_radiation", "year", "month"]
 
 

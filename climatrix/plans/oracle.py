@@ -509,3 +509,5 @@ SQL: dict[str, str] = {
     "SELECT year, round(temp_mean, 6) AS temp_mean, temp_mean = max(temp_mean) OVER () AS temp_mean_is_max, "
     "temp_mean = min(temp_mean) OVER () AS temp_mean_is_min FROM a",
 }
+SQL["describe_rank_select"] = SQL["describe"]
+SQL["box_stats_rank_select"] = SQL["box_stats"]
