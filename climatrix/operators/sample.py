@@ -18,11 +18,23 @@ PREFIX_HEX = 8  # hash prefix used for the cut: 16**8 buckets
 PREFIX_SPACE = 16**PREFIX_HEX
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """M1: Bernoulli sample of about ``fraction`` of the rows."""
+def sample_fraction(
+    df: DataFrame, fraction: float, seed: int = 42, key: str | None = None
+) -> DataFrame:
+    """M1: Bernoulli sample of about ``fraction`` of the rows.
+
+    With ``key`` (a unique column) the draw is hash-based: a row is kept
+    when the first 32 bits of MD5(key, seed) fall below ``fraction``. The
+    sample is then the same whatever the partitioning or cluster layout, and
+    reproducible in SQL. Without a key Spark's partition-seeded sampler is
+    used.
+    """
     if fraction >= 1.0:
         return df
-    return df.sample(withReplacement=False, fraction=float(fraction), seed=int(seed))
+    if key is None:
+        return df.sample(withReplacement=False, fraction=float(fraction), seed=int(seed))
+    bound = format(max(0, int(round(float(fraction) * PREFIX_SPACE))), f"0{PREFIX_HEX}x")
+    return df.filter(F.substring(sample_hash(key, seed), 1, PREFIX_HEX) < F.lit(bound))
 
 
 def sample_hash(key: str, seed: int) -> Column:

@@ -300,7 +300,7 @@ def q_keep_latest_years(spark, sf):
 @register("sample_fraction")
 def q_sample_fraction(spark, sf):
     orders = fixtures.table(spark, sf, "orders")
-    return sample.sample_fraction(orders, 0.1, seed=42).select("o_orderkey", "o_totalprice")
+    return sample.sample_fraction(orders, 0.1, seed=42, key="o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 @register("sample_n")
