@@ -132,3 +132,34 @@ def test_feed_pages_multiline_and_missing_results(spark):
     ]
     rows = sorted(got.collect(), key=lambda r: r["date"])
     assert len(rows) == 2 and rows[0]["value"] == 125.0 and rows[1]["datatype"] == "PRCP"
+
+
+def _same(a, b, tol=1e-9):
+    def norm(df):
+        out = []
+        for r in df.collect():
+            out.append(tuple(round(v, 6) if isinstance(v, float) else v for v in r))
+        return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+    ra, rb = norm(a), norm(b)
+    assert len(ra) == len(rb)
+    for x, y in zip(ra, rb):
+        for u, v in zip(x, y):
+            assert (u == v) or (isinstance(u, float) and abs(u - v) <= 1e-6), (x, y)
+
+
+def test_eager_aggregation_equals_row_level_join(spark):
+    from climatrix.operators import kpi, rollup
+
+    m = fixtures.measures(spark, SF_SMALL)
+    st = fixtures.stations(spark, SF_SMALL)
+    sd = fixtures.station_day(spark, SF_SMALL)
+    _same(rollup.continent_year(m, st), rollup.continent_year(sd))
+    _same(rollup.stacked_totals(m, stations=st), rollup.stacked_totals(sd))
+    _same(feeds.frames(m, stations=st), feeds.frames(sd))
+    _same(bins.violin_density(m, stations=st), bins.violin_density(sd))
+    _same(select.distinct_sorted(m, "continent", st), select.distinct_sorted(sd, "continent"))
+    _same(kpi.kpi_distinct(m, st), kpi.kpi_distinct(sd))
+    _same(kpi.kpi_dashboard(m, st), kpi.kpi_dashboard(sd))
+    _same(select.filter_continent(m, "ASIA", st).select("obs_id", "continent"),
+          select.filter_continent(sd, "ASIA").select("obs_id", "continent"))
