@@ -163,3 +163,18 @@ def test_eager_aggregation_equals_row_level_join(spark):
     _same(kpi.kpi_dashboard(m, st), kpi.kpi_dashboard(sd))
     _same(select.filter_continent(m, "ASIA", st).select("obs_id", "continent"),
           select.filter_continent(sd, "ASIA").select("obs_id", "continent"))
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from climatrix.plans.catalog import REGISTRY
+
+    names = ["calendar_parts", "resample_mean_w", "date_span", "grid_series", "unnest_results", "parse_dates"]
+    before = {n: sorted(map(tuple, REGISTRY[n](spark, SF_SMALL).collect())) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        after = {n: sorted(map(tuple, REGISTRY[n](spark, SF_SMALL).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    for n in names:
+        assert before[n] == after[n], n
