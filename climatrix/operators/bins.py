@@ -1,7 +1,7 @@
 """Histograms, grids and per-group distributions.
 
-The extent (min/max) is one global aggregate - a one-row table - that is
-cross-joined (broadcast, bounded at one row) to the rows to bin them. The
+The extent (min/max) is one global aggregate used as a scalar subquery: it
+runs once and its single row is inlined into the binning expressions. The
 binned aggregation is partial + final; its output is bounded by the number
 of cells, never by the data. Only occupied cells are returned, except the
 histogram, which lists every bin.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,25 +30,22 @@ def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame
     """Equal-width counts over [min, max]; the last bin is closed.
 
     Output ``(bin, lo, hi, n)`` for every bin (empty bins have n = 0).
-    Two passes over the column (extent, then counts); the zero-fill works on
-    the counts, at most ``bins`` rows gathered into one row. The dashboard
-    offers 10 to 500 bins; any count from 1 up to ``MAX_BINS`` is accepted.
+    Two passes over the column: the extent (a scalar subquery, run once),
+    then the counts. The zero-fill works on the counts, at most ``bins``
+    rows gathered into one row. The dashboard offers 10 to 500 bins; any
+    count from 1 up to ``MAX_BINS`` is accepted.
     """
     bins = int(bins)
     if not 1 <= bins <= MAX_BINS:
         raise ValueError(f"bins must be between 1 and {MAX_BINS}, got {bins}")
     v = df.select(nan_to_null(F.col(column).cast("double")).alias("_v")).dropna()
-    ext = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter(F.col("_lo").isNotNull())
-    lo, hi = F.col("_lo"), F.col("_hi")
-    counts = (
-        v.crossJoin(F.broadcast(ext))
-        .groupBy(bin_index(F.col("_v"), lo, hi, bins).alias("bin"), "_lo", "_hi")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    filled = counts.groupBy("_lo", "_hi").agg(
+    ext = extent(v, ["_v"])
+    lo, hi = ext["_v_lo"], ext["_v_hi"]
+    counts = v.groupBy(bin_index(F.col("_v"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    filled = counts.agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "_n"))).alias("_m")
-    )
-    return filled.select("_lo", "_hi", "_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
+    ).filter(lo.isNotNull())
+    return filled.select("_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
         F.col("bin").cast("int").alias("bin"),
         bin_lower(F.col("bin"), lo, hi, bins).alias("lo"),
         bin_upper(F.col("bin"), lo, hi, bins).alias("hi"),
@@ -56,18 +53,23 @@ def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame
     )
 
 
-def _extent(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(
-        F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1")
-    ).filter(F.col("_x0").isNotNull())
+def extent(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """Min and max of each column as one scalar subquery (a struct).
+
+    Spark runs the subquery once and inlines its single row into the
+    expressions that use it: no join with the rows is needed.
+    """
+    aggs = [F.min(c).alias(f"{c}_lo") for c in cols] + [F.max(c).alias(f"{c}_hi") for c in cols]
+    one = df.agg(F.struct(*aggs).alias("_e")).select("_e").scalar()
+    return {f"{c}_{end}": one.getField(f"{c}_{end}") for c in cols for end in ("lo", "hi")}
 
 
 def _cells(df: DataFrame, x: str, y: str, width: int, height: int) -> DataFrame:
-    ext = _extent(df, x, y)
-    return df.crossJoin(F.broadcast(ext)).withColumns(
+    e = extent(df, [x, y])
+    return df.withColumns(
         {
-            "x_bin": bin_index(F.col(x), F.col("_x0"), F.col("_x1"), width),
-            "y_bin": bin_index(F.col(y), F.col("_y0"), F.col("_y1"), height),
+            "x_bin": bin_index(F.col(x), e[f"{x}_lo"], e[f"{x}_hi"], width),
+            "y_bin": bin_index(F.col(y), e[f"{y}_lo"], e[f"{y}_hi"], height),
         }
     )
 
@@ -228,18 +230,16 @@ def violin_density(
     bins = int(bins)
     key = by if (by in df.columns or stations is None) else station_key(df, stations)
     pts = df.select(F.col(key), nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
-    ext = pts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter(F.col("_lo").isNotNull())
-    lo, hi = F.col("_lo"), F.col("_hi")
-    cnt = (
-        pts.crossJoin(F.broadcast(ext))
-        .groupBy(key, bin_index(F.col("_v"), lo, hi, bins).alias("bin"), "_lo", "_hi")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    ext = extent(pts, ["_v"])
+    lo, hi = ext["_v_lo"], ext["_v_hi"]
+    cnt = pts.groupBy(key, bin_index(F.col("_v"), lo, hi, bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
     if key != by:
         cnt = (
             cnt.join(stations.select(key, by), key)
             .filter(F.col(by).isNotNull())
-            .groupBy(by, "bin", "_lo", "_hi")
+            .groupBy(by, "bin")
             .agg(F.sum("_n").alias("_n"))
         )
     # Group totals: a window per group over the counts (at most ``bins`` rows

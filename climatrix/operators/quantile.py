@@ -96,6 +96,10 @@ def _map_quantiles(pairs: DataFrame, probs: Sequence[float], by: list[str], name
 def rank_select_quantiles(
     pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
 ) -> DataFrame:
+    by = list(by)
+    ungrouped = not by
+    if ungrouped:  # one group: a constant key keeps every join an equi-join
+        pairs, by = pairs.withColumn("_all", F.lit(0)), ["_all"]
     counts = pairs.groupBy(*by).agg(F.sum("_w").alias("n"))
     pos = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(
@@ -109,7 +113,7 @@ def rank_select_quantiles(
     blocks = ranged.groupBy(*by, "_pid").agg(F.sum("_w").alias("_bw"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = blocks.withColumn("_off", F.coalesce(F.sum("_bw").over(before), F.lit(0)))
-    offs = offs.join(targets, by) if by else offs.crossJoin(F.broadcast(targets))
+    offs = offs.join(targets, by)
 
     upto = Window.partitionBy(*by, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     within = ranged.withColumn("_cum", F.sum("_w").over(upto))
@@ -124,14 +128,15 @@ def rank_select_quantiles(
     found = hits.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m")
     )
-    joined = counts.join(found, by, "left") if by else counts.crossJoin(F.broadcast(found))
+    joined = counts.join(found, by, "left")
     outs = []
     for h, name in zip(pos, names):
         lo, hi = F.floor(h), F.ceil(h)
         outs.append(
             _lerp(F.element_at("_m", lo), F.element_at("_m", hi), h - lo).alias(name)
         )
-    return joined.select(*by, "n", *outs)
+    keep = [] if ungrouped else by
+    return joined.select(*keep, "n", *outs)
 
 
 def exact_quantiles(

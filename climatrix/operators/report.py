@@ -112,12 +112,12 @@ def report_stability(df: DataFrame) -> DataFrame:
 def flag_extremes(table: DataFrame, col: str) -> DataFrame:
     """Mark the rows holding the max and the min of ``col``.
 
-    The extremes are a one-row aggregate, broadcast back to the rows, so the
-    table is never gathered into one task whatever its size.
+    The extremes are one aggregate used as a scalar subquery (run once), so
+    the table is never gathered into one task whatever its size.
     """
-    ext = table.agg(F.max(col).alias("_hi"), F.min(col).alias("_lo"))
-    return table.crossJoin(F.broadcast(ext)).select(
+    ext = table.agg(F.struct(F.max(col).alias("hi"), F.min(col).alias("lo")).alias("e")).select("e").scalar()
+    return table.select(
         *table.columns,
-        (F.col(col) == F.col("_hi")).alias(f"{col}_is_max"),
-        (F.col(col) == F.col("_lo")).alias(f"{col}_is_min"),
+        (F.col(col) == ext.getField("hi")).alias(f"{col}_is_max"),
+        (F.col(col) == ext.getField("lo")).alias(f"{col}_is_min"),
     )
