@@ -91,6 +91,23 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(table).select("date", "datatype", "station", "attributes", "value", "year")
 
 
+@register("curate_station_day")
+def q_curate_station_day(spark, sf):
+    """Landing stream -> long table -> pivot -> year-partitioned, clustered
+    station-day table, read back."""
+    from climatrix.plans.curate import curate_station_day
+    from climatrix.streaming import land_observations
+
+    pages = scratch_path(spark, "landing")
+    feed.write_feed_pages(fixtures.observations_from_events(spark, sf), pages, "event_id")
+    landed = scratch_path(spark, "observations")
+    land_observations(spark, pages, landed, multi_line=False).awaitTermination()
+    out = curate_station_day(spark, landed, scratch_path(spark, "station-day"), ["TMAX", "TMIN", "PRCP", "AWND", "SNOW"])
+    return out.select(
+        "date", "year", "month", "day", "day_of_year", "week", "station", "tmax", "tmin", "prcp", "wind_avg", "snow", "tavg"
+    )
+
+
 @register("prepare_feed")
 def q_prepare_feed(spark, sf):
     """Landed pages -> unnest -> parse, calendar, scale, pivot, rename, tavg."""

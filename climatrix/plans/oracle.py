@@ -515,3 +515,4 @@ SQL["sample_fraction"] = (
     "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders "
     f"WHERE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) < '{round(0.1 * 16**8):08x}'"
 )
+SQL["curate_station_day"] = SQL["prepare_feed"]
