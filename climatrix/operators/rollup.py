@@ -86,14 +86,18 @@ def continent_year(df: DataFrame, stations: DataFrame | None = None) -> DataFram
     )
 
 
-def month_year_matrix(df: DataFrame, years: list[int] | None = None) -> DataFrame:
+def month_year_matrix(df: DataFrame, years: list[int] | str | None = None) -> DataFrame:
     """Mean tavg for month x year.
 
     Long form ``(month, year, tavg_mean)`` by default (empty cells absent).
-    With an explicit ``years`` list the wide form is returned: one row per
-    month and one column per year, from a single conditional aggregation.
+    With a ``years`` list the wide form is returned: one row per month and
+    one column per year, from a single conditional aggregation. ``"auto"``
+    takes the years present (one small job; the list is bounded by the span
+    of years, not by the rows).
     """
     base = _keyed(df, "month", "year")
+    if years == "auto":
+        years = [r[0] for r in base.select("year").distinct().orderBy("year").collect()]
     if years is None:
         return (
             base.groupBy("month", "year")

@@ -208,3 +208,13 @@ def test_options_dataset_approx_and_bins(spark):
     assert rows(kpi.kpi_distinct(df, approx=True)) == [{"years": 2, "stations": 2, "continents": 1}]
     with pytest.raises(ValueError):
         bins.histogram(df.selectExpr("cast(year as double) as tavg"), "tavg", 0)
+
+
+def test_month_year_matrix_auto_years(spark):
+    df = spark.createDataFrame(
+        [(1, 2000, 1.0), (1, 2000, 3.0), (2, 2001, 5.0)], "month int, year int, tavg double"
+    )
+    wide = rollup.month_year_matrix(df, years="auto")
+    assert wide.columns == ["month", "2000", "2001"]
+    got = {r["month"]: (r["2000"], r["2001"]) for r in wide.collect()}
+    assert got == {1: (2.0, None), 2: (None, 5.0)}
