@@ -114,28 +114,38 @@ def grid_mean(
     value: str = "tavg",
     width: int = GRID_SPATIAL[0],
     height: int = GRID_SPATIAL[1],
+    extent_needs_value: bool = True,
 ) -> DataFrame:
-    """Lon x lat grid of mean ``value``; rows with a null lat, lon or
-    value are dropped (the spatial heat map's form).
+    """Lon x lat grid of mean ``value`` (occupied cells only).
+
+    ``extent_needs_value=True`` is the spatial heat map's form: rows with a
+    null lat, lon or value are dropped before anything else. ``False`` is
+    the map view's form: the extent comes from every point with
+    coordinates, and the mean per cell skips null values.
 
     Given a separate station table, observations are reduced to one row per
     station (sum, count) before the join, and the extent and binning run on
     stations, not rows: the fact table is scanned once and never joined.
     """
     if stations is None or ("lat" in df.columns and "lon" in df.columns):
-        pts = df.select("lon", "lat", nan_to_null(F.col(value)).alias("_v")).dropna()
+        pts = df.select("lon", "lat", nan_to_null(F.col(value)).alias("_v")).dropna(subset=["lon", "lat"])
+        if extent_needs_value:
+            pts = pts.dropna(subset=["_v"])
         return (
             _cells(pts, "lon", "lat", width, height)
             .groupBy("x_bin", "y_bin")
             .agg(F.avg("_v").alias(f"{value}_mean"))
+            .filter(F.col(f"{value}_mean").isNotNull())
         )
     k = station_key(df, stations)
     per = (
         df.select(k, nan_to_null(F.col(value)).alias("_v"))
-        .dropna()
+        .dropna(subset=[k])
         .groupBy(k)
-        .agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"))
     )
+    if extent_needs_value:
+        per = per.filter(F.col("_c") > 0)
     pts = per.join(stations.select(k, "lon", "lat"), k).dropna(subset=["lon", "lat"])
     # One row per station feeds both the extent and the binning: write it
     # once so the fact table is scanned once.
@@ -144,12 +154,14 @@ def grid_mean(
         _cells(pts, "lon", "lat", width, height)
         .groupBy("x_bin", "y_bin")
         .agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias(f"{value}_mean"))
+        .filter(F.col(f"{value}_mean").isNotNull())
     )
 
 
 def grid_map(df: DataFrame, stations: DataFrame | None = None, value: str = "tavg") -> DataFrame:
-    """A22, first form: the 800 x 600 map view (no sampling: exact binning)."""
-    return grid_mean(df, stations, value, GRID_MAP[0], GRID_MAP[1])
+    """A22, map-view form: 800 x 600, extent over every located point
+    (no sampling: exact binning over all rows)."""
+    return grid_mean(df, stations, value, GRID_MAP[0], GRID_MAP[1], extent_needs_value=False)
 
 
 def grid_series(

@@ -385,8 +385,10 @@ SQL: dict[str, str] = {
     + ", p AS (SELECT lon, lat, tavg FROM station_day WHERE lon IS NOT NULL AND lat IS NOT NULL AND tavg IS NOT NULL)\n"
     + _grid("p", "lon", "lat", 800, 400, "round(avg(tavg), 6) AS tavg_mean"),
     "grid_map": _sd()
-    + ", p AS (SELECT lon, lat, tavg FROM station_day WHERE lon IS NOT NULL AND lat IS NOT NULL AND tavg IS NOT NULL)\n"
-    + _grid("p", "lon", "lat", 800, 600, "round(avg(tavg), 6) AS tavg_mean"),
+    + ", p AS (SELECT lon, lat, tavg FROM station_day WHERE lon IS NOT NULL AND lat IS NOT NULL)\n"
+    + "SELECT * FROM ("
+    + _grid("p", "lon", "lat", 800, 600, "round(avg(tavg), 6) AS tavg_mean")
+    + ") g WHERE tavg_mean IS NOT NULL",
     "grid_xy": _m()
     + ", p AS (SELECT tavg, prcp, year FROM measures WHERE tavg IS NOT NULL AND prcp IS NOT NULL)\n"
     "SELECT * FROM ("

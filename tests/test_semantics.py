@@ -218,3 +218,13 @@ def test_month_year_matrix_auto_years(spark):
     assert wide.columns == ["month", "2000", "2001"]
     got = {r["month"]: (r["2000"], r["2001"]) for r in wide.collect()}
     assert got == {1: (2.0, None), 2: (None, 5.0)}
+
+
+def test_grid_forms_differ_only_in_extent(spark):
+    df = spark.createDataFrame(
+        [(0.0, 0.0, 1.0), (10.0, 10.0, 3.0), (20.0, 20.0, None)], "lon double, lat double, tavg double"
+    )
+    spatial = {(r["x_bin"], r["y_bin"]): r["tavg_mean"] for r in bins.grid_mean(df, width=2, height=2).collect()}
+    mapview = {(r["x_bin"], r["y_bin"]): r["tavg_mean"] for r in bins.grid_map(df).collect()}
+    assert spatial == {(0, 0): 1.0, (1, 1): 3.0}  # extent 0..10
+    assert mapview == {(0, 0): 1.0, (400, 300): 3.0}  # extent 0..20 on 800 x 600
