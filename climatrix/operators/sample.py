@@ -1,10 +1,9 @@
 """Sampling (M1-M3).
 
 ``sample_n`` is exact and repeatable: rows are ranked by an MD5 of
-(key, seed) and the first ``n`` are kept. To keep the final ordered merge
-small on a large table, rows are first cut by a prefix of that hash: the
-kept rows are exactly a prefix of the global hash order, so the cut never
-changes the answer, it only shrinks the set that reaches the final top-n.
+(key, seed) and the first ``n`` are kept. Every cut below is on a prefix
+of that hash, so it keeps exactly a prefix of the global hash order and
+never changes the answer; it only bounds what reaches a single task.
 """
 
 from __future__ import annotations
@@ -42,18 +41,36 @@ def sample_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{int(seed)}")))
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+# Up to this many rows the final ordered merge (one task) is allowed to see;
+# larger samples take the bucketed path, whose single-task step is tiny.
+TOPK_LIMIT = 100_000
+
+
+def sample_n(
+    df: DataFrame, n: int, key: str, seed: int = 42, topk_limit: int = TOPK_LIMIT
+) -> DataFrame:
     """M2: exactly min(n, N) rows without replacement, repeatable by seed.
 
-    ``key`` should be unique (ties are broken by it). Two scalar actions run
-    (row count, candidate count); the result stays a lazy plan.
+    The rows kept are the first n in (MD5(key, seed), key) order, the same
+    rows as ``ORDER BY md5(..), key LIMIT n`` in SQL. ``key`` should be
+    unique (ties are broken by it).
+
+    * n <= ``topk_limit``: a prefix cut keeps about n + 6 sqrt(n)
+      candidates, and one ordered top-n runs over them.
+    * larger n: the hash is uniform, so rows are counted per 4-hex-digit
+      prefix (at most 65,536 counts reach the driver), which locates the
+      bucket holding the n-th row. That bucket (about N / 65,536 rows) is
+      split further if large. Then its (hash, key) pairs give the exact
+      n-th row, and the sample is one distributed filter below it. No task
+      ever holds the sample.
     """
     n = int(n)
     total = df.count()
     if n >= total:
         return df
-    h = sample_hash(key, seed)
-    ranked = df.withColumn("_h", h)
+    ranked = df.withColumn("_h", sample_hash(key, seed))
+    if n > topk_limit:
+        return _bucketed_first_n(ranked, n, key).drop("_h")
     # Expected candidates: n plus a six-sigma margin; widened until enough.
     frac = min(1.0, (n + 6.0 * math.sqrt(n) + 64.0) / total)
     while True:
@@ -69,6 +86,41 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return cand.orderBy("_h", key).limit(n).drop("_h")
 
 
+# A boundary bucket with at most this many rows has its (hash, key) pairs
+# brought to the driver to pick the exact threshold; larger ones are split
+# again on four more hex digits first.
+BUCKET_COLLECT_LIMIT = 100_000
+
+
+def _boundary(rows: DataFrame, width: int, need: int) -> tuple[str, int, int]:
+    """Smallest hash prefix (``width`` hex digits) whose cumulative count
+    reaches ``need``: (prefix, rows still needed inside it, rows in it)."""
+    counts = sorted(
+        (r[0], r[1]) for r in rows.groupBy(F.substring("_h", 1, width)).count().collect()
+    )  # at most 16**4 distinct prefixes at each level
+    cum = 0
+    for prefix, c in counts:
+        if cum + c >= need:
+            return prefix, need - cum, c
+        cum += c
+    raise ValueError("fewer rows than requested")
+
+
+def _bucketed_first_n(ranked: DataFrame, n: int, key: str) -> DataFrame:
+    width, need = 0, n
+    bucket, size = ranked, None
+    while size is None or (size > BUCKET_COLLECT_LIMIT and width < 32):
+        width += 4
+        prefix, need, size = _boundary(bucket, width, need)
+        bucket = bucket.filter(F.substring("_h", 1, width) == F.lit(prefix))
+    last = sorted((r[0], r[1]) for r in bucket.select("_h", key).collect())  # <= BUCKET_COLLECT_LIMIT
+    thr_h, thr_k = last[need - 1]
+    # Exactly the first n rows in (hash, key) order: one filter, no sort.
+    return ranked.filter(
+        (F.col("_h") < F.lit(thr_h)) | ((F.col("_h") == F.lit(thr_h)) & (F.col(key) <= F.lit(thr_k)))
+    )
+
+
 def cap_rows(df: DataFrame, cap: int, key: str, seed: int = 42) -> DataFrame:
     """M3: all rows when there are at most ``cap``, else an exact ``cap`` sample."""
     return sample_n(df, cap, key, seed)

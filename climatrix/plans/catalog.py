@@ -331,6 +331,13 @@ def q_cap_rows(spark, sf):
     return sample.cap_rows(_m(spark, sf), 5_000, "obs_id", seed=42).select("obs_id", "tavg", "prcp")
 
 
+@register("cap_rows_massive")
+def q_cap_rows_massive(spark, sf):
+    """M3 with the massive path's cap of 500,000 rows (bucketed exact path
+    once the table is larger than that)."""
+    return sample.cap_rows(_m(spark, sf), 500_000, "obs_id", seed=42).select("obs_id", "tavg", "prcp")
+
+
 # ----------------------------------------------------------- indicators
 @register("row_count")
 def q_row_count(spark, sf):

@@ -518,3 +518,6 @@ SQL["sample_fraction"] = (
     f"WHERE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) < '{round(0.1 * 16**8):08x}'"
 )
 SQL["curate_station_day"] = SQL["prepare_feed"]
+SQL["cap_rows_massive"] = _sample(
+    "measures", "obs_id, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp", "obs_id", 500000, _m()
+)
