@@ -228,3 +228,15 @@ def test_grid_forms_differ_only_in_extent(spark):
     mapview = {(r["x_bin"], r["y_bin"]): r["tavg_mean"] for r in bins.grid_map(df).collect()}
     assert spatial == {(0, 0): 1.0, (1, 1): 3.0}  # extent 0..10
     assert mapview == {(0, 0): 1.0, (400, 300): 3.0}  # extent 0..20 on 800 x 600
+
+
+@pytest.mark.parametrize("max_distinct", [0, 10**9])
+def test_ungrouped_quantiles_both_paths(spark, max_distinct):
+    from climatrix.operators.quantile import exact_quantiles
+
+    df, data = _skewed(spark)
+    vals = np.array([v for _, v in data])
+    got = exact_quantiles(df, "v", [0.05, 0.5, 0.95], max_distinct=max_distinct).collect()
+    assert len(got) == 1 and got[0]["n"] == len(vals) and "_all" not in got[0].asDict()
+    for p, name in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95")):
+        assert got[0][name] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
