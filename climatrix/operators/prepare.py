@@ -105,17 +105,31 @@ def derive_tavg(df: DataFrame) -> DataFrame:
     return df.withColumn("tavg", (F.col("tmax") + F.col("tmin")) / F.lit(2))
 
 
-def attach_station_attributes(df: DataFrame, stations: DataFrame) -> DataFrame:
+def attach_station_attributes(
+    df: DataFrame, stations: DataFrame, salt_buckets: int | None = None
+) -> DataFrame:
     """Give each row its station's continent, country, lat, lon, elevation.
 
-    A left join on the station id. No broadcast hint: the planner broadcasts
+    A left join on the station key. No broadcast hint: the planner broadcasts
     the station table only when its estimated size is under
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge joins
-    (AQE may still switch at run time from measured sizes).
+    (AQE may still switch at run time, and splits a hot station's partition
+    in a sort-merge join).
+
+    ``salt_buckets=n`` salts the join explicitly for a hot station: each row
+    gets a salt from a hash of its own values, the station table is repeated
+    once per salt, and the join key becomes (station, salt). A station's rows
+    spread over n tasks; the result is the same rows.
     """
     k = station_key(df, stations)
     attrs = [c for c in stations.columns if c != k and c not in df.columns]
-    return df.join(stations.select(k, *attrs), k, "left")
+    right = stations.select(k, *attrs)
+    if not salt_buckets or salt_buckets <= 1:
+        return df.join(right, k, "left")
+    n = int(salt_buckets)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    return salted.join(copies, [k, "_salt"], "left").drop("_salt")
 
 
 def warming_adjustment(df: DataFrame) -> DataFrame:

@@ -187,3 +187,14 @@ def test_sample_n_bucketed_path_matches_brute_force(spark):
     for n in (1, 777, len(keys) - 1):
         got = sorted(r[0] for r in sample.sample_n(orders, n, "o_orderkey", seed=7, topk_limit=0).select("o_orderkey").collect())
         assert got == sorted(order[:n]), n
+
+
+def test_salted_station_join_returns_the_same_rows(spark):
+    from climatrix.operators.prepare import attach_station_attributes
+
+    m = fixtures.measures(spark, SF_SMALL)
+    st = fixtures.stations(spark, SF_SMALL)
+    plain = attach_station_attributes(m, st).select("obs_id", "continent", "lat")
+    salted = attach_station_attributes(m, st, salt_buckets=8).select("obs_id", "continent", "lat")
+    assert sorted(plain.collect()) == sorted(salted.collect())
+    assert salted.count() == m.count()
