@@ -240,3 +240,21 @@ def test_ungrouped_quantiles_both_paths(spark, max_distinct):
     assert len(got) == 1 and got[0]["n"] == len(vals) and "_all" not in got[0].asDict()
     for p, name in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95")):
         assert got[0][name] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
+
+
+def test_resample_lenient_text_input_matches_pandas(spark):
+    import pandas as pd
+
+    rows_in = [
+        ("2021-01-03", "1.5"), ("2021-01-20", "x"), ("not a date", "4.0"), ("2021-03-02", "2.5"),
+        ("2021-03-30 12:00:00", "3.5"), (None, "9.0"), ("2021-05-01", None),
+    ]
+    df = spark.createDataFrame(rows_in, "date string, tavg string")
+    got = [(r["period"], r["tavg_mean"]) for r in rollup.resample_mean(df, "M").collect()]
+    pdf = pd.DataFrame(rows_in, columns=["date", "tavg"])
+    pdf["datetime"] = pd.to_datetime(pdf["date"], errors="coerce", format="mixed")
+    pdf["tavg"] = pd.to_numeric(pdf["tavg"], errors="coerce")
+    ref = pdf.dropna(subset=["datetime", "tavg"]).set_index("datetime")["tavg"].resample("ME").mean()
+    assert [p for p, _ in got] == [t.to_pydatetime() for t in ref.index]
+    for (_, a), b in zip(got, ref.values):
+        assert (a is None and math.isnan(b)) or a == pytest.approx(b)
