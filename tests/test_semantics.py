@@ -258,3 +258,29 @@ def test_resample_lenient_text_input_matches_pandas(spark):
     assert [p for p, _ in got] == [t.to_pydatetime() for t in ref.index]
     for (_, a), b in zip(got, ref.values):
         assert (a is None and math.isnan(b)) or a == pytest.approx(b)
+
+
+def test_threshold_shares_keep_nulls_in_denominator_and_defaults(spark):
+    df = spark.createDataFrame([(31.0, 1.0), (None, None), (10.0, 7.0)], "tmax double, prcp double")
+    assert rows(kpi.kpi_heatwave(df))[0]["heatwave_pct"] == pytest.approx(100 / 3)
+    assert rows(kpi.kpi_drought(df))[0]["drought_pct"] == pytest.approx(100 / 3)
+    s = rows(kpi.kpi_summary(df))[0]
+    assert s["humidity_mean"] == 65.0 and s["tavg_mean"] == 0.0 and s["rows"] == 3
+
+
+def test_numeric_columns_excludes_timestamps(spark):
+    df = spark.createDataFrame(
+        [(dt.datetime(2020, 1, 1), "1.5", "abc", 3)], "ts timestamp_ntz, t1 string, t2 string, n int"
+    )
+    got = {r["column"]: (r["kind"], r["n_parsable"]) for r in prepare.numeric_columns(df).collect()}
+    assert got == {"n": ("numeric", 1), "t1": ("text", 1)}
+
+
+def test_profile_shown_divisors(spark):
+    df = spark.createDataFrame(
+        [(2000, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (2001, 10.0, 10.0, 10.0, 10.0, 10.0, 10.0)],
+        "year int, tavg double, tmax double, tmin double, prcp double, humidity double, wind_speed double",
+    )
+    got = {r["measure"]: (r["normalised"], r["shown"]) for r in profile.year_profile(df).collect()}
+    assert got["tavg"] == (1.0, 1.0)
+    assert got["prcp"] == (1.0, 0.01) and got["humidity"] == (1.0, 0.01) and got["wind_speed"] == (1.0, 0.05)
