@@ -24,14 +24,25 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
+TIME_TYPES = (T.TimestampNTZType, T.TimestampType, T.DateType)
+
+
 def finish(df: DataFrame) -> DataFrame:
-    """Round every double column to 6 decimals (one projection)."""
-    exprs = [
-        f"round(`{f.name}`, {DIGITS}) AS `{f.name}`"
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-        else f"`{f.name}`"
-        for f in df.schema.fields
-    ]
+    """Final projection of a registered query, for comparison with its twin.
+
+    Doubles are rounded to 6 decimals (sums of doubles depend on order).
+    Timestamps and dates are rendered as ISO text ('YYYY-MM-DD HH:MM:SS'),
+    which both engines print the same way, so a comparison never depends on
+    how each client converts time units.
+    """
+    exprs = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            exprs.append(f"round(`{f.name}`, {DIGITS}) AS `{f.name}`")
+        elif isinstance(f.dataType, TIME_TYPES):
+            exprs.append(f"CAST(`{f.name}` AS STRING) AS `{f.name}`")
+        else:
+            exprs.append(f"`{f.name}`")
     return df.selectExpr(*exprs)
 
 

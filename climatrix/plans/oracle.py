@@ -521,3 +521,19 @@ SQL["curate_station_day"] = SQL["prepare_feed"]
 SQL["cap_rows_massive"] = _sample(
     "measures", "obs_id, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp", "obs_id", 500000, _m()
 )
+
+# Time columns of the registered outputs are compared as ISO text (see
+# ``catalog.finish``); DuckDB prints timestamps in the same format.
+TIME_TEXT_COLUMNS = {
+    "unnest_results": ["date"], "stream_ingest": ["date"], "curate_station_day": ["date"],
+    "prepare_feed": ["date"], "select_observations": ["date"], "union_batches": ["date"],
+    "sink_parquet": ["date"], "preview": ["date"], "parse_dates": ["date"],
+    "pivot_observations": ["date"], "rename_codes": ["date"], "derive_tavg": ["date"],
+    "drop_incomplete": ["date"], "project_columns": ["date"], "filter_year_range": ["date"],
+    "resample_mean": ["period"], "resample_mean_d": ["period"], "resample_mean_w": ["period"],
+    "resample_mean_q": ["period"], "resample_mean_y": ["period"],
+    "date_span": ["first_date", "last_date"], "scatter_sample": ["date"],
+}
+for _key, _cols in TIME_TEXT_COLUMNS.items():
+    _casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _cols)
+    SQL[_key] = f"SELECT * REPLACE ({_casts}) FROM (\n{SQL[_key]}\n) AS q"
