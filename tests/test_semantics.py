@@ -284,3 +284,22 @@ def test_profile_shown_divisors(spark):
     got = {r["measure"]: (r["normalised"], r["shown"]) for r in profile.year_profile(df).collect()}
     assert got["tavg"] == (1.0, 1.0)
     assert got["prcp"] == (1.0, 0.01) and got["humidity"] == (1.0, 0.01) and got["wind_speed"] == (1.0, 0.05)
+
+
+def test_linear_trend_and_line_match_polyfit(spark):
+    from conftest import SF_SMALL
+
+    from climatrix.sources import fixtures
+
+    m = fixtures.measures(spark, SF_SMALL)
+    yearly = m.groupBy("year").agg(F.avg("tavg").alias("t")).toPandas().sort_values("year")
+    slope, intercept = np.polyfit(yearly["year"], yearly["t"], 1)
+    r = np.corrcoef(yearly["year"], yearly["t"])[0, 1]
+    fit = rows(stats.linear_trend(m))[0]
+    assert fit["slope"] == pytest.approx(slope, rel=1e-9)
+    assert fit["intercept"] == pytest.approx(intercept, rel=1e-9)
+    assert fit["r"] == pytest.approx(r, rel=1e-9) and fit["r2"] == pytest.approx(r * r, rel=1e-9)
+    line = {x["year"]: x["fitted"] for x in stats.trend_line(m).collect()}
+    poly = np.poly1d([slope, intercept])
+    for y in yearly["year"]:
+        assert line[int(y)] == pytest.approx(poly(y), rel=1e-9)
