@@ -303,3 +303,13 @@ def test_linear_trend_and_line_match_polyfit(spark):
     poly = np.poly1d([slope, intercept])
     for y in yearly["year"]:
         assert line[int(y)] == pytest.approx(poly(y), rel=1e-9)
+
+
+def test_histogram_matches_numpy_on_continuous_data(spark):
+    vals = np.random.default_rng(3).normal(size=2000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "tavg double")
+    got = [r["n"] for r in bins.histogram(df, "tavg", 25).orderBy("bin").collect()]
+    want, edges = np.histogram(vals, bins=25, range=(vals.min(), vals.max()))
+    assert got == list(want)
+    lo = [r["lo"] for r in bins.histogram(df, "tavg", 25).orderBy("bin").collect()]
+    assert lo == pytest.approx(list(edges[:-1]))
