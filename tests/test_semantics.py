@@ -313,3 +313,15 @@ def test_histogram_matches_numpy_on_continuous_data(spark):
     assert got == list(want)
     lo = [r["lo"] for r in bins.histogram(df, "tavg", 25).orderBy("bin").collect()]
     assert lo == pytest.approx(list(edges[:-1]))
+
+
+def test_approx_describe_is_close_to_exact(spark):
+    vals = np.random.default_rng(5).normal(size=3000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    exact = rows(stats.describe(df, ["v"]))[0]
+    approx = rows(stats.describe(df, ["v"], method="approx"))[0]
+    assert approx["count"] == exact["count"] == 3000
+    for c in ("mean", "std", "min", "max"):
+        assert approx[c] == pytest.approx(exact[c], rel=1e-9)
+    for c in ("p25", "p50", "p75"):
+        assert abs(approx[c] - exact[c]) < 0.02
