@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if name in TABLE_SCHEMAS:
         reader = reader.schema(TABLE_SCHEMAS[name])
-    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return reader.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
 def station_id(key: str) -> F.Column:
