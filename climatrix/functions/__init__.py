@@ -2,7 +2,7 @@
 
 from climatrix.functions.binning import bin_index, bin_lower, bin_upper
 from climatrix.functions.calendar import calendar_columns, epoch_micros, period_calendar, period_label
-from climatrix.functions.safe import nan_to_null, pair_corr, r6, share_pct, sum0
+from climatrix.functions.safe import nan_to_null, pair_corr, share_pct, sum0
 
 __all__ = [
     "bin_index",
@@ -14,7 +14,6 @@ __all__ = [
     "pair_corr",
     "period_calendar",
     "period_label",
-    "r6",
     "share_pct",
     "sum0",
 ]

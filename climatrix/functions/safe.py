@@ -10,28 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGITS = 6
+DIGITS = 6  # registered outputs round doubles to this many decimals
 
 
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def r6(c: Column | str) -> Column:
-    """Round a double to 6 decimals (double sums depend on order)."""
-    return F.round(col_of(c), DIGITS)
-
-
 def nan_to_null(c: Column | str) -> Column:
     """pandas skips NaN; Spark propagates it. Turn NaN into null on ingest."""
     c = col_of(c)
     return F.when(~F.isnan(c), c)
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num, den)
-
-
 def pair_corr(a: Column | str, b: Column | str) -> Column:
     """Pearson r over pairwise-complete rows; null where a column is constant.
 
