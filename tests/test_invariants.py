@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -198,3 +200,34 @@ def test_salted_station_join_returns_the_same_rows(spark):
     salted = attach_station_attributes(m, st, salt_buckets=8).select("obs_id", "continent", "lat")
     assert sorted(plain.collect()) == sorted(salted.collect())
     assert salted.count() == m.count()
+
+
+def test_hot_station_holding_a_third_of_rows(spark):
+    """One station holds a third of all rows: per-station pre-aggregation and
+    the rollup still give the row-level answers (checked with pandas)."""
+    from climatrix.operators import kpi, rollup
+
+    m = fixtures.measures(spark, SF_SMALL)
+    st = fixtures.stations(spark, SF_SMALL)
+    n = m.count()
+    hot = m.limit(n // 2).withColumns({"station": F.lit("ST0001"), "station_key": F.lit(1).cast("bigint")})
+    skewed = m.unionByName(hot)  # 1.5 n rows, a third of them on ST0001
+    dash = kpi.kpi_dashboard(skewed, st).first()
+    pdf = skewed.select("year", "station", "tavg", "prcp", "tmax").toPandas()
+    assert dash["rows"] == len(pdf)
+    assert dash["tavg_mean"] == pytest.approx(pdf["tavg"].mean())
+    assert dash["prcp_total"] == pytest.approx(pdf["prcp"].sum())
+    assert dash["heatwave_pct"] == pytest.approx((pdf["tmax"] > 30).mean() * 100)
+    assert dash["stations"] == pdf["station"].nunique()
+    yearly = pdf.groupby("year")["tavg"]
+    assert dash["variability"] == pytest.approx(yearly.std().mean())
+    import numpy as np
+
+    ym = yearly.mean().reset_index()
+    assert dash["trend_century"] == pytest.approx(np.polyfit(ym["year"], ym["tavg"], 1)[0] * 100)
+    cy = {(r["year"], r["continent"]): r["tavg_mean"] for r in rollup.continent_year(skewed, st).collect()}
+    joined = skewed.join(st.select("station_key", "continent"), "station_key").select("year", "continent", "tavg").toPandas()
+    want = joined.groupby(["year", "continent"])["tavg"].mean()
+    assert len(cy) == len(want)
+    for (y, c), v in want.items():
+        assert cy[(y, c)] == pytest.approx(v)
