@@ -9,13 +9,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from climatrix.llm import hyperminhash, quality
+from climatrix.llm import compression, decontaminate, hyperminhash, kdtree, licenses, quality, sanitise
 from climatrix.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    out = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", "found")), ",").alias("labels"), "score",
+    )
+
+
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and compression verdict of every document."""
+    out = compression.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "zstd_ratio")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted quality score of every document."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -26,13 +42,67 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 13-word windows of benchmark items."""
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    out = sanitise.personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.array(*(F.lit(k) for k in sanitise.KINDS))
+
+    def joined(column: str):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"size(filter(spans, x -> x.kind = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(sanitise.KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(joined("spans").cast("binary"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of nearly equal bytes."""
+    out = kdtree.shard(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
+        op3_compression_bands,
         op5_quality_classifier,
         op6_near_duplicates,
+        op7_decontamination,
+        op8_sanitisation,
+        op10_kd_shards,
     )
 }
 
 #: DuckDB twins, where SQL can express the query on whole tables in reasonable time.
-SQL: dict[str, str] = {}
+_ALNUM = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+)
+SQL: dict[str, str] = {
+    "op7_decontamination": f"""
+WITH dw AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w FROM documents),
+iw AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, len, array_to_string(w[i + 1:i + len], ' ') AS p
+  FROM (SELECT item_id, w, least(len(w), 13) AS len, unnest(range(0, len(w) - least(len(w), 13) + 1)) AS i FROM iw WHERE len(w) > 0)),
+grams AS (
+  SELECT doc_id, i, len, array_to_string(w[i + 1:i + len], ' ') AS p
+  FROM (SELECT doc_id, w, len, unnest(range(0, len(w) - len + 1)) AS i
+        FROM dw JOIN (SELECT DISTINCT len FROM win) l ON len(dw.w) >= l.len)),
+hit AS MATERIALIZED (SELECT g.doc_id, g.i, g.len, win.item_id FROM grams g JOIN win ON g.p = win.p AND g.len = win.len),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS q FROM hit) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.w) AS contaminated
+FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN ids ON dw.doc_id = ids.doc_id""",
+}
