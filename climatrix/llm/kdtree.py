@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from climatrix.llm.tables import stored
+from climatrix.llm.tables import numbered, stored
 
 ROW_BYTES = 16
 BINS = 512
@@ -163,21 +163,4 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     units = stored(units.withColumn("tie", F.shiftright("unit", 11).cast("double")), "units")
     tree = build(units, shards)
     placed = dealt.join(units.select("unit", _place(tree).alias("shard")), "unit")
-    return numbered(placed, "shard").select("doc_id", "size", "text_crc32", "shard", "slot")
-
-
-def numbered(rows: DataFrame, by: str, per_bucket: int = 20_000) -> DataFrame:
-    """``rows`` with ``slot``, gapless from 0 in each value of ``by``, without ever sorting one value's rows in one task.
-
-    Rows are dealt into hash buckets, whose counts give the first slot of each.
-    """
-    rows = stored(rows, "numbered")
-    buckets = max(1, -(-rows.count() // per_bucket))
-    dealt = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, 7), {buckets}L)"))
-    from pyspark.sql import Window
-
-    counts = dealt.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy(by, "bucket").orderBy("doc_id", "size", "text_crc32"))
-    return dealt.withColumn("place", place).join(first, [by, "bucket"]).withColumn("slot", (F.col("first") + F.col("place") - 1).cast("long"))
+    return numbered(stored(placed, "placed"), "shard", ["doc_id"], ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climatrix.llm import compression, decontaminate, hyperminhash, kdtree, licenses, quality, sanitise
+from climatrix.llm import compression, decontaminate, hyperminhash, kdtree, licenses, packing, quality, sanitise
 from climatrix.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "zstd_ratio")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces packed into sequences of 2,048."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted quality score of every document."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_license_scan,
         op3_compression_bands,
+        op4_packing,
         op5_quality_classifier,
         op6_near_duplicates,
         op7_decontamination,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from climatrix.session import scratch_path
@@ -25,3 +25,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def numbered(rows: DataFrame, by: str, deal: list[str], order: list[str], per_bucket: int = 20_000) -> DataFrame:
+    """Stored ``rows`` with ``slot``, gapless from 0 in each value of ``by``; no task sorts one value's rows alone.
+
+    Rows are dealt into buckets by the hash of ``deal``; the buckets' counts give the first slot of each.
+    """
+    buckets = max(1, -(-rows.count() // per_bucket))
+    keys = F.xxhash64(*deal, F.lit(7))
+    dealt = rows.withColumn("bucket", F.pmod(keys, F.lit(buckets).cast("long")))
+    counts = dealt.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(by, "bucket").orderBy(*order))
+    out = dealt.withColumn("place", place).join(first, [by, "bucket"])
+    return out.withColumn("slot", (F.col("first") + F.col("place") - 1).cast("long")).drop("bucket", "place", "first")
