@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climatrix.llm import compression, decontaminate, hyperminhash, kdtree, licenses, packing, quality, sanitise
+from climatrix.llm import compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise
 from climatrix.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined("spans").cast("binary"), 256).alias("base_sha256"), joined("all_spans").alias("spans"))
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a Katz bigram model of the training fold."""
+    return katz.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards of nearly equal bytes."""
     out = kdtree.shard(table(spark, sf_dir, "documents"), 40)
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op6_near_duplicates,
         op7_decontamination,
         op8_sanitisation,
+        op9_katz_backoff,
         op10_kd_shards,
     )
 }

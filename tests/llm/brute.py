@@ -118,3 +118,38 @@ def op6(rows, k, percent):
             a, b = sorted((top(sets[i][0]), top(sets[j][0])))
             parent[b] = a
     return [(d, len(s), top(d), top(d) == d) for d, s in sets]
+
+
+def op9(rows, d_of, unigram_of, trust=0.001):
+    """doc_id, held_out, n_tokens, n_known, N, base score, Katz score by the textbook recursion over dictionaries."""
+    import math
+
+    docs = [(i, [*SPACED.findall((t or "").translate(LOW)), None]) for i, t in rows]
+    one, two, follow = Counter(), Counter(), {}
+    trained = 0
+    for i, w in docs:
+        if fold(i, 10):
+            trained += 1
+            one.update(w)
+            two.update(zip([("begin",), *w[:-1]], w))
+    for h, w in two:
+        follow.setdefault(h, []).append(w)
+    n = sum(one.values())
+    of_one, of_two = Counter(one.values()), Counter(two.values())
+    p1 = unigram_of([n, len(one), *(of_one[r] for r in range(1, 7))])
+    d = d_of([of_two[r] for r in range(1, 7)])
+    c_h = {**one, ("begin",): trained}
+    disc = lambda c: d[c - 1] if c <= 5 else 1 - trust
+    weight = {}
+    for h, ws in follow.items():
+        left = 1 - sum(disc(two[h, w]) * two[h, w] for w in ws) / c_h[h]
+        weight[h] = left / (1 - sum(p1(one[w]) for w in ws))
+    out = []
+    for i, w in docs:
+        base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (len(one) + 1))) for x in w)
+        score = 0.0
+        for h, x in zip([("begin",), *w[:-1]], w):
+            c = two[h, x]
+            score += math.log10(disc(c) * c / c_h[h]) if c else math.log10(weight.get(h, 1.0) * p1(one[x]))
+        out.append((i, fold(i, 10) == 0, len(w), sum(one[x] > 0 for x in w), n, base, score))
+    return out
