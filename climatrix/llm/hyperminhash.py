@@ -12,11 +12,13 @@ probability below 1e-7. Candidates are then settled exactly on full sets:
    components over stars, never all pairs);
 3. the best-connected member of a cluster is its hub, and every member is
    compared with the hub: two members linked to it need no pair of their own;
-4. only members not linked to their hub look for partners among those
-   sharing a band key. A pair is left out only where its similarity provably
-   stays below the threshold: shingles that no other member has can't be shared,
-   which bounds the intersection. The collision-corrected sketch estimate,
-   seven deviations below the threshold, comes next, then the full sets;
+4. only members not linked to their hub look for partners. What two members
+   share inside the hub is at most the smaller of their intersections with
+   it; the rest must be shingles outside the hub that both have. So a pair
+   is possible if the first part suffices (partners by band key), or if the
+   two meet at one of the rarest outside shingles (prefix and positional
+   filters). The collision-corrected sketch estimate, seven deviations below the
+   threshold, comes next, then the full sets;
 5. links give the components.
 
 Defined results: vertices are document ids, so rows sharing an id share its
@@ -220,21 +222,39 @@ def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFram
     )
     against = stored(against.withColumn("linked", F.expr(f"100 * shared >= {percent} * (n + hub_n - shared)")), "against-hub")
     star = against.where("linked").selectExpr("hub AS src", "node AS dst")
-    # Shingles outside the hub that another member has too; the rest can't be in any intersection.
+    # Shingles outside the hub that another member has too, rarest first; the rest can't be in any intersection.
     item = against.select("cluster", "node", "n", F.explode("own").alias("item"))
     common = item.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    sharable = item.join(common, ["cluster", "item"]).groupBy("cluster", "node", "n").agg(F.count(F.lit(1)).alias("more"))
-    bound = against.select("cluster", "node", "n", "shared", "linked").join(sharable, ["cluster", "node", "n"], "left")
-    bound = bound.selectExpr("cluster", "node", "n", "linked", "shared + coalesce(more, 0) AS reach")
-    least = bound.groupBy("cluster").agg(F.min("n").alias("least"))
-    bound = stored(
-        bound.join(least, "cluster").where(f"reach >= {t} * (n + greatest(least, ceil({percent} * n / 100.0))) - 1e-6").drop("least"), "bounds"
+    more = item.join(common, ["cluster", "item"]).groupBy("cluster", "node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("more"))
+    least = against.groupBy("cluster").agg(F.min("n").alias("least"))
+    member = against.select("cluster", "node", "n", "shared", "linked").join(more, ["cluster", "node", "n"], "left").join(least, "cluster")
+    member = stored(
+        member.withColumn("more", F.coalesce("more", F.expr("cast(array() AS array<struct<c:bigint,item:bigint>>)")))
+        .withColumn("need", F.expr(f"cast(ceil({t} * (n + greatest(least, ceil({percent} * n / 100.0))) - 1e-6) AS long)"))
+        .where("shared + size(more) >= need"),
+        "members",
     )
-    keyed = keys.select("key", "node").join(bound.select("node", "n", "linked", "reach"), "node")
-    x = keyed.where("NOT linked").selectExpr("key", "node AS x", "n AS nx", "reach AS rx")
-    y = keyed.selectExpr("key", "node AS y", "n AS ny", "reach AS ry", "linked AS ly")
-    fits = (F.col("x") != F.col("y")) & (F.col("ly") | (F.col("x") < F.col("y"))) & (F.least("rx", "ry") >= t * (F.col("nx") + F.col("ny")) - 1e-6)
-    pairs = x.join(y, (x.key == y.key) & fits).select("x", "y", "nx", "ny").distinct()
+    # |A & B| <= min(shared) + common items outside the hub. Either the first part reaches the threshold ...
+    ends = ["node", "n", "shared"]
+    x = member.where("NOT linked").select(*(F.col(c).alias(f"x_{c}") for c in ends), "cluster", "need", "more")
+    y = member.select(*(F.col(c).alias(f"y_{c}") for c in ends), "cluster", "linked", "more")
+    once = (F.col("x_node") != F.col("y_node")) & (F.col("linked") | (F.col("x_node") < F.col("y_node")))
+    need = F.ceil(t * (F.col("x_n") + F.col("y_n")) - 1e-6) - F.least("x_shared", "y_shared")
+    key = keys.select("key", "node")
+    x_key = key.join(x.drop("cluster", "more", "need"), F.col("node") == F.col("x_node")).drop("node").withColumnRenamed("key", "x_key")
+    y_key = key.join(y.drop("cluster", "more"), F.col("node") == F.col("y_node")).drop("node")
+    near = x_key.join(y_key, (F.col("x_key") == F.col("key")) & once & (need <= 0))
+    # ... or enough of the second part is needed, and one of the x's rarest items must be among them.
+    x_item = x.select(
+        *(f"x_{c}" for c in ends), F.col("cluster").alias("x_cluster"), F.size("more").alias("x_size"),
+        F.posexplode(F.expr("slice(more, 1, cast(size(more) - greatest(need - x_shared, 1) + 1 AS int))")).alias("x_at", "x_item"),
+    )
+    y_item = y.select(*(f"y_{c}" for c in ends), "cluster", "linked", F.size("more").alias("y_size"), F.posexplode("more").alias("y_at", "y_item"))
+    reach = F.least("x_at", "y_at") + F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    same = (F.col("x_cluster") == F.col("cluster")) & (F.col("x_item.item") == F.col("y_item.item"))
+    apart = x_item.join(y_item, same & once & (need >= 1) & (reach >= need))
+    found = near.select("x_node", "x_n", "y_node", "y_n").unionByName(apart.select("x_node", "x_n", "y_node", "y_n")).distinct()
+    pairs = found.toDF("x", "nx", "y", "ny")
     sketch = sets.select("node", "n", "sketch")
     pairs = pairs.join(sketch.selectExpr("node AS x", "n AS nx", "sketch AS sx"), ["x", "nx"]).join(sketch.selectExpr("node AS y", "n AS ny", "sketch AS sy"), ["y", "ny"])
     likely = _likely(pairs, percent / 100.0 - MARGIN).distinct()
