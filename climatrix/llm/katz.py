@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climatrix.llm import text as T
+from climatrix.llm.blobs import deltas, narrow, pack, part_of, undelta, unpack
 from climatrix.llm.tables import fold, stored
 
 FOLDS = 10
@@ -51,39 +51,6 @@ END = np.uint64(0xE5D0F7EF7EE75E0D)
 BEGIN = np.int64(1 << 62)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as compressed byte planes."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], dtype="<i8").tobytes()
-    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + planes)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = int(raw[:8].view("<i8")[0])
-    head = raw[8 : 8 + 16 * n].view("<i8").reshape(n, 2)
-    at, out = 8 + 16 * n, []
-    for width, length in head.tolist():
-        part = raw[at : at + width * length].reshape(width, length).T
-        out.append(np.ascontiguousarray(part).reshape(-1).view(f"<u{width}"))
-        at += width * length
-    return out
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    """Unsigned counts in as few bytes as they need."""
-    top = int(x.max(initial=0))
-    return x.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8")
-
-
-def deltas(x: np.ndarray) -> np.ndarray:
-    return narrow(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
-
-
-def _undelta(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(x.astype(np.uint64), dtype=np.uint64)
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's d_1..d_K from the counts of counts n_1..n_(K+1); r / (r + 0.5) where they give none in (0, 1)."""
     r = np.arange(1, K + 1)
@@ -120,7 +87,7 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
         held = np.concatenate([x[1] for x in rows])
         words, which = np.unique(h, return_inverse=True)
         count = np.bincount(which, np.repeat(~held, n), len(words)).astype(np.int64)
-        part = _part(words, parts)
+        part = part_of(words, parts)
         cut = np.searchsorted(part, np.arange(parts + 1))
         asks = [pack(deltas(words[a:b]), narrow(count[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         ids = pa.concat_arrays([x[0] for x in rows])
@@ -153,18 +120,13 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, f"chunk long, doc_id array<{kind}>, held array<boolean>, n array<long>, tokens binary, asks array<binary>")
 
 
-def _part(x: np.ndarray, parts: int) -> np.ndarray:
-    """Partition of a 64-bit key; ascending with the key."""
-    return ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
 def _word_table(chunks: DataFrame) -> DataFrame:
     """Answers (chunk, part, answer: ids and total counts) and, under chunk -1, each partition's statistics."""
 
     def total(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         asks = [unpack(x) for x in table.column("ask").to_pylist()]
-        keys = [_undelta(a[0]) for a in asks]
+        keys = [undelta(a[0]) for a in asks]
         words, which = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(which, np.concatenate([a[1] for a in asks]).astype(float), len(words)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
@@ -196,7 +158,7 @@ class _Chunk:
         self.held = body.column("held")[0].values.to_numpy(zero_copy_only=False).astype(bool)
         token = unpack(body.column("tokens")[0].as_py())[0].astype(np.int64)
         got = [(p, *unpack(a)) for p, a in sorted(answers)]
-        ids = [(np.uint64(p) << np.uint64(32)) | _undelta(d) for p, d, _ in got]
+        ids = [(np.uint64(p) << np.uint64(32)) | undelta(d) for p, d, _ in got]
         self.ids = np.append(np.concatenate(ids).astype(np.int64), BEGIN)
         self.count = np.append(np.concatenate([c.astype(np.int64) for _, _, c in got]), trained)
         self.token = token
@@ -208,7 +170,7 @@ class _Chunk:
         spread = T.mix(self.ids[self.history].astype(np.uint64))
         wide = self.count[self.history] >= hot
         spread = np.where(wide, T.mix(spread ^ self.ids[self.word].astype(np.uint64)), spread)
-        self.part = _part(spread, parts)
+        self.part = part_of(spread, parts)
         self.order = np.argsort(self.part, kind="stable")
         self.cut = np.searchsorted(self.part[self.order], np.arange(parts + 1))
 
@@ -243,7 +205,7 @@ def _pair_table(asks: DataFrame, unigrams: Unigrams) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         got = [unpack(x) for x in table.column("ask").to_pylist()]
-        history, h = np.unique(np.concatenate([_undelta(g[0]) for g in got]), return_inverse=True)
+        history, h = np.unique(np.concatenate([undelta(g[0]) for g in got]), return_inverse=True)
         word, w = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
         pair, first, which = np.unique(h * len(word) + w, return_index=True, return_inverse=True)
         count = np.bincount(which, np.concatenate([g[2] for g in got]).astype(float), len(pair)).astype(np.int64)

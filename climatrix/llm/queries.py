@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climatrix.llm import compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise
+from climatrix.llm import compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise, substrings
 from climatrix.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier."""
+    out = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and compression verdict of every document."""
     out = compression.quality_rules(table(spark, sf_dir, "documents"))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op2_substring_dedup,
         op3_compression_bands,
         op4_packing,
         op5_quality_classifier,

@@ -41,3 +41,13 @@ def numbered(rows: DataFrame, by: str, deal: list[str], order: list[str], per_bu
     place = F.row_number().over(Window.partitionBy(by, "bucket").orderBy(*order))
     out = dealt.withColumn("place", place).join(first, [by, "bucket"])
     return out.withColumn("slot", (F.col("first") + F.col("place") - 1).cast("long")).drop("bucket", "place", "first")
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written once to the shared folder in hash buckets of ``key``: grouping by ``key`` needs no shuffle of it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table_name = path.rsplit("/", 1)[-1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
