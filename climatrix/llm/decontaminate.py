@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from climatrix.llm.tables import stored
+from climatrix.llm.tables import fresh, stored
 
 WINDOW = 13
 #: Most rows of a benchmark-side table that are sent to every executor.
@@ -155,5 +155,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     """The rows of ``docs`` that aren't contaminated, all columns unchanged."""
     found, _ = matches(docs, benchmark, window)
     hits = stored(hit_words(found), "hits")
-    marked = keyed(docs).join(_small(hits), "row").where(F.expr("20 * n_hit") >= F.size(words("text"))).select(F.col("row").alias("gone_row")).distinct()
-    return docs.join(_small(stored(marked, "contaminated")), F.xxhash64(docs["doc_id"], docs["text"]) == F.col("gone_row"), "left_anti")
+    name = fresh(docs, "gone_row")
+    marked = keyed(docs).join(_small(hits), "row").where(F.expr("20 * n_hit") >= F.size(words("text"))).select(F.col("row").alias(name)).distinct()
+    return docs.join(_small(stored(marked, "contaminated")), F.xxhash64(docs["doc_id"], docs["text"]) == F.col(name), "left_anti")

@@ -26,16 +26,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from climatrix.llm import text as T
 from climatrix.llm.decontaminate import BROADCAST_ROWS, words
-from climatrix.llm.tables import stored
+from climatrix.llm.tables import fresh, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a span that count as its context.
@@ -107,8 +109,6 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[dict]:
     found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = [s for s, _ in found]
     out = []
-    from bisect import bisect_left
-
     taken = [(s, e) for s, _, e, _ in spans]
     for start, kind, end, value in spans:
         left, right = bisect_left(starts, start), bisect_left(starts, end)
@@ -191,10 +191,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame, remove_terms: bool = False) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets (terms dropped if ``remove_terms``); null texts stay null."""
     rows = stored(found_spans(docs), "personal-spans")
-    terms = stored(term_spans(docs, rows).withColumnRenamed("row", "term_row"), "term-spans")
-    small = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    joined = docs.join(small, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("term_row"), "left")
     schema, names = docs.schema, docs.columns
+    key, found = fresh(docs, "term_row"), fresh(docs, "terms")
+    terms = stored(term_spans(docs, rows).toDF(key, found), "term-spans")
+    small = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    joined = docs.join(small, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(key), "left").select(*docs.columns, found)
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def sanitised(docs: DataFrame, remove_terms: bool = False) -> DataFrame:
             col = b.column(place)
             plain = T.texts(col)
             maybe = pc.match_substring_regex(plain, _MAYBE).to_numpy(zero_copy_only=False)
-            extra = b.column(len(names) + 1)
+            extra = b.column(len(names))
             new = []
             for i in range(b.num_rows):
                 if not col[i].is_valid or not (maybe[i] or extra[i].is_valid):
@@ -226,6 +227,4 @@ def sanitised(docs: DataFrame, remove_terms: bool = False) -> DataFrame:
 
 def _renamed(schema):
     """The schema with places as names, so clashing names do no harm inside the task."""
-    from pyspark.sql import types as S
-
     return S.StructType([S.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
