@@ -23,3 +23,15 @@ def bin_lower(b: Column, lo: Column, hi: Column, n: int) -> Column:
 
 def bin_upper(b: Column, lo: Column, hi: Column, n: int) -> Column:
     return lo + (b + F.lit(1)) * (hi - lo) / F.lit(float(n))
+
+
+def bin_edge(b: Column, lo: Column, hi: Column, n: int) -> Column:
+    """Edge ``b`` of ``n`` equal bins, computed as start + step * b; the last one is ``hi`` itself."""
+    return F.when(b == n, hi).otherwise(b * ((hi - lo) / F.lit(float(n))) + lo)
+
+
+def edge_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
+    """Bin of ``v`` by the edges themselves: the rounded quotient moves down or up by one where an edge says so."""
+    raw = F.least(F.floor((v - lo) / (hi - lo) * F.lit(n)), F.lit(n - 1))
+    down = F.when(v < bin_edge(raw, lo, hi, n), raw - 1).otherwise(raw)
+    return F.when((v >= bin_edge(down + 1, lo, hi, n)) & (down != n - 1), down + 1).otherwise(down).cast("int")

@@ -7,8 +7,9 @@ ANSI mode (on by default) raises on division by zero, including inside
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIGITS = 6  # registered outputs round doubles to this many decimals
 
@@ -23,6 +24,29 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def nan_free(df: DataFrame) -> DataFrame:
+    """``df`` with NaN as null in its double and float columns, as pandas skips both.
+
+    SQL text keeps plan building cheap; unused columns are pruned away again.
+    """
+    kinds = (T.DoubleType, T.FloatType)
+    if not any(isinstance(f.dataType, kinds) for f in df.schema.fields):
+        return df
+    return df.selectExpr(
+        *(f"IF(isnan(`{f.name}`), NULL, `{f.name}`) AS `{f.name}`" if isinstance(f.dataType, kinds) else f"`{f.name}`" for f in df.schema.fields)
+    )
+
+
+# Fixed value: the number formats that count as numeric text.
+NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+
+
+def to_number(c: Column | str) -> Column:
+    """Numeric text as double, other text (suffixed like ``12d``, ``NaN``) as null."""
+    c = col_of(c)
+    return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
+
+
 def pair_corr(a: Column | str, b: Column | str) -> Column:
     """Pearson r over pairwise-complete rows; null where a column is constant.
 

@@ -15,41 +15,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climatrix.functions.binning import bin_index, bin_lower, bin_upper
+from climatrix.functions.binning import bin_edge, bin_index, bin_lower, bin_upper, edge_bin
 from climatrix.functions.calendar import epoch_micros
 from climatrix.functions.safe import nan_to_null
 from climatrix.operators.keys import station_key
-from climatrix.operators.quantile import MAX_DISTINCT_FOR_MAP, quantiles_from_pairs, value_counts
+from climatrix.operators.quantile import exact_quantiles, small, values_of
 from climatrix.schema import GRID_MAP, GRID_SCATTER, GRID_SPATIAL
 from climatrix.session import materialize
 
-MAX_BINS = 100_000  # bounds the one-row zero-fill of the histogram
-
 
 def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame:
-    """Equal-width counts over [min, max]; the last bin is closed.
+    """Equal-width counts over [min, max] as numpy bins them; the last bin is closed.
 
-    Output ``(bin, lo, hi, n)`` for every bin (empty bins have n = 0).
-    Two passes over the column: the extent (a scalar subquery, run once),
-    then the counts. The zero-fill works on the counts, at most ``bins``
-    rows gathered into one row. The dashboard offers 10 to 500 bins; any
-    count from 1 up to ``MAX_BINS`` is accepted.
+    Output ``(bin, lo, hi, n)`` for every bin (empty bins have n = 0). A value
+    goes to the bin whose own edges hold it, so rounding at an edge can't
+    move it. A constant column gets the range value -0.5 to +0.5. Two passes over
+    the column: the extent (a scalar subquery, run once), then the counts,
+    joined to the list of all bins.
     """
     bins = int(bins)
-    if not 1 <= bins <= MAX_BINS:
-        raise ValueError(f"bins must be between 1 and {MAX_BINS}, got {bins}")
+    if bins < 1:
+        raise ValueError(f"bins must be at least 1, got {bins}")
     v = df.select(nan_to_null(F.col(column).cast("double")).alias("_v")).dropna()
     ext = extent(v, ["_v"])
-    lo, hi = ext["_v_lo"], ext["_v_hi"]
-    counts = v.groupBy(bin_index(F.col("_v"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
-    filled = counts.agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "_n"))).alias("_m")
-    ).filter(lo.isNotNull())
-    return filled.select("_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
-        F.col("bin").cast("int").alias("bin"),
-        bin_lower(F.col("bin"), lo, hi, bins).alias("lo"),
-        bin_upper(F.col("bin"), lo, hi, bins).alias("hi"),
-        F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("bigint").alias("n"),
+    flat = ext["_v_lo"] == ext["_v_hi"]
+    lo = F.when(flat, ext["_v_lo"] - 0.5).otherwise(ext["_v_lo"])
+    hi = F.when(flat, ext["_v_hi"] + 0.5).otherwise(ext["_v_hi"])
+    counts = v.groupBy(edge_bin(F.col("_v"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").filter(lo.isNotNull()).select(
+        "bin",
+        bin_edge(F.col("bin"), lo, hi, bins).alias("lo"),
+        bin_edge(F.col("bin") + 1, lo, hi, bins).alias("hi"),
+        F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"),
     )
 
 
@@ -164,20 +162,20 @@ def grid_map(df: DataFrame, stations: DataFrame | None = None, value: str = "tav
     return grid_mean(df, stations, value, GRID_MAP[0], GRID_MAP[1], extent_needs_value=False)
 
 
+def series_points(df: DataFrame, x: str = "date", y: str = "tavg") -> DataFrame:
+    """The raw points (x, y) of a series, without the incomplete ones."""
+    return df.select(F.col(x), nan_to_null(F.col(y)).alias(y)).dropna()
+
+
 def grid_series(
     df: DataFrame,
     x: str = "date",
     y: str = "tavg",
     width: int = GRID_SPATIAL[0],
     height: int = GRID_SPATIAL[1],
-    min_rows: int = 10_000,
 ) -> DataFrame:
-    """Date x value point counts on a 800 x 400 grid when there are more
-    than ``min_rows`` rows; the raw points (x, y) otherwise."""
-    pts = df.select(F.col(x), nan_to_null(F.col(y)).alias(y)).dropna()
-    if df.limit(min_rows + 1).count() <= min_rows:  # stops after min_rows + 1 rows
-        return pts
-    xs = pts.select(epoch_micros(F.col(x)).alias("_x"), F.col(y))
+    """Date x value point counts on a 800 x 400 grid, for any number of rows."""
+    xs = series_points(df, x, y).select(epoch_micros(F.col(x)).alias("_x"), F.col(y))
     return _cells(xs, "_x", y, width, height).groupBy("x_bin", "y_bin").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -193,33 +191,26 @@ def density_2d(
     )
 
 
-def box_stats(
-    df: DataFrame,
-    value: str = "value",
-    by: Sequence[str] = ("event_type",),
-    max_distinct: int = MAX_DISTINCT_FOR_MAP,
-) -> DataFrame:
+def box_stats(df: DataFrame, value: str = "value", by: Sequence[str] = ("event_type",)) -> DataFrame:
     """Per group quartiles (linear), 1.5 IQR fences, whiskers (most
     extreme values inside the fences) and the outlier count.
 
-    Quartiles use the distributed exact selection; whiskers and outliers are
-    read from the distinct (value, weight) pairs, not from the rows.
+    Quartiles come from counting passes; the fences, a row per group, then
+    meet the values in one more aggregate. Neither moves a row.
     """
     by = list(by)
-    pairs = materialize(value_counts(df, value, by))  # read by both passes
-    q = quantiles_from_pairs(pairs, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"], max_distinct)
-    q = q.withColumns(
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
+    q = materialize(q.withColumns(
         {
             "lower_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
             "upper_fence": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1")),
         }
-    )
-    v, w = F.col("_v"), F.col("_w")
-    lf, uf = F.col("lower_fence"), F.col("upper_fence")
-    edges = pairs.join(q.select(*by, "lower_fence", "upper_fence"), by).groupBy(*by).agg(
+    ))
+    v, lf, uf = F.col("_v"), F.col("lower_fence"), F.col("upper_fence")
+    edges = values_of(df, value, by).join(small(q.select(*by, "lower_fence", "upper_fence")), by).groupBy(*by).agg(
         F.min(F.when(v >= lf, v)).alias("whisker_low"),
         F.max(F.when(v <= uf, v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when((v < lf) | (v > uf), w)), F.lit(0)).cast("bigint").alias("outliers"),
+        F.count_if((v < lf) | (v > uf)).alias("outliers"),
     )
     return q.join(edges, by).select(
         *by, "n", "q1", "median", "q3", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "outliers"
@@ -229,36 +220,38 @@ def box_stats(
 def violin_density(
     df: DataFrame,
     value: str = "tavg",
-    by: str = "continent",
+    by: str | Sequence[str] = "continent",
     bins: int = 50,
     stations: DataFrame | None = None,
 ) -> DataFrame:
-    """Per group, binned relative density (bin count / group count) over
+    """Per group (one key, or two: x and colour), binned relative density (bin count / group count) over
     bins shared by all groups. Binned, not kernel-smoothed.
 
     When the group is a station attribute held in ``stations``, rows are
     counted per (station, bin) first and only that table is joined.
     """
     bins = int(bins)
-    key = by if (by in df.columns or stations is None) else station_key(df, stations)
-    pts = df.select(F.col(key), nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
+    by = [by] if isinstance(by, str) else list(by)
+    far = [c for c in by if c not in df.columns] if stations is not None else []  # held by the station table
+    key = [c for c in by if c not in far] + ([station_key(df, stations)] if far else [])
+    pts = df.select(*key, nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
     ext = extent(pts, ["_v"])
     lo, hi = ext["_v_lo"], ext["_v_hi"]
-    cnt = pts.groupBy(key, bin_index(F.col("_v"), lo, hi, bins).alias("bin")).agg(
+    cnt = pts.groupBy(*key, bin_index(F.col("_v"), lo, hi, bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    if key != by:
+    if far:
         cnt = (
-            cnt.join(stations.select(key, by), key)
-            .filter(F.col(by).isNotNull())
-            .groupBy(by, "bin")
+            cnt.join(stations.select(key[-1], *far), key[-1])
+            .dropna(subset=far)
+            .groupBy(*by, "bin")
             .agg(F.sum("_n").alias("_n"))
         )
     # Group totals: a window per group over the counts (at most ``bins`` rows
     # per group), so the counts are computed once.
-    cnt = cnt.withColumn("_t", F.sum("_n").over(Window.partitionBy(by)))
+    cnt = cnt.withColumn("_t", F.sum("_n").over(Window.partitionBy(*by)))
     return cnt.select(
-        by,
+        *by,
         F.col("bin").cast("int").alias("bin"),
         bin_lower(F.col("bin"), lo, hi, bins).alias("lo"),
         bin_upper(F.col("bin"), lo, hi, bins).alias("hi"),

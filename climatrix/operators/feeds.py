@@ -12,32 +12,35 @@ from climatrix.operators.keys import station_key
 
 from climatrix.operators.sample import sample_n
 from climatrix.operators.select import filter_year_set
-from climatrix.schema import CAP_PARALLEL, CAP_SCATTER, CAP_SCATTER_3D
 
 PARALLEL_COLUMNS = ("tavg", "tmax", "tmin", "prcp", "humidity", "wind_speed", "year")
 
 
+def _sampled(df: DataFrame, n: int | None, key: str, seed: int) -> DataFrame:
+    return df if n is None else sample_n(df, n, key, seed)
+
+
 def parallel_coordinates(
     df: DataFrame,
     years: Iterable[int] | None = None,
-    n: int = CAP_PARALLEL,
+    n: int | None = None,
     key: str = "obs_id",
     seed: int = 42,
 ) -> DataFrame:
-    """The six measures and year, for the chosen years or a sample of n."""
-    rows = filter_year_set(df, years) if years else sample_n(df, n, key, seed)
+    """The six measures and year, for the chosen years; all rows, or an exact sample of ``n``."""
+    rows = _sampled(filter_year_set(df, years) if years else df, n, key, seed)
     return rows.select(*[c for c in PARALLEL_COLUMNS if c in df.columns])
 
 
 def scatter_3d(
     df: DataFrame,
-    n: int = CAP_SCATTER_3D,
+    n: int | None = None,
     key: str = "obs_id",
     seed: int = 42,
     stations: DataFrame | None = None,
 ) -> DataFrame:
-    """At most n rows of tavg, prcp, humidity, continent, station and a
-    size column (solar_radiation, else wind_speed).
+    """Tavg, prcp, humidity, continent, station and a
+    size column (solar_radiation, else wind_speed); all rows, or an exact sample of ``n``.
 
     With a separate station table the sample is drawn first and only its
     n rows are joined to the stations (the sample is the preserved side of
@@ -45,7 +48,7 @@ def scatter_3d(
     from the measured sizes).
     """
     size = "solar_radiation" if "solar_radiation" in df.columns else "wind_speed"
-    rows = sample_n(df, n, key, seed)
+    rows = _sampled(df, n, key, seed)
     if "continent" not in df.columns and stations is not None:
         k = station_key(df, stations)
         rows = rows.join(stations.select(k, "continent"), k, "left")
@@ -85,6 +88,20 @@ def frames(
     )
 
 
+def frame_rows(
+    df: DataFrame,
+    frame: str = "continent",
+    x: str = "month",
+    y: str = "tavg",
+    stations: DataFrame | None = None,
+) -> DataFrame:
+    """C3, row form: every (frame, x, y) row, ordered by frame then x (then y)."""
+    if frame not in df.columns and stations is not None:
+        k = station_key(df, stations)
+        df = df.join(stations.select(k, frame), k)
+    return df.select(frame, x, y).dropna(subset=[frame, x]).orderBy(frame, x, y)
+
+
 def log_axis(
     df: DataFrame, x: str = "prcp", y: str = "humidity", log_x: bool = True, log_y: bool = True
 ) -> DataFrame:
@@ -105,9 +122,9 @@ def scatter_sample(
     x: str = "tavg",
     y: str = "prcp",
     colour: str = "year",
-    n: int = CAP_SCATTER,
+    n: int | None = None,
     key: str = "obs_id",
     seed: int = 42,
 ) -> DataFrame:
-    """At most n rows of x, y, colour, date and station."""
-    return sample_n(df, n, key, seed).select(x, y, colour, "date", "station")
+    """X, y, colour, date and station; all rows, or an exact sample of ``n``."""
+    return _sampled(df, n, key, seed).select(x, y, colour, "date", "station")

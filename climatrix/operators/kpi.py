@@ -7,10 +7,10 @@ indicators then). Columns that are absent take the reference's defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from climatrix.functions.safe import share_pct, sum0
+from climatrix.functions.safe import nan_free, share_pct, sum0
 from climatrix.operators.keys import station_key
 from climatrix.schema import DRY_THRESHOLD, HEAT_THRESHOLD, KPI_ABSENT_DEFAULTS
 
@@ -31,6 +31,7 @@ def row_count(df: DataFrame) -> DataFrame:
 def kpi_summary(df: DataFrame) -> DataFrame:
     """A2: mean tavg, total prcp, max tmax, min tmin, means of humidity,
     solar radiation and wind, and the row count - one partial+final agg."""
+    df = nan_free(df)
     out = df.agg(
         _or_default(df, "tavg", F.avg("tavg"), 0.0).alias("tavg_mean"),
         _or_default(df, "prcp", sum0("prcp"), 0.0).alias("prcp_total"),
@@ -51,17 +52,32 @@ def kpi_distinct(
 ) -> DataFrame:
     """A3: distinct years, stations and continents.
 
-    ``approx=True`` uses ``approx_count_distinct`` (HyperLogLog++, fixed
-    memory per group) instead of exact distinct counts.
+    ``approx=True`` uses ``approx_count_distinct`` (HyperLogLog++): one scan
+    with fixed-size sketches and no grouping by station; continents that only
+    the station table knows are then those of the stations present.
 
     Without a continent column, continents are counted over the distinct
     stations present joined to the station table, so the join sees one row
     per station instead of one per observation.
     """
     st = station_key(df, stations) if (_has(df, "station") or _has(df, "station_key")) else None
+    if approx and (_has(df, "continent") or stations is None or not st):
+        return df.agg(
+            F.approx_count_distinct("year").alias("years"),
+            (F.approx_count_distinct(st) if st else F.lit(0)).cast("bigint").alias("stations"),
+            (F.approx_count_distinct("continent") if _has(df, "continent") else F.lit(KPI_ABSENT_DEFAULTS["continents"])).cast("bigint").alias("continents"),
+            F.count(F.lit(1)).alias("_rows"),
+        ).filter(F.col("_rows") > 0).drop("_rows")
+    if approx:
+        seen = df.select(st).distinct().join(stations.select(st, "continent"), st, "left")
+        there = seen.agg(F.count_distinct(st).alias("stations"), F.count_distinct("continent").alias("continents"))
+        years = df.agg(F.approx_count_distinct("year").alias("years"), F.count(F.lit(1)).alias("_rows"))
+        return years.filter(F.col("_rows") > 0).select(
+            "years", there.select("stations").scalar().alias("stations"), there.select("continents").scalar().alias("continents")
+        )
     keys = ["year"] + ([st] if st else []) + (["continent"] if _has(df, "continent") else [])
     pairs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one scan, combined map-side
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    distinct = F.count_distinct
     if _has(df, "continent"):
         cont = distinct("continent")
     elif stations is not None and st:
@@ -85,6 +101,7 @@ def kpi_distinct(
 
 def kpi_heatwave(df: DataFrame) -> DataFrame:
     """A4: % of all rows with tmax > 30 (null tmax counts in the denominator)."""
+    df = nan_free(df)
     pct = share_pct(F.col("tmax") > F.lit(HEAT_THRESHOLD)) if _has(df, "tmax") else F.lit(0.0)
     return df.agg(pct.alias("heatwave_pct"), F.count(F.lit(1)).alias("_rows")).filter(
         F.col("_rows") > 0
@@ -93,6 +110,7 @@ def kpi_heatwave(df: DataFrame) -> DataFrame:
 
 def kpi_drought(df: DataFrame) -> DataFrame:
     """A5: % of all rows with prcp < 5."""
+    df = nan_free(df)
     pct = share_pct(F.col("prcp") < F.lit(DRY_THRESHOLD)) if _has(df, "prcp") else F.lit(0.0)
     return df.agg(pct.alias("drought_pct"), F.count(F.lit(1)).alias("_rows")).filter(
         F.col("_rows") > 0
@@ -101,7 +119,7 @@ def kpi_drought(df: DataFrame) -> DataFrame:
 
 def _yearly_tavg(df: DataFrame) -> DataFrame:
     """Per year (null year kept apart): rows, mean and sample std of tavg."""
-    return df.groupBy("year").agg(
+    return nan_free(df).groupBy("year").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("tavg").alias("m"),
         F.stddev_samp("tavg").alias("s"),
@@ -150,7 +168,8 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
     partials, from a single scan of ``df``.
 
     1. The scan is reduced to one row per (year, station) with mergeable
-       partial aggregates (sums, counts, extremes, sums of squares).
+       partial aggregates (sums, counts, extremes, squared deviations from
+       the own mean, and then from the year's).
     2. Only that small table meets the station table (for continents).
     3. ``rollup('year')`` aggregates it once into the yearly rows and the
        total row, distinct stations and continents included.
@@ -158,18 +177,20 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
     The aggregate lists are SQL text: one expression per aggregate keeps the
     plan-building round trips to the JVM few.
     """
+    df = nan_free(df)
     cols = set(df.columns)
 
     def m(c: str) -> str:
         return f"`{c}`" if c in cols else "CAST(NULL AS DOUBLE)"
 
     k = station_key(df, stations)
-    keys = ["year", k] + (["continent"] if "continent" in cols else [])
+    has_station = k in cols  # a frame without stations has none to count
+    keys = ["year"] + ([k] if has_station else []) + (["continent"] if "continent" in cols else [])
     partials = {
         "n": "count(1)",
         "t_sum": f"sum({m('tavg')})",
         "t_cnt": f"count({m('tavg')})",
-        "t_sq": f"sum({m('tavg')} * {m('tavg')})",
+        "t_m2": f"var_pop({m('tavg')}) * count({m('tavg')})",
         "p_sum": f"sum({m('prcp')})",
         "tx_max": f"max({m('tmax')})",
         "tn_min": f"min({m('tmin')})",
@@ -184,7 +205,15 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
         "rainy": f"count_if({m('prcp')} > 0)",
     }
     per = df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in partials.items()])
-    if "continent" not in cols and stations is not None:
+    # Squared deviations from the year's mean (the parallel variance update): a
+    # window over one row per (year, station), never a difference of large squares.
+    year = Window.partitionBy("year")
+    mean = F.try_divide(F.sum("t_sum").over(year), F.sum("t_cnt").over(year))
+    off = F.try_divide(F.col("t_sum"), F.col("t_cnt")) - mean
+    per = per.withColumn("t_m2", F.col("t_m2") + F.col("t_cnt") * off * off)
+    if not has_station:
+        per = per.withColumn(k, F.lit(None).cast("string"))
+    if "continent" not in cols and stations is not None and has_station:
         per = per.join(stations.select(k, "continent"), k, "left")
     elif "continent" not in cols:
         per = per.withColumn("continent", F.lit(None).cast("string"))
@@ -204,12 +233,7 @@ def yearly_mean_and_std(rolled: DataFrame) -> tuple[Column, Column, Column]:
     """(is a year row, yearly mean of tavg, yearly sample std) over a rollup."""
     is_year = (F.col("gid") == 0) & F.col("year").isNotNull()
     ymean = F.try_divide(F.col("t_sum"), F.col("t_cnt"))
-    ystd = F.sqrt(
-        F.try_divide(
-            F.col("t_sq") - F.col("t_sum") * F.col("t_sum") / F.col("t_cnt"),
-            F.col("t_cnt") - F.lit(1),
-        )
-    )
+    ystd = F.sqrt(F.try_divide(F.col("t_m2"), F.col("t_cnt") - F.lit(1)))
     return is_year, ymean, ystd
 
 
@@ -268,7 +292,7 @@ def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
         F.col("stations").cast("bigint").alias("stations"),
         (
             F.col("_cont")
-            if ("continent" in cols or stations is not None)
+            if ("continent" in cols or (stations is not None and station_key(df, stations) in cols))
             else F.lit(KPI_ABSENT_DEFAULTS["continents"])
         )
         .cast("bigint")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.calendar import calendar_columns
-from climatrix.functions.safe import nan_to_null
+from climatrix.functions.safe import nan_to_null, to_number
 from climatrix.operators.keys import station_key
 from climatrix.schema import (
     CALENDAR_COLUMNS,
@@ -141,14 +141,14 @@ def warming_adjustment(df: DataFrame) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Non-numeric text -> null (already numeric columns untouched)."""
+    """Non-numeric text and NaN -> null; numbers as double."""
     out = {}
     for c in cols:
         kind = df.schema[c].dataType
         if isinstance(kind, T.NumericType):
-            out[c] = F.col(c).cast("double")
+            out[c] = nan_to_null(F.col(c).cast("double"))
         else:
-            out[c] = F.col(c).try_cast("double")
+            out[c] = to_number(c)
     return df.withColumns(out)
 
 
@@ -173,7 +173,7 @@ def numeric_columns(df: DataFrame) -> DataFrame:
         )
     aggs = [F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(numeric)]
     aggs += [
-        F.count(F.col(c).try_cast("double")).alias(f"_{len(numeric) + i}")
+        F.count(to_number(c)).alias(f"_{len(numeric) + i}")
         for i, c in enumerate(text)
     ]
     stacked = F.stack(
@@ -195,6 +195,17 @@ def numeric_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def columns_by_type(df: DataFrame) -> DataFrame:
+    """P11, listing form: every column with its kind (number, text, time, other), from the schema alone."""
+    kinds = {T.StringType: "text", T.DateType: "time", T.TimestampType: "time", T.TimestampNTZType: "time"}
+
+    def kind(t: T.DataType) -> str:
+        return "number" if isinstance(t, T.NumericType) else kinds.get(type(t), "other")
+
+    rows = [(f.name, kind(f.dataType)) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "column string, kind string")
+
+
 def fill_missing_measures(
     df: DataFrame, defaults: Mapping[str, float] | None = None
 ) -> DataFrame:
@@ -210,13 +221,35 @@ def project_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(*keep)
 
 
-def prepare_feed(obs: DataFrame, codes: Iterable[str] | None = None) -> DataFrame:
-    """Whole preparation chain: long feed rows -> wide station-day rows."""
-    return (
+def codes_present(obs: DataFrame, datatype: str = "datatype") -> list[str]:
+    """The known datatype codes that have a record (a handful of rows reach the driver)."""
+    known = obs.filter(F.col(datatype).isin(list(CODE_TO_COLUMN))).select(datatype).distinct()
+    found = {r[0] for r in known.collect()}
+    return [c for c in CODE_TO_COLUMN if c in found]
+
+
+def prepare_feed(
+    obs: DataFrame, codes: Iterable[str] | None = None, stations: DataFrame | None = None, warming: bool = False
+) -> DataFrame:
+    """Whole preparation chain: long feed rows -> wide station-day rows.
+
+    Without ``codes`` only codes that have a record get a column, so tavg is
+    derived where the feed has no TAVG at all and kept as it is where it has
+    some. ``stations`` adds the station attributes (P7), ``warming`` the
+    warming columns (P8).
+    """
+    codes = list(codes) if codes is not None else codes_present(obs)
+    wide = (
         obs.transform(lambda d: parse_dates(d, "date", strict=True))
         .transform(calendar_parts)
         .transform(scale_units)
         .transform(lambda d: pivot_observations(d, codes))
         .transform(rename_codes)
-        .transform(derive_tavg)
     )
+    if "tavg" in wide.columns or {"tmax", "tmin"} <= set(wide.columns):
+        wide = derive_tavg(wide)
+    if stations is not None:
+        wide = attach_station_attributes(wide, stations)
+    if warming and "tavg" in wide.columns:
+        wide = warming_adjustment(wide)
+    return wide

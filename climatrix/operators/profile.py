@@ -17,6 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from climatrix.functions.safe import nan_free
 from climatrix.operators.prepare import fill_missing_measures
 from climatrix.schema import PROFILE_MEASURES, PROFILE_SHOWN_DIVISOR
 
@@ -24,7 +25,7 @@ M = PROFILE_MEASURES
 
 
 def _per_year(df: DataFrame) -> DataFrame:
-    d = fill_missing_measures(df)
+    d = nan_free(fill_missing_measures(df))
     aggs = []
     for i, m in enumerate(M):
         c = F.col(m).cast("double")

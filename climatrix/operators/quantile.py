@@ -1,29 +1,22 @@
-"""Exact quantiles without gathering a group in one task.
-
-Spark's ``percentile`` keeps a value -> count map per group and merges it
-in one task; with a hot group of mostly distinct doubles that map is
-unbounded. Here the k-th value is found by distributed rank selection:
-
-1. ``(group, value) -> weight``: duplicates collapse map-side, so a value
-   repeated a billion times is one row.
-2. Range-partition the distinct pairs on (group, value). Pairs are unique,
-   so partitions are even even when one group holds a third of the rows;
-   the partition id then orders blocks of each group.
-3. Block totals per (group, partition) - at most one row per partition per
-   group - give each block's starting rank (small window).
-4. A running sum inside each (group, partition) block gives every pair its
-   rank interval; pairs whose interval holds a wanted rank are kept.
-5. Per group at most 2 x len(probs) ranks remain; they are interpolated
-   linearly (pandas / numpy default).
-
-When every group has few distinct values (temperatures in tenths of a
-degree have about a thousand), the same pairs go instead to Spark's exact
-``percentile`` with the counts as frequencies: one aggregation whose
-per-group map is bounded by that distinct count.
-
-The range-partitioned pairs are checkpointed to the session's shared
-checkpoint folder, so the partition ids read by steps 3 and 4 are the same
-data (and recovery after a lost executor re-reads, not re-derives, them).
+"""Exact quantiles by counting passes.
+
+Spark's ``percentile`` keeps a value -> count map per group and merges it in
+one task; with a hot group of mostly distinct doubles that map is unbounded.
+Here no row is ever moved:
+
+1. One aggregate gives each group's count, smallest and largest value, and
+   so the ranks that its quantiles need (two per quantile).
+2. A pass counts the values of each interval that holds a wanted rank in
+   ``BINS`` equal bins (partial + final aggregate, at most ``BINS`` rows an
+   interval whatever the number of values), with the smallest and largest
+   value of each bin.
+3. The bin that holds the rank is the next interval. It ends where its
+   smallest and largest value are one: that is the rank's value.
+
+Three or four passes do for continuous doubles; each reads one column and
+the group keys. A group that holds a third of the rows is counted by all
+tasks. The interval table (a few rows a group) is broadcast only if it has
+at most ``BROADCAST_ROWS`` rows, else joined.
 """
 
 from __future__ import annotations
@@ -36,14 +29,19 @@ from pyspark.sql import functions as F
 from climatrix.functions.safe import nan_to_null
 from climatrix.session import materialize
 
+BINS = 1024
+BROADCAST_ROWS = 100_000
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct ``(by..., _v)`` with weight ``_w``; null keys and values dropped."""
-    cond = F.col("_v").isNotNull()
-    for k in by:
-        cond = cond & F.col(k).isNotNull()
-    base = df.select(*by, nan_to_null(F.col(value).cast("double")).alias("_v")).filter(cond)
-    return base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
+
+def values_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., _v)`` of the rows with a value and all keys; NaN counts as missing."""
+    base = df.select(*by, nan_to_null(F.col(value).cast("double")).alias("_v"))
+    return base.dropna(subset=[*by, "_v"])
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialized table, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _lerp(a: Column, b: Column, t: Column) -> Column:
@@ -52,91 +50,44 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= F.lit(0.5), b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-# Largest number of distinct values per group for which the weighted
-# ``percentile`` aggregate is used (its per-group map then holds at most this
-# many entries); above it the distributed rank selection runs.
-MAX_DISTINCT_FOR_MAP = 200_000
-
-
-def quantiles_from_pairs(
-    pairs: DataFrame,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    names: Sequence[str] | None = None,
-    max_distinct: int = MAX_DISTINCT_FOR_MAP,
-) -> DataFrame:
-    """``(by..., n, <name_i>...)`` exact linear quantiles from value counts.
+def _bin() -> Column:
+    """Bin of ``_v`` in [_lo, _hi]; never all values of two different ones in one bin.
 
-    ``pairs`` is read several times, so callers pass it materialized
-    (``climatrix.session.materialize``). If no group has more than ``max_distinct`` distinct values (one small
-    scalar job checks), Spark's exact ``percentile`` weighted by the counts
-    runs over the pairs - its per-group map is then bounded. Otherwise the
-    rank selection runs (module docstring); both give the same values.
+    Halves keep the width finite for any two finite doubles; infinities get bins of their own.
     """
-    by = list(by)
-    names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
-    widest = pairs.groupBy(*by).count().agg(F.max("count")).first()[0]
-    if widest is None:  # no values at all
-        empty = [F.lit(None).cast("double").alias(n) for n in names]
-        return pairs.select(*by, F.lit(0).cast("bigint").alias("n"), *empty).limit(0)
-    if widest <= max_distinct:
-        return _map_quantiles(pairs, probs, by, names)
-    return rank_select_quantiles(pairs, probs, by, names)
-
-
-def _map_quantiles(pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]) -> DataFrame:
-    q = F.percentile(F.col("_v"), [float(p) for p in probs], F.col("_w"))
-    return (
-        pairs.groupBy(*by)
-        .agg(F.sum("_w").alias("n"), q.alias("_q"))
-        .select(*by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    )
-
-
-def rank_select_quantiles(
-    pairs: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
-) -> DataFrame:
-    by = list(by)
-    ungrouped = not by
-    if ungrouped:  # one group: a constant key keeps every join an equi-join
-        pairs, by = pairs.withColumn("_all", F.lit(0)), ["_all"]
-    counts = pairs.groupBy(*by).agg(F.sum("_w").alias("n"))
-    pos = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probs]
-    ranks = F.array_distinct(
-        F.array(*[F.floor(h) for h in pos], *[F.ceil(h) for h in pos])
-    )
-    targets = counts.select(*by, ranks.alias("_ranks"))
-
-    ranged = (
-        pairs.repartitionByRange(*by, "_v").withColumn("_pid", F.spark_partition_id()).checkpoint()
-    )
-    blocks = ranged.groupBy(*by, "_pid").agg(F.sum("_w").alias("_bw"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = blocks.withColumn("_off", F.coalesce(F.sum("_bw").over(before), F.lit(0)))
-    offs = offs.join(targets, by)
-
-    upto = Window.partitionBy(*by, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    within = ranged.withColumn("_cum", F.sum("_w").over(upto))
-    loc = within.join(offs.select(*by, "_pid", "_off", "_ranks"), [*by, "_pid"])
-    start = F.col("_off") + F.col("_cum") - F.col("_w")
-    end = F.col("_off") + F.col("_cum")
-    hits = loc.select(
-        *by,
-        "_v",
-        F.explode(F.filter("_ranks", lambda r: (r >= start) & (r < end))).alias("_r"),
-    )
-    found = hits.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m")
-    )
-    joined = counts.join(found, by, "left")
-    outs = []
-    for h, name in zip(pos, names):
-        lo, hi = F.floor(h), F.ceil(h)
-        outs.append(
-            _lerp(F.element_at("_m", lo), F.element_at("_m", hi), h - lo).alias(name)
+    top = 1.7976931348623157e308
+    v, lo, hi = F.col("_v"), F.greatest(F.col("_lo"), F.lit(-top)), F.least(F.col("_hi"), F.lit(top))
+    width = hi / 2 - lo / 2
+    place = F.floor(F.try_divide(v / 2 - lo / 2, width) * BINS)
+    inner = F.when(width > 0, F.least(place, F.lit(BINS - 1))).otherwise((v > lo).cast("bigint"))
+    return F.when(v < lo, F.lit(-1)).when(v > hi, F.lit(BINS)).otherwise(inner)
+
+
+def _ranked(values: DataFrame, by: list[str], stats: DataFrame, positions: list[Column]) -> DataFrame:
+    """``(by..., rank, value)`` for the ranks around the wanted positions of every group."""
+    ranks = F.array_distinct(F.array(*[f(h) for h in positions for f in (F.floor, F.ceil)]))
+    state = stats.select(*by, F.col("_lo"), F.col("_hi"), F.lit(0).cast("bigint").alias("_below"), ranks.alias("_ranks"))
+    done = state.filter("_lo = _hi").select(*by, F.explode("_ranks").alias("rank"), F.col("_lo").alias("value"))
+    found, state = [materialize(done)], materialize(state.filter("_lo < _hi"))
+    while not state.isEmpty():
+        seen = values.join(small(state.select(*by, "_lo", "_hi")), by).filter("_v BETWEEN _lo AND _hi")
+        bins = seen.groupBy(*by, "_lo", _bin().alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b")
+        )
+        before = Window.partitionBy(*by, "_lo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        counted = bins.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        start = F.col("_below") + F.col("_before")
+        inside = F.filter("_ranks", lambda r: (r >= start) & (r < start + F.col("_c")))
+        hit = counted.join(small(state.select(*by, "_lo", "_below", "_ranks")), [*by, "_lo"]).withColumn("_inside", inside)
+        hit = materialize(hit.filter("size(_inside) > 0").select(*by, "_a", "_b", start.alias("_start"), "_inside"))
+        found.append(hit.filter("_a = _b").select(*by, F.explode("_inside").alias("rank"), F.col("_a").alias("value")))
+        state = hit.filter("_a < _b").select(
+            *by, F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), F.col("_start").alias("_below"), F.col("_inside").alias("_ranks")
         )
-    keep = [] if ungrouped else by
-    return joined.select(*keep, "n", *outs)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def exact_quantiles(
@@ -147,28 +98,31 @@ def exact_quantiles(
     names: Sequence[str] | None = None,
     method: str = "exact",
     accuracy: int = 10_000,
-    max_distinct: int = MAX_DISTINCT_FOR_MAP,
 ) -> DataFrame:
-    """Quantiles of ``value`` per group: ``(by..., n, <name_i>...)``.
+    """Linear quantiles of ``value`` per group: ``(by..., n, <name_i>...)``.
 
-    ``method='exact'``: weighted ``percentile`` over distinct values when
-    they are few per group, else distributed rank selection (above).
-    ``method='approx'``: ``percentile_approx`` (bounded sketch, approximate).
+    ``method='exact'``: counting passes (above). ``method='approx'``:
+    ``percentile_approx`` (bounded sketch, approximate).
     """
+    by = list(by)
     names = list(names) if names else [f"q{int(round(p * 100)):02d}" for p in probs]
+    values = values_of(df, value, by)
     if method == "approx":
-        v = nan_to_null(F.col(value).cast("double"))
-        cond = v.isNotNull()
-        for k in by:
-            cond = cond & F.col(k).isNotNull()
-        q = F.percentile_approx(v, [float(p) for p in probs], accuracy)
-        return (
-            df.filter(cond)
-            .groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
-            .select(*by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        q = F.percentile_approx("_v", [float(p) for p in probs], accuracy)
+        return values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q.alias("_q")).select(
+            *by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
         )
     if method != "exact":
         raise ValueError("method must be 'exact' or 'approx'")
-    pairs = materialize(value_counts(df, value, by))
-    return quantiles_from_pairs(pairs, probs, by, names, max_distinct)
+    keys = by or ["_all"]  # one group: a constant key keeps every join an equi-join
+    if not by:
+        values = values.withColumn("_all", F.lit(0))
+    stats = materialize(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    pos = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probs]
+    ranks = _ranked(values, keys, stats, pos)
+    by_group = ranks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
+    outs = [
+        _lerp(F.element_at("_m", F.floor(h)), F.element_at("_m", F.ceil(h)), h - F.floor(h)).alias(name)
+        for h, name in zip(pos, names, strict=True)
+    ]
+    return stats.join(by_group, keys).select(*by, "n", *outs)

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from climatrix.functions.safe import sum0
+from climatrix.functions.safe import nan_free, sum0
 from climatrix.operators.kpi import total, year_station_rollup, yearly_mean_and_std
 
 
-def report_yearly(df: DataFrame, first: int | None = 10) -> DataFrame:
-    """Per year rows, mean temp, total prcp, mean tmax, mean tmin."""
-    out = (
+def report_yearly(df: DataFrame) -> DataFrame:
+    """Per year rows, mean temp, total prcp, mean tmax, mean tmin (every year)."""
+    df = nan_free(df)
+    return (
         df.filter(F.col("year").isNotNull())
         .groupBy("year")
         .agg(
@@ -28,12 +29,12 @@ def report_yearly(df: DataFrame, first: int | None = 10) -> DataFrame:
         )
         .orderBy("year")
     )
-    return out.limit(first) if first else out
 
 
 def report_monthly(df: DataFrame) -> DataFrame:
     """R2: per month over all years: rows, mean temp, mean and total prcp,
     mean tmax, mean tmin."""
+    df = nan_free(df)
     return (
         df.filter(F.col("month").isNotNull())
         .groupBy("month")
@@ -49,9 +50,10 @@ def report_monthly(df: DataFrame) -> DataFrame:
     )
 
 
-def report_station(df: DataFrame, first: int | None = 10) -> DataFrame:
-    """Per station rows, distinct years, mean temp, total and mean prcp."""
-    out = (
+def report_station(df: DataFrame) -> DataFrame:
+    """Per station rows, distinct years, mean temp, total and mean prcp (every station)."""
+    df = nan_free(df)
+    return (
         df.filter(F.col("station").isNotNull())
         .groupBy("station")
         .agg(
@@ -63,17 +65,15 @@ def report_station(df: DataFrame, first: int | None = 10) -> DataFrame:
         )
         .orderBy("station")
     )
-    return out.limit(first) if first else out
 
 
-def report_station_counts(df: DataFrame, first: int = 15) -> DataFrame:
-    """Rows per station, most rows first (ties by station id), first 15."""
+def report_station_counts(df: DataFrame) -> DataFrame:
+    """Rows per station, most rows first (ties by station id); ``preview`` shows the first n."""
     return (
         df.filter(F.col("station").isNotNull())
         .groupBy("station")
         .agg(F.count(F.lit(1)).alias("rows"))
         .orderBy(F.desc("rows"), "station")
-        .limit(first)
     )
 
 
@@ -103,7 +103,7 @@ def report_header(df: DataFrame) -> DataFrame:
 
 def report_stability(df: DataFrame) -> DataFrame:
     """Sample std of temperature over all rows and the number of years."""
-    return df.agg(
+    return nan_free(df).agg(
         F.stddev_samp("tavg").alias("temp_std"),
         F.count_distinct("year").cast("bigint").alias("years"),
     )

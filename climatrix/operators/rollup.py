@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.calendar import period_calendar, period_label
-from climatrix.functions.safe import sum0
+from climatrix.functions.safe import nan_free, nan_to_null, sum0, to_number
 from climatrix.operators.keys import station_key
 from climatrix.schema import FREQUENCIES
 
 
 def _keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with all keys, NaN as null (pandas skips both)."""
+    df = nan_free(df)
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
@@ -150,8 +152,8 @@ def resample_mean(
         t = t.try_cast(T.TimestampNTZType())
     v = F.col(value_col)
     if not isinstance(df.schema[value_col].dataType, T.NumericType):
-        v = v.try_cast("double")
-    clean = df.select(t.alias("_t"), v.cast("double").alias("_v")).dropna()
+        v = to_number(v)
+    clean = df.select(t.alias("_t"), nan_to_null(v.cast("double")).alias("_v")).dropna()
     means = clean.groupBy(period_label(F.col("_t"), freq).alias("_p")).agg(F.avg("_v").alias("_m"))
     # Each bucket expands to itself plus the empty buckets up to the next one.
     # The window runs over the bucket table, whose size is bounded by the

@@ -1,20 +1,19 @@
 """Sampling (M1-M3).
 
-``sample_n`` is exact and repeatable: rows are ranked by an MD5 of
-(key, seed) and the first ``n`` are kept. Every cut below is on a prefix
-of that hash, so it keeps exactly a prefix of the global hash order and
-never changes the answer; it only bounds what reaches a single task.
+A row's place in the draw is the MD5 of (key, seed), so a sample is the same
+whatever the partitioning, and SQL can repeat it. Rows whose keys are equal
+(or null) are told apart by an MD5 of their whole content; identical rows
+are interchangeable.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREFIX_HEX = 8  # hash prefix used for the cut: 16**8 buckets
+PREFIX_HEX = 15  # 60 bits of the hash decide a Bernoulli draw
 PREFIX_SPACE = 16**PREFIX_HEX
+STEP_HEX = 4  # digits by which a boundary is narrowed: at most 65,536 counts a pass
 
 
 def sample_fraction(
@@ -23,7 +22,7 @@ def sample_fraction(
     """M1: Bernoulli sample of about ``fraction`` of the rows.
 
     With ``key`` (a unique column) the draw is hash-based: a row is kept
-    when the first 32 bits of MD5(key, seed) fall below ``fraction``. The
+    when the first 60 bits of MD5(key, seed) fall below ``fraction``. The
     sample is then the same whatever the partitioning or cluster layout, and
     reproducible in SQL. Without a key Spark's partition-seeded sampler is
     used.
@@ -37,88 +36,58 @@ def sample_fraction(
 
 
 def sample_hash(key: str, seed: int) -> Column:
-    """Hex MD5 of ``key || ':' || seed``; DuckDB computes the same string."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{int(seed)}")))
+    """Hex MD5 of ``key || ':' || seed`` (a null key counts as empty text); DuckDB computes the same string."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{int(seed)}")))
 
 
-# Up to this many rows the final ordered merge (one task) is allowed to see;
-# larger samples take the bucketed path, whose single-task step is tiny.
-TOPK_LIMIT = 100_000
+def _content_hash(columns: list[str]) -> Column:
+    return F.md5(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}))
 
 
-def sample_n(
-    df: DataFrame, n: int, key: str, seed: int = 42, topk_limit: int = TOPK_LIMIT
-) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """M2: exactly min(n, N) rows without replacement, repeatable by seed.
 
-    The rows kept are the first n in (MD5(key, seed), key) order, the same
-    rows as ``ORDER BY md5(..), key LIMIT n`` in SQL. ``key`` should be
-    unique (ties are broken by it).
-
-    * n <= ``topk_limit``: a prefix cut keeps about n + 6 sqrt(n)
-      candidates, and one ordered top-n runs over them.
-    * larger n: the hash is uniform, so rows are counted per 4-hex-digit
-      prefix (at most 65,536 counts reach the driver), which locates the
-      bucket holding the n-th row. That bucket (about N / 65,536 rows) is
-      split further if large. Then its (hash, key) pairs give the exact
-      n-th row, and the sample is one distributed filter below it. No task
-      ever holds the sample.
+    The rows kept are the first n in the order of (MD5(key, seed), MD5 of the
+    row). Rows are counted per four hex digits (at most 65,536 counts reach the driver),
+    which locates the n-th row's prefix; only that prefix is counted again, four digits
+    deeper, until it ends exactly at the n-th row - about log(N) / log(65,536) passes. The
+    sample is then one distributed filter: no task ever holds or sorts it,
+    and n, N and the uniqueness of the key make no difference to the method.
     """
     n = int(n)
-    total = df.count()
-    if n >= total:
-        return df
+    columns = df.columns
+    if n <= 0:
+        return df.limit(0)
     ranked = df.withColumn("_h", sample_hash(key, seed))
-    if n > topk_limit:
-        return _bucketed_first_n(ranked, n, key).drop("_h")
-    # Expected candidates: n plus a six-sigma margin; widened until enough.
-    frac = min(1.0, (n + 6.0 * math.sqrt(n) + 64.0) / total)
+    prefix, need = "", n
+    deep = False
     while True:
-        cut = min(PREFIX_SPACE, int(math.ceil(frac * PREFIX_SPACE)))
-        if cut >= PREFIX_SPACE:
-            cand = ranked
-            break
-        bound = format(cut, f"0{PREFIX_HEX}x")
-        cand = ranked.filter(F.substring("_h", 1, PREFIX_HEX) < F.lit(bound))
-        if cand.count() >= n:
+        width = min(len(prefix) + STEP_HEX, 64)
+        if width > 32 and not deep:  # equal key hashes: go on by content, on those rows only
+            deep = True
+            head = prefix
+            bucket = ranked.filter(F.col("_h") == F.lit(head)).withColumn("_h", F.concat("_h", _content_hash(columns)))
+        rows = bucket if deep else ranked
+        here = rows.filter(F.substring("_h", 1, len(prefix)) == F.lit(prefix)) if prefix else rows
+        counts = sorted((r[0], r[1]) for r in here.groupBy(F.substring("_h", 1, width)).count().collect())
+        if not prefix and sum(c for _, c in counts) <= n:
+            return df
+        for prefix, c in counts:
+            if need <= c:
+                break
+            need -= c
+        if need == c or width == 64:
             break
-        frac = min(1.0, frac * 2.0)
-    return cand.orderBy("_h", key).limit(n).drop("_h")
-
-
-# A boundary bucket with at most this many rows has its (hash, key) pairs
-# brought to the driver to pick the exact threshold; larger ones are split
-# again on four more hex digits first.
-BUCKET_COLLECT_LIMIT = 100_000
-
-
-def _boundary(rows: DataFrame, width: int, need: int) -> tuple[str, int, int]:
-    """Smallest hash prefix (``width`` hex digits) whose cumulative count
-    reaches ``need``: (prefix, rows still needed inside it, rows in it)."""
-    counts = sorted(
-        (r[0], r[1]) for r in rows.groupBy(F.substring("_h", 1, width)).count().collect()
-    )  # at most 16**4 distinct prefixes at each level
-    cum = 0
-    for prefix, c in counts:
-        if cum + c >= need:
-            return prefix, need - cum, c
-        cum += c
-    raise ValueError("fewer rows than requested")
-
-
-def _bucketed_first_n(ranked: DataFrame, n: int, key: str) -> DataFrame:
-    width, need = 0, n
-    bucket, size = ranked, None
-    while size is None or (size > BUCKET_COLLECT_LIMIT and width < 32):
-        width += 4
-        prefix, need, size = _boundary(bucket, width, need)
-        bucket = bucket.filter(F.substring("_h", 1, width) == F.lit(prefix))
-    last = sorted((r[0], r[1]) for r in bucket.select("_h", key).collect())  # <= BUCKET_COLLECT_LIMIT
-    thr_h, thr_k = last[need - 1]
-    # Exactly the first n rows in (hash, key) order: one filter, no sort.
-    return ranked.filter(
-        (F.col("_h") < F.lit(thr_h)) | ((F.col("_h") == F.lit(thr_h)) & (F.col(key) <= F.lit(thr_k)))
-    )
+    whole = need == c  # the prefix is taken whole, else it is one row repeated c times
+    if not deep:
+        return ranked.filter(F.substring("_h", 1, len(prefix)) <= F.lit(prefix)).drop("_h")
+    taken = bucket.filter(F.substring("_h", 1, len(prefix)) <= F.lit(prefix) if whole else F.col("_h") < F.lit(prefix))
+    out = ranked.filter(F.col("_h") < F.lit(head)).drop("_h").unionByName(taken.drop("_h"))
+    if whole:
+        return out
+    last = bucket.filter(F.col("_h") == F.lit(prefix)).drop("_h").limit(1)
+    repeated = last.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(need)))).drop("_i")
+    return out.unionByName(repeated)
 
 
 def cap_rows(df: DataFrame, cap: int, key: str, seed: int = 42) -> DataFrame:

@@ -14,20 +14,23 @@ from climatrix.sources.select import date_literal
 ALL = ("all", "All", "Tous", "*")
 
 
-def filter_year_range(df: DataFrame, lo: int, hi: int, date_col: str = "date") -> DataFrame:
-    """inclusive year range, written as a range on the raw date column.
-
-    ``date >= lo-01-01 and date < (hi+1)-01-01`` selects the same rows as
-    ``year between lo and hi`` but is a pushed Parquet filter; when the table
-    is partitioned by ``year`` the extra year predicate prunes directories.
-    """
+def _years_between(df: DataFrame, lo: int, hi: int, date_col: str):
+    """Rows dated in [lo, hi]: a range on the raw date (a pushed Parquet filter) and, where there is
+    a year column, the same range on it (directory pruning on a table partitioned by year)."""
     import datetime as dt
 
-    lo_d, hi_d = dt.date(int(lo), 1, 1), dt.date(int(hi) + 1, 1, 1)
-    cond = (F.col(date_col) >= date_literal(df, date_col, lo_d)) & (
-        F.col(date_col) < date_literal(df, date_col, hi_d)
-    )
-    return df.filter(cond)
+    cond = F.lit(True)
+    if "year" in df.columns:
+        cond = F.col("year").between(int(lo), int(hi))
+    if date_col in df.columns:
+        lo_d, hi_d = dt.date(int(lo), 1, 1), dt.date(int(hi) + 1, 1, 1)
+        cond = cond & (F.col(date_col) >= date_literal(df, date_col, lo_d)) & (F.col(date_col) < date_literal(df, date_col, hi_d))
+    return cond
+
+
+def filter_year_range(df: DataFrame, lo: int, hi: int, date_col: str = "date") -> DataFrame:
+    """inclusive year range, as ranges on the raw date and on the year column."""
+    return df.filter(_years_between(df, lo, hi, date_col))
 
 
 def filter_continent(
@@ -48,17 +51,21 @@ def filter_continent(
     return df.join(keys, k)
 
 
-def filter_year_set(df: DataFrame, years: Iterable[int]) -> DataFrame:
-    """year in the given list."""
-    return df.filter(F.col("year").isin([int(y) for y in years]))
+def filter_year_set(df: DataFrame, years: Iterable[int], date_col: str = "date") -> DataFrame:
+    """year in the given list; the span of the list also prunes the scan by date."""
+    years = [int(y) for y in years]
+    if not years:
+        return df.limit(0)
+    return df.filter(F.col("year").isin(years) & _years_between(df, min(years), max(years), date_col))
 
 
-def filter_single_year(df: DataFrame, year: int | None = None) -> DataFrame:
-    """one year; by default the latest year present (scalar subquery)."""
-    if year is not None:
-        return df.filter(F.col("year") == F.lit(int(year)))
-    latest = df.select(F.max("year")).scalar()
-    return df.filter(F.col("year") == latest)
+def filter_single_year(df: DataFrame, year: int | None = None, date_col: str = "date") -> DataFrame:
+    """one year; by default the latest year present (one number, read first so that the scan is pruned by it)."""
+    if year is None:
+        year = df.agg(F.max("year")).first()[0]
+        if year is None:
+            return df.limit(0)
+    return df.filter(_years_between(df, year, year, date_col))
 
 
 def filter_threshold(

@@ -9,90 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.safe import nan_to_null, pair_corr
-from climatrix.operators.quantile import (
-    MAX_DISTINCT_FOR_MAP,
-    rank_select_quantiles,
-    exact_quantiles,
-    value_counts,
-)
-from climatrix.session import materialize
+from climatrix.operators.quantile import exact_quantiles
 
 
-def describe(
-    df: DataFrame,
-    cols: Sequence[str] = ("tavg",),
-    method: str = "exact",
-    max_distinct: int = MAX_DISTINCT_FOR_MAP,
-) -> DataFrame:
-    """Count, mean, std, min, 25/50/75 %, max for each column.
+def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
+    """Count, mean, std, min, 25/50/75 %, max for each column (by default every numeric one).
 
-    One pass over the rows: the columns are stacked to ``(column, value)``
-    and reduced to distinct values with counts, written once. Moments (with
-    an exact two-pass variance) and quartiles are read from that small
-    table. Output: one row per column. (``DataFrame.summary`` is not used:
-    its quartiles are approximate.)
+    Moments and extremes are one partial + final aggregate; quartiles are
+    exact (counting passes over the stacked columns) or, with ``method='approx'``,
+    sketched. Output: one row per column, also for columns without values.
+    (``DataFrame.summary`` is not used: its quartiles are approximate.)
     """
-    cols = list(cols)
+    cols = list(cols) if cols is not None else numeric_column_names(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
     long = df.select(
         F.stack(
-            F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]
+            F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), nan_to_null(F.col(c).cast("double")))]
         ).alias("column", "value")
     )
-    if method == "approx":
-        q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"], method=method)
-        m = long.groupBy("column").agg(
-            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"), F.max("value").alias("max"),
-        )
-    else:
-        pairs = materialize(value_counts(long, "value", ["column"]))
-        # One small job over the distinct values: per column the number of
-        # distinct values (decides the quantile path), count, mean, extremes.
-        # k rows come back to the driver.
-        first = pairs.groupBy("column").agg(
-            F.count(F.lit(1)).alias("_distinct"),
-            F.sum("_w").alias("count"),
-            (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"),
-            F.min("_v").alias("min"),
-            F.max("_v").alias("max"),
-        ).collect()
-        spark = df.sparkSession
-        m = spark.createDataFrame(
-            [(r["column"], r["count"], r["mean"], r["min"], r["max"]) for r in first],
-            "column string, count bigint, mean double, min double, max double",
-        )
-        mean_of = F.lit(None).cast("double")
-        for r in first:
-            mean_of = F.when(F.col("column") == r["column"], F.lit(r["mean"])).otherwise(mean_of)
-        # Exact two-pass variance: squared deviations from the known means.
-        ss = F.sum(F.col("_w") * (F.col("_v") - mean_of) ** 2).alias("_ss")
-        widest = max((r["_distinct"] for r in first), default=0)
-        probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
-        if widest <= max_distinct:
-            pq = F.percentile(F.col("_v"), probs, F.col("_w"))
-            q = pairs.groupBy("column").agg(ss, pq.alias("_q")).select(
-                "column", "_ss", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
-            )
-        else:
-            q = rank_select_quantiles(pairs, probs, ["column"], names).drop("n").join(
-                pairs.groupBy("column").agg(ss), "column"
-            )
-        m = m.join(F.broadcast(q.select("column", "_ss")), "column", "left").withColumn(
-            "std", F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - F.lit(1))))
-        )
-        q = q.drop("_ss")
+    m = long.groupBy("column").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"], method=method)
     present = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     # Every table here has one row per requested column: broadcasts are bounded.
     return present.join(F.broadcast(m), "column", "left").join(F.broadcast(q.drop("n")), "column", "left").select(
         "column",
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
-        "mean",
-        "std",
-        "min",
-        "p25",
-        "p50",
-        "p75",
-        "max",
+        "mean", "std", "min", "p25", "p50", "p75", "max",
     )
 
 
@@ -100,12 +46,10 @@ def numeric_column_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _partition_moments(cols: list[str]):
-    """Per task: pairwise-complete count, means, second moments and
-    co-moments for every column pair (i <= j), merged over the task's Arrow
-    batches with the parallel (Chan) update. Each batch is first centred on
-    its own column means, so the sums are well conditioned. One row per pair
-    per task; memory per task is O(k^2)."""
+def _partition_sums(cols: list[str], shift: list[float]):
+    """Per task: for every column pair (i <= j) the pairwise-complete count, sums, sums of squares
+    and products of the values less ``shift``, and their extremes. One row per pair per
+    task; memory per task is O(k^2) besides the Arrow batch."""
     import numpy as np
     import pandas as pd
 
@@ -113,66 +57,42 @@ def _partition_moments(cols: list[str]):
     iu, ju = np.triu_indices(k)
 
     def run(batches):
-        n = np.zeros((k, k))
-        a = np.zeros((k, k))  # a[i, j]: mean of column i over rows where i and j are present
-        b = np.zeros((k, k))  # b[i, j]: sum of squared deviations of i on those rows
-        c = np.zeros((k, k))  # c[i, j]: co-moment of i and j on those rows
-        seen = False
+        n, si, qi, c = (np.zeros((k, k)) for _ in range(4))
+        lo, hi = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
             present = ~np.isnan(x)
-            if not present.any():
-                continue
-            shift = np.where(present.any(axis=0), np.nanmean(np.where(present, x, np.nan), axis=0), 0.0)
-            d = np.where(present, x - shift, 0.0)
+            d = np.where(present, x - np.array(shift), 0.0)
             mk = present.astype("float64")
-            nb = mk.T @ mk
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sb = d.T @ mk
-                ab_c = np.where(nb > 0, sb / nb, 0.0)  # centred pairwise means
-                bb = (d * d).T @ mk - ab_c * sb
-                cb = d.T @ d - ab_c * sb.T
-                ab = ab_c + shift[:, None]
-                tot = n + nb
-                delta = ab - a
-                w = np.where(tot > 0, n * nb / tot, 0.0)
-                a = np.where(tot > 0, a + delta * np.where(tot > 0, nb / tot, 0.0), 0.0)
-                b = b + bb + delta * delta * w
-                c = c + cb + delta * delta.T * w
-            n = tot
-            seen = True
-        if seen:
-            yield pd.DataFrame(
-                {
-                    "i": iu.astype("int32"),
-                    "j": ju.astype("int32"),
-                    "n": n[iu, ju],
-                    "mi": a[iu, ju],
-                    "mj": a[ju, iu],
-                    "m2i": b[iu, ju],
-                    "m2j": b[ju, iu],
-                    "cij": c[iu, ju],
-                }
-            )
+            n += mk.T @ mk
+            si += d.T @ mk
+            qi += (d * d).T @ mk
+            c += d.T @ d
+            for j in range(k):  # extremes of every column on the rows where column j is present
+                own = np.where(present[:, j : j + 1] & present, x, np.nan)
+                if present[:, j].any():
+                    lo[:, j] = np.fmin(lo[:, j], np.fmin.reduce(own, axis=0))
+                    hi[:, j] = np.fmax(hi[:, j], np.fmax.reduce(own, axis=0))
+        if n.any():
+            yield pd.DataFrame({
+                "i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
+                "si": si[iu, ju], "sj": si[ju, iu], "qi": qi[iu, ju], "qj": qi[ju, iu], "c": c[iu, ju],
+                "lo_i": lo[iu, ju], "hi_i": hi[iu, ju], "lo_j": lo[ju, iu], "hi_j": hi[ju, iu],
+            })
 
     return run
 
 
-# A second moment this small relative to n * mean^2 is a constant column
-# (rounding residue): r is then null, as for an exact constant.
-CONSTANT_TOLERANCE = 1e-20
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise Pearson r over pairwise-complete rows, long form
     ``(a, b, r)`` with both triangles and the diagonal.
 
-    One pass over the rows. Each task turns its Arrow batches into per-pair
-    counts, means, second moments and co-moments with numpy
-    (``mapInPandas``). Spark then merges the per-task rows per (i, j) with
-    the same parallel update: windows per pair over a table of one row per
-    task. It forms r = C / sqrt(M2_a M2_b) with ``try_divide``, so a constant
-    column gives null rather than an error.
+    A first cheap aggregate gives the column means. With them as a common
+    shift each task sums its rows with numpy (``mapInPandas``), and the per-task
+    sums are merged by one partial + final aggregate; the shift keeps the
+    differences of sums well conditioned, whatever the columns' scale. A
+    column that is constant on the pair's rows (smallest = largest value)
+    gives null.
 
     A single SQL aggregation with k(k-1)/2 ``covar_samp``/``stddev_samp``
     triples would exceed the whole-stage codegen field limit and run
@@ -181,30 +101,23 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     """
     cols = list(cols) if cols else numeric_column_names(df)
     vals = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    schema = "i int, j int, n double, mi double, mj double, m2i double, m2j double, cij double"
-    parts = vals.mapInPandas(_partition_moments(cols), schema)
-    pair = Window.partitionBy("i", "j")
-    tot_n = F.sum("n").over(pair)
-    mu_i = F.try_divide(F.sum(F.col("n") * F.col("mi")).over(pair), tot_n)
-    mu_j = F.try_divide(F.sum(F.col("n") * F.col("mj")).over(pair), tot_n)
-    with_mu = parts.select("*", tot_n.alias("_n"), mu_i.alias("_mui"), mu_j.alias("_muj"))
-    di = F.col("mi") - F.col("_mui")
-    dj = F.col("mj") - F.col("_muj")
-    merged = with_mu.groupBy("i", "j").agg(
-        F.max("_n").alias("n"),
-        F.max("_mui").alias("mui"),
-        F.max("_muj").alias("muj"),
-        F.sum(F.col("m2i") + F.col("n") * di * di).alias("vx"),
-        F.sum(F.col("m2j") + F.col("n") * dj * dj).alias("vy"),
-        F.sum(F.col("cij") + F.col("n") * di * dj).alias("cxy"),
+    means = vals.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shift = [float(means[c] or 0.0) for c in cols]
+    schema = "i int, j int, n double, si double, sj double, qi double, qj double, c double, lo_i double, hi_i double, lo_j double, hi_j double"
+    parts = vals.mapInPandas(_partition_sums(cols, shift), schema)
+    merged = parts.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "c")],
+        *[f(f"{e}_{x}").alias(f"{e}_{x}") for e, f in (("lo", F.min), ("hi", F.max)) for x in "ij"],
     )
     n = F.col("n")
-    flat_x = F.col("vx") <= F.lit(CONSTANT_TOLERANCE) * n * F.col("mui") * F.col("mui")
-    flat_y = F.col("vy") <= F.lit(CONSTANT_TOLERANCE) * n * F.col("muj") * F.col("muj")
+    cxy = F.col("c") - F.try_divide(F.col("si") * F.col("sj"), n)
+    vx = F.col("qi") - F.try_divide(F.col("si") * F.col("si"), n)
+    vy = F.col("qj") - F.try_divide(F.col("sj") * F.col("sj"), n)
+    flat = (F.col("lo_i") == F.col("hi_i")) | (F.col("lo_j") == F.col("hi_j"))
     r = (
-        F.when((n < 2) | flat_x | flat_y, F.lit(None).cast("double"))
+        F.when((n < 2) | flat, F.lit(None).cast("double"))
         .when(F.col("i") == F.col("j"), F.lit(1.0))
-        .otherwise(F.try_divide(F.col("cxy"), F.sqrt(F.col("vx") * F.col("vy"))))
+        .otherwise(F.try_divide(cxy, F.sqrt(vx) * F.sqrt(vy)))
     )
     names = F.array(*[F.lit(c) for c in cols])
     a = F.element_at(names, F.col("i") + 1)

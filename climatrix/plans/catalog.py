@@ -132,36 +132,41 @@ def q_prepare_feed(spark, sf):
 def q_select_observations(spark, sf):
     obs = fixtures.observations_from_measures(spark, sf)
     europe = _st(spark, sf).filter(F.col("continent") == "EUROPE")
-    return src_select.select_observations(
-        obs, "1996-03-01", "1997-02-28", ["TMAX", "PRCP"], location=europe, limit=10_000
-    )
+    return src_select.select_observations(obs, "1996-03-01", "1997-02-28", ["TMAX", "PRCP"], location=europe)
+
+
+@register("select_observations_limit")
+def q_select_observations_limit(spark, sf):
+    """S2 with the request's own limit."""
+    obs = fixtures.observations_from_measures(spark, sf)
+    return src_select.select_observations(obs, "1996-03-01", "1997-02-28", ["TMAX", "PRCP"], limit=1_000)
+
+
+@register("select_observations_dataset")
+def q_select_observations_dataset(spark, sf):
+    """S2 by dataset: daily records are temperatures, monthly ones precipitation here."""
+    obs = fixtures.observations_from_measures(spark, sf)
+    kind = F.when(F.col("datatype") == "PRCP", F.lit("MONTHLY")).otherwise(F.lit("DAILY"))
+    return src_select.select_observations(obs.withColumn("dataset", kind), "1995-01-01", "2001-12-31", dataset="MONTHLY")
 
 
 @register("union_batches")
 def q_union_batches(spark, sf):
     m = _m(spark, sf)
-    a = m.filter(F.col("year") == 1996).select("obs_id", "date", "station", "tavg", "prcp")
-    b = m.filter(F.col("year") == 1997).select("obs_id", "date", "station", "tavg", "humidity")
+    a = m.select("obs_id", "date", "station", "tavg", "prcp")
+    b = m.select("obs_id", "date", "station", "tavg", "humidity")
     return src_select.union_batches(a, b)
 
 
-YEARLY_SCHEMA = T.StructType(
+EXPORT_SCHEMA = T.StructType(
     [
+        T.StructField("obs_id", T.StringType()),
         T.StructField("year", T.IntegerType()),
-        T.StructField("tavg_mean", T.DoubleType()),
-        T.StructField("tmax_max", T.DoubleType()),
-        T.StructField("tmin_min", T.DoubleType()),
-    ]
-)
-MONTHLY_SCHEMA = T.StructType(
-    [
         T.StructField("month", T.IntegerType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("temp_mean", T.DoubleType()),
-        T.StructField("prcp_mean", T.DoubleType()),
-        T.StructField("prcp_sum", T.DoubleType()),
-        T.StructField("temp_max", T.DoubleType()),
-        T.StructField("temp_min", T.DoubleType()),
+        T.StructField("station", T.StringType()),
+        T.StructField("tavg", T.DoubleType()),
+        T.StructField("prcp", T.DoubleType()),
+        T.StructField("humidity", T.DoubleType()),
     ]
 )
 
@@ -169,15 +174,15 @@ MONTHLY_SCHEMA = T.StructType(
 @register("sink_csv")
 def q_sink_csv(spark, sf):
     path = scratch_path(spark, "csv")
-    sinks.sink_csv(rollup.yearly_temperature(_m(spark, sf)), path)
-    return sinks.read_csv(spark, path, YEARLY_SCHEMA)
+    sinks.sink_csv(_m(spark, sf).select(*EXPORT_SCHEMA.names), path)
+    return sinks.read_csv(spark, path, EXPORT_SCHEMA)
 
 
 @register("sink_json")
 def q_sink_json(spark, sf):
     path = scratch_path(spark, "json")
-    sinks.sink_json(report.report_monthly(_m(spark, sf)), path)
-    return sinks.read_json(spark, path, MONTHLY_SCHEMA)
+    sinks.sink_json(_m(spark, sf).select(*EXPORT_SCHEMA.names), path)
+    return sinks.read_json(spark, path, EXPORT_SCHEMA)
 
 
 @register("sink_parquet")
@@ -258,6 +263,23 @@ def q_drop_incomplete(spark, sf):
     return prepare.drop_incomplete(wide, ["tmax", "tmin"])
 
 
+@register("prepare_feed_default")
+def q_prepare_feed_default(spark, sf):
+    """The whole chain with default codes, station attributes and warming; the feed has no TAVG, so it is derived."""
+    path = scratch_path(spark, "feed-pages")
+    feed.write_feed_pages(fixtures.observations_from_events(spark, sf), path, "event_id")
+    obs = feed.unnest_results(spark, path, multi_line=False)
+    stations = _st(spark, sf).select(F.col("station_key").cast("string").alias("station"), "continent", "lat")
+    return prepare.prepare_feed(obs, stations=stations, warming=True)
+
+
+@register("columns_by_type")
+def q_columns_by_type(spark, sf):
+    """P11, listing form, with the number of rows beside it (one row per column)."""
+    ev = _ev(spark, sf)
+    return prepare.columns_by_type(ev).crossJoin(F.broadcast(ev.agg(F.count(F.lit(1)).alias("rows"))))
+
+
 @register("numeric_columns")
 def q_numeric_columns(spark, sf):
     ev = _ev(spark, sf).select(
@@ -344,8 +366,7 @@ def q_cap_rows(spark, sf):
 
 @register("cap_rows_massive")
 def q_cap_rows_massive(spark, sf):
-    """M3 with the massive path's cap of 500,000 rows (bucketed exact path
-    once the table is larger than that)."""
+    """M3 with the massive path's cap of 500,000 rows (the same method; the table may be smaller)."""
     return sample.cap_rows(_m(spark, sf), 500_000, "obs_id", seed=42).select("obs_id", "tavg", "prcp")
 
 
@@ -414,8 +435,8 @@ def q_month_year_matrix(spark, sf):
 
 @register("month_year_matrix_wide")
 def q_month_year_matrix_wide(spark, sf):
-    """A11 wide form: one column per year of the fixture's span."""
-    return rollup.month_year_matrix(_m(spark, sf), years=list(range(1995, 2002)))
+    """A11 wide form: one column per year present."""
+    return rollup.month_year_matrix(_m(spark, sf), years="auto")
 
 
 @register("monthly_stream")
@@ -504,16 +525,22 @@ def q_describe(spark, sf):
     return stats.describe(_m(spark, sf), ["tavg", "prcp", "tmax"])
 
 
-@register("describe_rank_select")
-def q_describe_rank_select(spark, sf):
-    """A18 through the distributed rank selection (as for columns with more
-    distinct values per group than the weighted-percentile map allows)."""
-    return stats.describe(_m(spark, sf), ["tavg", "prcp", "tmax"], max_distinct=0)
+@register("violin_density_by_month")
+def q_violin_density_by_month(spark, sf):
+    """A27 with two keys: month and continent."""
+    return bins.violin_density(_m(spark, sf), "tavg", ["month", "continent"], 20, stations=_st(spark, sf))
 
 
-@register("box_stats_rank_select")
-def q_box_stats_rank_select(spark, sf):
-    return bins.box_stats(_ev(spark, sf), "value", ["event_type"], max_distinct=0)
+@register("describe_all")
+def q_describe_all(spark, sf):
+    """A18 over every numeric column (surrogate keys aside)."""
+    return stats.describe(_m(spark, sf).drop("station_key"))
+
+
+@register("box_stats_by_station")
+def q_box_stats_by_station(spark, sf):
+    """A26 with many groups."""
+    return bins.box_stats(_m(spark, sf), "tavg", ["station"])
 
 
 CORR_COLUMNS = ["tmax", "tmin", "tavg", "prcp", "humidity", "wind_speed", "solar_radiation", "year", "month"]
@@ -553,6 +580,12 @@ def q_compare_years(spark, sf):
 # ---------------------------------------------------------- chart feeds
 @register("parallel_coordinates")
 def q_parallel(spark, sf):
+    return feeds.parallel_coordinates(_m(spark, sf))
+
+
+@register("parallel_coordinates_sample")
+def q_parallel_sample(spark, sf):
+    """C1 with an explicit sample of 500 rows."""
     return feeds.parallel_coordinates(_m(spark, sf), None, 500, "obs_id", 42)
 
 
@@ -569,6 +602,12 @@ def q_grid_xy_category(spark, sf):
 
 @register("scatter_3d")
 def q_scatter_3d(spark, sf):
+    return feeds.scatter_3d(_m(spark, sf), stations=_st(spark, sf))
+
+
+@register("scatter_3d_sample")
+def q_scatter_3d_sample(spark, sf):
+    """C2 with an explicit sample of 5,000 rows."""
     return feeds.scatter_3d(_m(spark, sf), 5_000, "obs_id", 42, stations=_st(spark, sf))
 
 
@@ -587,10 +626,22 @@ def q_scatter_sample(spark, sf):
     return feeds.scatter_sample(_m(spark, sf), "tavg", "prcp", "year", 10_000, "obs_id", 42)
 
 
+@register("scatter_points")
+def q_scatter_points(spark, sf):
+    """C5 over all rows."""
+    return feeds.scatter_sample(_m(spark, sf), "tavg", "prcp", "year")
+
+
+@register("frame_rows")
+def q_frame_rows(spark, sf):
+    """C3, row form."""
+    return feeds.frame_rows(_m(spark, sf), "continent", "month", "tavg", stations=_st(spark, sf))
+
+
 # -------------------------------------------------------------- report
 @register("report_yearly")
 def q_report_yearly(spark, sf):
-    return report.report_yearly(_m(spark, sf), 10)
+    return report.report_yearly(_m(spark, sf))
 
 
 @register("report_monthly")
@@ -600,12 +651,12 @@ def q_report_monthly(spark, sf):
 
 @register("report_station")
 def q_report_station(spark, sf):
-    return report.report_station(_m(spark, sf), 10)
+    return report.report_station(_m(spark, sf))
 
 
 @register("report_station_counts")
 def q_report_station_counts(spark, sf):
-    return report.report_station_counts(_m(spark, sf), 15)
+    return report.report_station_counts(_m(spark, sf))
 
 
 @register("report_header")
@@ -620,5 +671,5 @@ def q_report_stability(spark, sf):
 
 @register("flag_extremes")
 def q_flag_extremes(spark, sf):
-    yearly = report.report_yearly(_m(spark, sf), None).select("year", "temp_mean")
+    yearly = report.report_yearly(_m(spark, sf)).select("year", "temp_mean")
     return report.flag_extremes(yearly, "temp_mean")

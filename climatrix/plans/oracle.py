@@ -197,6 +197,58 @@ YEARLY_TREND = (
     "y AS (SELECT year, avg(tavg) AS m FROM measures WHERE year IS NOT NULL GROUP BY year)"
 )
 
+EXPORT = (
+    "SELECT obs_id, year, month, station, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, "
+    "round(humidity, 6) AS humidity FROM measures"
+)
+OBS = (
+    "obs AS (SELECT date, 'TMAX' AS datatype, station, CAST(NULL AS VARCHAR) AS attributes, tmax * 10 AS value FROM measures "
+    "UNION ALL SELECT date, 'TMIN', station, NULL, tmin * 10 FROM measures "
+    "UNION ALL SELECT date, 'PRCP', station, NULL, prcp * 10 FROM measures)\n"
+)
+PARALLEL = (
+    "round(tavg, 6) AS tavg, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, "
+    "round(humidity, 6) AS humidity, round(wind_speed, 6) AS wind_speed, year"
+)
+SCATTER = "round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, round(humidity, 6) AS humidity, continent, station, round(solar_radiation, 6) AS size"
+
+
+def _number(text: str) -> str:
+    """Numeric text as double, other text as null."""
+    pattern = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+    return f"CASE WHEN regexp_matches({text}, '{pattern}') THEN TRY_CAST(trim({text}) AS DOUBLE) END"
+
+
+def _describe(cols: list[str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, "
+        f"round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS p50, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS p75, round(CAST(max({c}) AS DOUBLE), 6) AS max FROM measures"
+        for c in cols
+    )
+
+
+def _box(src: str, value: str, by: str) -> str:
+    return (
+        f"q AS (SELECT {by}, count({value}) AS n, quantile_cont({value}, 0.25) AS q1, "
+        f"quantile_cont({value}, 0.5) AS median, quantile_cont({value}, 0.75) AS q3 FROM {src} "
+        f"WHERE {by} IS NOT NULL AND {value} IS NOT NULL GROUP BY {by}),\n"
+        "f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)\n"
+        f"SELECT f.{by}, any_value(f.n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, "
+        "round(any_value(q3), 6) AS q3, round(any_value(lower_fence), 6) AS lower_fence, "
+        "round(any_value(upper_fence), 6) AS upper_fence, "
+        f"round(min({value}) FILTER (WHERE {value} >= lower_fence), 6) AS whisker_low, "
+        f"round(max({value}) FILTER (WHERE {value} <= upper_fence), 6) AS whisker_high, "
+        f"count(*) FILTER (WHERE {value} < lower_fence OR {value} > upper_fence) AS outliers "
+        f"FROM f JOIN {src} e ON f.{by} = e.{by} WHERE e.{value} IS NOT NULL GROUP BY f.{by}"
+    )
+
+
+def _edge(i: str) -> str:
+    return f"CASE WHEN {i} = 100 THEN hi ELSE {i} * ((hi - lo) / 100.0::DOUBLE) + lo END"
+
+
 SQL: dict[str, str] = {
     # sources
     "unnest_results": _with(EV_OBS)
@@ -215,18 +267,12 @@ SQL: dict[str, str] = {
     "SELECT date, datatype, station, attributes, round(value, 6) AS value FROM ("
     "SELECT * FROM obs WHERE date >= TIMESTAMP '1996-03-01' AND date < TIMESTAMP '1997-03-01' "
     "AND datatype IN ('TMAX', 'PRCP') AND station IN (SELECT station FROM stations WHERE continent = 'EUROPE') "
-    "ORDER BY date, station, datatype, value LIMIT 10000)",
+    ")",
     "union_batches": _m()
     + "SELECT obs_id, date, station, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, CAST(NULL AS DOUBLE) AS humidity "
-    "FROM measures WHERE year = 1996 UNION ALL "
-    "SELECT obs_id, date, station, round(tavg, 6), NULL, round(humidity, 6) FROM measures WHERE year = 1997",
-    "sink_csv": _m()
-    + "SELECT year, round(avg(tavg), 6) AS tavg_mean, round(max(tmax), 6) AS tmax_max, "
-    "round(min(tmin), 6) AS tmin_min FROM measures GROUP BY year",
-    "sink_json": _m()
-    + "SELECT month, count(*) AS rows, round(avg(tavg), 6) AS temp_mean, round(avg(prcp), 6) AS prcp_mean, "
-    "round(coalesce(sum(prcp), 0), 6) AS prcp_sum, round(avg(tmax), 6) AS temp_max, "
-    "round(avg(tmin), 6) AS temp_min FROM measures GROUP BY month",
+    "FROM measures UNION ALL SELECT obs_id, date, station, round(tavg, 6), NULL, round(humidity, 6) FROM measures",
+    "sink_csv": _m() + EXPORT,
+    "sink_json": _m() + EXPORT,
     "sink_parquet": _m()
     + "SELECT obs_id, date, year, station, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp FROM measures",
     "preview": _m()
@@ -255,17 +301,18 @@ SQL: dict[str, str] = {
     "warming_adjustment": _m()
     + "SELECT obs_id, year, round(tavg, 6) AS tavg, round(CAST(0.01 AS DOUBLE) * (year - 2000), 6) AS warming_trend, "
     "round(tavg + CAST(0.01 AS DOUBLE) * (year - 2000), 6) AS tavg_trend FROM measures",
-    "coerce_numeric": "SELECT event_id, round(TRY_CAST(CASE WHEN event_type = 'error' THEN props "
-    "ELSE CAST(value AS VARCHAR) END AS DOUBLE), 6) AS v FROM events",
+    "coerce_numeric": "SELECT event_id, round("
+    + _number("CASE WHEN event_type = 'error' THEN props ELSE CAST(value AS VARCHAR) END")
+    + ", 6) AS v FROM events",
     "drop_incomplete": "SELECT * FROM ("
     + _pivot(["TMAX", "TMIN", "PRCP"], rename=True)
     + ") q WHERE tmax IS NOT NULL AND tmin IS NOT NULL",
     "numeric_columns": "SELECT * FROM ("
     "SELECT 'event_id' AS \"column\", 'numeric' AS kind, count(event_id) AS n_parsable FROM events "
-    "UNION ALL SELECT 'station', 'text', count(TRY_CAST(CAST(user_id AS VARCHAR) AS DOUBLE)) FROM events "
-    "UNION ALL SELECT 'event_type', 'text', count(TRY_CAST(event_type AS DOUBLE)) FROM events "
-    "UNION ALL SELECT 'props', 'text', count(TRY_CAST(props AS DOUBLE)) FROM events "
-    "UNION ALL SELECT 'value_text', 'text', count(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE)) FROM events"
+    "UNION ALL SELECT 'station', 'text', count(" + _number("CAST(user_id AS VARCHAR)") + ") FROM events "
+    "UNION ALL SELECT 'event_type', 'text', count(" + _number("event_type") + ") FROM events "
+    "UNION ALL SELECT 'props', 'text', count(" + _number("props") + ") FROM events "
+    "UNION ALL SELECT 'value_text', 'text', count(" + _number("CAST(value AS VARCHAR)") + ") FROM events"
     ") t WHERE kind = 'numeric' OR n_parsable > 0",
     "fill_missing_measures": _m()
     + "SELECT obs_id, year, round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, CAST(20 AS DOUBLE) AS tmax, CAST(20 AS DOUBLE) AS tmin, "
@@ -376,10 +423,13 @@ SQL: dict[str, str] = {
     # bins and grids
     "histogram": _m()
     + ", v AS (SELECT tavg AS v FROM measures WHERE tavg IS NOT NULL),\n"
-    "e AS (SELECT min(v) AS lo, max(v) AS hi FROM v HAVING min(v) IS NOT NULL),\n"
-    f"c AS (SELECT {_bin('v', 'lo', 'hi', 100)} AS bin, count(*) AS n FROM v, e GROUP BY 1),\n"
+    "x AS (SELECT min(v) AS a, max(v) AS z FROM v HAVING min(v) IS NOT NULL),\n"
+    "e AS (SELECT CASE WHEN a = z THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = z THEN z + 0.5 ELSE z END AS hi FROM x),\n"
+    "r AS (SELECT v, lo, hi, least(floor((v - lo) / (hi - lo) * 100), 99) AS b FROM v, e),\n"
+    f"d AS (SELECT v, lo, hi, CASE WHEN v < {_edge('b')} THEN b - 1 ELSE b END AS b FROM r),\n"
+    f"c AS (SELECT CAST(CASE WHEN v >= {_edge('(b + 1)')} AND b <> 99 THEN b + 1 ELSE b END AS INTEGER) AS bin, count(*) AS n FROM d GROUP BY 1),\n"
     "b AS (SELECT CAST(range AS INTEGER) AS bin, lo, hi FROM range(0, 100), e)\n"
-    "SELECT b.bin, round(lo + b.bin * (hi - lo) / 100.0, 6) AS lo, round(lo + (b.bin + 1) * (hi - lo) / 100.0, 6) AS hi, "
+    f"SELECT b.bin, round({_edge('b.bin')}, 6) AS lo, round({_edge('(b.bin + 1)')}, 6) AS hi, "
     "CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM b LEFT JOIN c ON b.bin = c.bin",
     "grid_mean": _sd()
     + ", p AS (SELECT lon, lat, tavg FROM station_day WHERE lon IS NOT NULL AND lat IS NOT NULL AND tavg IS NOT NULL)\n"
@@ -400,17 +450,7 @@ SQL: dict[str, str] = {
     "density_2d": _m()
     + ", p AS (SELECT tavg, humidity FROM measures WHERE tavg IS NOT NULL AND humidity IS NOT NULL)\n"
     + _grid("p", "tavg", "humidity", 20, 20, "count(*) AS n"),
-    "box_stats": "WITH q AS (SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q1, "
-    "quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events "
-    "WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY event_type),\n"
-    "f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)\n"
-    "SELECT f.event_type, any_value(f.n) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, "
-    "round(any_value(q3), 6) AS q3, round(any_value(lower_fence), 6) AS lower_fence, "
-    "round(any_value(upper_fence), 6) AS upper_fence, "
-    "round(min(value) FILTER (WHERE value >= lower_fence), 6) AS whisker_low, "
-    "round(max(value) FILTER (WHERE value <= upper_fence), 6) AS whisker_high, "
-    "count(*) FILTER (WHERE value < lower_fence OR value > upper_fence) AS outliers "
-    "FROM f JOIN events e ON f.event_type = e.event_type WHERE e.value IS NOT NULL GROUP BY f.event_type",
+    "box_stats": "WITH " + _box("events", "value", "event_type"),
     "violin_density": _sd()
     + ", p AS (SELECT continent, tavg AS v FROM station_day WHERE continent IS NOT NULL AND tavg IS NOT NULL),\n"
     "e AS (SELECT min(v) AS lo, max(v) AS hi FROM p),\n"
@@ -420,14 +460,9 @@ SQL: dict[str, str] = {
     "SELECT c.continent, bin, round(lo + bin * (hi - lo) / 50.0, 6) AS lo, round(lo + (bin + 1) * (hi - lo) / 50.0, 6) AS hi, "
     "round(n / t, 6) AS density FROM c JOIN t ON c.continent = t.continent",
     # statistics
-    "describe": _m()
-    + "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, "
-        f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, "
-        f"round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
-        f"round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM measures"
-        for c in ["tavg", "prcp", "tmax"]
-    ),
+    "describe": _m() + _describe(["tavg", "prcp", "tmax"]),
+    "describe_all": _m()
+    + _describe(["year", "month", "day", "day_of_year", "week", "tmax", "tmin", "tavg", "prcp", "humidity", "wind_speed", "solar_radiation"]),
     "correlation_matrix": _corr(),
     "linear_trend": _m()
     + ", "
@@ -447,14 +482,8 @@ SQL: dict[str, str] = {
     "reference_profile": _profile(None),
     "compare_years": _profile("year IN (1996, 2000)"),
     # chart feeds
-    "parallel_coordinates": _sample(
-        "measures",
-        "round(tavg, 6) AS tavg, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, "
-        "round(humidity, 6) AS humidity, round(wind_speed, 6) AS wind_speed, year",
-        "obs_id",
-        500,
-        _m(),
-    ),
+    "parallel_coordinates": _m() + f"SELECT {PARALLEL} FROM measures",
+    "parallel_coordinates_sample": _sample("measures", PARALLEL, "obs_id", 500, _m()),
     "parallel_coordinates_years": _m()
     + "SELECT round(tavg, 6) AS tavg, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, "
     "round(humidity, 6) AS humidity, round(wind_speed, 6) AS wind_speed, year FROM measures WHERE year IN (1997, 2000)",
@@ -463,14 +492,12 @@ SQL: dict[str, str] = {
     "SELECT * FROM ("
     + _grid("p", "tavg", "prcp", 800, 500, "station, count(*) AS n").replace("GROUP BY 1, 2", "GROUP BY 1, 2, station")
     + ") g WHERE station IS NOT NULL",
-    "scatter_3d": _sample(
-        "station_day",
-        "round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, round(humidity, 6) AS humidity, continent, station, "
-        "round(solar_radiation, 6) AS size",
-        "obs_id",
-        5000,
-        _sd(),
-    ),
+    "scatter_3d": _sd() + f"SELECT {SCATTER} FROM station_day",
+    "scatter_3d_sample": _sample("station_day", SCATTER, "obs_id", 5000, _sd()),
+    "scatter_points": _m()
+    + "SELECT round(tavg, 6) AS tavg, round(prcp, 6) AS prcp, year, date, station FROM measures",
+    "frame_rows": _sd()
+    + "SELECT continent, month, round(tavg, 6) AS tavg FROM station_day WHERE continent IS NOT NULL AND month IS NOT NULL",
     "frames": _sd()
     + "SELECT continent, month, round(avg(tavg), 6) AS tavg_mean FROM station_day "
     "WHERE continent IS NOT NULL AND month IS NOT NULL GROUP BY continent, month",
@@ -484,7 +511,7 @@ SQL: dict[str, str] = {
     "report_yearly": _m()
     + "SELECT year, count(*) AS rows, round(avg(tavg), 6) AS temp_mean, round(coalesce(sum(prcp), 0), 6) AS prcp_sum, "
     "round(avg(tmax), 6) AS temp_max, round(avg(tmin), 6) AS temp_min FROM measures WHERE year IS NOT NULL "
-    "GROUP BY year ORDER BY year LIMIT 10",
+    "GROUP BY year",
     "report_monthly": _m()
     + "SELECT month, count(*) AS rows, round(avg(tavg), 6) AS temp_mean, round(avg(prcp), 6) AS prcp_mean, "
     "round(coalesce(sum(prcp), 0), 6) AS prcp_sum, round(avg(tmax), 6) AS temp_max, "
@@ -492,10 +519,9 @@ SQL: dict[str, str] = {
     "report_station": _m()
     + "SELECT station, count(*) AS rows, count(DISTINCT year) AS years, round(avg(tavg), 6) AS temp_mean, "
     "round(coalesce(sum(prcp), 0), 6) AS prcp_sum, round(avg(prcp), 6) AS prcp_mean FROM measures "
-    "WHERE station IS NOT NULL GROUP BY station ORDER BY station LIMIT 10",
+    "WHERE station IS NOT NULL GROUP BY station",
     "report_station_counts": _m()
-    + "SELECT station, count(*) AS rows FROM measures WHERE station IS NOT NULL GROUP BY station "
-    "ORDER BY rows DESC, station LIMIT 15",
+    + "SELECT station, count(*) AS rows FROM measures WHERE station IS NOT NULL GROUP BY station",
     "report_header": _m()
     + ", "
     + YEARLY_TREND
@@ -511,11 +537,43 @@ SQL: dict[str, str] = {
     "SELECT year, round(temp_mean, 6) AS temp_mean, temp_mean = max(temp_mean) OVER () AS temp_mean_is_max, "
     "temp_mean = min(temp_mean) OVER () AS temp_mean_is_min FROM a",
 }
-SQL["describe_rank_select"] = SQL["describe"]
-SQL["box_stats_rank_select"] = SQL["box_stats"]
+SQL["violin_density_by_month"] = (
+    _sd()
+    + ", p AS (SELECT month, continent, tavg AS v FROM station_day WHERE continent IS NOT NULL AND tavg IS NOT NULL AND month IS NOT NULL),\n"
+    "e AS (SELECT min(tavg) AS lo, max(tavg) AS hi FROM measures WHERE month IS NOT NULL AND station_key IS NOT NULL),\n"
+    f"c AS (SELECT month, continent, {_bin('v', 'lo', 'hi', 20)} AS bin, any_value(lo) AS lo, any_value(hi) AS hi, "
+    "count(*) AS n FROM p, e GROUP BY 1, 2, 3),\n"
+    "t AS (SELECT month, continent, count(*) AS t FROM p GROUP BY 1, 2)\n"
+    "SELECT c.month, c.continent, bin, round(lo + bin * (hi - lo) / 20.0, 6) AS lo, round(lo + (bin + 1) * (hi - lo) / 20.0, 6) AS hi, "
+    "round(n / t, 6) AS density FROM c JOIN t ON c.continent = t.continent AND c.month = t.month"
+)
+SQL["select_observations_limit"] = (
+    _with(MEASURES) + ", " + OBS + "SELECT date, datatype, station, attributes, round(value, 6) AS value FROM ("
+    "SELECT * FROM obs WHERE date >= TIMESTAMP '1996-03-01' AND date < TIMESTAMP '1997-03-01' AND datatype IN ('TMAX', 'PRCP') "
+    "ORDER BY date, station, datatype, value LIMIT 1000)"
+)
+SQL["select_observations_dataset"] = (
+    _with(MEASURES) + ", " + OBS + "SELECT date, datatype, station, attributes, round(value, 6) AS value, 'MONTHLY' AS dataset "
+    "FROM obs WHERE date >= TIMESTAMP '1995-01-01' AND date < TIMESTAMP '2002-01-01' AND datatype = 'PRCP'"
+)
+SQL["prepare_feed_default"] = (
+    f"SELECT {KEYS}, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, round(snow, 6) AS snow, "
+    "round(wind_avg, 6) AS wind_avg, round((tmax + tmin) / 2, 6) AS tavg, continent, round(lat, 6) AS lat, "
+    "round(CAST(0.01 AS DOUBLE) * (year - 2000), 6) AS warming_trend, "
+    "round((tmax + tmin) / 2 + CAST(0.01 AS DOUBLE) * (year - 2000), 6) AS tavg_trend FROM ("
+    + _pivot(["TMAX", "TMIN", "PRCP", "SNOW", "AWND"], rename=True, rounded=False)
+    + ") q LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS sid, r_name AS continent, CAST((s_suppkey * 37) % 181 - 90 AS DOUBLE) AS lat "
+    "FROM supplier LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey) g ON s_nationkey = g.n_nationkey) st "
+    "ON q.station = st.sid"
+)
+SQL["columns_by_type"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{k}' AS kind, count(*) AS rows FROM events"
+    for c, k in {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "text", "value": "number", "props": "text"}.items()
+)
+SQL["box_stats_by_station"] = _m() + ", " + _box("measures", "tavg", "station")
 SQL["sample_fraction"] = (
     "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders "
-    f"WHERE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) < '{round(0.1 * 16**8):08x}'"
+    f"WHERE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 15) < '{round(0.1 * 16**15):015x}'"
 )
 SQL["curate_station_day"] = SQL["prepare_feed"]
 SQL["cap_rows_massive"] = _sample(
@@ -532,7 +590,8 @@ TIME_TEXT_COLUMNS = {
     "drop_incomplete": ["date"], "project_columns": ["date"], "filter_year_range": ["date"],
     "resample_mean": ["period"], "resample_mean_d": ["period"], "resample_mean_w": ["period"],
     "resample_mean_q": ["period"], "resample_mean_y": ["period"],
-    "date_span": ["first_date", "last_date"], "scatter_sample": ["date"],
+    "date_span": ["first_date", "last_date"], "scatter_sample": ["date"], "scatter_points": ["date"],
+    "select_observations_limit": ["date"], "select_observations_dataset": ["date"], "prepare_feed_default": ["date"],
 }
 for _key, _cols in TIME_TEXT_COLUMNS.items():
     _casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _cols)

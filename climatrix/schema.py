@@ -66,37 +66,11 @@ GRID_MAP = (800, 600)
 GRID_SCATTER = (800, 500)
 GRID_SPATIAL = (800, 400)
 
-# Sample caps used by the chart feeds.
-CAP_PARALLEL = 500
-CAP_SCATTER_3D = 5_000
-CAP_SCATTER = 10_000
-
 # ---------------------------------------------------------------------------
 # Schemas
 # ---------------------------------------------------------------------------
 
-MEASURE_COLUMNS = tuple(CODE_TO_COLUMN.values())
-EXTRA_MEASURES = (
-    "humidity",
-    "wind_speed",
-    "solar_radiation",
-    "pressure",
-    "evapotranspiration",
-    "soil_moisture",
-)
 CALENDAR_COLUMNS = ("year", "month", "day", "day_of_year", "week")
-STATION_ATTRIBUTES = ("continent", "country", "lat", "lon", "elevation")
-
-OBS_LONG = T.StructType(
-    [
-        T.StructField("date", T.TimestampNTZType()),
-        T.StructField("datatype", T.StringType()),
-        T.StructField("station", T.StringType()),
-        T.StructField("attributes", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
 # Landed API page: {"results": [ {date, datatype, station, attributes, value}, ... ]}
 # Dates arrive as text; they are parsed by parse_dates.
 FEED_RECORD = T.StructType(
@@ -109,14 +83,3 @@ FEED_RECORD = T.StructType(
     ]
 )
 FEED_PAGE = T.StructType([T.StructField("results", T.ArrayType(FEED_RECORD))])
-
-STATIONS = T.StructType(
-    [
-        T.StructField("station", T.StringType()),
-        T.StructField("continent", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("lat", T.DoubleType()),
-        T.StructField("lon", T.DoubleType()),
-        T.StructField("elevation", T.DoubleType()),
-    ]
-)

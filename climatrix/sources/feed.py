@@ -8,20 +8,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from climatrix.schema import FEED_PAGE
 
 
-def read_feed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """Feed records as text-dated long rows (S1). No ``results`` -> no rows.
 
+    A page that isn't valid JSON, or a value of the wrong type, fails the job. To go on
+    without such pages pass ``mode="DROPMALFORMED"`` and keep ``bad_pages`` of
+    the same path, so nothing is lost unseen.
+
     ``multi_line=True`` reads one JSON document per file (an API response);
     ``False`` reads one page per line (JSON Lines).
     """
-    pages = spark.read.schema(FEED_PAGE).option("multiLine", multi_line).json(path)
+    pages = spark.read.schema(FEED_PAGE).option("mode", mode).option("multiLine", multi_line).json(path)
     return pages.select(F.inline("results"))
 
 
+def bad_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Quarantine: file, text and readable records of every page that ``read_feed`` would refuse."""
+    schema = T.StructType([*FEED_PAGE.fields, T.StructField("_corrupt", T.StringType())])
+    pages = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multi_line).json(path)
+    # The records must be read as well: Spark refuses queries on the corrupt column alone.
+    return pages.filter("_corrupt IS NOT NULL").select(F.input_file_name().alias("file"), F.col("_corrupt").alias("page"), "results")
+
+
 def unnest_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Landed pages -> typed long observations (strict date parse)."""
     from climatrix.operators.prepare import parse_dates

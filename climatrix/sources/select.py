@@ -47,15 +47,17 @@ def select_observations(
     """The API request as a query over landed observations.
 
     ``dataset`` (e.g. a daily or monthly summary) selects rows of that
-    dataset when the table holds a ``dataset`` column - on a table written
-    partitioned by dataset this is directory pruning.
+    dataset; a table without a ``dataset`` column raises ValueError. On a
+    table written partitioned by dataset this is directory pruning.
     ``location`` is a frame of station ids (for instance the stations of one
     country); it is applied as a left-semi join, which the planner broadcasts
     only when its estimated size is under the session threshold.
     ``limit`` keeps the first rows in (date, station, datatype, value) order.
     """
     out = obs.filter(date_between(obs, date_col, start, end))
-    if dataset is not None and "dataset" in obs.columns:
+    if dataset is not None and "dataset" not in obs.columns:
+        raise ValueError("a dataset was asked for, but the table has no dataset column")
+    if dataset is not None:
         out = out.filter(F.col("dataset") == F.lit(dataset))
     if datatypes:
         out = out.filter(F.col("datatype").isin(list(datatypes)))

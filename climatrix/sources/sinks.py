@@ -13,13 +13,13 @@ from pyspark.sql import types as T
 DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """CSV with a header line, UTF-8, no index column."""
     df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
     return path
 
 
-def sink_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def sink_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """JSON records, one per line."""
     df.write.mode(mode).option("encoding", "UTF-8").json(path)
     return path
@@ -29,7 +29,7 @@ def sink_parquet(
     df: DataFrame,
     path: str,
     partition_by: tuple[str, ...] | list[str] = ("year",),
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
     cluster_by: tuple[str, ...] | list[str] | None = None,
 ) -> str:

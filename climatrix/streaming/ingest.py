@@ -29,6 +29,7 @@ def feed_stream(
     """Streaming long observations from landed pages (typed and scaled)."""
     pages = (
         spark.readStream.schema(FEED_PAGE)
+        .option("mode", "FAILFAST")
         .option("multiLine", multi_line)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(landing_dir)

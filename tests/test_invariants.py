@@ -182,12 +182,12 @@ def test_results_do_not_depend_on_session_time_zone(spark):
         assert before[n] == after[n], n
 
 
-def test_sample_n_bucketed_path_matches_brute_force(spark):
+def test_sample_n_matches_brute_force(spark):
     orders = fixtures.table(spark, SF_SMALL, "orders")
     keys = [r[0] for r in orders.select("o_orderkey").collect()]
     order = sorted(keys, key=lambda k: (hashlib.md5(f"{k}:7".encode()).hexdigest(), k))
     for n in (1, 777, len(keys) - 1):
-        got = sorted(r[0] for r in sample.sample_n(orders, n, "o_orderkey", seed=7, topk_limit=0).select("o_orderkey").collect())
+        got = sorted(r[0] for r in sample.sample_n(orders, n, "o_orderkey", seed=7).select("o_orderkey").collect())
         assert got == sorted(order[:n]), n
 
 
