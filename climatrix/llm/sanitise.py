@@ -13,7 +13,8 @@ generalised (or removed) wherever they stand in a context of that entity. Copies
 of one passage are one context, so copying isn't evidence.
 
 Counts cover all documents: contexts are few and stored; the terms to be
-counted in the corpus are only those that reach the support, joined by broadcast only
+counted in the corpus are only those that reach the support and whose documents among the
+contexts alone don't already keep them below the threshold; they are joined by broadcast only
 after their rows are counted. No join goes over texts unless a text has a term span and
 such spans are too many to broadcast.
 
@@ -156,18 +157,25 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """entity, term, disclosure of the terms that reveal an entity too strongly."""
-    near = rows.where("size(near) > 0").select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term").distinct()
+    exploded = rows.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context", "x.term")
+    near = exploded.select("entity", "context", "term").distinct()
     entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = stored(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support).join(entity, "entity"), "entity-terms")
+    least = exploded.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # documents with the term, at least
+    n = docs.count()
+
+    def disclosure(n_t: str):
+        ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest(n_t, "n_et"))) / F.log(F.lit(float(n)) / F.col("n_e"))
+        return F.when(F.col("n_e") < n, ratio)
+
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support).join(entity, "entity").join(least, "term")
+    pairs = stored(pairs.where(disclosure("n_t") >= threshold).drop("n_t"), "entity-terms")  # common words go here, before the corpus is read
     terms = stored(pairs.select("term").distinct(), "entity-vocabulary")
     n_terms = terms.count()
     wanted = F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms
     corpus = docs if n_terms else docs.limit(0)  # nothing to count
     held = corpus.select(F.explode(F.array_distinct(words("text"))).alias("term")).join(wanted, "term")
     counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = docs.count()
-    ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    scored = pairs.join(counted, "term").withColumn("disclosure", F.when(F.col("n_e") < n, ratio))
+    scored = pairs.join(counted, "term").withColumn("disclosure", disclosure("n_t"))
     return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
