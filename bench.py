@@ -35,6 +35,20 @@ HEADLINE = [
     "grid_mean",
     "kpi_dashboard",
 ]
+# The costliest of the rest, run once at the bench's size and once at a tenth of it: growth, not part of the value.
+COSTLY = [
+    "describe_all",
+    "box_stats",
+    "box_stats_by_station",
+    "sample_n",
+    "histogram",
+    "violin_density_by_month",
+    "prepare_feed_default",
+    "pivot_observations",
+    "frame_rows",
+    "curate_station_day",
+]
+SMALLER = {"sf0.1": "sf0.01", "sf0.01": "sf0.001"}
 COUNTED = {"filter_threshold"}  # the timing page counts this result
 
 
@@ -80,6 +94,11 @@ def main() -> None:
     times = {}
     for name in names:
         times[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 4)
+    folder, _, size = sf_dir.rpartition("/")
+    growth = {}
+    if not sys.argv[1:] and os.environ.get("BENCH_GROWTH", "1") != "0":
+        for d in [x for x in (SMALLER.get(size), size) if x and os.path.isdir(f"{folder}/{x}")]:
+            growth[d] = {name: round(run_once(spark, name, f"{folder}/{d}"), 3) for name in COSTLY}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -92,6 +111,7 @@ def main() -> None:
                 "rows": rows,
                 "cpus": cpus,
                 "runs": runs,
+                "growth": growth,
             }
         )
     )

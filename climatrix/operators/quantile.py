@@ -13,7 +13,7 @@ Here no row is ever moved:
 3. The bin that holds the rank is the next interval. It ends where its
    smallest and largest value are one: that is the rank's value.
 
-Three or four passes do for continuous doubles; each reads one column and
+One to three passes do for continuous doubles; each reads one column and
 the group keys. A group that holds a third of the rows is counted by all
 tasks. The interval table (a few rows a group) is broadcast only if it has
 at most ``BROADCAST_ROWS`` rows, else joined.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from climatrix.functions.safe import nan_to_null
 from climatrix.session import materialize
 
-BINS = 1024
+BINS = 16_384
 BROADCAST_ROWS = 100_000
 
 
@@ -39,9 +39,9 @@ def values_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return base.dropna(subset=[*by, "_v"])
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A materialized table, marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def _lerp(a: Column, b: Column, t: Column) -> Column:
@@ -68,9 +68,9 @@ def _ranked(values: DataFrame, by: list[str], stats: DataFrame, positions: list[
     ranks = F.array_distinct(F.array(*[f(h) for h in positions for f in (F.floor, F.ceil)]))
     state = stats.select(*by, F.col("_lo"), F.col("_hi"), F.lit(0).cast("bigint").alias("_below"), ranks.alias("_ranks"))
     done = state.filter("_lo = _hi").select(*by, F.explode("_ranks").alias("rank"), F.col("_lo").alias("value"))
-    found, state = [materialize(done)], materialize(state.filter("_lo < _hi"))
-    while not state.isEmpty():
-        seen = values.join(small(state.select(*by, "_lo", "_hi")), by).filter("_v BETWEEN _lo AND _hi")
+    found, state = [done], state.filter("_lo < _hi")  # ``stats`` is materialized
+    while n := state.count():
+        seen = values.join(small(state.select(*by, "_lo", "_hi"), n), by).filter("_v BETWEEN _lo AND _hi")
         bins = seen.groupBy(*by, "_lo", _bin().alias("_bin")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b")
         )
@@ -78,7 +78,7 @@ def _ranked(values: DataFrame, by: list[str], stats: DataFrame, positions: list[
         counted = bins.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
         start = F.col("_below") + F.col("_before")
         inside = F.filter("_ranks", lambda r: (r >= start) & (r < start + F.col("_c")))
-        hit = counted.join(small(state.select(*by, "_lo", "_below", "_ranks")), [*by, "_lo"]).withColumn("_inside", inside)
+        hit = counted.join(small(state.select(*by, "_lo", "_below", "_ranks"), n), [*by, "_lo"]).withColumn("_inside", inside)
         hit = materialize(hit.filter("size(_inside) > 0").select(*by, "_a", "_b", start.alias("_start"), "_inside"))
         found.append(hit.filter("_a = _b").select(*by, F.explode("_inside").alias("rank"), F.col("_a").alias("value")))
         state = hit.filter("_a < _b").select(
@@ -118,6 +118,11 @@ def exact_quantiles(
     if not by:
         values = values.withColumn("_all", F.lit(0))
     stats = materialize(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    return quantiles_from_stats(values, stats, probs, keys, names).select(*by, "n", *names)
+
+
+def quantiles_from_stats(values: DataFrame, stats: DataFrame, probs: Sequence[float], keys: list[str], names: Sequence[str]) -> DataFrame:
+    """``stats`` (keys, n, _lo, _hi; materialized) with the exact quantiles of ``values`` (keys, _v)."""
     pos = [(F.col("n") - F.lit(1)) * F.lit(float(p)) for p in probs]
     ranks = _ranked(values, keys, stats, pos)
     by_group = ranks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
@@ -125,4 +130,4 @@ def exact_quantiles(
         _lerp(F.element_at("_m", F.floor(h)), F.element_at("_m", F.ceil(h)), h - F.floor(h)).alias(name)
         for h, name in zip(pos, names, strict=True)
     ]
-    return stats.join(by_group, keys).select(*by, "n", *outs)
+    return stats.join(by_group, keys).select("*", *outs)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.safe import nan_to_null, pair_corr
-from climatrix.operators.quantile import exact_quantiles
+from climatrix.operators.quantile import exact_quantiles, quantiles_from_stats, values_of
+from climatrix.session import materialize
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
@@ -32,7 +33,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "ex
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"], method=method)
+    probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
+    if method == "exact":  # the moments already hold the counts and extremes that the passes start from
+        m = materialize(m)
+        known = m.filter("count > 0").select("column", F.col("count").alias("n"), F.col("min").alias("_lo"), F.col("max").alias("_hi"))
+        q = quantiles_from_stats(values_of(long, "value", ["column"]), known, probs, ["column"], names).select("column", "n", *names)
+    else:
+        q = exact_quantiles(long, "value", probs, by=["column"], names=names, method=method)
     present = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     # Every table here has one row per requested column: broadcasts are bounded.
     return present.join(F.broadcast(m), "column", "left").join(F.broadcast(q.drop("n")), "column", "left").select(

@@ -73,6 +73,7 @@ def _ev(spark, sf):
 
 def _obs_prepared(spark, sf, codes=None):
     obs = fixtures.observations_from_events(spark, sf).drop("event_id")
+    codes = prepare.codes_present(obs) if codes == "present" else codes
     return (
         obs.transform(prepare.calendar_parts)
         .transform(prepare.scale_units)
@@ -233,8 +234,8 @@ def q_rename_codes(spark, sf):
 
 @register("derive_tavg")
 def q_derive_tavg(spark, sf):
-    """Requested datatypes TMAX, TMIN, PRCP: no TAVG column, so it is derived."""
-    return prepare.derive_tavg(prepare.rename_codes(_obs_prepared(spark, sf, ["TMAX", "TMIN", "PRCP"])))
+    """The codes that have records: no TAVG among them, so it is derived."""
+    return prepare.derive_tavg(prepare.rename_codes(_obs_prepared(spark, sf, "present")))
 
 
 @register("attach_station_attributes")
@@ -259,7 +260,7 @@ def q_coerce_numeric(spark, sf):
 
 @register("drop_incomplete")
 def q_drop_incomplete(spark, sf):
-    wide = prepare.rename_codes(_obs_prepared(spark, sf, ["TMAX", "TMIN", "PRCP"]))
+    wide = prepare.rename_codes(_obs_prepared(spark, sf, "present"))
     return prepare.drop_incomplete(wide, ["tmax", "tmin"])
 
 

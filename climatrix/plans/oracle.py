@@ -61,6 +61,7 @@ EV_PREP = """ev_prep AS (
          CASE WHEN datatype IN ('TMAX', 'TMIN', 'TAVG', 'PRCP') THEN value / 10 ELSE value END AS value
   FROM ev_obs)"""
 
+PRESENT = ["TMAX", "TMIN", "PRCP", "SNOW", "AWND"]  # codes with records in ev_obs
 CODES = ["TMAX", "TMIN", "TAVG", "PRCP", "SNOW", "SNWD", "AWND", "WSF2", "WDF2", "WSF5"]
 NAMES = {
     "TMAX": "tmax", "TMIN": "tmin", "TAVG": "tavg", "PRCP": "prcp", "SNOW": "snow",
@@ -292,8 +293,8 @@ SQL: dict[str, str] = {
     "pivot_observations": _pivot(CODES, rename=False),
     "rename_codes": _pivot(CODES, rename=True),
     "derive_tavg": f"SELECT {KEYS}, round(tmax, 6) AS tmax, round(tmin, 6) AS tmin, round(prcp, 6) AS prcp, "
-    "round((tmax + tmin) / 2, 6) AS tavg FROM ("
-    + _pivot(["TMAX", "TMIN", "PRCP"], rename=True, rounded=False)
+    "round(snow, 6) AS snow, round(wind_avg, 6) AS wind_avg, round((tmax + tmin) / 2, 6) AS tavg FROM ("
+    + _pivot(PRESENT, rename=True, rounded=False)
     + ") q",
     "attach_station_attributes": _sd()
     + "SELECT obs_id, station, continent, country, round(lat, 6) AS lat, round(lon, 6) AS lon, "
@@ -305,7 +306,7 @@ SQL: dict[str, str] = {
     + _number("CASE WHEN event_type = 'error' THEN props ELSE CAST(value AS VARCHAR) END")
     + ", 6) AS v FROM events",
     "drop_incomplete": "SELECT * FROM ("
-    + _pivot(["TMAX", "TMIN", "PRCP"], rename=True)
+    + _pivot(PRESENT, rename=True)
     + ") q WHERE tmax IS NOT NULL AND tmin IS NOT NULL",
     "numeric_columns": "SELECT * FROM ("
     "SELECT 'event_id' AS \"column\", 'numeric' AS kind, count(event_id) AS n_parsable FROM events "

@@ -15,8 +15,9 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from climatrix.session import local_session
+    from climatrix.session import local_session, remove_scratch
 
     s = local_session("*", shuffle_partitions=8)
     yield s
+    remove_scratch(s)
     s.stop()
