@@ -36,6 +36,8 @@ SPACED = _class([0x20, *range(0x09, 0x0E)])
 ALNUM = _class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -126,8 +128,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
-def tokenize(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False) -> Words:
-    """Words of a large_string array without nulls (see ``texts``)."""
+def tokenize(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False, trim: np.ndarray | None = None) -> Words:
+    """Words of a large_string array without nulls (see ``texts``).
+
+    ``trim`` is a table of bytes: one of them at the end of a word, behind an ASCII letter, is left out of it.
+    """
     data, off = raw(column)
     if lower:
         data = _LOWER[data]
@@ -140,6 +145,8 @@ def tokenize(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False)
     begin[cut] = inside[1:-1][cut]
     stop[cut - 1] = inside[1:-1][cut - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    if trim is not None and len(start):
+        end = end - (trim[data[end - 1]] & _LETTER[data[np.maximum(end - 2, start)]])
     prefix = np.zeros(n + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * _powers(BYTE_BASE, max(n, 1))[:n], out=prefix[1:])
     h = mix(_segment_hash(prefix, start, end, BYTE_BASE) + (end - start).astype(U64)) if len(start) else np.empty(0, U64)
