@@ -41,8 +41,8 @@ from climatrix.llm.blobs import deltas, narrow, pack, part_of, undelta, unpack
 from climatrix.llm.tables import bucketed, stored
 
 WINDOW, GRAM = 20, 8
-CHUNK_BYTES = 12 << 20
-PARTITION_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
+PARTITION_BYTES = 8 << 20
 #: Suffixes that one task sorts at a time.
 GROUP = 200_000
 DEPTHS = (1, 2, 4, 8, WINDOW)
@@ -131,19 +131,21 @@ class _Chunk:
         lead[1:] = self.seg[order][1:] != self.seg[order][:-1]
         self.entry = order[lead]  # ascending by gram
 
-    def asks(self, parts: int) -> list[bytes]:
+    def asks(self, parts: int) -> list[tuple[int, bytes]]:
+        """(partition, ask) for the partitions that the chunk has runs of: never more asks than runs."""
         part = part_of(self.gram[self.entry], parts)
         cut = np.searchsorted(part, np.arange(parts + 1))
         ids = self.ids.view(np.uint64)
         return [
-            pack(deltas(self.gram[e]), self.seg[e], ids[self.doc[e]])
-            for a, b in zip(cut[:-1], cut[1:], strict=True)
+            (p, pack(deltas(self.gram[e]), self.seg[e], ids[self.doc[e]]))
+            for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             for e in [self.entry[a:b]]
+            if b > a
         ]
 
     def judged(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Runs whose windows are all removed, and runs whose windows go into trees."""
-        flags = np.concatenate([unpack(a)[0] for a in answers])
+        flags = np.concatenate([np.empty(0, np.uint8), *(unpack(a)[0] for a in answers)])
         gone = np.ones(len(self.start), dtype=bool)
         gone[self.entry] = (flags & 1) == 0
         tree = np.zeros(len(self.start), dtype=bool)
@@ -159,12 +161,10 @@ class _Chunk:
 def _anchor_table(chunks: DataFrame, parts: int, window: int) -> DataFrame:
     """chunk, part, answer: for each run that the chunk asked for, 1 if it is the run's first place, plus 2 if its anchor has other runs."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = pa.Table.from_batches([b.slice(k, 1)])
-                out = _Chunk(row, window).asks(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([row.column("chunk")[0].as_py()] * parts), pa.array(range(parts), pa.int32()), pa.array(out, pa.binary())], ["chunk", "part", "ask"])
+    def ask(body: pa.Table) -> pa.Table:
+        out = _Chunk(body, window).asks(parts)
+        chunk = [body.column("chunk")[0].as_py()] * len(out)
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([p for p, _ in out], pa.int32()), "ask": pa.array([a for _, a in out], pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
         got = [unpack(x) for x in table.column("ask").to_pylist()]
@@ -184,7 +184,7 @@ def _anchor_table(chunks: DataFrame, parts: int, window: int) -> DataFrame:
         answers = [pack(flags[e - s : e]) for s, e in zip(sizes, ends, strict=True)]
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "answer": pa.array(answers, pa.binary())})
 
-    asked = chunks.mapInArrow(ask, "chunk long, part int, ask binary")
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, part int, ask binary")  # one chunk in memory at a time
     return asked.groupBy("part").applyInArrow(total, "chunk long, part int, answer binary")
 
 
@@ -326,7 +326,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> D
     def run(body: pa.Table, told: pa.Table) -> pa.Table:
         kind, blob = told.column("kind").to_pylist(), told.column("answer").to_pylist()
         c = _Chunk(body, window)
-        gone, tree = c.judged(_by_part(told.filter(pa.array([k == 0 for k in kind]))))
+        gone, tree = c.judged(_by_part(told.filter(pa.array([k == 0 for k in kind], pa.bool_()))))
         edge = np.zeros(len(c.hash) + window + 1, dtype=np.int64)
         np.add.at(edge, c.start[gone], 1)
         np.add.at(edge, (c.start + c.count - 1 + window)[gone], -1)
