@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from climatrix.llm import text as T
-from climatrix.llm.tables import stored
+from climatrix.llm.tables import fresh, stored
 
 BUCKETS, BITS, MANTISSA = 128, 7, 10
 ROWS = 4
 MARGIN = 0.25
+#: Most rows of a table that is sent to every executor.
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +134,29 @@ def banded(sets: DataFrame) -> DataFrame:
     return sets.select("node", "sketch").mapInArrow(run, "key long, node long")
 
 
+def _fit(stored_table: DataFrame) -> DataFrame:
+    """A stored table of plain columns, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(stored_table) if stored_table.count() <= BROADCAST_ROWS else stored_table
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for every node of ``edges`` (src, dst).
 
     Smallest-label propagation with label jumping; each round is written to
-    the shared folder, so a lost executor never replays earlier rounds.
+    the shared folder, so a lost executor never replays earlier rounds. Labels are
+    broadcast only if their counted rows allow it, else joined by shuffle.
     """
-    both = stored(edges.where("src <> dst").unionByName(edges.selectExpr("dst AS src", "src AS dst").where("src <> dst")).distinct(), "edges")
+    both = edges.unionByName(edges.selectExpr("dst AS src", "src AS dst")).where("src <> dst")
+    both = stored(both.distinct(), "edges")
     label = stored(both.groupBy("src").agg(F.min("dst").alias("m")).selectExpr("src AS node", "least(src, m) AS root"), "labels")
+    n = label.count()
+    small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    files = max(2, n // 10_000) if n <= BROADCAST_ROWS else None  # few rows, few files
     while True:
-        near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("root").alias("m"))
-        step = label.join(near, label.node == near.src, "left").selectExpr("node", "root AS old", "least(root, coalesce(m, root)) AS root")
-        jump = step.alias("s").join(label.alias("l"), F.col("s.root") == F.col("l.node"), "left")
-        label = stored(jump.selectExpr("s.node AS node", "s.old AS old", "least(s.root, coalesce(l.root, s.root)) AS root"), "labels")
+        near = both.join(small(label.withColumnRenamed("node", "dst")), "dst").groupBy("src").agg(F.min("root").alias("m"))
+        step = near.join(small(label), F.col("src") == F.col("node")).selectExpr("node", "root AS old", "least(root, m) AS to")
+        jump = step.join(small(label.selectExpr("node AS to", "root AS over")), "to", "left").selectExpr("node", "old", "least(to, coalesce(over, to)) AS root")
+        label = stored(jump.coalesce(files) if files else jump, "labels")
         if label.where("old <> root").isEmpty():
             return label.select("node", "root")
         label = label.select("node", "root")
@@ -194,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "sets"
     )
     keys = stored(_shared_keys(banded(sets)), "keys")
-    clusters = components(keys.selectExpr("hub AS src", "node AS dst"))
+    clusters = stored(_clusters(keys), "clusters")
     links = stored(_links(docs, sets, keys, clusters, k, percent), "links")
     return _labelled(rows, sets, links)
 
@@ -202,19 +214,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _shared_keys(keys: DataFrame) -> DataFrame:
     """key, node, hub, size of every band key that two vertices or more have; hub is the smallest of them."""
     groups = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
-    return keys.join(groups.where("hub < last"), "key").select("key", "node", "hub", "size").distinct()
+    return keys.join(groups.where("hub < last"), "key").select("key", "node", "hub", "size")
+
+
+def _clusters(keys: DataFrame) -> DataFrame:
+    """node, root: components of vertices that share band keys.
+
+    Each vertex first goes over to the smallest hub of its keys, which leaves few
+    edges, whatever the size of the groups.
+    """
+    to = stored(keys.groupBy("node").agg(F.min("hub").alias("to")), "hubs")
+    half = keys.select("node", "hub").join(to, "node").select("hub", "to").distinct()
+    edges = half.join(to.selectExpr("node AS hub", "to AS over"), "hub").select(F.col("to").alias("src"), F.col("over").alias("dst"))
+    root = components(edges).withColumnRenamed("node", "to")
+    root = _fit(root)
+    return to.join(root, "to", "left").selectExpr("node", "coalesce(root, to) AS root")
 
 
 def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """src, dst: verified links whose closure has all links within the clusters."""
     t = percent / (100.0 + percent)  # J >= p is |A & B| >= t (|A| + |B|)
-    small = sets.select("node", "n", "a", "b").join(clusters.withColumnRenamed("root", "cluster"), "node")
-    full = stored(_sets_of(docs, small.select("node", "n", "cluster"), k).dropDuplicates(["node", "n", "cluster", "items"]), "full-sets")
+    wanted = stored(sets.select("node", "n").join(_fit(clusters.withColumnRenamed("root", "cluster")), "node"), "cluster-sets")
+    full = stored(_sets_of(docs, _fit(wanted), k), "full-sets")
     degree = keys.groupBy("node").agg(F.sum("size").alias("degree"))
-    central = clusters.join(degree, "node").groupBy(F.col("root").alias("cluster")).agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
+    central = degree.join(_fit(clusters), "node").groupBy(F.col("root").alias("cluster")).agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
     hubs = full.join(central, (full.cluster == central.cluster) & (full.node == central.hub)).select(
         full.cluster, F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("hub_items")
-    )
+    ).dropDuplicates(["cluster"])
     against = full.join(hubs, "cluster").select(
         "cluster", "node", "n", "hub", "hub_n",
         F.size(F.array_intersect("items", "hub_items")).alias("shared"),
@@ -241,8 +267,9 @@ def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFram
     once = (F.col("x_node") != F.col("y_node")) & (F.col("linked") | (F.col("x_node") < F.col("y_node")))
     need = F.ceil(t * (F.col("x_n") + F.col("y_n")) - 1e-6) - F.least("x_shared", "y_shared")
     key = keys.select("key", "node")
-    x_key = key.join(x.drop("cluster", "more", "need"), F.col("node") == F.col("x_node")).drop("node").withColumnRenamed("key", "x_key")
-    y_key = key.join(y.drop("cluster", "more"), F.col("node") == F.col("y_node")).drop("node")
+    fits = F.broadcast if member.count() <= BROADCAST_ROWS else (lambda df: df)  # without the items: a few numbers a member
+    x_key = key.join(fits(x.drop("cluster", "more", "need")), F.col("node") == F.col("x_node")).drop("node").withColumnRenamed("key", "x_key")
+    y_key = key.join(fits(y.drop("cluster", "more")), F.col("node") == F.col("y_node")).drop("node")
     near = x_key.join(y_key, (F.col("x_key") == F.col("key")) & once & (need <= 0))
     # ... or enough of the second part is needed, and one of the x's rarest items must be among them.
     x_item = x.select(
@@ -254,11 +281,11 @@ def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFram
     same = (F.col("x_cluster") == F.col("cluster")) & (F.col("x_item.item") == F.col("y_item.item"))
     apart = x_item.join(y_item, same & once & (need >= 1) & (reach >= need))
     found = near.select("x_node", "x_n", "y_node", "y_n").unionByName(apart.select("x_node", "x_n", "y_node", "y_n")).distinct()
-    pairs = found.toDF("x", "nx", "y", "ny")
+    pairs = _fit(stored(found.toDF("x", "nx", "y", "ny"), "pairs"))
     sketch = sets.select("node", "n", "sketch")
-    pairs = pairs.join(sketch.selectExpr("node AS x", "n AS nx", "sketch AS sx"), ["x", "nx"]).join(sketch.selectExpr("node AS y", "n AS ny", "sketch AS sy"), ["y", "ny"])
-    likely = _likely(pairs, percent / 100.0 - MARGIN).distinct()
-    both = likely.join(full.selectExpr("node AS x", "n AS nx", "items AS ix"), "x").join(full.selectExpr("node AS y", "n AS ny", "items AS iy"), "y")
+    pairs = sketch.selectExpr("node AS x", "n AS nx", "sketch AS sx").join(pairs, ["x", "nx"]).join(sketch.selectExpr("node AS y", "n AS ny", "sketch AS sy"), ["y", "ny"])
+    likely = _fit(stored(_likely(pairs, percent / 100.0 - MARGIN), "likely-pairs"))
+    both = full.selectExpr("node AS x", "n AS nx", "items AS ix").join(likely, "x").join(full.selectExpr("node AS y", "n AS ny", "items AS iy"), "y")
     both = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("ix", "iy")).alias("shared"))
     found = both.where(f"100 * shared >= {percent} * (nx + ny - shared)").selectExpr("x AS src", "y AS dst")
     return star.unionByName(found).where("src <> dst").distinct()
@@ -267,7 +294,8 @@ def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFram
 def _labelled(rows: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """Components of ids: those of equal sets, of links, and of rows sharing an id."""
     root = components(links)
-    copies = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "a", "b", "n").distinct()
+    copies = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "a", "b", "n")
+    root = _fit(root)
     of_set = sets.select("a", "b", "n", "node").join(root, "node", "left").selectExpr("a", "b", "n", "coalesce(root, node) AS root")
     by_id = copies.join(of_set, ["a", "b", "n"]).select("doc_id", "root")
     ids = by_id.groupBy("doc_id").agg(F.min("root").alias("root"), F.max("root").alias("other"))
@@ -286,5 +314,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat a kept id all stay; rows with a null id stay too.
     """
-    gone = near_duplicates(docs, k, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, k, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
