@@ -7,7 +7,7 @@ the unigram mass of the words it was never followed by: every distribution sums
 to one exactly, the class of unknown words included.
 
 The model's tables grow with the corpus, so nothing of them is ever broadcast.
-Documents are gathered into chunks of about two million tokens, and a
+Documents are gathered into chunks of about a million tokens, and a
 chunk asks for what it needs once per distinct key:
 
 1. word table, partitioned by word hash: asked for the chunk's words with their
@@ -40,9 +40,9 @@ from climatrix.llm.blobs import deltas, narrow, pack, part_of, undelta, unpack
 from climatrix.llm.tables import fold, stored
 
 FOLDS = 10
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_200_000
 #: Bytes of text for each partition of the word and pair tables.
-PARTITION_BYTES = 4 << 20
+PARTITION_BYTES = 8 << 20
 K = 5
 TRUST = 0.001
 #: Stands for the closing token among word hashes.
@@ -89,11 +89,15 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
         count = np.bincount(which, np.repeat(~held, n), len(words)).astype(np.int64)
         part = part_of(words, parts)
         cut = np.searchsorted(part, np.arange(parts + 1))
-        asks = [pack(deltas(words[a:b]), narrow(count[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        asks = [
+            {"part": p, "ask": pack(deltas(words[a:b]), narrow(count[a:b]))}
+            for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            if b > a  # so there are never more asks than keys, however many partitions
+        ]
         ids = pa.concat_arrays([x[0] for x in rows])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), one(ids), one(pa.array(held)), one(pa.array(n, pa.int64())), pa.array([pack(narrow(which))], pa.binary()), pa.array([asks], pa.list_(pa.binary()))],
+            [pa.array([chunk]), one(ids), one(pa.array(held)), one(pa.array(n, pa.int64())), pa.array([pack(narrow(which))], pa.binary()), pa.array([asks], pa.list_(pa.struct([("part", pa.int32()), ("ask", pa.binary())])))],
             ["chunk", "doc_id", "held", "n", "tokens", "asks"],
         )
 
@@ -117,7 +121,7 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", (fold("doc_id", FOLDS) == 0).alias("held"))
-    return rows.mapInArrow(run, f"chunk long, doc_id array<{kind}>, held array<boolean>, n array<long>, tokens binary, asks array<binary>")
+    return rows.mapInArrow(run, f"chunk long, doc_id array<{kind}>, held array<boolean>, n array<long>, tokens binary, asks array<struct<part:int,ask:binary>>")
 
 
 def _word_table(chunks: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ def _word_table(chunks: DataFrame) -> DataFrame:
             {"chunk": pa.array([*chunk, -1], pa.int64()), "part": pa.array([part] * (len(chunk) + 1), pa.int32()), "answer": pa.array([*answers, None], pa.binary()), "stats": pa.array([None] * len(chunk) + [stats], pa.list_(pa.int64()))}
         )
 
-    asked = chunks.select("chunk", F.posexplode("asks").alias("part", "ask"))
+    asked = chunks.select("chunk", F.inline("asks"))
     return asked.groupBy("part").applyInArrow(total, "chunk long, part int, answer binary, stats array<long>")
 
 

@@ -44,7 +44,7 @@ WINDOW, GRAM = 20, 8
 CHUNK_BYTES = 6 << 20
 PARTITION_BYTES = 8 << 20
 #: Suffixes that one task sorts at a time.
-GROUP = 200_000
+GROUP = 100_000
 DEPTHS = (1, 2, 4, 8, WINDOW)
 _LOW = np.uint64((1 << 24) - 1)
 
