@@ -77,7 +77,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run,
+        T.releasing(run),
         f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "zstd_ratio double, chunks long, chunks_out long, base_failed boolean, kept boolean",
     )

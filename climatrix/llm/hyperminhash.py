@@ -117,7 +117,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n", "a", "b", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(T.releasing(run), "doc_id long, n long, a long, b long, sketch binary")
 
 
 def banded(sets: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def banded(sets: DataFrame) -> DataFrame:
                 node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
 
-    return sets.select("node", "sketch").mapInArrow(run, "key long, node long")
+    return sets.select("node", "sketch").mapInArrow(T.releasing(run), "key long, node long")
 
 
 def _fit(stored_table: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    made = rows.select("node", "n", "cluster", "text").mapInArrow(run, "node long, n long, cluster long, items array<long>")
+    made = rows.select("node", "n", "cluster", "text").mapInArrow(T.releasing(run), "node long, n long, cluster long, items array<long>")
     return made.where("n = size(items)")
 
 
@@ -192,7 +192,7 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
                 nx, ny = (b.column(c).to_numpy(zero_copy_only=False) for c in ("nx", "ny"))
                 yield b.select(["x", "y"]).filter(pa.array(estimate(sx, sy, nx, ny) >= least))
 
-    return pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long")
+    return pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(T.releasing(run), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

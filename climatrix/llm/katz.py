@@ -121,7 +121,7 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", (fold("doc_id", FOLDS) == 0).alias("held"))
-    return rows.mapInArrow(run, f"chunk long, doc_id array<{kind}>, held array<boolean>, n array<long>, tokens binary, asks array<struct<part:int,ask:binary>>")
+    return rows.mapInArrow(T.releasing(run), f"chunk long, doc_id array<{kind}>, held array<boolean>, n array<long>, tokens binary, asks array<struct<part:int,ask:binary>>")
 
 
 def _word_table(chunks: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def block_frequencies(docs: DataFrame, templates) -> dict[int, int]:
                     total += np.bincount(pair % len(words), minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words), dtype=np.int32)), pa.array(total)], ["word", "blocks"])
 
-    counted = docs.select("text").mapInArrow(run, "word int, blocks long").groupBy("word").agg(F.sum("blocks").alias("blocks"))
+    counted = docs.select("text").mapInArrow(T.releasing(run), "word int, blocks long").groupBy("word").agg(F.sum("blocks").alias("blocks"))
     return {r["word"]: r["blocks"] for r in counted.collect()}
 
 
@@ -176,7 +176,7 @@ def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     return keyed.mapInArrow(
-        run,
+        T.releasing(run),
         f"doc_id {kind}, row long, n_words long, n_base long, first_word long, last_word long, base array<string>, "
         "blocks array<struct<block:int,start:bigint,end:bigint,tokens:array<bigint>>>",
     )

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from climatrix.llm import text as T
 from climatrix.llm.tables import numbered, stored
@@ -37,7 +36,7 @@ ROUNDS = 1200
 STEP = 0.5
 ETA = 4.0
 #: Words whose ids a task keeps; others are encoded again.
-KEPT_WORDS = 2_000_000
+KEPT_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -53,7 +52,7 @@ class Encoder:
     are those of its words in turn. It lower-cases, and no token holds a letter and a stop behind it;
     so words are looked up in lower case, without one closing stop, whose own id follows. (Texts with
     the marks of special tokens are left as they are.) Known words are kept as sorted
-    hashes with their ids in one array: 20 to 30 bytes a word.
+    hashes with their ids in one array: about 35 bytes a word.
     """
 
     def __init__(self, path: str):
@@ -61,9 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hash = np.empty(0, dtype=np.uint64)
-        self.begin = np.zeros(1, dtype=np.int64)  # of each word's ids, one more than words
+        self.hash = np.empty(0, dtype=np.uint64)  # sorted
+        self.begin = np.empty(0, dtype=np.int32)  # of each word's ids in flat
+        self.size = np.empty(0, dtype=np.int32)
         self.flat = np.empty(0, dtype="<u4")
+        self.fresh: list[tuple[np.ndarray, list[list[int]]]] = []  # words to be put in their places, some thousands at a time
         self.stop = np.zeros(256, dtype="<u4")
         self.trim = np.zeros(256, dtype=bool)
         for c in ".,;:!?":
@@ -75,29 +76,35 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """Put new words in their sorted places, as long as there is room."""
-        room = max(0, KEPT_WORDS - len(self.hash))
-        h, ids = h[:room], ids[:room]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        every = np.concatenate([self.hash, h])
-        begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(size) - size])
-        size = np.concatenate([np.diff(self.begin), size])
-        flat = np.concatenate([self.flat, np.fromiter((y for x in ids for y in x), dtype="<u4", count=int(size[len(self.hash):].sum()))])
-        order = np.argsort(every, kind="stable")
-        size, begin = size[order], begin[order]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        self.flat = flat[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        self.hash, self.begin = every[order], ends
+        """Keep new words, as long as there is room; sorting them in waits until there are enough."""
+        room = KEPT_WORDS - len(self.hash)
+        if room <= 0:
+            return
+        self.fresh.append((h[:room], ids[:room]))
+        if sum(len(x) for x, _ in self.fresh) < min(room, 30_000):
+            return
+        h, first = np.unique(np.concatenate([x for x, _ in self.fresh]), return_index=True)
+        every = [x for _, own in self.fresh for x in own]
+        own = [every[k] for k in first.tolist()]
+        self.fresh = []
+        size = np.array([len(x) for x in own], dtype=np.int32)
+        begin = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
+        self.flat = np.concatenate([self.flat, np.fromiter((y for x in own for y in x), dtype="<u4", count=int(size.sum()))])
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.begin, self.size = np.insert(self.hash, at, h), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, and where each text's begin (one more than texts)."""
         plain = b"<|" not in T.raw(column)[0].tobytes()
         w = T.tokenize(column, lower=plain, trim=self.trim if plain else None)
         h, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hash, h)
-        new = np.flatnonzero(self.hash[np.minimum(place, len(self.hash) - 1)] != h) if len(self.hash) else np.arange(len(h))
-        begin = self.begin[np.minimum(place, len(self.begin) - 2)] if len(self.hash) else np.zeros(len(h), np.int64)
-        size = np.diff(self.begin)[np.minimum(place, len(self.hash) - 1)] if len(self.hash) else np.zeros(len(h), np.int64)
+        begin, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        known = np.zeros(len(h), dtype=bool)
+        if len(self.hash):
+            place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            known = self.hash[place] == h
+            begin[known], size[known] = self.begin[place[known]], self.size[place[known]]
+        new = np.flatnonzero(~known)
         flat = self.flat
         if len(new):
             body = w.data.tobytes()
@@ -143,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         closing = np.array([END], dtype="<u4").tobytes()
         for b in batches:
             col = T.texts(b.column("text"))
-            for i, j in T.slices(col, 2 * T.SLICE_BYTES):
+            for i, j in T.slices(col):
                 ids, first = encoder.ids(col[i:j])
                 raw, out = ids.tobytes(), []
                 for d in range(j - i):
@@ -156,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(T.releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def price(value: np.ndarray, capacity: int) -> dict[int, int]:
@@ -279,4 +286,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     ranked = numbered(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "slot")
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.mapInArrow(T.releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -111,7 +111,7 @@ def with_features(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], flat], ["doc_id", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(T.releasing(run), f"doc_id {kind}, x array<double>")
 
 
 def training_rows(labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -140,7 +140,7 @@ def scored(features: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(forest.scores(x))], ["doc_id", "score"])
 
     kind = features.schema["doc_id"].dataType.simpleString()
-    return features.mapInArrow(run, f"doc_id {kind}, score double")
+    return features.mapInArrow(T.releasing(run), f"doc_id {kind}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
@@ -173,4 +173,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Da
                 good = forest.scores(statistics.features(col[i:j], compress)) >= THRESHOLD
                 yield b.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(T.releasing(run), schema)

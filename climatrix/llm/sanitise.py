@@ -149,7 +149,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     return keyed.mapInArrow(
-        run,
+        T.releasing(run),
         f"doc_id {kind}, row long, spans array<struct<start:bigint,kind:int,end:bigint>>, "
         "near array<struct<entity:string,context:bigint,term:string,start:bigint,end:bigint>>",
     )
@@ -229,7 +229,7 @@ def sanitised(docs: DataFrame, remove_terms: bool = False) -> DataFrame:
             arrays[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{x}" for x in range(len(names))])
 
-    made = joined.mapInArrow(run, _renamed(schema))
+    made = joined.mapInArrow(T.releasing(run), _renamed(schema))
     return made.toDF(*names)
 
 

@@ -78,7 +78,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if rows:
             yield emit(rows, chunk)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "chunk long, doc_id array<long>, ends array<long>, body binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.releasing(run), "chunk long, doc_id array<long>, ends array<long>, body binary")
 
 
 class _Chunk:
@@ -260,7 +260,7 @@ def _memory_sized(suffixes: DataFrame, limit: int) -> DataFrame:
                         new = np.full(len(at), hash((old, chunk)), dtype=np.int64)
                     yield _dealt(chunk, at, ids, words, new | np.int64(1 << 62), depth)
 
-        made = stored(suffixes.join(names, "grp", "left_semi").select("chunk", "grp", "suffixes").mapInArrow(split, _SUFFIXES), "split-suffixes")
+        made = stored(suffixes.join(names, "grp", "left_semi").select("chunk", "grp", "suffixes").mapInArrow(T.releasing(split), _SUFFIXES), "split-suffixes")
         suffixes = suffixes.join(names, "grp", "left_anti").select("chunk", "grp", "depth", "n", "suffixes").unionByName(made)
     return suffixes
 
