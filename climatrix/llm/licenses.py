@@ -12,18 +12,21 @@ them, rarest first, and three filters leave few pairs to verify:
 
 Templates are a parameter of bounded size (their words are sent to every
 task); blocks never leave their row except as small lists of token ranks.
-A block's label is that of its best template (highest containment, then most words), so the
-notices of two versions of one licence don't answer for each other.
+Every template that a block matches counts, at the shortest range of words that holds its
+words. A match is dropped only where a better one (higher containment, then more words)
+over the same range rests on all its words as well: the notices of two versions of one
+licence don't answer for each other.
 
 Defined results: null and empty texts have no words, no labels and score 0;
 rows equal in id and text give equal results, rows that share an id only are
-judged each on its own; equal best templates of a block all count; other
+judged each on its own; equal templates over one range all count; other
 columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,8 +119,11 @@ def block_frequencies(docs: DataFrame, templates) -> dict[int, int]:
     return {r["word"]: r["blocks"] for r in counted.collect()}
 
 
+_BLOCK = pa.struct([("block", pa.int32()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64()))])
+
+
 def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> DataFrame:
-    """Base columns of every row and its candidate blocks (line, word range, ascending token ranks)."""
+    """Base columns of every row and its candidate blocks (line, ascending token ranks, the places of all its tokens and their ranks)."""
     words, known, which = _vocabulary(templates)
     ranks = np.array([rank[i] for i in range(len(words))] + [0], dtype=np.int64)
     index = {x: i for i, x in enumerate(words)}
@@ -155,6 +161,7 @@ def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> D
                 held = np.flatnonzero(ids >= 0)
                 if len(held):
                     block, token = _blocks(w)[held], ranks[ids[held]]
+                    every, lines = token, block  # of each place, in order
                     pair, place = np.unique(block * len(words) + token, return_index=True)
                     block, token, place = pair // len(words), pair % len(words), held[place]
                     cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
@@ -162,14 +169,14 @@ def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> D
                     for x in np.flatnonzero(useful & (np.diff(cut) >= least)):
                         own = slice(cut[x], cut[x + 1])
                         d = doc[place[cut[x]]]
-                        start, end = place[own].min() - first[d], place[own].max() + 1 - first[d]
-                        found[d].append({"block": len(found[d]), "start": int(start), "end": int(end), "tokens": token[own].tolist()})
+                        y, z = np.searchsorted(lines, block[cut[x]], "left"), np.searchsorted(lines, block[cut[x]], "right")
+                        found[d].append({"block": len(found[d]), "tokens": token[own].tolist(), "places": (held[y:z] - first[d]).tolist(), "ranks": every[y:z].tolist()})
                 part = b.slice(i, n)
                 none = n_base == 0
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("row"), pa.array(np.diff(first)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none),
                      pa.array([sorted(x) for x in labels], pa.list_(pa.string())),
-                     pa.array(found, pa.list_(pa.struct([("block", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("tokens", pa.list_(pa.int64()))])))],
+                     pa.array(found, pa.list_(_BLOCK))],
                     ["doc_id", "row", "n_words", "n_base", "first_word", "last_word", "base", "blocks"],
                 )
 
@@ -178,32 +185,74 @@ def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> D
     return keyed.mapInArrow(
         T.releasing(run),
         f"doc_id {kind}, row long, n_words long, n_base long, first_word long, last_word long, base array<string>, "
-        "blocks array<struct<block:int,start:bigint,end:bigint,tokens:array<bigint>>>",
+        "blocks array<struct<block:int,tokens:array<bigint>,places:array<bigint>,ranks:array<bigint>>>",
     )
 
 
+def _shortest(occurs: list[tuple[int, int]]) -> tuple[int, int, frozenset[int]]:
+    """Start, end and ranks of the shortest range of (place, rank) that holds all ranks there are."""
+    kinds = frozenset(t for _, t in occurs)
+    held: Counter[int] = Counter()
+    best, low = None, 0
+    for p, t in occurs:
+        held[t] += 1
+        while held[occurs[low][1]] > 1:
+            held[occurs[low][1]] -= 1
+            low += 1
+        if len(+held) == len(kinds) and (best is None or p + 1 - occurs[low][0] < best[1] - best[0]):
+            best = occurs[low][0], p + 1
+    return *best, kinds
+
+
+def _kept(matches: list[tuple]) -> list[tuple]:
+    """(rating, start, end, ranks, label) without those that a better match over the same range rests on as well."""
+    order, out = sorted(set(matches), key=lambda m: m[0], reverse=True), []
+    for m in order:
+        if not any(b[0] > m[0] and b[1] <= m[1] and m[2] <= b[2] and m[3] <= b[3] for b in out):
+            out.append(m)
+    return out
+
+
 def block_matches(rows: DataFrame, templates, rank: dict[int, int], words: list[str], percent: int) -> DataFrame:
-    """row, block, start, end, label, containment of the best templates of every block that reaches the threshold."""
+    """row, found (labels), best (containment), spans of all templates that reach the threshold in a block."""
     spark = rows.sparkSession
     index = {x: i for i, x in enumerate(words)}
     sets = [sorted(rank[index[x]] for x in set(t.split())) for _, t in templates]
     tokens = [
-        (k, label, own, needed(len(own), percent), place, token)
-        for k, ((label, _), own) in enumerate(zip(templates, sets, strict=True))
+        (k, own, needed(len(own), percent), place, token)
+        for k, own in enumerate(sets)
         for place, token in enumerate(own[: len(own) - needed(len(own), percent) + 1])
     ]
-    prefix = spark.createDataFrame(tokens, "template int, label string, own array<bigint>, need int, t_place int, token bigint")
-    blocks = rows.where("size(blocks) > 0").select("row", F.explode("blocks").alias("b")).select("row", "b.*").dropDuplicates(["row", "block"])
+    prefix = spark.createDataFrame(tokens, "template int, own array<bigint>, need int, t_place int, token bigint")
+    held = rows.where("size(blocks) > 0").dropDuplicates(["row"]).select("row", "blocks")
+    blocks = held.select("row", F.explode("blocks").alias("b")).select("row", "b.block", "b.tokens")
     place = blocks.select("*", F.posexplode("tokens").alias("b_place", "token"))
     hit = place.join(F.broadcast(prefix), "token")  # as large as the templates' prefixes
     fits = hit.where("size(tokens) >= need AND least(t_place, b_place) + least(size(own) - t_place, size(tokens) - b_place) >= need")
     pairs = fits.dropDuplicates(["row", "block", "template"])
-    shared = pairs.withColumn("shared", F.size(F.array_intersect("tokens", "own"))).where("shared >= need")
-    scored = shared.withColumn("containment", F.col("shared") / F.size("own"))
-    rating = F.struct("containment", "shared")  # of two whole notices the longer one
-    best = scored.groupBy("row", "block", "start", "end").agg(F.max(rating).alias("best"), F.collect_set(F.struct(rating.alias("rating"), "label")).alias("all"))
-    labels = F.expr("array_distinct(transform(filter(all, x -> x.rating = best), x -> x.label))")
-    return best.select("row", "block", "start", "end", "best.containment", F.explode(labels).alias("label"))
+    verified = pairs.where("size(array_intersect(tokens, own)) >= need").groupBy("row").agg(F.collect_list(F.struct("block", "template")).alias("pairs"))
+    owns, labels = [frozenset(x) for x in sets], [label for label, _ in templates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for own, pairs in zip(b.column("blocks").to_pylist(), b.column("pairs").to_pylist(), strict=True):
+                of, matches = {x["block"]: x for x in own}, []
+                for p in pairs:
+                    x, k = of[p["block"]], p["template"]
+                    start, end, shared = _shortest([(at, t) for at, t in zip(x["places"], x["ranks"], strict=True) if t in owns[k]])
+                    matches.append(((len(shared) / len(owns[k]), len(shared)), start, end, shared, labels[k]))
+                out.append(_kept(matches))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), pa.array([sorted({m[4] for m in x}) for x in out], pa.list_(pa.string())), pa.array([x[0][0][0] for x in out], pa.float64()),
+                 pa.array([[{"start": s, "end": e, "label": v} for s, e, v in sorted({(m[1], m[2], m[4]) for m in x})] for x in out], pa.list_(_FOUND))],
+                ["row", "found", "best", "spans"],
+            )
+
+    return verified.join(held, "row").mapInArrow(T.releasing(run), "row long, found array<string>, best double, spans array<struct<start:bigint,end:bigint,label:string>>")
+
+
+_FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())])
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
@@ -213,11 +262,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -
     order = sorted(range(len(words)), key=lambda i: (blocks.get(i, 0), words[i]))
     rank = {w: r for r, w in enumerate(order)}
     rows = stored(scanned(docs, templates, rank, percent), "license-blocks")
-    matched = block_matches(rows, templates, rank, words, percent).groupBy("row").agg(
-        F.array_sort(F.collect_set("label")).alias("found"),
-        F.max("containment").alias("best"),
-        F.array_sort(F.collect_set(F.struct("start", "end", "label"))).alias("spans"),
-    )
+    matched = block_matches(rows, templates, rank, words, percent)
     out = rows.drop("blocks").join(matched, "row", "left")
     empty = F.array().cast("array<string>")
     return out.select(

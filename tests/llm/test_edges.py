@@ -71,6 +71,19 @@ def test_licence_of_repeated_rows(odd):
     assert [(r.n_base, r.first_word, r.base, r.found, r.score) for r in rows] == [(1, 1, ["mit"], ["mit"], 1.0)] * 2
 
 
+def test_every_licence_of_a_block(spark):
+    texts = [
+        "Licensed under the BSD 3 clause license with documentation under CC BY 4.0",
+        "Licensed under CC BY-SA 4.0, " + "much other text " * 200 + "licensed under the BSD 2 clause license",
+        "This work is licensed under the GNU Lesser General Public License version 3",
+        "Licensed under the Apache License, Version 2.0",
+    ]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert [got[i].found for i in range(4)] == [["bsd", "cc-by"], ["bsd", "cc-by-sa"], ["lgpl-3"], ["apache-2"]]
+    assert [(s.start, s.end, s.label) for s in got[1].spans] == [(0, 7, "cc-by-sa"), (607, 614, "bsd")]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = {(r.doc_id, r.n_shingles): r for r in hyperminhash.near_duplicates(odd).collect()}
     assert rows[2, 10].component_id == 1 and not rows[2, 10].kept and rows[1, 10].kept
