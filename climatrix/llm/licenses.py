@@ -1,8 +1,11 @@
 """License scan: exact set-similarity join of text blocks with notice templates.
 
-A block is a line of text, a set of words; a template is the set of words of a notice. A
-pair matches if the block holds at least ``PERCENT`` per cent of the
-template's words. Tokens are ordered by how many blocks of the corpus hold
+A block is a line of text, or a run of words over any number of lines, as a set of words; a
+template is the set of words of a notice. A pair matches if the block holds at least
+``PERCENT`` per cent of the template's words, in a run within ``reach`` words of each other,
+so a notice wrapped over lines is found as well. Runs are cut from windows of twice the
+longest reach over the whole text; neighbouring windows that could hold a notice are one run.
+Tokens are ordered by how many blocks of the corpus hold
 them, rarest first, and three filters leave few pairs to verify:
 
 * prefix: with a needed overlap o, one of the template's first ``size - o + 1``
@@ -78,6 +81,11 @@ def needed(size: int, percent: int = PERCENT) -> int:
     return math.ceil(percent * size / 100)
 
 
+def reach(template: str, percent: int = PERCENT) -> int:
+    """Words of text within which a run has to hold the template's: ``percent`` of them are the template's if it is whole."""
+    return len(template.split()) * 100 // percent
+
+
 def _vocabulary(templates) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words of all templates and phrases; their hashes in ascending order with the word each belongs to."""
     words = sorted({w for _, t in templates for w in t.split()} | {w for p in PHRASES for w in p.split()})
@@ -119,21 +127,27 @@ def block_frequencies(docs: DataFrame, templates) -> dict[int, int]:
     return {r["word"]: r["blocks"] for r in counted.collect()}
 
 
+#: Windows whose words are counted at a time.
+_WINDOWS = 4096
+#: A block below 0 is a run, any other a line.
 _BLOCK = pa.struct([("block", pa.int32()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64()))])
 
 
 def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> DataFrame:
-    """Base columns of every row and its candidate blocks (line, ascending token ranks, the places of all its tokens and their ranks)."""
+    """Base columns of every row and its candidate blocks (line or run, ascending token ranks, the places of all its tokens and their ranks)."""
     words, known, which = _vocabulary(templates)
     ranks = np.array([rank[i] for i in range(len(words))] + [0], dtype=np.int64)
     index = {x: i for i, x in enumerate(words)}
     prefix = np.zeros(len(words), dtype=bool)
     least = len(words) + 1
-    for _, t in templates:
+    member, first_of, need = (np.zeros((len(words), len(templates)), dtype=np.float32) for _ in range(3))
+    for k, (_, t) in enumerate(templates):
         own = sorted(ranks[index[x]] for x in set(t.split()))
         o = needed(len(own), percent)
         prefix[own[: len(own) - o + 1]] = True
         least = min(least, o)
+        member[own, k], first_of[own[: len(own) - o + 1], k], need[:, k] = 1, 1, o
+    step = max(reach(t, percent) for _, t in templates)
     phrases = [([index[x] for x in p.split()], label) for p, label in sorted(PHRASES.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +185,23 @@ def scanned(docs: DataFrame, templates, rank: dict[int, int], percent: int) -> D
                         d = doc[place[cut[x]]]
                         y, z = np.searchsorted(lines, block[cut[x]], "left"), np.searchsorted(lines, block[cut[x]], "right")
                         found[d].append({"block": len(found[d]), "tokens": token[own].tolist(), "places": (held[y:z] - first[d]).tolist(), "ranks": every[y:z].tolist()})
+                    at = held - first[doc[held]]
+                    base = np.append(0, np.cumsum(np.diff(first) // step + 3))  # windows of different texts are no neighbours
+                    window = base[doc[held]] + at // step
+                    both = at >= step  # a word is in the window that begins before it and in the one before that
+                    ws, wt = np.append(window, window[both] - 1), np.append(every, every[both])
+                    kinds, which_window = np.unique(ws, return_inverse=True)
+                    fits = np.zeros(len(kinds), dtype=bool)
+                    for c in range(0, len(kinds), _WINDOWS):
+                        here = (which_window >= c) & (which_window < c + _WINDOWS)
+                        has = np.zeros((min(_WINDOWS, len(kinds) - c), len(words)), dtype=np.float32)
+                        has[which_window[here] - c, wt[here]] = 1
+                        fits[c : c + _WINDOWS] = ((has @ first_of > 0) & (has @ member >= need[0])).any(axis=1)
+                    good = kinds[fits]
+                    for run_of in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else ():
+                        y, z = np.searchsorted(window, run_of[0], "left"), np.searchsorted(window, run_of[-1] + 1, "right")
+                        d = doc[held[y]]
+                        found[d].append({"block": -1 - len(found[d]), "tokens": np.unique(every[y:z]).tolist(), "places": at[y:z].tolist(), "ranks": every[y:z].tolist()})
                 part = b.slice(i, n)
                 none = n_base == 0
                 yield pa.RecordBatch.from_arrays(
@@ -204,6 +235,27 @@ def _shortest(occurs: list[tuple[int, int]]) -> tuple[int, int, frozenset[int]]:
     return *best, kinds
 
 
+def _runs(occurs: list[tuple[int, int]], need: int, within: int) -> list[tuple[int, int, frozenset[int]]]:
+    """Start, end and ranks of the ranges of at most ``within`` words that hold ``need`` ranks; of those that overlap the best."""
+    found = []
+    for i, (p, _) in enumerate(occurs):
+        kinds, end = set(), p
+        for q, t in occurs[i : i + within]:
+            if q >= p + within:
+                break
+            if t not in kinds:
+                kinds.add(t)
+                end = q + 1
+        if len(kinds) >= need:
+            found.append((p, end, frozenset(kinds)))
+    out, taken = [], set()
+    for m in sorted(found, key=lambda m: (-len(m[2]), m[1] - m[0], m[0])):
+        if taken.isdisjoint(range(m[0], m[1])):
+            taken.update(range(m[0], m[1]))
+            out.append(m)
+    return out
+
+
 def _kept(matches: list[tuple]) -> list[tuple]:
     """(rating, start, end, ranks, label) without those that a better match over the same range rests on as well."""
     order, out = sorted(set(matches), key=lambda m: m[0], reverse=True), []
@@ -231,7 +283,7 @@ def block_matches(rows: DataFrame, templates, rank: dict[int, int], words: list[
     fits = hit.where("size(tokens) >= need AND least(t_place, b_place) + least(size(own) - t_place, size(tokens) - b_place) >= need")
     pairs = fits.dropDuplicates(["row", "block", "template"])
     verified = pairs.where("size(array_intersect(tokens, own)) >= need").groupBy("row").agg(F.collect_list(F.struct("block", "template")).alias("pairs"))
-    owns, labels = [frozenset(x) for x in sets], [label for label, _ in templates]
+    owns, labels, within = [frozenset(x) for x in sets], [label for label, _ in templates], [reach(t, percent) for _, t in templates]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,11 +292,12 @@ def block_matches(rows: DataFrame, templates, rank: dict[int, int], words: list[
                 of, matches = {x["block"]: x for x in own}, []
                 for p in pairs:
                     x, k = of[p["block"]], p["template"]
-                    start, end, shared = _shortest([(at, t) for at, t in zip(x["places"], x["ranks"], strict=True) if t in owns[k]])
-                    matches.append(((len(shared) / len(owns[k]), len(shared)), start, end, shared, labels[k]))
+                    occurs = [(at, t) for at, t in zip(x["places"], x["ranks"], strict=True) if t in owns[k]]
+                    placed = [_shortest(occurs)] if p["block"] >= 0 else _runs(occurs, needed(len(owns[k]), percent), within[k])
+                    matches += [((len(shared) / len(owns[k]), len(shared)), start, end, shared, labels[k]) for start, end, shared in placed]
                 out.append(_kept(matches))
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array([sorted({m[4] for m in x}) for x in out], pa.list_(pa.string())), pa.array([x[0][0][0] for x in out], pa.float64()),
+                [b.column("row"), pa.array([sorted({m[4] for m in x}) for x in out], pa.list_(pa.string())), pa.array([x[0][0][0] if x else 0.0 for x in out], pa.float64()),
                  pa.array([[{"start": s, "end": e, "label": v} for s, e, v in sorted({(m[1], m[2], m[4]) for m in x})] for x in out], pa.list_(_FOUND))],
                 ["row", "found", "best", "spans"],
             )

@@ -84,6 +84,19 @@ def test_every_licence_of_a_block(spark):
     assert [(s.start, s.end, s.label) for s in got[1].spans] == [(0, 7, "cc-by-sa"), (607, 614, "bsd")]
 
 
+def test_licences_wrapped_over_lines(spark):
+    whole = [
+        ("mit", "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"),
+        ("gpl", "you can redistribute it and/or modify\nit under the terms of the GNU General Public License\nas published by the Free Software\nFoundation"),
+        ("bsd", "Redistribution and use in source and binary forms,\nwith or without modification, are permitted provided\nthat the following conditions are met"),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee\nis hereby granted"),
+    ]
+    texts = ["some words\n" * 300 + t for _, t in whole] + ["\n".join(t for _, t in whole), "licensed under the\n" + "other words\n" * 30 + "apache license version 2 0"]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.found for r in rows}
+    assert [got[i] for i in range(6)] == [[label] for label, _ in whole] + [["bsd", "gpl", "isc", "mit"], []]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = {(r.doc_id, r.n_shingles): r for r in hyperminhash.near_duplicates(odd).collect()}
     assert rows[2, 10].component_id == 1 and not rows[2, 10].kept and rows[1, 10].kept
