@@ -1,6 +1,8 @@
 """Quality rules: base counts and compression bands.
 
-A text is compressed with zstandard as a whole and in fixed chunks. Repetitive text
+A text is compressed with zstandard as a whole and in fixed chunks, the last of which ends with
+the text, so every byte of a text of a chunk or more is judged in one; a shorter text is one
+chunk, which the limits of its length judge. Repetitive text
 compresses too well, noise too badly; what is normal depends on the
 length, because short texts have little to refer back to and carry the
 frame's overhead. ``BANDS`` states the limits by length.
@@ -23,7 +25,7 @@ from climatrix.llm import statistics
 from climatrix.llm import text as T
 
 LEVEL = 3
-#: Bytes of a chunk; only whole chunks are judged.
+#: Bytes of a chunk; where the last would be shorter it begins earlier.
 CHUNK = 4096
 #: From this share of chunks outside their band on, the text is rejected.
 CHUNK_SHARE = 0.5
@@ -45,12 +47,13 @@ def verdict(body: bytes, compress: zstandard.ZstdCompressor) -> tuple[float, int
         return 0.0, 0, 0, True
     ratio = len(compress.compress(body)) / len(body)
     _, low, high = next(b for b in BANDS if len(body) <= b[0])
-    chunks = len(body) // CHUNK
+    starts = [*range(0, len(body) - CHUNK, CHUNK), len(body) - CHUNK] if len(body) >= CHUNK else []
+    chunks = len(starts)
     if not low <= ratio <= high:
         return ratio, chunks, 0, False
     out = 0
-    for i in range(chunks):
-        r = len(compress.compress(body[i * CHUNK : (i + 1) * CHUNK])) / CHUNK
+    for i in starts:
+        r = len(compress.compress(body[i : i + CHUNK])) / CHUNK
         out += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
     return ratio, chunks, out, not chunks or out < CHUNK_SHARE * chunks
 

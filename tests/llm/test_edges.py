@@ -142,6 +142,15 @@ def test_compression_of_odd_rows(odd):
     assert not compression.verdict(noise.encode(), zstandard.ZstdCompressor(level=3))[3] or len(noise) < 100
 
 
+def test_compression_judges_the_tail(documents):
+    rnd, compress = random.Random(3), zstandard.ZstdCompressor(level=3)
+    prose = next(b for b in (t.encode() for _, t in documents if t) if len(b) >= 9000 and compression.verdict(b, compress)[3] and compression.verdict(b[:4096], compress)[3])
+    noise = bytes(rnd.randrange(0x21, 0x7F) for _ in range(4000))
+    ratio, chunks, out, fine = compression.verdict(prose[:4096] + noise, compress)
+    assert ratio < 0.78 and (chunks, out, fine) == (2, 1, False)
+    assert compression.verdict(prose[:8192], compress)[1] == 2 and compression.verdict(prose[:8193], compress)[1] == 3
+
+
 def test_personal_data_of_odd_rows(odd):
     row = next(r for r in sanitise.personal_data(odd).collect() if r.doc_id == 8)
     assert [s.kind for s in row.spans] == [0, 1, 2, 3]
