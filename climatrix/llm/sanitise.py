@@ -7,13 +7,15 @@ n(e, t) of them holding term t, n(t) documents with t and N documents,
 
     disclosure = log(N n(e,t) / (n(e) n(t))) / log(N / n(e))
 
-is 1 if t never stands without e and 0 if they are independent. Terms whose
-disclosure reaches ``THRESHOLD`` in at least ``SUPPORT`` different contexts are
+is 1 if t never stands without e and 0 if they are independent. Counts of one or two say
+little, so the share n(e,t) / n(t) is taken at its lower confidence bound (Wilson, ``Z``): a rare
+entity's terms count as well, but the fewer documents there are, the more often they must meet.
+Terms whose disclosure reaches ``THRESHOLD`` are
 generalised (or removed) wherever they stand in a context of that entity. Copies
 of one passage are one context, so copying isn't evidence.
 
 Counts cover all documents: contexts are few and stored; the terms to be
-counted in the corpus are only those that reach the support and whose documents among the
+counted in the corpus are only those whose documents among the
 contexts alone don't already keep them below the threshold; they are joined by broadcast only
 after their rows are counted. No join goes over texts unless a text has a term span and
 such spans are too many to broadcast.
@@ -43,8 +45,9 @@ from climatrix.llm.tables import fresh, stored
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of a span that count as its context.
 CONTEXT = 8
-SUPPORT = 3
 THRESHOLD = 0.8
+#: Of the one-sided 95 % bound.
+Z = 1.645
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -155,7 +158,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """entity, term, disclosure of the terms that reveal an entity too strongly."""
     exploded = rows.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context", "x.term")
     near = exploded.select("entity", "context", "term").distinct()
@@ -164,10 +167,13 @@ def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, thresho
     n = docs.count()
 
     def disclosure(n_t: str):
-        ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest(n_t, "n_et"))) / F.log(F.lit(float(n)) / F.col("n_e"))
+        among = F.greatest(n_t, "n_et").cast("double")
+        p, z2 = F.col("n_et") / among, Z * Z
+        bound = (p + z2 / (2 * among) - Z * F.sqrt(p * (1 - p) / among + z2 / (4 * among * among))) / (1 + z2 / among)
+        ratio = F.log(F.lit(float(n)) * bound / F.col("n_e")) / F.log(F.lit(float(n)) / F.col("n_e"))
         return F.when(F.col("n_e") < n, ratio)
 
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support).join(entity, "entity").join(least, "term")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).join(entity, "entity").join(least, "term")
     pairs = stored(pairs.where(disclosure("n_t") >= threshold).drop("n_t"), "entity-terms")  # common words go here, before the corpus is read
     terms = stored(pairs.select("term").distinct(), "entity-vocabulary")
     n_terms = terms.count()

@@ -169,6 +169,15 @@ def test_terms_that_disclose_an_entity(spark):
     assert sanitise.sanitised(docs, remove_terms=True).where("doc_id = 1").first().text == "filler1 about agent  at <email> and more1 text1"
 
 
+def test_terms_of_rare_entities(spark):
+    near = [(0, "agent nightjar at x.y@z.org"), (1, "agent whinchat at v.w@z.org and"), (2, "about agent whinchat at v.w@z.org")]
+    far = [(10 + i, "the agent went about and at noon had more text") for i in range(3000)]
+    docs = spark.createDataFrame(near + far, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert [out[i] for i in range(3)] == ["agent <term> at <email>", "agent <term> at <email> and", "about agent <term> at <email>"]
+    assert out[10] == far[0][1]
+
+
 def test_proximity(spark, benchmark):
     docs = spark.createDataFrame([(1, "two zero three x four"), (2, "two a b c d e f g h i three")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs, benchmark, slop=2).collect()}
