@@ -1,24 +1,24 @@
 """Personal data: exact base spans and information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Their values are the
-protected entities. A term near an entity reveals it as strongly as their
-co-occurrence in the corpus says: with n(e) different contexts of entity e,
-n(e, t) of them holding term t, n(t) documents with t and N documents,
+protected entities. A term reveals an entity as strongly as their
+co-occurrence in the corpus says: with n(e) documents that hold entity e,
+n(e, t) of them holding term t as well, n(t) documents with t and N documents,
 
     disclosure = log(N n(e,t) / (n(e) n(t))) / log(N / n(e))
 
 is 1 if t never stands without e and 0 if they are independent. Counts of one or two say
 little, so the share n(e,t) / n(t) is taken at its lower confidence bound (Wilson, ``Z``): a rare
 entity's terms count as well, but the fewer documents there are, the more often they must meet.
-Terms whose disclosure reaches ``THRESHOLD`` are
-generalised (or removed) wherever they stand in a context of that entity. Copies
-of one passage are one context, so copying isn't evidence.
+Every word of a document, of any length, is a term, wherever it stands. Terms whose disclosure
+reaches ``THRESHOLD`` are generalised (or removed) in every document that holds
+them, with the entity or without. Copies of a document with an entity count once, so copying
+isn't evidence.
 
-Counts cover all documents: contexts are few and stored; the terms to be
-counted in the corpus are only those whose documents among the
-contexts alone don't already keep them below the threshold; they are joined by broadcast only
-after their rows are counted. No join goes over texts unless a text has a term span and
-such spans are too many to broadcast.
+Counts cover all documents. Terms are 64-bit hashes of words. Documents per term are summed in
+each task before they are shuffled; terms in more documents than any entity
+allows are dropped before they are paired with entities. The terms found are sent to
+the tasks only after they are counted, and joined with the words of all texts otherwise.
 
 Defined results: null and empty texts have no spans; rows equal in id and
 text give equal results, rows that share an id only are searched each on its own; other
@@ -27,11 +27,10 @@ columns play no part and are kept by ``sanitised``.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -39,12 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from climatrix.llm import text as T
-from climatrix.llm.decontaminate import BROADCAST_ROWS, words
+from climatrix.llm.decontaminate import BROADCAST_ROWS
 from climatrix.llm.tables import fresh, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of a span that count as its context.
-CONTEXT = 8
 THRESHOLD = 0.8
 #: Of the one-sided 95 % bound.
 Z = 1.645
@@ -55,8 +52,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -108,89 +103,143 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 _MAYBE = r"@|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ \-]?[0-9]){11}|\+[0-9]"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[dict]:
-    """Terms near each span, with their places; a context's hash is that of its words."""
-    found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = [s for s, _ in found]
-    out = []
-    taken = [(s, e) for s, _, e, _ in spans]
-    for start, kind, end, value in spans:
-        left, right = bisect_left(starts, start), bisect_left(starts, end)
-        near = []
-        for k in [*range(max(0, left - CONTEXT), left), *range(right, min(len(found), right + CONTEXT))]:
-            s, e = found[k]
-            i = bisect_left(taken, (s, e))
-            over = any(a < e and s < b for a, b in taken[max(0, i - 2) : i + 2])
-            if e - s >= 3 and not over:
-                near.append((text[s:e].translate(_LOWER), s, e))
-        code = int.from_bytes(hashlib.blake2b(" ".join(w for w, _, _ in near).encode(), digest_size=8).digest(), "big", signed=True)
-        out += [{"entity": f"{KINDS[kind]}:{value}", "context": code, "term": w, "start": s, "end": e} for w, s, e in near]
-    return out
+def _hashes(w: T.Words) -> np.ndarray:
+    return w.hash.view(np.int64)
+
+
+def _places(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 character, within its text, of each word."""
+    before = np.zeros(len(w.data) + 1, dtype=np.int64)
+    np.cumsum((w.data & 0xC0) != 0x80, out=before[1:])
+    base = before[w.offsets[:-1]][w.doc]
+    return before[w.start] - base, before[w.end] - base
+
+
+def _free(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int, str]]) -> np.ndarray:
+    """Which of the words of a text lie outside all of its base spans."""
+    free = np.ones(len(start), dtype=bool)
+    for s, _, e, _ in spans:
+        free[np.searchsorted(end, s, "right") : np.searchsorted(start, e, "left")] = False
+    return free
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_NEAR = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row, spans, near (terms around spans) for every row of ``docs``."""
+    """doc_id, row, copy (a hash of the text), spans, entities and terms (of texts with entities) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = T.texts(b.column("text"))
             maybe = pc.match_substring_regex(col, _MAYBE).to_numpy(zero_copy_only=False)
-            spans, near = [], []
+            spans, entities, terms = [], [], []
             for i in range(len(col)):
-                text = col[i].as_py() if maybe[i] else ""
-                own = base_spans(text)
+                own = base_spans(col[i].as_py()) if maybe[i] else []
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in own])
-                near.append(contexts(text, own) if own else [])
+                entities.append(sorted({f"{KINDS[k]}:{v}" for _, k, _, v in own}))
+                if own:
+                    w = T.tokenize(col[i : i + 1], T.ALNUM, lower=True)
+                    terms.append(np.unique(_hashes(w)[_free(*_places(w), own)]))
+                else:
+                    terms.append(np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], ["doc_id", "row", "spans", "near"]
+                [b.column("doc_id"), b.column("row"), b.column("copy"), pa.array(spans, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))],
+                ["doc_id", "row", "copy", "spans", "entities", "terms"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("copy"), "text")
     return keyed.mapInArrow(
         T.releasing(run),
-        f"doc_id {kind}, row long, spans array<struct<start:bigint,kind:int,end:bigint>>, "
-        "near array<struct<entity:string,context:bigint,term:string,start:bigint,end:bigint>>",
+        f"doc_id {kind}, row long, copy long, spans array<struct<start:bigint,kind:int,end:bigint>>, entities array<string>, terms array<bigint>",
     )
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, n_all: documents that hold each word, summed in every batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = T.texts(b.column("text"))
+            parts = []
+            for i, j in T.slices(col):
+                w = T.tokenize(col[i:j], T.ALNUM, lower=True)
+                h, doc = _hashes(w), w.doc
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.empty(0, bool)
+                parts.append(np.unique(h[new], return_counts=True))
+            if parts:
+                term, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(term)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n_all"])
+
+    return docs.select("text").mapInArrow(T.releasing(run), "term long, n_all long").groupBy("term").agg(F.sum("n_all").alias("n_all"))
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """entity, term, disclosure of the terms that reveal an entity too strongly."""
-    exploded = rows.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context", "x.term")
-    near = exploded.select("entity", "context", "term").distinct()
-    entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    least = exploded.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # documents with the term, at least
-    n = docs.count()
-
-    def disclosure(n_t: str):
-        among = F.greatest(n_t, "n_et").cast("double")
-        p, z2 = F.col("n_et") / among, Z * Z
-        bound = (p + z2 / (2 * among) - Z * F.sqrt(p * (1 - p) / among + z2 / (4 * among * among))) / (1 + z2 / among)
-        ratio = F.log(F.lit(float(n)) * bound / F.col("n_e")) / F.log(F.lit(float(n)) / F.col("n_e"))
-        return F.when(F.col("n_e") < n, ratio)
-
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).join(entity, "entity").join(least, "term")
-    pairs = stored(pairs.where(disclosure("n_t") >= threshold).drop("n_t"), "entity-terms")  # common words go here, before the corpus is read
-    terms = stored(pairs.select("term").distinct(), "entity-vocabulary")
-    n_terms = terms.count()
-    wanted = F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms
-    corpus = docs if n_terms else docs.limit(0)  # nothing to count
-    held = corpus.select(F.explode(F.array_distinct(words("text"))).alias("term")).join(wanted, "term")
-    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = pairs.join(counted, "term").withColumn("disclosure", disclosure("n_t"))
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    """entity, term (its hash), disclosure of the terms that reveal an entity too strongly."""
+    n = float(docs.count())
+    own = rows.where("size(entities) > 0").groupBy("copy").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), (F.count(F.lit(1)) - 1).alias("more"))
+    own = stored(own, "entity-documents")
+    entity = stored(own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
+    most = entity.agg(F.max("n_e")).first()[0]
+    # A share of at most n_e / n_t has to reach (n_e / N) ** (1 - threshold).
+    limit = F.pow(F.col("n_e").cast("double"), F.lit(threshold)) * n ** (1 - threshold) + 1e-6
+    held = own.select("copy", "more", F.explode("terms").alias("term"))
+    known = held.groupBy("term").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("least"))
+    known = known.where(F.col("least") <= (most or 0) ** threshold * n ** (1 - threshold) + 1e-6)
+    corpus = docs if most else docs.limit(0)  # nothing to count
+    counted = document_frequencies(corpus).join(known, "term").select("term", F.greatest(F.col("n_all") - F.col("more"), "least").alias("n_t"))
+    counted = stored(counted.where(F.col("n_t") <= (most or 0) ** threshold * n ** (1 - threshold) + 1e-6), "entity-vocabulary")
+    wanted = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted
+    rare = held.select("copy", "term").join(wanted, "term")
+    of = own.select("copy", F.explode("entities").alias("entity")).join(F.broadcast(entity) if entity.count() <= BROADCAST_ROWS else entity, "entity")
+    pairs = rare.join(of, "copy").where(F.col("n_t") <= limit).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    among = F.col("n_t").cast("double")
+    p, z2 = F.col("n_et") / among, Z * Z
+    bound = (p + z2 / (2 * among) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / among + z2 / (4 * among * among))) / (1 + z2 / among)
+    ratio = F.when(F.col("n_e") < n, F.log(F.lit(n) * bound / F.col("n_e")) / F.log(F.lit(n) / F.col("n_e")))
+    return pairs.withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
 def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """row, terms: spans of the disclosing terms, for the rows that have any."""
-    found = stored(disclosing(docs, rows), "disclosing")
-    near = rows.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
-    hit = near.join(found.select("entity", "term"), ["entity", "term"]).select("row", "start", "end").distinct()
-    return hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end"))).alias("terms"))
+    """row, terms: all spans of the disclosing terms, for the rows that have any."""
+    found = stored(disclosing(docs, rows).select("term").distinct(), "disclosing")
+    few = found.count() <= BROADCAST_ROWS
+    known = np.sort(found.toArrow().column("term").to_numpy()) if few else None
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    kind = KINDS.index("term")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = T.texts(b.column("text"))
+            for i, j in T.slices(col):
+                w = T.tokenize(col[i:j], T.ALNUM, lower=True)
+                h = _hashes(w)
+                hit = np.arange(len(h)) if known is None else np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.empty(0, np.int64)
+                if not len(hit):
+                    continue
+                start, end = _places(w)
+                out, doc = [], w.doc[hit]
+                cut = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    text, at = col[i + int(doc[x])].as_py(), hit[x:y]
+                    at = at[_free(start[at], end[at], base_spans(text))]
+                    out.append([{"term": t, "start": s, "kind": kind, "end": e} for t, s, e in zip(h[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)])
+                which = pa.array(doc[cut[:-1]] + i)
+                yield pa.RecordBatch.from_arrays([b.column("row").take(which), pa.array(out, pa.list_(_TERM))], ["row", "words"])
+
+    made = keyed.mapInArrow(T.releasing(run), "row long, words array<struct<term:bigint,start:bigint,kind:int,end:bigint>>")
+    if few:
+        one = made.where("size(words) > 0").dropDuplicates(["row"])
+        return one.select("row", F.expr("transform(words, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))").alias("terms"))
+    hit = made.select("row", F.explode("words").alias("x")).select("row", "x.*").join(found, "term").select("row", "start", "kind", "end").distinct()
+    return hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
+
+
+_TERM = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

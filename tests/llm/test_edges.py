@@ -178,6 +178,18 @@ def test_terms_of_rare_entities(spark):
     assert out[10] == far[0][1]
 
 
+def test_terms_anywhere_in_the_corpus(spark):
+    gap = "the agent went about and at noon had more text "
+    near = [(i, f"Nightjar, é Li {gap * 3}mail x.y@z.org or li@z.org {gap}{i}") for i in (0, 1, 3, 4)] + [(2, f"nightjar {gap} Li, nightjar {gap}")]
+    docs = spark.createDataFrame(near + [(10 + i, f"{gap}{i % 7} é") for i in range(3000)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert [out[i] for i in (0, 1, 3, 4)] == [f"<term>, é <term> {gap * 3}<term> <email> <term> <email> {gap}{i}" for i in (0, 1, 3, 4)]
+    assert out[2] == f"<term> {gap} <term>, <term> {gap}"
+    assert out[10] == f"{gap}0 é"
+    rows = {r.doc_id: r.all_spans for r in sanitise.personal_data(docs).where("doc_id < 20").collect()}
+    assert [(s.start, s.kind, s.end) for s in rows[0][:2]] == [(0, 4, 8), (12, 4, 14)] and len(rows[2]) == 3
+
+
 def test_proximity(spark, benchmark):
     docs = spark.createDataFrame([(1, "two zero three x four"), (2, "two a b c d e f g h i three")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs, benchmark, slop=2).collect()}
