@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from climatrix.llm import compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise, substrings
+from climatrix.llm import audit, centroids, compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise, simhash, substrings
 from climatrix.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,23 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in all of their orders."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds from eight seeds."""
+    out = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document and of its edited text, and the documents near every fiftieth id."""
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -96,6 +113,9 @@ QUERIES: dict[str, Query] = {
         op8_sanitisation,
         op9_katz_backoff,
         op10_kd_shards,
+        op11_filter_audit,
+        op12_centroid_clustering,
+        op13_fingerprints,
     )
 }
 
@@ -104,6 +124,32 @@ _ALNUM = (
     "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 )
+
+
+def _rounds_sql(k: int, rounds: int, dims: int) -> str:
+    """Lloyd rounds, one block of CTEs each: centroids c0, c1, ... and the vectors' distances a0, a1, ..."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v AS c FROM v ORDER BY k LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, k, far FROM (
+    SELECT vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS far FROM v, c{r})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, k) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS c
+    FROM (SELECT k, d, sum(v[d]) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) t(d) GROUP BY k, d) GROUP BY k) m ON m.k = c{r}.k)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(a{rounds}.k AS INT) AS cluster, far AS distance, CAST(sum(far) OVER (PARTITION BY a{rounds}.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.k = c{rounds}.k"""
+
+
 SQL: dict[str, str] = {
     "op7_decontamination": f"""
 WITH dw AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w FROM documents),
@@ -124,4 +170,32 @@ SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.w) AS contaminated
 FROM dw LEFT JOIN words ON dw.doc_id = words.doc_id LEFT JOIN ids ON dw.doc_id = ids.doc_id""",
+    "op11_filter_audit": """
+WITH t AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+flags AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INT) AS a, CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) AS b,
+    CAST(100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) AS INT) AS c, CAST(regexp_matches(x, '[#$%&*|]') AS INT) AS d,
+    coalesce(CAST(doc_id > min(doc_id) OVER (PARTITION BY x) AS INT), 0) AS e FROM t),
+failed AS MATERIALIZED (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS f, a + b + c + d + e AS k, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM flags LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order FROM letter p, letter q, letter r, letter s, letter t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+steps AS (
+  SELECT filter_order, step, CAST(pow(2, instr('ABCDE', filter_order[step]) - 1) AS INT) AS bit,
+    CAST(list_sum(list_transform(range(1, step), lambda i: pow(2, instr('ABCDE', filter_order[i]) - 1))) AS INT) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+tried AS (SELECT *, f & bit <> 0 AS fails, f & coalesce(earlier, 0) <> 0 AS gone FROM failed, steps)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+  CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (f = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(k, 1)) FILTER (fails), 0) AS BIGINT) AS shapley
+FROM tried GROUP BY part, filter_order, step""",
+    "op12_centroid_clustering": _rounds_sql(centroids.K, centroids.ROUNDS, centroids.DIMS),
 }

@@ -153,3 +153,53 @@ def op9(rows, d_of, unigram_of, trust=0.001):
             score += math.log10(disc(c) * c / c_h[h]) if c else math.log10(weight.get(h, 1.0) * p1(one[x]))
         out.append((i, fold(i, 10) == 0, len(w), sum(one[x] > 0 for x in w), n, base, score))
     return out
+
+
+def op12(rows, k=8, rounds=10):
+    order = sorted(rows, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [v for _, v in order[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids)) for _, v in rows]
+
+    for _ in range(rounds):
+        at = assign()
+        for j in range(len(centroids)):
+            own = [v for (_, v), (_, c) in zip(rows, at) if c == j]
+            if own:
+                centroids[j] = [sum(x) // len(own) for x in zip(*own)]
+    at = assign()
+    inertia = Counter()
+    for far, j in at:
+        inertia[j] += far
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [(i, j, far, inertia[j], sum(inertia.values()), digest[j]) for (i, _), (far, j) in zip(rows, at)]
+
+
+def simhash(text):
+    import xxhash
+
+    w = SPACED.findall(text.translate(LOW))
+    ones = [0] * 128
+    for a, b in zip(w, [*w[1:], None]):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+        both = h << 64 | xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h)
+        for i in range(128):
+            ones[i] += both >> i & 1
+    return sum(1 << i for i in range(128) if 2 * ones[i] > len(w))
+
+
+def op13(rows, every=50, radius=6):
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: -r[0])
+    prints = [simhash(t) for _, t in rows]
+    out = []
+    for k, (i, t) in enumerate(rows):
+        after = (k + 1) % len(rows)
+        half = len(t) // 2
+        edited = t[: len(t) - half] + rows[after][1][:half]
+        e = simhash(edited)
+        near = sum((prints[k] ^ p).bit_count() <= radius for p in prints) - 1 if i % every == 0 else None
+        same = [1 - (prints[k] ^ x).bit_count() / 128 for x in (e, prints[after])]
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{prints[k]:032x}", f"{e:032x}", *same, near))
+    return out

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from llm import brute
 
-from climatrix.llm import compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise, substrings
+from climatrix.llm import audit, centroids, compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise, simhash, substrings
 
 OPERATORS = {
     "licenses": licenses.license_scan,
@@ -20,6 +21,7 @@ OPERATORS = {
     "personal": sanitise.personal_data,
     "lm": katz.language_model_scores,
     "shards": kdtree.shard,
+    "fingerprints": simhash.document_fingerprints,
 }
 
 
@@ -236,3 +238,89 @@ def test_plan_places_every_piece():
     assert used == counts
     # Three of a kind fit only with two of 650: five such, 17 pairs and the eight full ones are the optimum.
     assert sum(c for _, c in planned) == 30
+
+
+def test_audit_of_odd_rows(odd, empty, labels):
+    rows = odd.selectExpr("*", "CASE WHEN doc_id = 6 THEN NULL WHEN doc_id < 3 THEN 'copies' ELSE '' END AS source", "row AS part", "row AS failed", "row AS shard")
+    got = {(r.part, r.filter_order, r.step): r for r in audit.filter_audit(rows, labels).collect()}
+    assert len(got) == 2 * 120 * 5
+    one = got["copies", "EABCD", 1]  # 1 and 2 hold one text
+    assert (one.kept, one.removed, one.redundant, one.unique_fails, one.good_lost, one.toxic_lost) == (1, 1, 0, 0, 0, 0)
+    # Both fail A and B, the second E as well: 60 orders each begin with A, 40 with A before B and E.
+    assert [got["copies", "EABCD", k].shapley for k in (1, 2, 3)] == [40, 100, 100]
+    last = got["", "ABCDE", 5]
+    assert last.kept == 0 and got["", "BACDE", 1].removed == 1 and got["", "BACDE", 1].toxic_lost == 1
+    assert got["", "EABCD", 1].removed == 1  # of the null and the empty text; the white-space one differs, repeated rows aren't copies
+    assert audit.filter_audit(empty.withColumn("source", empty["row"]), labels).count() == 0
+    assert audit.filter_audit(rows, labels.limit(0)).agg({"good_lost": "max"}).first()[0] == 0
+
+
+def test_pieces_of_a_long_text_count_like_the_whole(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("a b c é longerword".split()) for _ in range(rnd.randrange(400))) + "x" * (k % 3 * 150) for k in range(30)] + ["", "   ", "y" * 900]
+    docs = spark.createDataFrame([(i, "p", b"%d" % i, t) for i, t in enumerate(texts)], "doc_id long, part string, copy binary, text string").coalesce(1)
+    want = [(i, len(w), len(set(w))) for i, w in enumerate(brute.SPACED.findall(t) for t in texts)]
+    col = pa.array(texts, pa.large_string())
+    data, off = audit.T.raw(col)
+    for limit in (7, 64, 1000):
+        cuts = list(audit.pieces(data, off, limit))
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+        shard = audit._Shard()
+        shard.parts = [audit._counted(data, off, x, y) for x, y in cuts]
+        indptr, column, n, terms = shard.rows(0, len(texts))
+        got = [(i, int(n[indptr[i] : indptr[i + 1]].sum()), int(indptr[i + 1] - indptr[i])) for i in range(len(texts))]
+        assert got == want
+        assert sorted(terms.to_pylist()) == sorted({w.encode() for t in texts for w in brute.SPACED.findall(t)})
+    matrix = audit.document_term_matrix(docs).collect()
+    assert sum(len(r.doc_ids) for r in matrix) == len(texts)
+    assert {n for r in matrix for n in r.columns} == set(range(len({w for t in texts for w in brute.SPACED.findall(t)})))
+
+
+def test_centroids_of_odd_vectors(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.choice([0.0, 0.5, -0.25, 1e30, -3.0]) for _ in range(64)], "x") for i in range(60)]
+    rows += [(60, [0.5] * 64, "x")] * 3 + [(None, [0.25] * 64, "x"), (70, None, "x"), (71, [0.5] * 63, "x"), (72, [None] + [0.5] * 63, "x"), (73, [float("nan")] * 64, "x"), (74, [float("inf")] * 64, "x")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster string")
+    got = sorted((tuple(r)[:5] for r in centroids.clustered(vectors).where("vec_id IS NOT NULL").collect()))
+    assert len(got) == 63 and centroids.clustered(vectors).count() == 64
+    clipped = [(i, [int(1024 * min(max(x, -centroids.LARGEST), centroids.LARGEST) // 1) for x in v]) for i, v, _ in rows[:63]] + [(None, [256] * 64)]
+    top = (1 << 63) - 1  # inertia is kept within a long
+    assert got == sorted((i, j, far, min(a, top), min(b, top)) for i, j, far, a, b, _ in brute.op12(clipped) if i is not None)
+    assert centroids.clustered(vectors.limit(0)).count() == 0
+    assert {r.distance for r in centroids.clustered(vectors.limit(3)).collect()} == {0}
+
+
+def test_walks_end_at_ties():
+    rnd = np.random.default_rng(1)
+    for k, dims in ((1, 3), (5, 2), (8, 4)):
+        x, c = rnd.integers(-3, 4, (500, dims)), rnd.integers(-3, 4, (k, dims))
+        far = ((x[:, None] - c[None]) ** 2).sum(2)
+        label, best = centroids.nearest(x, c)
+        assert (best == far.min(1)).all() and (label == far.argmin(1)).all()
+
+
+def test_fingerprints_of_odd_rows(odd):
+    rows = simhash.document_fingerprints(odd).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[1].fingerprint == got[2].fingerprint and got[3].fingerprint == got[4].fingerprint == "0" * 32
+    assert [(r.n_chars, r.near_edited) for r in rows if r.doc_id in (3, 4)] == [(0, 1.0)] * 2
+    # Descending ids, the null id last, then the first again: 1 is followed by the text without an id, that by 8.
+    nameless = "a text without an id"
+    text = "one two three four five six seven eight nine ten " * 3
+    half = len(text) // 2
+    assert got[1].edited_sha256 == brute.hashlib.sha256((text[: len(text) - half] + nameless[:half]).encode()).hexdigest()
+    assert got[None].edited_sha256 == brute.hashlib.sha256((nameless[:10] + "mail me at"[:10]).encode()).hexdigest()
+    assert sum(r.doc_id == 7 for r in rows) == 2 and all(r.n_near is None for r in rows)
+
+
+def test_every_fingerprint_within_the_radius(spark):
+    rnd = random.Random(9)
+    base = [rnd.getrandbits(128) for _ in range(4)] + [0, (1 << 128) - 1]
+    prints = {b ^ sum(1 << i for i in rnd.sample(range(128), rnd.randrange(10))) for b in base for _ in range(80)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in prints]
+    frame = spark.createDataFrame(rows, "fp_high long, fp_low long")
+    got = [tuple(x & (1 << 64) - 1 for x in r) for r in simhash.within_radius(frame.limit(100), frame).collect()]
+    asked = [tuple(x & (1 << 64) - 1 for x in r) for r in rows[:100]]
+    want = {(a, b, p >> 64, p & (1 << 64) - 1) for a, b in asked for p in prints if ((a << 64 | b) ^ p).bit_count() <= simhash.RADIUS}
+    assert len(got) == len(set(got)) and set(got) == want

@@ -20,7 +20,7 @@ def by_id(rows):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -109,3 +109,19 @@ def test_shards(run, documents):
     mean, largest = sum(size.values()) / 40, max(len(b) for b in shard_of) + 16
     assert max(size.values()) - mean <= largest and mean - min(size.values()) <= largest
     assert all(len(s) == 1 for s in shard_of.values())
+
+
+def test_centroids_without_pruning(spark, run):
+    """Every vector against every centroid in plain Python integers."""
+    rows = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want = brute.op12(rows)
+    assert [tuple(r) for r in run("op12_centroid_clustering")] == sorted(want)
+
+
+def test_fingerprints(run, documents):
+    assert run("op13_fingerprints") == by_id(brute.op13(documents))
+
+
+def test_fingerprints_tell_edits_from_other_texts(run):
+    rows = [r for r in run("op13_fingerprints") if r[1] >= 200]
+    assert sum(r[5] > r[6] for r in rows) / len(rows) > 0.97
