@@ -3,8 +3,8 @@
 ``document_term_matrix`` tokenises whole texts into CSR shards: each task counts the words of about
 ``SHARD_BYTES`` of texts against a vocabulary of its own, all vocabularies together make the global
 dictionary (every distinct word numbered once, gapless), and a shard's columns are replaced by the
-dictionary's numbers. A shard asks once for each of its distinct words, so a word that stands in every
-document costs one row a shard, not one a document. Row sums of the matrix are word
+dictionary's numbers. A shard asks each slice of the dictionary once for all of its distinct words there, so a word
+that stands in every document is asked for once a shard, and no slice grows with it. Row sums of the matrix are word
 counts, its nonzero counts distinct words; they decide filters A and B. C and D are counted in the same pass,
 and E compares ids within equal texts.
 
@@ -30,13 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from climatrix.llm import text as T
-from climatrix.llm.tables import numbered, stored
+from climatrix.llm.blobs import deltas, narrow, pack, part_of, undelta, unpack
+from climatrix.llm.tables import stored
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
 #: Bytes of texts in a CSR shard (one document at least), and in one step of tokenising.
 SHARD_BYTES = 8 << 20
 PIECE_BYTES = 2 << 20
+#: Bytes of words asked of one slice of the dictionary.
+SLICE_BYTES = 16 << 20
 
 _CAPITAL = np.zeros(256, dtype=bool)
 _CAPITAL[0x41:0x5B] = True
@@ -79,7 +82,8 @@ def _counted(data: np.ndarray, off: np.ndarray, a: int, b: int) -> tuple[np.ndar
     np.cumsum(end - start, out=offsets[1:])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(piece[inside[1:-1]])])
     coded = words.dictionary_encode()
-    doc = np.searchsorted(off, start + a, "right") - 1
+    lo, hi = int(np.searchsorted(off, a, "right")) - 1, int(np.searchsorted(off, b, "left"))
+    doc = np.repeat(np.arange(lo, hi), np.diff(np.searchsorted(start, np.clip(off[lo : hi + 1] - a, 0, b - a))))
     width = max(len(coded.dictionary), 1)
     pair, n = np.unique(doc * width + coded.indices.to_numpy(), return_counts=True)
     return pair // width, pair % width, n, coded.dictionary
@@ -93,28 +97,57 @@ class _Shard:
         self.bytes = 0
 
     def rows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """indptr, column and count of the texts [first, last), and the shard's terms."""
+        """indptr, column and count of the texts [first, last), and the shard's terms, ascending by hash."""
         if not self.parts:
             return np.zeros(last - first + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.large_binary())
         coded = pa.concat_arrays([p[3] for p in self.parts]).dictionary_encode()
-        at, base = coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *(len(p[3]) for p in self.parts)])
+        terms = coded.dictionary
+        order = np.argsort(_hashes(_joined(terms)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        at, base = rank[coded.indices.to_numpy()], np.cumsum([0, *(len(p[3]) for p in self.parts)])
         term = np.concatenate([at[base[i] + p[1]] for i, p in enumerate(self.parts)])
         doc = np.concatenate([p[0] for p in self.parts]) - first
-        width = len(coded.dictionary)
-        pair, back = np.unique(doc * width + term, return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate([p[2] for p in self.parts]), minlength=len(pair)).astype(np.int64)
-        indptr = np.searchsorted(pair, np.arange(last - first + 1) * width)
-        return indptr, pair % width, n, coded.dictionary
+        n = np.concatenate([p[2] for p in self.parts])
+        if any(len(x[0]) and len(y[0]) and x[0][-1] == y[0][0] for x, y in zip(self.parts, self.parts[1:], strict=False)):
+            # A text was cut into pieces: add up what they have in common.
+            pair, back = np.unique(doc * len(terms) + term, return_inverse=True)
+            n = np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
+            doc, term = pair // len(terms), pair % len(terms)
+        indptr = np.searchsorted(doc, np.arange(last - first + 1))
+        return indptr, term, n, terms.take(pa.array(order))
 
 
-def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _joined(terms: pa.Array) -> bytes:
+    """Words as one text; no word holds a space."""
+    return b" ".join(terms.to_pylist())
+
+
+def _split(joined: bytes) -> pa.Array:
+    """The words of ``_joined``."""
+    data = np.frombuffer(joined, np.uint8)
+    gap = np.flatnonzero(data == 0x20)
+    offsets = np.zeros(len(gap) + 2 if len(data) else 1, dtype=np.int64)
+    if len(data):
+        offsets[1:-1] = gap - np.arange(len(gap))
+        offsets[-1] = len(data) - len(gap)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.delete(data, gap))])
+
+
+def _hashes(joined: bytes) -> np.ndarray:
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(joined)])), pa.py_buffer(joined)])
+    return T.tokenize(whole).hash
+
+
+def _list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def local_shards(docs: DataFrame) -> DataFrame:
     """CSR shards of ``docs`` (doc_id, part, copy, text) with vocabularies of their own.
 
-    shard, doc_ids, parts, copies, capitals and symbols (filters C and D), indptr, columns, counts, terms.
+    shard, doc_ids, parts, copies, failed (bits of filters C and D), csr (indptr, columns, counts; see
+    ``blobs``), terms (joined by spaces, ascending by hash), n_bytes of them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -124,68 +157,94 @@ def local_shards(docs: DataFrame) -> DataFrame:
             data, off = T.raw(T.texts(b.column("text")))
             size = b.num_rows
             capital, symbol, chars = (np.zeros(size, dtype=np.int64) for _ in range(3))
-            first, shard = 0, _Shard()
 
-            def done(last: int, first: int, shard: _Shard, number: int) -> pa.RecordBatch:
+            def made(number: int, first: int, last: int, shard: _Shard) -> pa.RecordBatch:
                 indptr, column, n, terms = shard.rows(first, last)
-                one = slice(first, last)
-                lists = [pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), b.column(c).slice(first, last - first)) for c in ("doc_id", "part", "copy")]
+                one, joined = slice(first, last), _joined(terms)
+                failed = (100 * capital[one] > 2 * chars[one]) * 4 + (symbol[one] > 0) * 8
+                lists = [_list(b.column(c).slice(first, last - first)) for c in ("doc_id", "part", "copy")]
+                csr = pack(deltas(indptr), narrow(column), narrow(n))
                 return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int64()), *lists,
-                        _list(100 * capital[one] > 2 * chars[one], pa.bool_()), _list(symbol[one] > 0, pa.bool_()),
-                        _list(indptr, pa.int32()), _list(column, pa.int32()), _list(n, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.binary())),
-                    ],
-                    ["shard", "doc_ids", "parts", "copies", "capitals", "symbols", "indptr", "columns", "counts", "terms"],
-                )
+                    [pa.array([number]), *lists, _list(pa.array(failed, pa.int32())), pa.array([csr], pa.binary()), pa.array([joined], pa.binary()), pa.array([len(joined)])],
+                    ["shard", "doc_ids", "parts", "copies", "failed", "csr", "terms", "n_bytes"],
+                )
 
+            first, shard = 0, _Shard()
             for x, y in pieces(data, off):
                 lo, hi = int(np.searchsorted(off, x, "right")) - 1, int(np.searchsorted(off, y, "left"))
                 if shard.bytes >= SHARD_BYTES and off[lo] == x:
-                    yield done(lo, first, shard, number)
+                    yield made(number, first, lo, shard)
                     first, shard, number = lo, _Shard(), number + 1
                 shard.parts.append(_counted(data, off, x, y))
                 shard.bytes += y - x
                 border = np.clip(off[lo : hi + 1], x, y) - x
-                for total, mask in ((capital, _CAPITAL), (symbol, _SYMBOL)):
-                    total[lo:hi] += np.diff(np.append(0, np.cumsum(mask[data[x:y]]))[border])
-                chars[lo:hi] += np.diff(np.append(0, np.cumsum((data[x:y] & 0xC0) != 0x80))[border])
+                piece = data[x:y]
+                for total, mask in ((capital, _CAPITAL[piece]), (symbol, _SYMBOL[piece]), (chars, (piece & 0xC0) != 0x80)):
+                    total[lo:hi] += np.diff(np.append(0, np.cumsum(mask, dtype=np.int64))[border])
             if size:
-                yield done(size, first, shard, number)
+                yield made(number, first, size, shard)
                 number += 1
 
     return docs.select("doc_id", "part", "copy", "text").mapInArrow(
-        T.releasing(run),
-        f"shard long, doc_ids array<{kind}>, parts array<string>, copies array<binary>, capitals array<boolean>, symbols array<boolean>, "
-        "indptr array<int>, columns array<int>, counts array<int>, terms array<binary>",
+        T.releasing(run), f"shard long, doc_ids array<{kind}>, parts array<string>, copies array<binary>, failed array<int>, csr binary, terms binary, n_bytes long"
     )
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """term, number: every distinct word of the corpus, numbered without gaps from 0."""
-    words = stored(shards.select(F.explode("terms").alias("term")).distinct().withColumn("all", F.lit(0)), "audit-words")
-    return numbered(words, "all", ["term"], ["term"], per_bucket=200_000).select("term", F.col("slot").alias("number"))
+def dictionary_numbers(shards: DataFrame) -> DataFrame:
+    """shard, slice, first, numbers: the dictionary's numbers of each shard's terms, in their order.
+
+    The dictionary is cut into slices of the hash range, each small enough for a task. A shard asks a slice once
+    for all of its words there; the slice numbers its distinct words, and ``first`` counts the words of the slices before.
+    """
+    slices = int((shards.agg(F.sum("n_bytes")).first()[0] or 0) // SLICE_BYTES) + 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, joined in zip(b.column("shard").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                if not joined:
+                    continue
+                terms, at = _split(joined), part_of(_hashes(joined), slices)
+                present, cut = np.unique(at, return_index=True)
+                ends = np.append(cut[1:], len(at))
+                asked = [_joined(terms.slice(i, j - i)) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(present), pa.array([shard] * len(present), pa.int64()), pa.array(asked, pa.binary())], ["slice", "shard", "terms"])
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        words = [_split(joined.as_py()) for joined in table.column("terms")]
+        coded = pa.concat_arrays(words).dictionary_encode()
+        cut = np.cumsum([0, *map(len, words)])
+        own = coded.indices.to_numpy().astype(np.uint32)
+        blobs = [pack(narrow(own[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        distinct = pa.array([len(coded.dictionary)] * len(words), pa.int64())
+        return pa.table({"slice": table.column("slice"), "shard": table.column("shard"), "numbers": pa.array(blobs, pa.binary()), "distinct": distinct})
+
+    asked = shards.select("shard", "terms").mapInArrow(T.releasing(ask), "slice long, shard long, terms binary")
+    made = stored(asked.groupBy("slice").applyInArrow(number, "slice long, shard long, numbers binary, distinct long"), "audit-numbers")
+    sizes = made.groupBy("slice").agg(F.first("distinct").alias("distinct"))  # one row a slice
+    before = F.coalesce(F.sum("distinct").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first")
+    return made.join(sizes.select("slice", before), "slice").select("shard", "slice", "first", "numbers")
 
 
 def document_term_matrix(docs: DataFrame) -> DataFrame:
-    """CSR shards of ``docs`` (doc_id, part, copy, text) over the global dictionary: ``columns`` are its numbers."""
+    """CSR shards of ``docs`` (doc_id, part, copy, text) over the global dictionary: shard, doc_ids, parts, copies, failed, csr.
+
+    ``csr`` holds indptr (as differences), the dictionary numbers of the nonzero columns, and their counts.
+    """
     local = stored(local_shards(docs), "audit-shards")
-    asked = local.select("shard", F.posexplode("terms").alias("place", "term"))
-    coded = asked.join(dictionary(local), "term").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "number"))).alias("coded"))
-    joined = local.drop("terms").join(coded.select("shard", F.col("coded.number").alias("numbers")), "shard", "left")
+    numbers = dictionary_numbers(local).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("slice", "first", "numbers"))).alias("coded"))
+    joined = local.drop("terms", "n_bytes").join(numbers, "shard", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                column = row.column("columns").flatten().to_numpy(zero_copy_only=False)
-                number = row.column("numbers").flatten().to_numpy(zero_copy_only=False)
-                wide = _list(number[column] if len(column) else column, pa.int64())
-                yield pa.RecordBatch.from_arrays([row.column(c) if c != "columns" else wide for c in schema.names], schema.names)
+            blobs = []
+            for csr, coded in zip(b.column("csr").to_pylist(), b.column("coded").to_pylist(), strict=True):
+                lengths, column, n = unpack(csr)
+                number = np.concatenate([np.empty(0, np.uint64), *(unpack(x["numbers"])[0].astype(np.uint64) + np.uint64(x["first"]) for x in coded or [])])
+                blobs.append(pack(lengths, narrow(number[column]), n))
+            yield b.drop_columns(["coded", "csr"]).append_column("csr", pa.array(blobs, pa.binary()))
 
-    schema = joined.drop("numbers").withColumn("columns", F.col("columns").cast("array<bigint>")).schema
-    return joined.mapInArrow(T.releasing(run), schema)
+    return joined.mapInArrow(T.releasing(run), joined.drop("coded", "csr").withColumn("csr", F.lit(b"")).schema)
 
 
 def document_flags(matrix: DataFrame) -> DataFrame:
@@ -195,18 +254,18 @@ def document_flags(matrix: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c).slice(i, 1).flatten() for c in ("doc_ids", "parts", "copies", "capitals", "symbols", "indptr", "counts")}
-                indptr = row["indptr"].to_numpy().astype(np.int64)
-                before = np.append(0, np.cumsum(row["counts"].to_numpy(zero_copy_only=False).astype(np.int64)))
+                row = {c: b.column(c).slice(i, 1).flatten() for c in ("doc_ids", "parts", "copies", "failed")}
+                lengths, _, n = unpack(b.column("csr")[i].as_py())
+                indptr = undelta(lengths).astype(np.int64)
+                before = np.append(0, np.cumsum(n, dtype=np.int64))
                 words, distinct = before[indptr[1:]] - before[indptr[:-1]], np.diff(indptr)
-                capital, symbol = (row[c].to_numpy(zero_copy_only=False) for c in ("capitals", "symbols"))
-                failed = (words < MIN_WORDS) * 1 + (100 * distinct < 50 * words) * 2 + capital * 4 + symbol * 8
+                failed = row["failed"].to_numpy() + (words < MIN_WORDS) * 1 + (100 * distinct < 50 * words) * 2
                 yield pa.RecordBatch.from_arrays(
                     [row["doc_ids"], row["parts"], row["copies"], pa.array(words), pa.array(distinct), pa.array(failed.astype(np.int32))],
                     ["doc_id", "part", "copy", "n_words", "n_distinct", "failed"],
                 )
 
-    return matrix.select("doc_ids", "parts", "copies", "capitals", "symbols", "indptr", "counts").mapInArrow(
+    return matrix.select("doc_ids", "parts", "copies", "failed", "csr").mapInArrow(
         T.releasing(run), f"doc_id {kind}, part string, copy binary, n_words long, n_distinct long, failed int"
     )
 
