@@ -24,6 +24,12 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def finite(c: Column | str) -> Column:
+    """The value, or null where it is NaN or infinite."""
+    c = col_of(c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
 def nan_free(df: DataFrame) -> DataFrame:
     """``df`` with NaN as null in its double and float columns, as pandas skips both.
 

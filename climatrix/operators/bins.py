@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from climatrix.functions.binning import bin_edge, bin_index, bin_lower, bin_upper, edge_bin
 from climatrix.functions.calendar import epoch_micros
-from climatrix.functions.safe import nan_to_null
+from climatrix.functions.safe import finite, nan_to_null
 from climatrix.operators.keys import station_key
-from climatrix.operators.quantile import exact_quantiles, small, values_of
+from climatrix.operators.quantile import exact_quantiles, met, values_of
 from climatrix.schema import GRID_MAP, GRID_SCATTER, GRID_SPATIAL
 from climatrix.session import materialize
 
@@ -29,14 +29,15 @@ def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame
 
     Output ``(bin, lo, hi, n)`` for every bin (empty bins have n = 0). A value
     goes to the bin whose own edges hold it, so rounding at an edge can't
-    move it. A constant column gets the range value -0.5 to +0.5. Two passes over
+    move it. A constant column gets the range value -0.5 to +0.5. Infinite values are in no bin, so
+    ``n`` sums to the finite ones (``infinite_values`` counts the others). Two passes over
     the column: the extent (a scalar subquery, run once), then the counts,
     joined to the list of all bins.
     """
     bins = int(bins)
     if bins < 1:
         raise ValueError(f"bins must be at least 1, got {bins}")
-    v = df.select(nan_to_null(F.col(column).cast("double")).alias("_v")).dropna()
+    v = df.select(finite(F.col(column).cast("double")).alias("_v")).dropna()
     ext = extent(v, ["_v"])
     flat = ext["_v_lo"] == ext["_v_hi"]
     lo = F.when(flat, ext["_v_lo"] - 0.5).otherwise(ext["_v_lo"])
@@ -51,6 +52,12 @@ def histogram(df: DataFrame, column: str = "tavg", bins: int = 100) -> DataFrame
     )
 
 
+def infinite_values(df: DataFrame, column: str = "tavg") -> DataFrame:
+    """``(below, above)``: how many values of a column are -Infinity and Infinity, which no bin holds."""
+    v = F.col(column).cast("double")
+    return df.agg(F.count_if(v == float("-inf")).alias("below"), F.count_if(v == float("inf")).alias("above"))
+
+
 def extent(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
     """Min and max of each column as one scalar subquery (a struct).
 
@@ -82,9 +89,9 @@ def grid_xy(
 ) -> DataFrame:
     """Any x, y on a width x height grid; mean of ``value`` per cell,
     or the point count when ``value`` is None. A text ``value`` gives the
-    count per (cell, category)."""
+    count per (cell, category). Points with an infinite x or y are in no cell."""
     cols = [x, y] + ([value] if value else [])
-    pts = df.select(*[nan_to_null(F.col(c)) if _is_double(df, c) else F.col(c) for c in cols])
+    pts = df.select(*[F.col(c) if not _is_double(df, c) else nan_to_null(F.col(c)) if c == value else finite(F.col(c)) for c in cols])
     pts = pts.toDF(*cols).dropna(subset=[x, y])
     cells = _cells(pts, x, y, width, height)
     if value is None:
@@ -126,7 +133,7 @@ def grid_mean(
     stations, not rows: the fact table is scanned once and never joined.
     """
     if stations is None or ("lat" in df.columns and "lon" in df.columns):
-        pts = df.select("lon", "lat", nan_to_null(F.col(value)).alias("_v")).dropna(subset=["lon", "lat"])
+        pts = df.select(finite("lon").alias("lon"), finite("lat").alias("lat"), nan_to_null(F.col(value)).alias("_v")).dropna(subset=["lon", "lat"])
         if extent_needs_value:
             pts = pts.dropna(subset=["_v"])
         return (
@@ -144,7 +151,7 @@ def grid_mean(
     )
     if extent_needs_value:
         per = per.filter(F.col("_c") > 0)
-    pts = per.join(stations.select(k, "lon", "lat"), k).dropna(subset=["lon", "lat"])
+    pts = per.join(stations.select(k, finite("lon").alias("lon"), finite("lat").alias("lat")), k).dropna(subset=["lon", "lat"])
     # One row per station feeds both the extent and the binning: write it
     # once so the fact table is scanned once.
     pts = materialize(pts)
@@ -163,8 +170,8 @@ def grid_map(df: DataFrame, stations: DataFrame | None = None, value: str = "tav
 
 
 def series_points(df: DataFrame, x: str = "date", y: str = "tavg") -> DataFrame:
-    """The raw points (x, y) of a series, without the incomplete ones."""
-    return df.select(F.col(x), nan_to_null(F.col(y)).alias(y)).dropna()
+    """The raw points (x, y) of a series, without the incomplete ones and infinite values."""
+    return df.select(F.col(x), finite(F.col(y)).alias(y)).dropna()
 
 
 def grid_series(
@@ -184,8 +191,8 @@ def grid_series(
 def density_2d(
     df: DataFrame, x: str = "tavg", y: str = "humidity", nbins_x: int = 20, nbins_y: int = 20
 ) -> DataFrame:
-    """2-D histogram counts of two columns over their extent."""
-    pts = df.select(nan_to_null(F.col(x)).alias(x), nan_to_null(F.col(y)).alias(y)).dropna()
+    """2-D histogram counts of two columns over their extent; points with an infinite one are left out."""
+    pts = df.select(finite(F.col(x)).alias(x), finite(F.col(y)).alias(y)).dropna()
     return _cells(pts, x, y, nbins_x, nbins_y).groupBy("x_bin", "y_bin").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -207,7 +214,8 @@ def box_stats(df: DataFrame, value: str = "value", by: Sequence[str] = ("event_t
         }
     ))
     v, lf, uf = F.col("_v"), F.col("lower_fence"), F.col("upper_fence")
-    edges = values_of(df, value, by).join(small(q.select(*by, "lower_fence", "upper_fence")), by).groupBy(*by).agg(
+    fences = q.select(*by, "lower_fence", "upper_fence")
+    edges = met(values_of(df, value, by), fences, by, q.count()).groupBy(*by).agg(
         F.min(F.when(v >= lf, v)).alias("whisker_low"),
         F.max(F.when(v <= uf, v)).alias("whisker_high"),
         F.count_if((v < lf) | (v > uf)).alias("outliers"),
@@ -234,7 +242,7 @@ def violin_density(
     by = [by] if isinstance(by, str) else list(by)
     far = [c for c in by if c not in df.columns] if stations is not None else []  # held by the station table
     key = [c for c in by if c not in far] + ([station_key(df, stations)] if far else [])
-    pts = df.select(*key, nan_to_null(F.col(value).cast("double")).alias("_v")).dropna()
+    pts = df.select(*key, finite(F.col(value).cast("double")).alias("_v")).dropna()
     ext = extent(pts, ["_v"])
     lo, hi = ext["_v_lo"], ext["_v_hi"]
     cnt = pts.groupBy(*key, bin_index(F.col("_v"), lo, hi, bins).alias("bin")).agg(

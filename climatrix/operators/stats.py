@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from climatrix.functions.safe import nan_to_null, pair_corr
-from climatrix.operators.quantile import exact_quantiles, quantiles_from_stats, values_of
+from climatrix.operators.quantile import SKETCH_K, exact_quantiles, quantiles_from_stats, values_of
 from climatrix.session import materialize
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
     """Count, mean, std, min, 25/50/75 %, max for each column (by default every numeric one).
 
-    Moments and extremes are one partial + final aggregate; quartiles are
-    exact (counting passes over the stacked columns) or, with ``method='approx'``,
-    sketched. Output: one row per column, also for columns without values.
+    Moments, extremes and a sketch of each column are one partial + final aggregate; quartiles are
+    exact (counting passes over the stacked columns, the first one around the sketch's quartiles) or, with
+    ``method='approx'``, sketched. Output: one row per column, also for columns without values.
     (``DataFrame.summary`` is not used: its quartiles are approximate.)
     """
     cols = list(cols) if cols is not None else numeric_column_names(df)
@@ -26,23 +26,24 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "ex
         return df.sparkSession.createDataFrame([], "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
     long = df.select(
         F.stack(
-            F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), nan_to_null(F.col(c).cast("double")))]
-        ).alias("column", "value")
+            F.lit(len(cols)), *[x for i, c in enumerate(cols) for x in (F.lit(i), nan_to_null(F.col(c).cast("double")))]
+        ).alias("_col", "value")
     )
-    m = long.groupBy("column").agg(
+    m = long.groupBy("_col").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
+        *([F.call_function("kll_sketch_agg_double", F.col("value"), F.lit(SKETCH_K)).alias("_sketch")] if method == "exact" else []),
     )
     probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
     if method == "exact":  # the moments already hold the counts and extremes that the passes start from
         m = materialize(m)
-        known = m.filter("count > 0").select("column", F.col("count").alias("n"), F.col("min").alias("_lo"), F.col("max").alias("_hi"))
-        q = quantiles_from_stats(values_of(long, "value", ["column"]), known, probs, ["column"], names).select("column", "n", *names)
+        known = m.filter("count > 0").select("_col", F.col("count").alias("n"), F.col("min").alias("_lo"), F.col("max").alias("_hi"), "_sketch")
+        q = quantiles_from_stats(values_of(long, "value", ["_col"]), known, probs, ["_col"], names).select("_col", *names)
     else:
-        q = exact_quantiles(long, "value", probs, by=["column"], names=names, method=method)
-    present = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+        q = exact_quantiles(long, "value", probs, by=["_col"], names=names, method=method).drop("n")
+    present = df.sparkSession.createDataFrame(list(enumerate(cols)), "_col int, column string")
     # Every table here has one row per requested column: broadcasts are bounded.
-    return present.join(F.broadcast(m), "column", "left").join(F.broadcast(q.drop("n")), "column", "left").select(
+    return present.join(F.broadcast(m), "_col", "left").join(F.broadcast(q), "_col", "left").select(
         "column",
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
         "mean", "std", "min", "p25", "p50", "p75", "max",
@@ -53,10 +54,48 @@ def numeric_column_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _partition_sums(cols: list[str], shift: list[float]):
-    """Per task: for every column pair (i <= j) the pairwise-complete count, sums, sums of squares
-    and products of the values less ``shift``, and their extremes. One row per pair per
-    task; memory per task is O(k^2) besides the Arrow batch."""
+#: Of a pair of columns: complete rows, means, sums of squares and of products about the means.
+_MOMENTS = ("n", "mi", "mj", "qi", "qj", "c")
+
+
+def _merged(a, b):
+    """Co-moments of the union of two sets of rows, from theirs (arrays of ``_MOMENTS``)."""
+    import numpy as np
+
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    both = a[0] * share
+    di, dj = b[1] - a[1], b[2] - a[2]
+    return np.stack([n, a[1] + di * share, a[2] + dj * share, a[3] + b[3] + di * di * both, a[4] + b[4] + dj * dj * both, a[5] + b[5] + di * dj * both])
+
+
+def _batch_moments(x):
+    """Co-moments of every column pair (i <= j) over the rows of a batch that have both values."""
+    import numpy as np
+
+    iu, ju = np.triu_indices(x.shape[1])
+    present = ~np.isnan(x)
+    full = present.all(axis=0)
+    out = np.zeros((len(_MOMENTS), len(iu)))
+    if full.any():  # columns without gaps share their rows: one product gives all of their pairs
+        d = x[:, full]
+        mean = d.mean(axis=0)
+        d = d - mean
+        cross, at = d.T @ d, np.cumsum(full) - 1
+        pair = full[iu] & full[ju]
+        i, j = at[iu[pair]], at[ju[pair]]
+        out[:, pair] = np.stack([np.full(len(i), len(x), dtype=float), mean[i], mean[j], cross[i, i], cross[j, j], cross[i, j]])
+    for k in np.flatnonzero(~(full[iu] & full[ju])):
+        rows = present[:, iu[k]] & present[:, ju[k]]
+        if rows.any():
+            a, b = x[rows, iu[k]], x[rows, ju[k]]
+            p, q = a - a.mean(), b - b.mean()
+            out[:, k] = rows.sum(), a.mean(), b.mean(), p @ p, q @ q, p @ q
+    return out
+
+
+def _partition_moments(cols: list[str]):
+    """Per task: the co-moments and extremes of every column pair, one row a pair; memory is O(k^2) besides the Arrow batch."""
     import numpy as np
     import pandas as pd
 
@@ -64,28 +103,26 @@ def _partition_sums(cols: list[str], shift: list[float]):
     iu, ju = np.triu_indices(k)
 
     def run(batches):
-        n, si, qi, c = (np.zeros((k, k)) for _ in range(4))
-        lo, hi = np.full((k, k), np.inf), np.full((k, k), -np.inf)
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
-            present = ~np.isnan(x)
-            d = np.where(present, x - np.array(shift), 0.0)
-            mk = present.astype("float64")
-            n += mk.T @ mk
-            si += d.T @ mk
-            qi += (d * d).T @ mk
-            c += d.T @ d
-            for j in range(k):  # extremes of every column on the rows where column j is present
-                own = np.where(present[:, j : j + 1] & present, x, np.nan)
-                if present[:, j].any():
-                    lo[:, j] = np.fmin(lo[:, j], np.fmin.reduce(own, axis=0))
-                    hi[:, j] = np.fmax(hi[:, j], np.fmax.reduce(own, axis=0))
-        if n.any():
-            yield pd.DataFrame({
-                "i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
-                "si": si[iu, ju], "sj": si[ju, iu], "qi": qi[iu, ju], "qj": qi[ju, iu], "c": c[iu, ju],
-                "lo_i": lo[iu, ju], "hi_i": hi[iu, ju], "lo_j": lo[ju, iu], "hi_j": hi[ju, iu],
-            })
+        total = np.zeros((len(_MOMENTS), len(iu)))
+        lo, hi = np.full((2, len(iu)), np.inf), np.full((2, len(iu)), -np.inf)
+        with np.errstate(all="ignore"):  # infinite values make a pair's r null
+            for pdf in batches:
+                x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan)
+                if not len(x):
+                    continue
+                total = _merged(total, _batch_moments(x))
+                present = ~np.isnan(x)
+                for j in range(k):  # extremes of every column on the rows where column j has a value
+                    if present[:, j].any():
+                        own = x if present[:, j].all() else x[present[:, j]]
+                        low, high = np.fmin.reduce(own, axis=0), np.fmax.reduce(own, axis=0)
+                        for side, (mine, other) in enumerate(((iu, ju), (ju, iu))):
+                            at = other == j
+                            lo[side, at] = np.fmin(lo[side, at], low[mine[at]])
+                            hi[side, at] = np.fmax(hi[side, at], high[mine[at]])
+        if total[0].any():
+            frame = {"i": iu.astype("int32"), "j": ju.astype("int32"), **dict(zip(_MOMENTS, total, strict=True))}
+            yield pd.DataFrame({**frame, "lo_i": lo[0], "hi_i": hi[0], "lo_j": lo[1], "hi_j": hi[1]})
 
     return run
 
@@ -94,12 +131,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     """Pairwise Pearson r over pairwise-complete rows, long form
     ``(a, b, r)`` with both triangles and the diagonal.
 
-    A first cheap aggregate gives the column means. With them as a common
-    shift each task sums its rows with numpy (``mapInPandas``), and the per-task
-    sums are merged by one partial + final aggregate; the shift keeps the
-    differences of sums well conditioned, whatever the columns' scale. A
-    column that is constant on the pair's rows (smallest = largest value)
-    gives null.
+    One scan: each task reduces its rows to one row a pair (``mapInPandas``) with the pair's
+    count, means and co-moments about those means. The tasks' rows are merged about the
+    overall means of the pair's own rows, so r is right wherever these rows lie. A
+    column that is constant on the pair's rows (smallest = largest value), or has an infinite
+    value there, gives null.
 
     A single SQL aggregation with k(k-1)/2 ``covar_samp``/``stddev_samp``
     triples would exceed the whole-stage codegen field limit and run
@@ -108,23 +144,25 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     """
     cols = list(cols) if cols else numeric_column_names(df)
     vals = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    means = vals.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    shift = [float(means[c] or 0.0) for c in cols]
-    schema = "i int, j int, n double, si double, sj double, qi double, qj double, c double, lo_i double, hi_i double, lo_j double, hi_j double"
-    parts = vals.mapInPandas(_partition_sums(cols, shift), schema)
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in (*_MOMENTS, "lo_i", "hi_i", "lo_j", "hi_j"))
+    parts = vals.mapInPandas(_partition_moments(cols), schema).filter("n > 0")
+    pair = Window.partitionBy("i", "j")  # one row a task
+    share = F.col("n") / F.sum("n").over(pair)
+    parts = parts.withColumn("_w", share).withColumns({f"_m{x}": F.sum(F.col(f"m{x}") * F.col("_w")).over(pair) for x in "ij"})
+    di, dj, n = F.col("mi") - F.col("_mi"), F.col("mj") - F.col("_mj"), F.col("n")
     merged = parts.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "c")],
+        F.sum("n").alias("n"),
+        F.sum(F.col("qi") + n * di * di).alias("vx"),
+        F.sum(F.col("qj") + n * dj * dj).alias("vy"),
+        F.sum(F.col("c") + n * di * dj).alias("cxy"),
         *[f(f"{e}_{x}").alias(f"{e}_{x}") for e, f in (("lo", F.min), ("hi", F.max)) for x in "ij"],
     )
-    n = F.col("n")
-    cxy = F.col("c") - F.try_divide(F.col("si") * F.col("sj"), n)
-    vx = F.col("qi") - F.try_divide(F.col("si") * F.col("si"), n)
-    vy = F.col("qj") - F.try_divide(F.col("sj") * F.col("sj"), n)
     flat = (F.col("lo_i") == F.col("hi_i")) | (F.col("lo_j") == F.col("hi_j"))
+    plain = F.try_divide(F.col("cxy"), F.sqrt("vx") * F.sqrt("vy"))
     r = (
-        F.when((n < 2) | flat, F.lit(None).cast("double"))
+        F.when((F.col("n") < 2) | flat | F.isnan(plain), F.lit(None).cast("double"))
         .when(F.col("i") == F.col("j"), F.lit(1.0))
-        .otherwise(F.try_divide(cxy, F.sqrt(vx) * F.sqrt(vy)))
+        .otherwise(F.greatest(F.least(plain, F.lit(1.0)), F.lit(-1.0)))
     )
     names = F.array(*[F.lit(c) for c in cols])
     a = F.element_at(names, F.col("i") + 1)

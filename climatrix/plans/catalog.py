@@ -485,6 +485,29 @@ def q_histogram(spark, sf):
     return bins.histogram(_m(spark, sf), "tavg", 100)
 
 
+def _with_infinite(spark, sf):
+    """The measures with tavg infinite on humid or dry days."""
+    return _m(spark, sf).withColumn("tavg", F.expr("CASE humidity WHEN 30 THEN double('-Infinity') WHEN 31 THEN double('Infinity') ELSE tavg END"))
+
+
+@register("histogram_infinite")
+def q_histogram_infinite(spark, sf):
+    """A17 over a column with infinite values: the bins hold the finite ones."""
+    return bins.histogram(_with_infinite(spark, sf), "tavg", 10)
+
+
+@register("infinite_values")
+def q_infinite_values(spark, sf):
+    """The values that no bin holds."""
+    return bins.infinite_values(_with_infinite(spark, sf), "tavg")
+
+
+@register("density_2d_infinite")
+def q_density_2d_infinite(spark, sf):
+    """A25 over a column with infinite values."""
+    return bins.density_2d(_with_infinite(spark, sf), "tavg", "humidity", 20, 20)
+
+
 @register("grid_mean")
 def q_grid_mean(spark, sf):
     return bins.grid_mean(_m(spark, sf), stations=_st(spark, sf))

@@ -246,8 +246,26 @@ def _box(src: str, value: str, by: str) -> str:
     )
 
 
-def _edge(i: str) -> str:
-    return f"CASE WHEN {i} = 100 THEN hi ELSE {i} * ((hi - lo) / 100.0::DOUBLE) + lo END"
+def _edge(i: str, n: int) -> str:
+    return f"CASE WHEN {i} = {n} THEN hi ELSE {i} * ((hi - lo) / {n}.0::DOUBLE) + lo END"
+
+
+def _histogram(n: int) -> str:
+    """Counts of ``v`` by the edges of ``n`` equal bins."""
+    return (
+        "x AS (SELECT min(v) AS a, max(v) AS z FROM v HAVING min(v) IS NOT NULL),\n"
+        "e AS (SELECT CASE WHEN a = z THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = z THEN z + 0.5 ELSE z END AS hi FROM x),\n"
+        f"r AS (SELECT v, lo, hi, least(floor((v - lo) / (hi - lo) * {n}), {n - 1}) AS b FROM v, e),\n"
+        f"d AS (SELECT v, lo, hi, CASE WHEN v < {_edge('b', n)} THEN b - 1 ELSE b END AS b FROM r),\n"
+        f"c AS (SELECT CAST(CASE WHEN v >= {_edge('(b + 1)', n)} AND b <> {n - 1} THEN b + 1 ELSE b END AS INTEGER) AS bin, count(*) AS n FROM d GROUP BY 1),\n"
+        f"b AS (SELECT CAST(range AS INTEGER) AS bin, lo, hi FROM range(0, {n}), e)\n"
+        f"SELECT b.bin, round({_edge('b.bin', n)}, 6) AS lo, round({_edge('(b.bin + 1)', n)}, 6) AS hi, "
+        "CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM b LEFT JOIN c ON b.bin = c.bin"
+    )
+
+
+#: Days on which ``tavg`` is finite in the queries with infinite values.
+FINITE = "humidity NOT IN (30, 31)"
 
 
 SQL: dict[str, str] = {
@@ -422,16 +440,12 @@ SQL: dict[str, str] = {
     + "SELECT year, continent, round(coalesce(sum(prcp), 0), 6) AS prcp_sum FROM station_day "
     "WHERE year IS NOT NULL AND continent IS NOT NULL GROUP BY year, continent",
     # bins and grids
-    "histogram": _m()
-    + ", v AS (SELECT tavg AS v FROM measures WHERE tavg IS NOT NULL),\n"
-    "x AS (SELECT min(v) AS a, max(v) AS z FROM v HAVING min(v) IS NOT NULL),\n"
-    "e AS (SELECT CASE WHEN a = z THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = z THEN z + 0.5 ELSE z END AS hi FROM x),\n"
-    "r AS (SELECT v, lo, hi, least(floor((v - lo) / (hi - lo) * 100), 99) AS b FROM v, e),\n"
-    f"d AS (SELECT v, lo, hi, CASE WHEN v < {_edge('b')} THEN b - 1 ELSE b END AS b FROM r),\n"
-    f"c AS (SELECT CAST(CASE WHEN v >= {_edge('(b + 1)')} AND b <> 99 THEN b + 1 ELSE b END AS INTEGER) AS bin, count(*) AS n FROM d GROUP BY 1),\n"
-    "b AS (SELECT CAST(range AS INTEGER) AS bin, lo, hi FROM range(0, 100), e)\n"
-    f"SELECT b.bin, round({_edge('b.bin')}, 6) AS lo, round({_edge('(b.bin + 1)')}, 6) AS hi, "
-    "CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM b LEFT JOIN c ON b.bin = c.bin",
+    "histogram": _m() + ", v AS (SELECT tavg AS v FROM measures WHERE tavg IS NOT NULL),\n" + _histogram(100),
+    "histogram_infinite": _m() + f", v AS (SELECT tavg AS v FROM measures WHERE tavg IS NOT NULL AND {FINITE}),\n" + _histogram(10),
+    "infinite_values": _m() + "SELECT count(*) FILTER (humidity = 30) AS below, count(*) FILTER (humidity = 31) AS above FROM measures",
+    "density_2d_infinite": _m()
+    + f", p AS (SELECT tavg, humidity FROM measures WHERE tavg IS NOT NULL AND humidity IS NOT NULL AND {FINITE})\n"
+    + _grid("p", "tavg", "humidity", 20, 20, "count(*) AS n"),
     "grid_mean": _sd()
     + ", p AS (SELECT lon, lat, tavg FROM station_day WHERE lon IS NOT NULL AND lat IS NOT NULL AND tavg IS NOT NULL)\n"
     + _grid("p", "lon", "lat", 800, 400, "round(avg(tavg), 6) AS tavg_mean"),
