@@ -5,20 +5,24 @@ protected entities. A term reveals an entity as strongly as their
 co-occurrence in the corpus says: with n(e) documents that hold entity e,
 n(e, t) of them holding term t as well, n(t) documents with t and N documents,
 
-    disclosure = log(N n(e,t) / (n(e) n(t))) / log(N / n(e))
+    disclosure = log(N P(e|t) / n(e)) / log(N / n(e))        P(e|t) = n(e,t) / n(t)
 
 is 1 if t never stands without e and 0 if they are independent. Counts of one or two say
-little, so the share n(e,t) / n(t) is taken at its lower confidence bound (Wilson, ``Z``): a rare
-entity's terms count as well, but the fewer documents there are, the more often they must meet.
-Every word of a document, of any length, is a term, wherever it stands. Terms whose disclosure
-reaches ``THRESHOLD`` are generalised (or removed) in every document that holds
-them, with the entity or without. Copies of a document with an entity count once, so copying
-isn't evidence.
+little, so P(e|t) is taken at its lower confidence bound (Wilson, ``Z``). A term discloses e
+if its disclosure reaches ``THRESHOLD`` and the bound reaches ``EVIDENCE``, which doesn't move with N: two
+documents of two do, one of one doesn't. Every word of a document, of any length, is a term, wherever it stands.
+Disclosing terms are generalised to their class (or removed) in the documents that hold e; in documents
+without e only where the bound reaches ``STRICT``, so a page that shares a rare word with a few others stays as it
+is. Copies of a document with an entity count once, so copying isn't evidence.
+
+Classes: ``name`` (begins with a capital), ``number`` (digits only), ``code`` (digits and letters), ``word``.
 
 Counts cover all documents. Terms are 64-bit hashes of words. Documents per term are summed in
 each task before they are shuffled; terms in more documents than any entity
-allows are dropped before they are paired with entities. The terms found are sent to
-the tasks only after they are counted, and joined with the words of all texts otherwise.
+allows are dropped before they are paired with entities. Words of documents with entities are kept with their
+places, so their terms are found without the text. In all other documents only words on the list of
+strictly disclosing terms become rows: the list itself is sent to the tasks if its counted rows allow it, else
+a bit table of ``SLOTS`` bits, whose hits are then joined with the list.
 
 Defined results: null and empty texts have no spans; rows equal in id and
 text give equal results, rows that share an id only are searched each on its own; other
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -41,10 +45,16 @@ from climatrix.llm import text as T
 from climatrix.llm.decontaminate import BROADCAST_ROWS
 from climatrix.llm.tables import fresh, stored
 
-KINDS = ("email", "ip", "card", "phone", "term")
+CLASSES = ("name", "number", "code", "word")
+KINDS = ("email", "ip", "card", "phone", *CLASSES)
 THRESHOLD = 0.8
+#: Least lower bound of P(e|t) for documents with e, and for all others.
+EVIDENCE = 0.4
+STRICT = 0.75
 #: Of the one-sided 95 % bound.
 Z = 1.645
+#: Bits of the table that picks words before they are joined with a long list of terms (a power of two).
+SLOTS = 1 << 26
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -124,36 +134,55 @@ def _free(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, int, s
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+_WORD = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+_WORDS = "array<struct<term:bigint,start:bigint,kind:int,end:bigint>>"
+
+
+def _classes(col: pa.Array, w: T.Words) -> np.ndarray:
+    """Kind index of each word's class, by its bytes before lower-casing."""
+    data, _ = T.raw(col)
+    digit = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data >= 0x30) & (data <= 0x39), out=digit[1:])
+    digits, size = digit[w.end] - digit[w.start], w.end - w.start
+    first = data[w.start]
+    second = data[np.minimum(w.start + 1, w.end - 1)]
+    capital = ((first >= 0x41) & (first <= 0x5A)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    kind = np.where(digits == size, 1, np.where(digits > 0, 2, np.where(capital, 0, 3)))
+    return kind + KINDS.index(CLASSES[0])
+
+
+def _as_words(term: np.ndarray, start: np.ndarray, kind: np.ndarray, end: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(term, pa.int64()), pa.array(start, pa.int64()), pa.array(kind, pa.int32()), pa.array(end, pa.int64())], fields=list(_WORD))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row, copy (a hash of the text), spans, entities and terms (of texts with entities) for every row of ``docs``."""
+    """doc_id, row, copy (a hash of the text), spans, entities and words (outside of spans; of texts with entities) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = T.texts(b.column("text"))
             maybe = pc.match_substring_regex(col, _MAYBE).to_numpy(zero_copy_only=False)
-            spans, entities, terms = [], [], []
+            spans, entities, words, ends = [], [], [], [0]
             for i in range(len(col)):
                 own = base_spans(col[i].as_py()) if maybe[i] else []
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in own])
                 entities.append(sorted({f"{KINDS[k]}:{v}" for _, k, _, v in own}))
                 if own:
                     w = T.tokenize(col[i : i + 1], T.ALNUM, lower=True)
-                    terms.append(np.unique(_hashes(w)[_free(*_places(w), own)]))
-                else:
-                    terms.append(np.empty(0, np.int64))
+                    start, end = _places(w)
+                    free = _free(start, end, own)
+                    words.append(_as_words(_hashes(w)[free], start[free], _classes(col[i : i + 1], w)[free], end[free]))
+                ends.append(ends[-1] + (len(words[-1]) if own else 0))
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([_as_words(*[np.empty(0, np.int64)] * 4), *words]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), b.column("copy"), pa.array(spans, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))],
-                ["doc_id", "row", "copy", "spans", "entities", "terms"],
+                [b.column("doc_id"), b.column("row"), b.column("copy"), pa.array(spans, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.string())), held],
+                ["doc_id", "row", "copy", "spans", "entities", "words"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("copy"), "text")
-    return keyed.mapInArrow(
-        T.releasing(run),
-        f"doc_id {kind}, row long, copy long, spans array<struct<start:bigint,kind:int,end:bigint>>, entities array<string>, terms array<bigint>",
-    )
+    return keyed.mapInArrow(T.releasing(run), f"doc_id {kind}, row long, copy long, spans {_SPANS}, entities array<string>, words {_WORDS}")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -178,68 +207,105 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(T.releasing(run), "term long, n_all long").groupBy("term").agg(F.sum("n_all").alias("n_all"))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """entity, term (its hash), disclosure of the terms that reveal an entity too strongly."""
+def contexts(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """copy, entity, term, n_t, n_e: terms of the texts that hold an entity, where n_t doesn't rule them out."""
     n = float(docs.count())
-    own = rows.where("size(entities) > 0").groupBy("copy").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), (F.count(F.lit(1)) - 1).alias("more"))
+    terms = F.array_distinct(F.transform("words", lambda x: x["term"]))
+    own = rows.where("size(entities) > 0").select("copy", "entities", terms.alias("terms"))
+    own = own.groupBy("copy").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), (F.count(F.lit(1)) - 1).alias("more"))
     own = stored(own, "entity-documents")
     entity = stored(own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
-    most = entity.agg(F.max("n_e")).first()[0]
-    # A share of at most n_e / n_t has to reach (n_e / N) ** (1 - threshold).
-    limit = F.pow(F.col("n_e").cast("double"), F.lit(threshold)) * n ** (1 - threshold) + 1e-6
+    most = entity.agg(F.max("n_e")).first()[0] or 0
+
+    def limit(n_e: Column) -> Column:
+        """P(e|t) is n_e / n_t at most: it has to reach the evidence, and (n_e / N) ** (1 - threshold)."""
+        return F.least(n_e / EVIDENCE, F.pow(n_e, F.lit(threshold)) * n ** (1 - threshold)) + 1e-6
+
+    top = limit(F.lit(float(most)))
     held = own.select("copy", "more", F.explode("terms").alias("term"))
-    known = held.groupBy("term").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("least"))
-    known = known.where(F.col("least") <= (most or 0) ** threshold * n ** (1 - threshold) + 1e-6)
+    known = held.groupBy("term").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("least")).where(F.col("least") <= top)
     corpus = docs if most else docs.limit(0)  # nothing to count
     counted = document_frequencies(corpus).join(known, "term").select("term", F.greatest(F.col("n_all") - F.col("more"), "least").alias("n_t"))
-    counted = stored(counted.where(F.col("n_t") <= (most or 0) ** threshold * n ** (1 - threshold) + 1e-6), "entity-vocabulary")
+    counted = stored(counted.where(F.col("n_t") <= top), "entity-vocabulary")
     wanted = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted
     rare = held.select("copy", "term").join(wanted, "term")
     of = own.select("copy", F.explode("entities").alias("entity")).join(F.broadcast(entity) if entity.count() <= BROADCAST_ROWS else entity, "entity")
-    pairs = rare.join(of, "copy").where(F.col("n_t") <= limit).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    return rare.join(of, "copy").where(F.col("n_t") <= limit(F.col("n_e").cast("double"))).select("copy", "entity", "term", "n_t", "n_e")
+
+
+def disclosing(met: DataFrame, n: float, threshold: float = THRESHOLD) -> DataFrame:
+    """entity, term (its hash), disclosure and bound of the terms among ``contexts`` that reveal an entity too strongly."""
+    pairs = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     among = F.col("n_t").cast("double")
     p, z2 = F.col("n_et") / among, Z * Z
     bound = (p + z2 / (2 * among) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / among + z2 / (4 * among * among))) / (1 + z2 / among)
-    ratio = F.when(F.col("n_e") < n, F.log(F.lit(n) * bound / F.col("n_e")) / F.log(F.lit(n) / F.col("n_e")))
-    return pairs.withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    ratio = F.when(F.col("n_e") < n, F.log(F.lit(n) * F.col("bound") / F.col("n_e")) / F.log(F.lit(n) / F.col("n_e")))
+    judged = pairs.withColumn("bound", bound).withColumn("disclosure", ratio)
+    return judged.where((F.col("disclosure") >= threshold) & (F.col("bound") >= EVIDENCE)).select("entity", "term", "disclosure", "bound")
+
+
+def _listed(terms: DataFrame):
+    """(test of an array of hashes, whether a hit is certain) for a counted list of distinct terms."""
+    if terms.count() <= BROADCAST_ROWS:
+        known = np.sort(terms.toArrow().column("term").to_numpy())
+        return (lambda h: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)), True
+    slot = F.pmod("term", F.lit(SLOTS))
+    bits = terms.groupBy(F.floor(slot / 64).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
+    got = bits.toArrow()  # SLOTS / 64 rows at most
+    table = np.zeros(SLOTS // 64, dtype=np.uint64)
+    table[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+
+    def test(h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) & np.uint64(SLOTS - 1)
+        return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return test, False
 
 
 def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """row, terms: all spans of the disclosing terms, for the rows that have any."""
-    found = stored(disclosing(docs, rows).select("term").distinct(), "disclosing")
+    """row, terms: the spans of disclosing terms, for the rows that have any."""
+    met = stored(contexts(docs, rows), "entity-terms")
+    found = stored(disclosing(met, float(docs.count())), "disclosing")
     few = found.count() <= BROADCAST_ROWS
-    known = np.sort(found.toArrow().column("term").to_numpy()) if few else None
+    span = "transform(words, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))"
+
+    # In texts with the entity: its own terms, by the places kept with the entity.
+    own = met.join(F.broadcast(found.select("entity", "term")) if few else found.select("entity", "term"), ["entity", "term"])
+    own = own.select("copy", "term").distinct().groupBy("copy").agg(F.collect_list("term").alias("listed"))
+    held = rows.where("size(entities) > 0").join(own, "copy")
+    inside = held.select("row", F.expr("filter(words, w -> array_contains(listed, w.term))").alias("words")).select("row", F.explode(F.expr(span)).alias("x"))
+
+    # In all texts: the terms that hardly ever stand without their entity.
+    strict = stored(found.where(F.col("bound") >= STRICT).select("term").distinct(), "strictly-disclosing")
+    test, certain = _listed(strict)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    kind = KINDS.index("term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = T.texts(b.column("text"))
             for i, j in T.slices(col):
-                w = T.tokenize(col[i:j], T.ALNUM, lower=True)
+                part = col[i:j]
+                w = T.tokenize(part, T.ALNUM, lower=True)
                 h = _hashes(w)
-                hit = np.arange(len(h)) if known is None else np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.empty(0, np.int64)
+                hit = np.flatnonzero(test(h))
                 if not len(hit):
                     continue
-                start, end = _places(w)
+                (start, end), kind = _places(w), _classes(part, w)
                 out, doc = [], w.doc[hit]
                 cut = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    text, at = col[i + int(doc[x])].as_py(), hit[x:y]
-                    at = at[_free(start[at], end[at], base_spans(text))]
-                    out.append([{"term": t, "start": s, "kind": kind, "end": e} for t, s, e in zip(h[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)])
+                    at = hit[x:y]
+                    at = at[_free(start[at], end[at], base_spans(part[int(doc[x])].as_py()))]
+                    out.append([{"term": t, "start": s, "kind": k, "end": e} for t, s, k, e in zip(h[at].tolist(), start[at].tolist(), kind[at].tolist(), end[at].tolist(), strict=True)])
                 which = pa.array(doc[cut[:-1]] + i)
-                yield pa.RecordBatch.from_arrays([b.column("row").take(which), pa.array(out, pa.list_(_TERM))], ["row", "words"])
-
-    made = keyed.mapInArrow(T.releasing(run), "row long, words array<struct<term:bigint,start:bigint,kind:int,end:bigint>>")
-    if few:
-        one = made.where("size(words) > 0").dropDuplicates(["row"])
-        return one.select("row", F.expr("transform(words, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))").alias("terms"))
-    hit = made.select("row", F.explode("words").alias("x")).select("row", "x.*").join(found, "term").select("row", "start", "kind", "end").distinct()
-    return hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
-
+                yield pa.RecordBatch.from_arrays([b.column("row").take(which), pa.array(out, pa.list_(_WORD))], ["row", "words"])
 
-_TERM = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+    corpus = keyed if not strict.isEmpty() else keyed.limit(0)
+    made = corpus.mapInArrow(T.releasing(run), f"row long, words {_WORDS}")
+    if not certain:
+        made = made.select("row", F.explode("words").alias("w")).join(strict, F.col("w.term") == strict["term"]).groupBy("row").agg(F.collect_list("w").alias("words"))
+    everywhere = made.select("row", F.explode(F.expr(span)).alias("x"))
+    return inside.unionByName(everywhere).groupBy("row").agg(F.array_sort(F.collect_set("x")).alias("terms"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -247,7 +313,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = stored(found_spans(docs), "personal-spans")
     terms = term_spans(docs, rows)
     out = rows.select("doc_id", "row", "spans").join(terms, "row", "left")
-    none = F.expr("cast(array() AS array<struct<start:bigint,kind:int,end:bigint>>)")
+    none = F.expr(f"cast(array() AS {_SPANS})")
     return out.select("doc_id", "spans", F.array_sort(F.concat("spans", F.coalesce("terms", none))).alias("all_spans"))
 
 
@@ -277,7 +343,7 @@ def sanitised(docs: DataFrame, remove_terms: bool = False) -> DataFrame:
                 out, done = [], 0
                 for s, k, e in sorted(spans):
                     if s >= done:
-                        out += [text[done:s], "" if remove_terms and k == 4 else f"<{KINDS[k]}>"]
+                        out += [text[done:s], "" if remove_terms and KINDS[k] in CLASSES else f"<{KINDS[k]}>"]
                     done = max(done, e)
                 new.append("".join(out) + text[done:])
             arrays = [b.column(x) for x in range(len(names))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -203,3 +204,46 @@ def op13(rows, every=50, radius=6):
         same = [1 - (prints[k] ^ x).bit_count() / 128 for x in (e, prints[after])]
         out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{prints[k]:032x}", f"{e:032x}", *same, near))
     return out
+
+
+def op8_terms(rows, sanitise):
+    """Spans of every document: the base ones, and those of disclosing terms counted over whole documents."""
+    rows = [(i, t or "") for i, t in rows]
+    base = [sanitise.base_spans(t) for _, t in rows]
+    held = [{f"{sanitise.KINDS[k]}:{v}" for _, k, _, v in b} for b in base]
+    words = []
+    for (_, t), b in zip(rows, base):
+        found = [(m[0].translate(LOW), m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        words.append([w for w in found if not any(w[1] < e and s < w[2] for s, _, e, _ in b)])
+    everything = [{m.translate(LOW) for m in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)} for _, t in rows]
+    first = {t: k for k, (_, t) in reversed(list(enumerate(rows)))}
+    n, n_e, n_et, n_t = len(rows), Counter(), Counter(), Counter(w for e in everything for w in e)
+    least = Counter()
+    for k, (_, t) in enumerate(rows):
+        if not held[k]:
+            continue
+        own = {w[0] for w in words[k]}
+        if first[t] == k:
+            n_e.update(held[k])
+            n_et.update((e, w) for e in held[k] for w in own)
+            least.update(own)
+        else:
+            n_t.subtract(own)
+    weak, strict = set(), set()
+    for (e, w), both in n_et.items():
+        among, z = max(n_t[w], least[w]), sanitise.Z
+        p = both / among
+        bound = (p + z * z / (2 * among) - z * (p * (1 - p) / among + z * z / (4 * among * among)) ** 0.5) / (1 + z * z / among)
+        if n_e[e] < n and bound >= sanitise.EVIDENCE and math.log(n * bound / n_e[e]) / math.log(n / n_e[e]) >= sanitise.THRESHOLD:
+            weak.add((e, w))
+            strict |= {w} if bound >= sanitise.STRICT else set()
+
+    def kind(word):
+        return "number" if word.isdigit() else "code" if re.search("[0-9]", word) else "name" if word[0].isupper() else "word"
+
+    out = {}
+    for (i, _), b, h, ws in zip(rows, base, held, words):
+        terms = [(s, kind(raw), e) for w, s, e, raw in ws if w in strict or any((x, w) in weak for x in h)]
+        order = sanitise.KINDS.index
+        out[i] = sorted([(s, sanitise.KINDS[k], e) for s, k, e, _ in b] + terms, key=lambda x: (x[0], order(x[1])))
+    return out

@@ -11,7 +11,7 @@ from llm import brute
 from llm.conftest import SF
 from oracle_check import compare, duck
 
-from climatrix.llm import katz, licenses, packing
+from climatrix.llm import katz, licenses, packing, sanitise
 from climatrix.llm.queries import QUERIES, SQL
 
 
@@ -85,6 +85,11 @@ def test_personal_data(run, documents):
     assert [r[:6] for r in run("op8_sanitisation")] == [r[:6] for r in by_id(brute.op8(documents))]
 
 
+def test_disclosing_terms(run, documents):
+    want = {i: ",".join(f"{k}:{s}:{e}" for s, k, e in spans) for i, spans in brute.op8_terms(documents, sanitise).items()}
+    assert {r[0]: r[6] for r in run("op8_sanitisation")} == want
+
+
 def test_language_model(run, documents):
     def p(stats):
         model = katz.Unigrams(np.array(stats))
