@@ -163,19 +163,12 @@ def kpi_variability(df: DataFrame) -> DataFrame:
     )
 
 
-def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
-    """One row per year plus a grand-total row (``gid`` = 1) of mergeable
-    partials, from a single scan of ``df``.
-
-    1. The scan is reduced to one row per (year, station) with mergeable
-       partial aggregates (sums, counts, extremes, squared deviations from
-       the own mean, and then from the year's).
-    2. Only that small table meets the station table (for continents).
-    3. ``rollup('year')`` aggregates it once into the yearly rows and the
-       total row, distinct stations and continents included.
-
-    The aggregate lists are SQL text: one expression per aggregate keeps the
-    plan-building round trips to the JVM few.
+def year_station_partials(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` (year, station and perhaps more) with partials of every measure that merge by sums and extremes.
+
+    ``t_m2`` is the sum of squared deviations of tavg from the row's own mean. Absent measures give nulls.
+    The aggregate list is SQL text: one expression per aggregate keeps the plan-building round trips
+    to the JVM few.
     """
     df = nan_free(df)
     cols = set(df.columns)
@@ -183,9 +176,6 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
     def m(c: str) -> str:
         return f"`{c}`" if c in cols else "CAST(NULL AS DOUBLE)"
 
-    k = station_key(df, stations)
-    has_station = k in cols  # a frame without stations has none to count
-    keys = ["year"] + ([k] if has_station else []) + (["continent"] if "continent" in cols else [])
     partials = {
         "n": "count(1)",
         "t_sum": f"sum({m('tavg')})",
@@ -204,29 +194,54 @@ def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> Dat
         "dry": f"count_if({m('prcp')} < {DRY_THRESHOLD})",
         "rainy": f"count_if({m('prcp')} > 0)",
     }
-    per = df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in partials.items()])
-    # Squared deviations from the year's mean (the parallel variance update): a
-    # window over one row per (year, station), never a difference of large squares.
-    year = Window.partitionBy("year")
-    mean = F.try_divide(F.sum("t_sum").over(year), F.sum("t_cnt").over(year))
+    return df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in partials.items()])
+
+
+#: Partials that merge by addition (``t_m2`` once it is about a common mean).
+SUMMED = ("n", "t_sum", "t_cnt", "t_m2", "p_sum", "h_sum", "h_cnt", "s_sum", "s_cnt", "w_sum", "w_cnt", "heat", "dry", "rainy")
+
+
+def about_common_mean(per: DataFrame, keys: list[str]) -> DataFrame:
+    """``t_m2`` about the mean of all rows of equal ``keys``: the parallel variance update.
+
+    A window over partials, never a difference of large squares.
+    """
+    group = Window.partitionBy(*keys)
+    mean = F.try_divide(F.sum("t_sum").over(group), F.sum("t_cnt").over(group))
     off = F.try_divide(F.col("t_sum"), F.col("t_cnt")) - mean
-    per = per.withColumn("t_m2", F.col("t_m2") + F.col("t_cnt") * off * off)
-    if not has_station:
+    return per.withColumn("t_m2", F.col("t_m2") + F.coalesce(F.col("t_cnt") * off * off, F.lit(0.0)))
+
+
+def merged_partials() -> list[Column]:
+    """Aggregates that merge rows of ``year_station_partials``."""
+    return [F.sum(c).alias(c) for c in SUMMED] + [F.max("tx_max").alias("tx_max"), F.min("tn_min").alias("tn_min")]
+
+
+def roll_up(per: DataFrame, k: str, stations: DataFrame | None = None) -> DataFrame:
+    """One row per year plus a grand-total row (``gid`` = 1) from (year, station) partials.
+
+    Only that small table meets the station table (for continents); ``rollup('year')`` aggregates
+    it once into the yearly rows and the total row, distinct stations and continents included.
+    """
+    per = about_common_mean(per, ["year"])
+    if k not in per.columns:  # a frame without stations has none to count
         per = per.withColumn(k, F.lit(None).cast("string"))
-    if "continent" not in cols and stations is not None and has_station:
+        if "continent" not in per.columns:
+            per = per.withColumn("continent", F.lit(None).cast("string"))
+    elif "continent" not in per.columns and stations is not None:
         per = per.join(stations.select(k, "continent"), k, "left")
-    elif "continent" not in cols:
+    elif "continent" not in per.columns:
         per = per.withColumn("continent", F.lit(None).cast("string"))
+    counted = [F.count_distinct(k).alias("stations"), F.count_distinct("continent").alias("continents"), F.grouping_id().alias("gid")]
+    return per.rollup("year").agg(*merged_partials(), *counted)
 
-    sums = [n for n in partials if n not in ("tx_max", "tn_min")]
-    merged = [f"sum({c}) AS {c}" for c in sums] + [
-        "max(tx_max) AS tx_max",
-        "min(tn_min) AS tn_min",
-        f"count(DISTINCT `{k}`) AS stations",
-        "count(DISTINCT continent) AS continents",
-        "grouping_id() AS gid",
-    ]
-    return per.rollup("year").agg(*[F.expr(e) for e in merged])
+
+def year_station_rollup(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """``roll_up`` of the partials of ``df``, which is scanned once."""
+    cols = set(df.columns)
+    k = station_key(df, stations)
+    keys = ["year"] + ([k] if k in cols else []) + (["continent"] if "continent" in cols else [])
+    return roll_up(year_station_partials(df, keys), k, stations)
 
 
 def yearly_mean_and_std(rolled: DataFrame) -> tuple[Column, Column, Column]:
@@ -245,13 +260,19 @@ def total(c: Column) -> Column:
 def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     """All headline indicators in one row from a single scan of ``df``.
 
-    Built on ``year_station_rollup``; a last aggregation over its
-    (years + 1) rows fits the trend on the yearly means, averages the yearly
-    deviations and picks the totals. Nothing is computed twice, so the fact
+    Built on ``year_station_rollup``. Nothing is computed twice, so the fact
     table is read once.
     """
     cols = set(df.columns)
-    rolled = year_station_rollup(df, stations)
+    known = "continent" in cols or (stations is not None and station_key(df, stations) in cols)
+    return indicators(year_station_rollup(df, stations), cols, known)
+
+
+def indicators(rolled: DataFrame, cols: set[str], continents_known: bool) -> DataFrame:
+    """The headline indicators from the (years + 1) rows of a rollup; ``cols`` are the measures that exist.
+
+    One aggregation fits the trend on the yearly means, averages the yearly deviations and picks the totals.
+    """
     is_year, ymean, ystd = yearly_mean_and_std(rolled)
     out = rolled.agg(
         total(F.try_divide(F.col("t_sum"), F.col("t_cnt"))).alias("tavg_mean"),
@@ -290,13 +311,7 @@ def kpi_dashboard(df: DataFrame, stations: DataFrame | None = None) -> DataFrame
         F.col("rows"),
         F.col("years").cast("bigint").alias("years"),
         F.col("stations").cast("bigint").alias("stations"),
-        (
-            F.col("_cont")
-            if ("continent" in cols or (stations is not None and station_key(df, stations) in cols))
-            else F.lit(KPI_ABSENT_DEFAULTS["continents"])
-        )
-        .cast("bigint")
-        .alias("continents"),
+        (F.col("_cont") if continents_known else F.lit(KPI_ABSENT_DEFAULTS["continents"])).cast("bigint").alias("continents"),
         (slope * F.lit(100.0)).alias("trend_century"),
         (slope * F.lit(10.0)).alias("trend_decade"),
         F.when(multi, F.col("_var")).otherwise(F.lit(0.0)).alias("variability"),

@@ -66,16 +66,21 @@ def continent_year(df: DataFrame, stations: DataFrame | None = None) -> DataFram
         F.count(F.lit(1)).alias("n"),
         F.sum("tavg").alias("t_sum"),
         F.count("tavg").alias("t_cnt"),
-        F.max("tmax").alias("tx"),
-        F.min("tmin").alias("tn"),
+        F.max("tmax").alias("tx_max"),
+        F.min("tmin").alias("tn_min"),
         F.sum("prcp").alias("p_sum"),
     )
+    return continent_year_of(per, stations, k)
+
+
+def continent_year_of(per: DataFrame, stations: DataFrame, k: str) -> DataFrame:
+    """A10 from (year, station) partials."""
     st = stations.select(k, "continent", "lat", "lon")
-    j = _keyed(per.join(st, k), "continent")
+    j = _keyed(per.join(st, k), "year", "continent")
     return j.groupBy("year", "continent").agg(
         F.try_divide(F.sum("t_sum"), F.sum("t_cnt")).alias("tavg_mean"),
-        F.max("tx").alias("tmax_max"),
-        F.min("tn").alias("tmin_min"),
+        F.max("tx_max").alias("tmax_max"),
+        F.min("tn_min").alias("tmin_min"),
         F.coalesce(F.sum("p_sum"), F.lit(0.0)).alias("prcp_sum"),
         F.try_divide(
             F.sum(F.when(F.col("lat").isNotNull(), F.col("n") * F.col("lat"))),
