@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from climatrix.functions.calendar import epoch_micros
 from climatrix.operators import pyramid, sketch, state
 from climatrix.plans.catalog import register
-from climatrix.plans.oracle import MEASURES, SQL, STATION_DAY, STATIONS
+from climatrix.plans.curate import station_day_from_long
+from climatrix.plans.oracle import EV_OBS, MEASURES, NAMES, SQL, STATION_DAY, STATIONS
 from climatrix.session import scratch_path
-from climatrix.sources import fixtures
+from climatrix.sources import feed, fixtures
 
 SKETCHED = ["tavg", "prcp", "humidity"]
 YEARS = (1994, 1996)
@@ -159,3 +160,62 @@ def q_state_continent_year(spark, sf):
 
 SQL["state_dashboard"] = SQL["kpi_dashboard"]
 SQL["state_continent_year"] = SQL["continent_year"]
+
+
+# ------------------------------------------------- landing with versions
+STREAMED = ["TMAX", "TMIN", "PRCP", "AWND", "SNOW"]
+
+
+def _landed(spark, sf):
+    """Pages of all events, some of them sent again later with corrected values, some repeated, and one that can't be read."""
+    pages, landed, dead = (scratch_path(spark, f"versions-{x}") for x in ("pages", "landed", "dead"))
+    obs = fixtures.observations_from_events(spark, sf)
+    feed.write_feed_pages(obs.where("event_id div 1000 % 3 = 0").withColumn("value", F.col("value") + 10), pages, "event_id", fetched="2024-02-01")
+    feed.write_feed_pages(obs, pages, "event_id", fetched="2024-01-01", mode="append")
+    feed.write_feed_pages(obs.where("event_id div 1000 % 2 = 0"), pages, "event_id", fetched="2024-01-01", mode="append")
+    spark.createDataFrame([('{"results": [{"date": "2024-01-',)], "value string").coalesce(1).write.mode("append").text(pages)
+    from climatrix.streaming import land_versions
+
+    land_versions(spark, pages, landed, dead, multi_line=False, max_files_per_trigger=10).awaitTermination()
+    return landed, dead
+
+
+@register("stream_versions")
+def q_stream_versions(spark, sf):
+    """S1 to P6 as streams: pages in any order, repeated and corrected, kept current by keyed state, then pivoted."""
+    from climatrix.streaming import current_observations, keep_current
+
+    landed, _ = _landed(spark, sf)
+    current = scratch_path(spark, "versions-current")
+    keep_current(spark, landed, current, max_files_per_trigger=20).awaitTermination()
+    out = station_day_from_long(current_observations(spark, current), STREAMED)
+    return out.select("date", "year", "month", "day", "day_of_year", "week", "station", "tmax", "tmin", "prcp", "wind_avg", "snow", "tavg")
+
+
+@register("stream_dead_letters")
+def q_stream_dead_letters(spark, sf):
+    """What the landing put aside: the count of unreadable pages and records, beside the landed records."""
+    from climatrix.streaming import dead_letters, landed_observations
+
+    landed, dead = _landed(spark, sf)
+    counts = landed_observations(spark, landed).agg(F.count(F.lit(1)).alias("landed"))
+    bad = dead_letters(spark, dead).agg(F.count_if(F.col("reason") == "page").alias("bad_pages"), F.count_if(F.col("reason") == "record").alias("bad_records"))
+    return counts.join(bad, F.lit(True))  # one row each
+
+
+_AVG = ", ".join(f"avg(value) FILTER (WHERE datatype = '{c}') AS {NAMES[c]}" for c in STREAMED)
+_PARTS = "CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(weekofyear(date) AS INTEGER) AS week"
+SQL["stream_versions"] = f"""WITH {EV_OBS},
+sent AS (
+  SELECT date, datatype, station, attributes, value, 1 AS fetched FROM ev_obs
+  UNION ALL SELECT date, datatype, station, attributes, value + 10, 2 FROM ev_obs WHERE event_id // 1000 % 3 = 0),
+last AS (
+  SELECT DISTINCT date, datatype, station, attributes, CASE WHEN datatype IN ('TMAX', 'TMIN', 'TAVG', 'PRCP') THEN value / 10 ELSE value END AS value
+  FROM (SELECT * FROM sent WHERE date IS NOT NULL AND datatype IS NOT NULL AND station IS NOT NULL
+        QUALIFY fetched = max(fetched) OVER (PARTITION BY date, datatype, station))),
+wide AS (SELECT date, station, {_AVG} FROM last GROUP BY date, station HAVING count(value) > 0)
+SELECT CAST(date AS VARCHAR) AS date, {_PARTS}, station, {", ".join(f"round({NAMES[c]}, 6) AS {NAMES[c]}" for c in STREAMED)}, round((tmax + tmin) / 2, 6) AS tavg
+FROM wide"""
+SQL["stream_dead_letters"] = f"""WITH {EV_OBS}
+SELECT count(*) + count(*) FILTER (event_id // 1000 % 3 = 0) + count(*) FILTER (event_id // 1000 % 2 = 0) AS landed,
+  CAST(1 AS BIGINT) AS bad_pages, CAST(0 AS BIGINT) AS bad_records FROM ev_obs"""

@@ -43,13 +43,13 @@ def unnest_results(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 
 def write_feed_pages(
-    obs: DataFrame, path: str, page_key: str, page_size: int = 1000
+    obs: DataFrame, path: str, page_key: str, page_size: int = 1000, fetched: str | None = None, mode: str = "overwrite"
 ) -> None:
     """Write long observations as API pages of at most ``page_size`` records.
 
     ``page_key`` must be a unique integer column; a page holds the rows whose
     key falls in one block of ``page_size`` consecutive values, so no page
-    (and no group in the shuffle) exceeds ``page_size`` records.
+    (and no group in the shuffle) exceeds ``page_size`` records. ``fetched`` says when, in every page.
     """
     record = F.struct(
         F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
@@ -61,7 +61,7 @@ def write_feed_pages(
     (
         obs.groupBy(F.floor(F.col(page_key) / F.lit(page_size)).alias("page"))
         .agg(F.collect_list(record).alias("results"))
-        .select("results")
-        .write.mode("overwrite")
+        .select("results", *([F.lit(fetched).alias("fetched")] if fetched else []))
+        .write.mode(mode)
         .json(path)
     )
