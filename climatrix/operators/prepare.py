@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from climatrix.functions.calendar import calendar_columns
+from climatrix.functions.calendar import calendar_columns, epoch_micros
 from climatrix.functions.safe import nan_to_null, to_number
 from climatrix.operators.keys import station_key
 from climatrix.schema import (
@@ -132,6 +132,44 @@ def attach_station_attributes(
     return salted.join(copies, [k, "_salt"], "left").drop("_salt")
 
 
+def attach_attributes_as_of(
+    df: DataFrame, history: DataFrame, valid_from: str = "valid_from", date: str = "date", slice_days: int = 366, salt_buckets: int = 8
+) -> DataFrame:
+    """P7 in time: give each row the attributes its station had on its date.
+
+    ``history`` holds a station's attributes from ``valid_from`` on, until its next row. Rows before a station's first
+    one, or without a date or station, get nulls; of several rows of one instant the greatest counts.
+
+    Observations and history meet in one sorted stream in which attributes are carried forward. The stream is cut, so a station
+    with a third of all rows is not one task's: by ``slice_days`` of the date and, within a slice, into ``salt_buckets`` shares of
+    the observations. Every share begins with the attributes valid at its slice's start, for which
+    the history (not the observations) is repeated over the slices that a row's validity reaches.
+    """
+    k = station_key(df, history)
+    attrs = [c for c in history.columns if c not in (k, valid_from) and c not in df.columns]
+    span = F.lit(slice_days * 86_400_000_000)
+
+    def slice_of(c: Column) -> Column:
+        return F.floor(epoch_micros(c) / span).cast("bigint")
+
+    known = history.dropna(subset=[k, valid_from]).groupBy(k, valid_from).agg(F.max(F.struct(*attrs)).alias("_h"))
+    until = F.lead(valid_from).over(Window.partitionBy(k).orderBy(valid_from))  # a station's own few changes
+    ext = df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("e")).select("e").scalar()
+    first = F.greatest(slice_of(F.col(valid_from)), slice_of(ext.getField("lo")))
+    last = F.least(F.coalesce(slice_of(F.col("_until")), slice_of(ext.getField("hi"))), slice_of(ext.getField("hi")))
+    slices = known.withColumn("_until", until).withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    slices = slices.withColumn("_slice", F.explode(F.sequence("_first", "_last")))
+    slices = slices.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, salt_buckets) - 1).cast("bigint"))))
+    right = slices.select(F.col(k).alias("_k"), "_slice", "_salt", F.col(valid_from).alias("_t"), "_h")
+
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, salt_buckets)))
+    left = df.select(F.col(k).alias("_k"), slice_of(F.col(date)).alias("_slice"), salt.alias("_salt"), F.col(date).alias("_t"), F.struct(*df.columns).alias("_row"))
+    stream = left.unionByName(right, allowMissingColumns=True)
+    order = Window.partitionBy("_k", "_slice", "_salt").orderBy("_t", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = stream.withColumn("_a", F.last("_h", ignorenulls=True).over(order)).where("_row IS NOT NULL")
+    return carried.select("_row.*", *[F.col("_a")[c].alias(c) for c in attrs])
+
+
 def warming_adjustment(df: DataFrame) -> DataFrame:
     """warming_trend = 0.01 * (year - 2000); tavg_trend = tavg + it."""
     trend = F.lit(WARMING_PER_YEAR) * (F.col("year") - F.lit(WARMING_BASE_YEAR))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from climatrix.functions.calendar import epoch_micros
-from climatrix.operators import pyramid, sketch, state
+from climatrix.operators import bins, lattice, prepare, pyramid, sketch, state
 from climatrix.plans.catalog import register
 from climatrix.plans.curate import station_day_from_long
 from climatrix.plans.oracle import EV_OBS, MEASURES, NAMES, SQL, STATION_DAY, STATIONS
@@ -219,3 +219,86 @@ FROM wide"""
 SQL["stream_dead_letters"] = f"""WITH {EV_OBS}
 SELECT count(*) + count(*) FILTER (event_id // 1000 % 3 = 0) + count(*) FILTER (event_id // 1000 % 2 = 0) AS landed,
   CAST(1 AS BIGINT) AS bad_pages, CAST(0 AS BIGINT) AS bad_records FROM ev_obs"""
+
+
+# ------------------------------------------- one scan for many tables
+def _lattice_table(name):
+    def q(spark, sf):
+        return lattice.TABLES[name](lattice.lattice(fixtures.measures(spark, sf)))
+
+    q.__doc__ = f"{name} from the lattice of grouping sets (one scan for all of its tables)."
+    return q
+
+
+for _name in lattice.TABLES:
+    register(f"lattice_{_name}")(_lattice_table(_name))
+    SQL[f"lattice_{_name}"] = SQL[_name]
+
+
+@register("lattice_continent_year")
+def q_lattice_continent_year(spark, sf):
+    """continent_year from the lattice of grouping sets."""
+    return lattice.continent_year(lattice.lattice(fixtures.measures(spark, sf)), fixtures.stations(spark, sf))
+
+
+SQL["lattice_continent_year"] = SQL["continent_year"]
+
+
+# ------------------------------------------------ stations that move
+@register("attach_as_of")
+def q_attach_as_of(spark, sf):
+    """P7 with the attributes that a station had on the day: every station moved twice."""
+    moves = F.explode(F.array(*[F.struct(F.lit(d).cast("timestamp_ntz").alias("valid_from"), F.lit(float(i)).alias("shift")) for i, d in enumerate(MOVES)]))
+    history = fixtures.stations(spark, sf).withColumn("move", moves)
+    history = history.select("station_key", "continent", (F.col("lat") + F.col("move.shift")).alias("lat"), F.col("move.valid_from").alias("valid_from"))
+    return prepare.attach_attributes_as_of(fixtures.measures(spark, sf), history).select("obs_id", "station", "date", "tavg", "continent", "lat")
+
+
+MOVES = ("1993-06-01", "1994-07-15", "1997-01-01")
+SQL["attach_as_of"] = f"""WITH {MEASURES},
+{STATIONS},
+history AS (SELECT station_key, continent, lat + i AS lat, CAST(d AS TIMESTAMP) AS valid_from
+  FROM stations, (VALUES {", ".join(f"('{d}', {i})" for i, d in enumerate(MOVES))}) m(d, i))
+SELECT m.obs_id, m.station, CAST(m.date AS VARCHAR) AS date, round(m.tavg, 6) AS tavg, h.continent, round(h.lat, 6) AS lat
+FROM measures m ASOF LEFT JOIN history h ON m.station_key = h.station_key AND m.date >= h.valid_from"""
+
+
+# ---------------------------------------------------- smoothed violins
+@register("violin_kernel")
+def q_violin_kernel(spark, sf):
+    """A27 smoothed, by continent."""
+    return bins.violin_kernel(fixtures.measures(spark, sf), "tavg", "continent", 64, stations=fixtures.stations(spark, sf))
+
+
+@register("violin_kernel_by_month")
+def q_violin_kernel_by_month(spark, sf):
+    """A27 smoothed with two keys: month and continent."""
+    return bins.violin_kernel(fixtures.measures(spark, sf), "tavg", ["month", "continent"], 32, stations=fixtures.stations(spark, sf))
+
+
+def _kernel_sql(by, points):
+    names = ", ".join(by)
+    on = " AND ".join(f"a.{c} = b.{c}" for c in by)
+    return f"""WITH {MEASURES},
+{STATIONS},
+{STATION_DAY},
+p AS (SELECT {names}, tavg AS v FROM station_day WHERE tavg IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in by)}),
+g AS (
+  SELECT *, lo - {bins.VIOLIN_CUT} * bandwidth AS start, (hi - lo + {2 * bins.VIOLIN_CUT} * bandwidth) / {points - 1} AS step FROM (
+    SELECT {names}, count(*) AS n, min(v) AS lo, max(v) AS hi, {bins.SILVERMAN!r}::DOUBLE * stddev_samp(v) * pow(count(*), -0.2) AS bandwidth FROM p GROUP BY {names})
+  WHERE lo < hi),
+w AS (
+  SELECT {names}, j, sum(w) AS w FROM (
+    SELECT {names}, unnest([low, low + 1]) AS j, unnest([1 - (pos - low), pos - low]) AS w FROM (
+      SELECT {names}, pos, least(floor(pos), {points - 2}) AS low FROM (SELECT {", ".join("a." + c for c in by)}, (v - start) / step AS pos FROM p a JOIN g b ON {on})))
+  GROUP BY {names}, j),
+d AS (
+  SELECT {", ".join("b." + c for c in by)}, k AS point, any_value(n) AS n, any_value(bandwidth) AS bandwidth, any_value(start) AS start, any_value(step) AS step,
+    sum(w * exp(-0.5 * pow((k - j) * step / bandwidth, 2))) AS d
+  FROM w a JOIN g b ON {on}, (SELECT unnest(range(0, {points})) AS k) GROUP BY {", ".join("b." + c for c in by)}, k)
+SELECT {names}, CAST(point AS INTEGER) AS point, round(start + point * step, 6) AS x, round(d / (sum(d) OVER (PARTITION BY {names}) * step), 6) AS density,
+  round(bandwidth, 6) AS bandwidth, n FROM d"""
+
+
+SQL["violin_kernel"] = _kernel_sql(["continent"], 64)
+SQL["violin_kernel_by_month"] = _kernel_sql(["month", "continent"], 32)
