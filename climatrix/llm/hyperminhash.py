@@ -44,6 +44,8 @@ ROWS = 4
 MARGIN = 0.25
 #: Most rows of a table that is sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Members of a cluster that one task compares with the hub.
+SHARE = 256
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The columns of ``wanted`` (node, a, b, n, cluster) with the full set of each (array of long)."""
+    """The columns of ``wanted`` (node, n, cluster, share) with the full set of each (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +175,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 signed = pa.array(h.view(np.int64))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("node", "n", "cluster")] + [pa.ListArray.from_arrays(first.astype(np.int32), signed)],
-                    ["node", "n", "cluster", "items"],
+                    [part.column(c) for c in ("node", "n", "cluster", "share")] + [pa.ListArray.from_arrays(first.astype(np.int32), signed)],
+                    ["node", "n", "cluster", "share", "items"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    made = rows.select("node", "n", "cluster", "text").mapInArrow(T.releasing(run), "node long, n long, cluster long, items array<long>")
+    made = rows.select("node", "n", "cluster", "share", "text").mapInArrow(T.releasing(run), "node long, n long, cluster long, share long, items array<long>")
     return made.where("n = size(items)")
 
 
@@ -234,15 +236,22 @@ def _clusters(keys: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
     """src, dst: verified links whose closure has all links within the clusters."""
     t = percent / (100.0 + percent)  # J >= p is |A & B| >= t (|A| + |B|)
-    wanted = stored(sets.select("node", "n").join(_fit(clusters.withColumnRenamed("root", "cluster")), "node"), "cluster-sets")
+    # Members of a large cluster meet their hub in shares of about SHARE; the hub's set is repeated for each.
+    sizes = stored(clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares")).where("shares > 1"), "large-clusters")
+    wanted = sets.select("node", "n").join(_fit(clusters.withColumnRenamed("root", "cluster")), "node").join(_fit(sizes), "cluster", "left")
+    share = F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1).cast("long")))
+    wanted = stored(wanted.select("node", "n", "cluster", share.alias("share")), "cluster-sets")
     full = stored(_sets_of(docs, _fit(wanted), k), "full-sets")
     degree = keys.groupBy("node").agg(F.sum("size").alias("degree"))
     central = degree.join(_fit(clusters), "node").groupBy(F.col("root").alias("cluster")).agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
     hubs = full.join(central, (full.cluster == central.cluster) & (full.node == central.hub)).select(
         full.cluster, F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("hub_items")
     ).dropDuplicates(["cluster"])
-    against = full.join(hubs, "cluster").select(
-        "cluster", "node", "n", "hub", "hub_n",
+    least = wanted.groupBy("cluster").agg(F.min("n").alias("least"))
+    hubs = hubs.join(least, "cluster").join(_fit(sizes), "cluster", "left")  # a row a cluster
+    hubs = hubs.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1).cast("long")) - 1)))
+    against = full.join(hubs, ["cluster", "share"]).select(
+        "cluster", "node", "n", "hub", "hub_n", "least",
         F.size(F.array_intersect("items", "hub_items")).alias("shared"),
         F.array_except("items", "hub_items").alias("own"),
     )
@@ -252,8 +261,7 @@ def _links(docs: DataFrame, sets: DataFrame, keys: DataFrame, clusters: DataFram
     item = against.select("cluster", "node", "n", F.explode("own").alias("item"))
     common = item.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     more = item.join(common, ["cluster", "item"]).groupBy("cluster", "node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("more"))
-    least = against.groupBy("cluster").agg(F.min("n").alias("least"))
-    member = against.select("cluster", "node", "n", "shared", "linked").join(more, ["cluster", "node", "n"], "left").join(least, "cluster")
+    member = against.select("cluster", "node", "n", "shared", "linked", "least").join(more, ["cluster", "node", "n"], "left")
     member = stored(
         member.withColumn("more", F.coalesce("more", F.expr("cast(array() AS array<struct<c:bigint,item:bigint>>)")))
         .withColumn("need", F.expr(f"cast(ceil({t} * (n + greatest(least, ceil({percent} * n / 100.0))) - 1e-6) AS long)"))
