@@ -45,6 +45,8 @@ CHUNK_TOKENS = 1_200_000
 PARTITION_BYTES = 8 << 20
 K = 5
 TRUST = 0.001
+#: Histories with at least one in so many of all training tokens are sent to the tasks that ask for them.
+FREQUENT = 100_000
 #: Stands for the closing token among word hashes.
 END = np.uint64(0xE5D0F7EF7EE75E0D)
 #: Id of the history before a text's first token.
@@ -78,6 +80,12 @@ class Unigrams:
         return np.where(c > 0, d * c * self.scale, self.unknown)
 
 
+def _cuts(part: np.ndarray) -> tuple[list[int], list[int]]:
+    """The partitions that stand in an ascending list, and where each begins (one more than partitions)."""
+    present, begin = np.unique(part, return_index=True)
+    return present.tolist(), [*begin.tolist(), len(part)]
+
+
 def _chunks(docs: DataFrame, parts: int) -> DataFrame:
     """A row per chunk: ids, folds and token counts of its texts, tokens as places in its word list, and what to ask of each word partition."""
 
@@ -87,13 +95,8 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
         held = np.concatenate([x[1] for x in rows])
         words, which = np.unique(h, return_inverse=True)
         count = np.bincount(which, np.repeat(~held, n), len(words)).astype(np.int64)
-        part = part_of(words, parts)
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        asks = [
-            {"part": p, "ask": pack(deltas(words[a:b]), narrow(count[a:b]))}
-            for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            if b > a  # so there are never more asks than keys, however many partitions
-        ]
+        present, cut = _cuts(part_of(words, parts))  # never more asks than keys, however many partitions
+        asks = [{"part": p, "ask": pack(deltas(words[a:b]), narrow(count[a:b]))} for p, a, b in zip(present, cut[:-1], cut[1:], strict=True)]
         ids = pa.concat_arrays([x[0] for x in rows])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.RecordBatch.from_arrays(
@@ -176,7 +179,7 @@ class _Chunk:
         spread = np.where(wide, T.mix(spread ^ self.ids[self.word].astype(np.uint64)), spread)
         self.part = part_of(spread, parts)
         self.order = np.argsort(self.part, kind="stable")
-        self.cut = np.searchsorted(self.part[self.order], np.arange(parts + 1))
+        self.present, self.cut = _cuts(self.part[self.order])
 
 
 def _answers(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
@@ -192,11 +195,10 @@ def _pair_asks(chunks: DataFrame, answers: DataFrame, parts: int, hot: int, trai
         c = _Chunk(body, _answers(told, 0), parts, hot, trained)
         train = np.bincount(c.which, np.repeat(~c.held, c.n), len(c.pair)).astype(np.int64)
         at, out = [], []
-        for p, (a, b) in enumerate(zip(c.cut[:-1], c.cut[1:], strict=True)):
+        for p, a, b in zip(c.present, c.cut[:-1], c.cut[1:], strict=True):
             own = c.order[a:b]
-            if len(own):
-                at.append(p)
-                out.append(pack(deltas(c.ids[c.history[own]]), c.ids[c.word[own]].astype(np.uint64), narrow(train[own]), narrow(c.count[c.word[own]]), narrow((c.count[c.history[own]] >= hot).astype(np.int64))))
+            at.append(p)
+            out.append(pack(deltas(c.ids[c.history[own]]), c.ids[c.word[own]].astype(np.uint64), narrow(train[own]), narrow(c.count[c.word[own]]), narrow((c.count[c.history[own]] >= hot).astype(np.int64))))
         return pa.table({"chunk": pa.array([chunk] * len(at), pa.int64()), "part": pa.array(at, pa.int32()), "ask": pa.array(out, pa.binary())})
 
     body = chunks.select("chunk", "held", "n", "tokens")
@@ -243,15 +245,15 @@ def _pair_table(asks: DataFrame, unigrams: Unigrams) -> DataFrame:
 
 
 def _weights(pairs: DataFrame, d: np.ndarray) -> DataFrame:
-    """history, weight: log10 of the backoff weight of every training history."""
+    """history, seen (its training tokens), weight: log10 of the backoff weight of every training history."""
     columns = [f"c{r}" for r in range(1, K + 2)]
     rows = pairs.where("history IS NOT NULL").select("history", "wide", *columns, "mass")
     spread = rows.where("wide").groupBy("history").agg(*(F.sum(c).alias(c) for c in [*columns, "mass"]))
     whole = rows.where("NOT wide").drop("wide").unionByName(spread)
     total = " + ".join(columns)
     kept = " + ".join([f"{float(x)!r} * c{r}" for r, x in enumerate(d, 1)] + [f"{1 - TRUST!r} * c{K + 1}"])
-    left = whole.selectExpr("history", f"1 - ({kept}) / ({total}) AS free", "1 - mass AS rest")
-    return left.selectExpr("history", "log10(free / rest) AS weight")
+    left = whole.selectExpr("history", f"{total} AS seen", f"1 - ({kept}) / ({total}) AS free", "1 - mass AS rest")
+    return left.selectExpr("history", "seen", "log10(free / rest) AS weight")
 
 
 def _scored(chunks: DataFrame, answers: DataFrame, unigrams: Unigrams, d: np.ndarray, parts: int, hot: int, trained: int) -> DataFrame:
@@ -262,8 +264,10 @@ def _scored(chunks: DataFrame, answers: DataFrame, unigrams: Unigrams, d: np.nda
         chunk = body.column("chunk")[0].as_py()
         c = _Chunk(body, _answers(told, 0), parts, hot, trained)
         total = np.zeros(len(c.pair), dtype=np.int64)
+        place = {p: k for k, p in enumerate(c.present)}
         for p, a in _answers(told, 1):
-            total[c.order[c.cut[p] : c.cut[p + 1]]] = unpack(a)[0].astype(np.int64)
+            k = place[p]
+            total[c.order[c.cut[k] : c.cut[k + 1]]] = unpack(a)[0].astype(np.int64)
         seen = total > 0
         with np.errstate(divide="ignore", invalid="ignore"):
             straight = np.log10(pair_d[np.clip(total, 1, K + 1) - 1] * total / c.count[c.history])
@@ -305,7 +309,13 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     both = told.unionByName(pairs.where("chunk >= 0").select("chunk", F.lit(1).alias("kind"), "part", "answer"))
     scores = stored(_scored(chunks, both, unigrams, d, parts, hot, trained), "lm-scores")
     asked = scores.select("key", F.explode("histories").alias("history")).groupBy("key", "history").agg(F.count(F.lit(1)).alias("times"))
-    added = asked.join(_weights(pairs, d), "history").groupBy("key").agg(F.sum(F.col("times") * F.col("weight")).alias("added"))
+    # A frequent history is asked by a large share of all documents: these meet their weights without a shuffle.
+    weights = stored(_weights(pairs, d), "lm-weights")
+    frequent = F.col("seen") >= max(unigrams.n / FREQUENT, 1)  # by the bar, at most FREQUENT histories
+    met = asked.join(F.broadcast(weights.where(frequent).select("history", "weight")), "history", "left")
+    rest = met.where("weight IS NULL").drop("weight").join(weights.where(~frequent).select("history", "weight"), "history")
+    met = met.where("weight IS NOT NULL").select("key", "times", "weight").unionByName(rest.select("key", "times", "weight"))
+    added = met.groupBy("key").agg(F.sum(F.col("times") * F.col("weight")).alias("added"))
     out = scores.drop("histories").join(added, "key", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(unigrams.n).cast("long").alias("train_tokens"), "base_score",
