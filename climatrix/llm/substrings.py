@@ -45,6 +45,8 @@ CHUNK_BYTES = 6 << 20
 PARTITION_BYTES = 8 << 20
 #: Suffixes that one task sorts at a time.
 GROUP = 100_000
+#: Most names of large groups that are sent to every executor.
+BROADCAST_ROWS = 200_000
 DEPTHS = (1, 2, 4, 8, WINDOW)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -134,14 +136,10 @@ class _Chunk:
     def asks(self, parts: int) -> list[tuple[int, bytes]]:
         """(partition, ask) for the partitions that the chunk has runs of: never more asks than runs."""
         part = part_of(self.gram[self.entry], parts)
-        cut = np.searchsorted(part, np.arange(parts + 1))
+        present, begin = np.unique(part, return_index=True)  # only the partitions that it has runs of
+        end = np.append(begin, len(part))[1:]
         ids = self.ids.view(np.uint64)
-        return [
-            (p, pack(deltas(self.gram[e]), self.seg[e], ids[self.doc[e]]))
-            for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            for e in [self.entry[a:b]]
-            if b > a
-        ]
+        return [(p, pack(deltas(self.gram[e]), self.seg[e], ids[self.doc[e]])) for p, a, b in zip(present.tolist(), begin, end, strict=True) for e in [self.entry[a:b]]]
 
     def judged(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Runs whose windows are all removed, and runs whose windows go into trees."""
@@ -243,12 +241,12 @@ def _suffixes(chunks: DataFrame, answers: DataFrame, parts: int, window: int) ->
 
 def _memory_sized(suffixes: DataFrame, limit: int) -> DataFrame:
     """The suffixes with every group of more than ``limit`` split by longer and longer prefixes, at last by chunk."""
-    spark = suffixes.sparkSession
     for depth in [*DEPTHS[1:], 0]:
-        large = [r["grp"] for r in suffixes.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("grp").collect()]  # fewer than suffixes / limit
+        names = stored(suffixes.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("grp"), "large-groups")
+        large = names.count()  # fewer than suffixes / limit
         if not large:
             break
-        names = F.broadcast(spark.createDataFrame([(x,) for x in large], "grp long"))
+        names = F.broadcast(names) if large <= BROADCAST_ROWS else names
 
         def split(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
             for b in batches:
