@@ -359,3 +359,43 @@ def test_every_fingerprint_within_the_radius(spark):
     asked = [tuple(x & (1 << 64) - 1 for x in r) for r in rows[:100]]
     want = {(a, b, p >> 64, p & (1 << 64) - 1) for a, b in asked for p in prints if ((a << 64 | b) ^ p).bit_count() <= simhash.RADIUS}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+@pytest.mark.parametrize("share", [3, 256])
+def test_a_large_cluster_in_shares(spark, monkeypatch, limit, share):
+    """Hub, members in shares, and members that are linked to each other only; tables broadcast or joined by shuffle."""
+    monkeypatch.setattr(hyperminhash, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(hyperminhash, "SHARE", share)
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rnd.randrange(9)):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"v{i}x{k}" for k in range(30))) for i in range(5)] + [(200, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, hyperminhash.near_duplicates(docs, k=4, percent=80).collect()))
+    assert got == sorted(brute.op6(rows, 4, 80))
+
+
+def test_frequent_histories_meet_their_weights_in_place(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("a b c d e f g h".split()) for _ in range(20))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.score for r in katz.language_model_scores(docs).collect()}
+    monkeypatch.setattr(katz, "FREQUENT", 1)  # none is
+    got = {r.doc_id: r.score for r in katz.language_model_scores(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_large_groups_by_broadcast_or_shuffle(spark, monkeypatch, limit):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", limit)
+    rnd = random.Random(limit)
+    base = [rnd.choice("abcdefghij") for _ in range(120)]
+    rows = [(i, " ".join([f"x{i}", *base[(a := rnd.randrange(60)) : a + 50]])) for i in range(20)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), group=5).collect())
+    assert got == [r[:3] for r in brute.op2(rows)]
