@@ -54,8 +54,8 @@ def numeric_column_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-#: Of a pair of columns: complete rows, means, sums of squares and of products about the means.
-_MOMENTS = ("n", "mi", "mj", "qi", "qj", "c")
+#: Of a pair of columns: complete rows, means and what rounding took from them, sums of squares and of products about the means.
+_MOMENTS = ("n", "mi", "mj", "li", "lj", "qi", "qj", "c")
 
 
 def _merged(a, b):
@@ -64,9 +64,12 @@ def _merged(a, b):
 
     n = a[0] + b[0]
     share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
-    both = a[0] * share
-    di, dj = b[1] - a[1], b[2] - a[2]
-    return np.stack([n, a[1] + di * share, a[2] + dj * share, a[3] + b[3] + di * di * both, a[4] + b[4] + dj * dj * both, a[5] + b[5] + di * dj * both])
+    both, old = a[0] * share, a[0] > 0
+    # Differences of means of like size are exact; the merged mean stays beside the first one.
+    di, dj = (b[1] - a[1]) + (b[3] - a[3]), (b[2] - a[2]) + (b[4] - a[4])
+    means = [np.where(old, a[k], b[k]) for k in (1, 2)] + [np.where(old, a[k] + d * share, b[k]) for k, d in ((3, di), (4, dj))]
+    di, dj = np.where(old, di, 0.0), np.where(old, dj, 0.0)
+    return np.stack([n, *means, a[5] + b[5] + di * di * both, a[6] + b[6] + dj * dj * both, a[7] + b[7] + di * dj * both])
 
 
 def _batch_moments(x):
@@ -81,16 +84,19 @@ def _batch_moments(x):
         d = x[:, full]
         mean = d.mean(axis=0)
         d = d - mean
+        low = d.mean(axis=0)
+        d -= low
         cross, at = d.T @ d, np.cumsum(full) - 1
         pair = full[iu] & full[ju]
         i, j = at[iu[pair]], at[ju[pair]]
-        out[:, pair] = np.stack([np.full(len(i), len(x), dtype=float), mean[i], mean[j], cross[i, i], cross[j, j], cross[i, j]])
+        out[:, pair] = np.stack([np.full(len(i), len(x), dtype=float), mean[i], mean[j], low[i], low[j], cross[i, i], cross[j, j], cross[i, j]])
     for k in np.flatnonzero(~(full[iu] & full[ju])):
         rows = present[:, iu[k]] & present[:, ju[k]]
         if rows.any():
             a, b = x[rows, iu[k]], x[rows, ju[k]]
             p, q = a - a.mean(), b - b.mean()
-            out[:, k] = rows.sum(), a.mean(), b.mean(), p @ p, q @ q, p @ q
+            li, lj = p.mean(), q.mean()
+            out[:, k] = rows.sum(), a.mean(), b.mean(), li, lj, (p - li) @ (p - li), (q - lj) @ (q - lj), (p - li) @ (q - lj)
     return out
 
 
@@ -148,8 +154,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     parts = vals.mapInPandas(_partition_moments(cols), schema).filter("n > 0")
     pair = Window.partitionBy("i", "j")  # one row a task
     share = F.col("n") / F.sum("n").over(pair)
-    parts = parts.withColumn("_w", share).withColumns({f"_m{x}": F.sum(F.col(f"m{x}") * F.col("_w")).over(pair) for x in "ij"})
-    di, dj, n = F.col("mi") - F.col("_mi"), F.col("mj") - F.col("_mj"), F.col("n")
+    # Means count from the pair's smallest one, so none of their digits is lost where all lie far from 0.
+    parts = parts.withColumn("_w", share).withColumns({f"_o{x}": F.col(f"m{x}") - F.min(f"m{x}").over(pair) + F.col(f"l{x}") for x in "ij"})
+    parts = parts.withColumns({f"_m{x}": F.sum(F.col(f"_o{x}") * F.col("_w")).over(pair) for x in "ij"})
+    di, dj, n = F.col("_oi") - F.col("_mi"), F.col("_oj") - F.col("_mj"), F.col("n")
     merged = parts.groupBy("i", "j").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("qi") + n * di * di).alias("vx"),
@@ -158,9 +166,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
         *[f(f"{e}_{x}").alias(f"{e}_{x}") for e, f in (("lo", F.min), ("hi", F.max)) for x in "ij"],
     )
     flat = (F.col("lo_i") == F.col("hi_i")) | (F.col("lo_j") == F.col("hi_j"))
+    infinite = F.greatest(*[F.abs(f"{e}_{x}") for e in ("lo", "hi") for x in "ij"]) == float("inf")
     plain = F.try_divide(F.col("cxy"), F.sqrt("vx") * F.sqrt("vy"))
     r = (
-        F.when((F.col("n") < 2) | flat | F.isnan(plain), F.lit(None).cast("double"))
+        F.when((F.col("n") < 2) | flat | infinite | F.isnan(plain), F.lit(None).cast("double"))
         .when(F.col("i") == F.col("j"), F.lit(1.0))
         .otherwise(F.greatest(F.least(plain, F.lit(1.0)), F.lit(-1.0)))
     )
