@@ -10,7 +10,7 @@ from climatrix.plans.catalog import register
 from climatrix.plans.curate import station_day_from_long
 from climatrix.plans.oracle import EV_OBS, MEASURES, NAMES, SQL, STATION_DAY, STATIONS
 from climatrix.session import scratch_path
-from climatrix.sources import feed, fixtures
+from climatrix.sources import feed, fixtures, layout
 
 SKETCHED = ["tavg", "prcp", "humidity"]
 YEARS = (1994, 1996)
@@ -302,3 +302,40 @@ SELECT {names}, CAST(point AS INTEGER) AS point, round(start + point * step, 6)
 
 SQL["violin_kernel"] = _kernel_sql(["continent"], 64)
 SQL["violin_kernel_by_month"] = _kernel_sql(["month", "continent"], 32)
+
+
+# ------------------------------------------------------- Z-order layout
+ZORDERED = ["date", "station_key", "lat", "lon"]
+BOX = {"date": ("1994-03-01", "1995-02-28"), "lat": (-20.0, 35.0), "lon": (-100.0, 20.0)}
+
+
+def _laid_out(spark, sf):
+    days = prepare.attach_station_attributes(fixtures.measures(spark, sf), fixtures.stations(spark, sf))
+    path = scratch_path(spark, "zordered")
+    layout.write_zordered(days.select("obs_id", *ZORDERED, "tavg"), path, ZORDERED, least_files=64)
+    return path
+
+
+@register("zorder_box")
+def q_zorder_box(spark, sf):
+    """S2 on a table in Z-order of date, station, lat and lon: a box of dates and places, read from the files that can hold any of its rows."""
+    return layout.read_box(spark, _laid_out(spark, sf), BOX)
+
+
+@register("zorder_skipped")
+def q_zorder_skipped(spark, sf):
+    """What the layout spares: all rows, and whether a box of dates and places leaves out at least half of them, and a year of one tenth of the stations as well."""
+    path = _laid_out(spark, sf)
+    last = fixtures.stations(spark, sf).agg(F.max("station_key")).first()[0]
+    one = layout.skipped(spark, path, BOX)
+    other = layout.skipped(spark, path, {"date": BOX["date"], "station_key": (0, last // 10)})
+    half = F.col("rows_read") * 2 <= F.col("rows")
+    return one.select(F.lit("places").alias("box"), "rows", half.alias("half_skipped")).union(other.select(F.lit("stations"), "rows", half))
+
+
+_IN_BOX = f"date BETWEEN TIMESTAMP '{BOX['date'][0]}' AND TIMESTAMP '{BOX['date'][1]}' AND lat BETWEEN {BOX['lat'][0]} AND {BOX['lat'][1]} AND lon BETWEEN {BOX['lon'][0]} AND {BOX['lon'][1]}"
+SQL["zorder_box"] = f"""WITH {MEASURES},
+{STATIONS},
+{STATION_DAY}
+SELECT obs_id, CAST(date AS VARCHAR) AS date, station_key, round(lat, 6) AS lat, round(lon, 6) AS lon, round(tavg, 6) AS tavg FROM station_day WHERE {_IN_BOX}"""
+SQL["zorder_skipped"] = f"WITH {MEASURES} SELECT unnest(['places', 'stations']) AS box, count(*) AS rows, true AS half_skipped FROM measures"
