@@ -85,8 +85,8 @@ def test_a_hot_key_is_spread(spark, laid):
 def test_buckets_and_bits_by_brute_force(spark):
     cuts = [1.0, 2.0, 2.0, 2.0, 5.5, 9.0, 11.0]
     values = [-1.0, 1.0, 1.5, 2.0, 2.1, 5.5, 10.0, 11.0, 99.0]
-    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", layout.bucket(F.col("v"), cuts).alias("b")).collect()
-    assert all(r["b"] == bisect.bisect_right(cuts, r["v"]) for r in got)
+    got = layout.with_buckets(spark.createDataFrame([(v,) for v in values], "v double"), {"b": (F.col("v"), cuts), "none": (F.col("v"), [])}).collect()
+    assert {r["none"] for r in got} == {0} and all(r["b"] == bisect.bisect_right(cuts, r["v"]) for r in got)
 
     def mixed(*xs):
         return int("".join("".join(bits) for bits in zip(*[f"{x:03b}" for x in xs], strict=True)), 2)
