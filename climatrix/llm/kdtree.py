@@ -1,7 +1,9 @@
 """Sharding by a k-d tree over document metadata.
 
-Units are groups of equal texts; their coordinates are the smallest id of the group
-and the size of its text. A node that owes k shards is split along its widest
+Units are groups of equal texts; their coordinates are the smallest id of the group, the size of
+its text, and the metadata ``n_chars``, ``lang`` and ``source`` where the table has them (the group's
+smallest). Sizes and lengths count by their logarithm; a language or source has no order, so its
+place is a hash of its value: equal values stand together. A node that owes k shards is split along its widest
 dimension at the weighted median (by bytes, at k // 2 of k), until every
 leaf owes one shard, about ``total / shards`` bytes. Equal coordinates are told
 apart by the unit's hash, so a median always falls between two units.
@@ -15,8 +17,10 @@ shard by the hash of the id (there are fewer such groups than shards, so they ar
 
 Defined results: a null text weighs nothing but the 16 bytes of its row and is
 equal to other nulls and empty texts; a null id counts as id 0 in the tree;
-repeated rows are weighed and placed one by one; fewer units than shards leave
-shards empty; an empty table gives an empty result; other columns play no part.
+repeated rows are weighed and placed one by one; null, missing or unreadable metadata lie at one
+place, and a dimension without extent is never split; fewer units than shards leave
+shards empty; an empty table gives an empty result; long texts are only measured and hashed; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ ROW_BYTES = 16
 BINS = 512
 #: A median may be off by this share of its node's bytes.
 SLACK = 1e-4
-DIMENSIONS = ("id", "size")
+DIMENSIONS = ("id", "size", "n_chars", "lang", "source")
 
 
 @dataclass
@@ -146,11 +150,22 @@ def build(units: DataFrame, shards: int) -> Node:
         _number(root)
 
 
+def metadata(docs: DataFrame) -> list[Column]:
+    """Coordinates ``n_chars``, ``lang`` and ``source`` of each row; 0 where the table has no such column."""
+    n = F.col("n_chars").cast("string").try_cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    out = [F.when(n.between(1.0, 2.0**62), F.log2(n)).otherwise(0.0).alias("n_chars")]
+    for c in ("lang", "source"):
+        place = F.shiftright(F.xxhash64(F.col(c).cast("string")), 16).cast("double") if c in docs.columns else F.lit(0.0)
+        out.append(place.alias(c))
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + ROW_BYTES).cast("long")
-    rows = stored(docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(1)).alias("same")), "shard-rows")
+    digests = (F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(1)).alias("same"))
+    rows = stored(docs.select("doc_id", size.alias("size"), *digests, *metadata(docs)), "shard-rows")
     groups = rows.groupBy("same").agg(F.sum("size").alias("weight"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     heavy = groups.where(F.col("weight") * shards > total).select("same", F.ceil(F.col("weight") * (4 * shards) / max(total, 1)).alias("pieces"))
@@ -158,8 +173,9 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     dealt = rows.join(F.broadcast(heavy), "same", "left").withColumn("piece", piece).drop("pieces")  # fewer rows than shards
     dealt = stored(dealt.withColumn("unit", F.when(F.col("piece") == 0, F.col("same")).otherwise(F.xxhash64("same", "piece"))).drop("same", "piece"), "shard-units")
     units = dealt.groupBy("unit").agg(
-        F.coalesce(F.min("doc_id"), F.lit(0)).cast("double").alias("id"), F.log2(F.max("size").cast("double")).alias("size"), F.sum("size").alias("weight")
-    )
+        F.coalesce(F.min("doc_id"), F.lit(0)).cast("double").alias("id"), F.log2(F.max("size").cast("double")).alias("size"), F.sum("size").alias("weight"),
+        *[F.min(c).alias(c) for c in DIMENSIONS[2:]],
+    )
     units = stored(units.withColumn("tie", F.shiftright("unit", 11).cast("double")), "units")
     tree = build(units, shards)
     placed = dealt.join(units.select("unit", _place(tree).alias("shard")), "unit")

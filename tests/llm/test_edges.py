@@ -399,3 +399,37 @@ def test_large_groups_by_broadcast_or_shuffle(spark, monkeypatch, limit):
     rows = [(i, " ".join([f"x{i}", *base[(a := rnd.randrange(60)) : a + 50]])) for i in range(20)]
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), group=5).collect())
     assert got == [r[:3] for r in brute.op2(rows)]
+
+
+def test_every_split_is_a_weighted_median_of_the_widest_dimension(spark):
+    """The whole tree against plain Python on the collected units, categories and ties included."""
+    rnd = random.Random(11)
+    rows = [(float(i), rnd.choice([5.0, 6.0, rnd.uniform(4, 12)]), rnd.uniform(0, 9), rnd.choice([1e14, -3e14, 7e13]), rnd.choice([1e14, 2e14]) if i % 3 else 2e14, rnd.randint(-(2**52), 2**52) * 1.0, rnd.randint(17, 400)) for i in range(700)]
+    units = spark.createDataFrame(rows, "id double, size double, n_chars double, lang double, source double, tie double, weight long")
+    names = [*kdtree.DIMENSIONS, "tie", "weight"]
+    every = [dict(zip(names, r, strict=True)) for r in rows]
+    whole = {d: max(u[d] for u in every) - min(u[d] for u in every) for d in kdtree.DIMENSIONS}
+    used = set()
+
+    def walk(node, mine):
+        if node.dim is None:
+            assert node.shards == 1
+            return
+        width = {d: (max(u[d] for u in mine) - min(u[d] for u in mine)) / whole[d] for d in kdtree.DIMENSIONS}
+        assert width[node.dim] == max(width.values())
+        used.add(node.dim)
+        left = [u for u in mine if (u[node.dim], u["tie"]) <= (node.value, node.tie) or u[node.dim] < node.value]
+        total, want = sum(u["weight"] for u in mine), node.shards // 2 / node.shards
+        assert abs(sum(u["weight"] for u in left) - want * total) <= max(u["weight"] for u in mine) + 1e-4 * total
+        walk(node.left, left)
+        walk(node.right, [u for u in mine if not any(u is v for v in left)])
+
+    walk(kdtree.build(units, 24), every)
+    assert {"id", "lang", "source"} <= used
+
+
+def test_metadata_of_any_type_shards(spark):
+    """Columns named like the dimensions but of other types, null or unreadable values."""
+    docs = spark.range(120).selectExpr("id AS doc_id", "repeat(chr(97 + CAST(id % 25 AS INT)), CAST(id AS INT) + 1) AS text", "CASE id % 3 WHEN 0 THEN 'many' WHEN 1 THEN '-5' END AS n_chars", "array(id % 2) AS lang", "IF(id % 5 = 0, null, id % 4) AS source", "id AS unit", "id AS same")
+    got = kdtree.shard(docs, 6)
+    assert got.count() == 120 and got.select("shard").distinct().count() == 6
