@@ -11,6 +11,7 @@ from climatrix.plans.curate import station_day_from_long
 from climatrix.plans.oracle import EV_OBS, MEASURES, NAMES, SQL, STATION_DAY, STATIONS
 from climatrix.session import scratch_path
 from climatrix.sources import feed, fixtures, layout
+from climatrix.sql import register_functions
 
 SKETCHED = ["tavg", "prcp", "humidity"]
 YEARS = (1994, 1996)
@@ -339,3 +340,41 @@ SQL["zorder_box"] = f"""WITH {MEASURES},
 {STATION_DAY}
 SELECT obs_id, CAST(date AS VARCHAR) AS date, station_key, round(lat, 6) AS lat, round(lon, 6) AS lon, round(tavg, 6) AS tavg FROM station_day WHERE {_IN_BOX}"""
 SQL["zorder_skipped"] = f"WITH {MEASURES} SELECT unnest(['places', 'stations']) AS box, count(*) AS rows, true AS half_skipped FROM measures"
+
+
+# ------------------------------------------------------- table functions
+def _called(call):
+    def q(spark, sf):
+        register_functions(spark, fixtures.measures(spark, sf), fixtures.stations(spark, sf))
+        return spark.sql(call)
+
+    q.__doc__ = f"The table functions of ``spark.sql``: {call}"
+    return q
+
+
+CALLS = {
+    "sql_dashboard": "SELECT * FROM climate_dashboard()",
+    "sql_summary": "SELECT * FROM climate_summary()",
+    "sql_yearly_temperature": f"SELECT * FROM climate_yearly_temperature({YEARS[0]}, {YEARS[1]})",
+    "sql_warm_years": f"SELECT year, count(*) AS days FROM climate_warm_days(20, {YEARS[0]}, {YEARS[1]}) GROUP BY year",
+    "sql_asian_days": f"SELECT obs_id, tavg, lat FROM climate_days_at({YEARS[0]}, {YEARS[1]}, 'ASIA')",
+    "sql_anomaly": f"SELECT c.year, c.continent, c.tavg_mean - y.tavg_mean AS anomaly FROM climate_continent_year({YEARS[0]}, {YEARS[1]}) c "
+    f"JOIN climate_yearly_temperature({YEARS[0]}, {YEARS[1]}) y ON c.year = y.year",
+}
+for _name, _call in CALLS.items():
+    register(_name)(_called(_call))
+
+SQL["sql_dashboard"] = SQL["kpi_dashboard"]
+SQL["sql_summary"] = SQL["kpi_summary"]
+SQL["sql_yearly_temperature"] = f"SELECT * FROM ({SQL['yearly_temperature']}) WHERE {_RANGE}"
+SQL["sql_warm_years"] = f"WITH {MEASURES} SELECT year, count(*) AS days FROM measures WHERE tavg > 20 AND {_RANGE} GROUP BY year"
+SQL["sql_asian_days"] = f"""WITH {MEASURES},
+{STATIONS},
+{STATION_DAY}
+SELECT obs_id, round(tavg, 6) AS tavg, round(lat, 6) AS lat FROM station_day WHERE continent = 'ASIA' AND {_RANGE}"""
+SQL["sql_anomaly"] = f"""WITH {MEASURES},
+{STATIONS},
+{STATION_DAY},
+y AS (SELECT year, avg(tavg) AS m FROM measures GROUP BY year)
+SELECT s.year, s.continent, round(avg(s.tavg) - any_value(y.m), 6) AS anomaly FROM station_day s JOIN y ON s.year = y.year
+WHERE s.continent IS NOT NULL AND s.year BETWEEN {YEARS[0]} AND {YEARS[1]} GROUP BY s.year, s.continent"""
