@@ -85,7 +85,10 @@ def intersect(postings: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame
     two = postings.join(_small(pairs), F.col("term") == F.col("t2")).select("row", "item", "o1", "o2", (F.col("place") - F.col("o2")).alias("shift"))
     if slop == 0:
         return one.join(two.distinct(), ["row", "item", "o1", "o2", "shift"], "left_semi").select("row", "item", "shift").distinct()
-    both = one.join(two.withColumnRenamed("shift", "other"), ["row", "item", "o1", "o2"])
+    # Only shifts in the same or the next stretch of slop + 1 words meet: a word repeated all over a text gives no pairs of all its places.
+    stretch = F.floor(F.col("shift") / (slop + 1)).cast("long")
+    near = two.select("row", "item", "o1", "o2", F.col("shift").alias("other"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    both = one.withColumn("stretch", stretch).join(near, ["row", "item", "o1", "o2", "stretch"])
     return both.where(F.abs(F.col("shift") - F.col("other")) <= slop).select("row", "item", "shift").distinct()
 
 

@@ -231,6 +231,22 @@ def test_proximity(spark, benchmark):
     assert got == {(1, "1"), (1, "4")}
 
 
+@pytest.mark.parametrize("slop", [1, 2, 7])
+def test_proximity_by_brute_force(spark, slop):
+    """Every shift of the first term with one of the second within the slop, also before the text's start."""
+    rnd = random.Random(slop)
+    lists = [(row, term, place) for row in (1, 2, 3) for term in "ab" for place in sorted(rnd.sample(range(120), 25))]
+    postings = spark.createDataFrame(lists, "row long, term string, place int")
+    pairs = spark.createDataFrame([("a z b", "a", 0, "b", 40), ("b a", "b", 30, "a", 31)], "item string, t1 string, o1 int, t2 string, o2 int")
+    want = set()
+    for item, t1, o1, t2, o2 in map(tuple, pairs.collect()):
+        for row, term, place in lists:
+            if term == t1 and any(r == row and t == t2 and abs((place - o1) - (p - o2)) <= slop for r, t, p in lists):
+                want.add((row, item, place - o1))
+    got = [tuple(r) for r in decontaminate.intersect(postings, pairs, slop).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(shift < 0 for _, _, shift in want)
+
+
 def test_backoff_on_a_tiny_corpus(spark):
     """Unknown words, unknown histories, histories with every count of counts missing."""
     texts = ["a b a c", "a b b", "c a b", "d", "a b a c a b", "b d", "never seen", "d never a", "", None] * 4
