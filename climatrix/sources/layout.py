@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from climatrix.functions.calendar import epoch_micros
+
 #: Bits a column: 256 buckets; with 7 columns the key still fits a long.
 BITS = 8
 DEFAULT_ROWS_PER_FILE = 5_000_000
@@ -29,7 +31,7 @@ def _number(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
     c = F.col(column)
     if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return epoch_micros(c.cast("timestamp_ntz")).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if not isinstance(kind, (T.NumericType, T.BooleanType)):
