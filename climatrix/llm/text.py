@@ -22,8 +22,8 @@ U64 = np.uint64
 #: Odd multipliers of the byte and word polynomials (any odd constants do).
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1B54A32D192ED03
-#: Bytes of text worked on at a time: temporaries are about 40 times as large.
-SLICE_BYTES = 1 << 20
+#: Bytes of text worked on at a time: temporaries are about 40 times as large, in each of an executor's workers.
+SLICE_BYTES = 1 << 18
 
 
 def _class(drop: bytes | range | list[int]) -> np.ndarray:
@@ -125,11 +125,21 @@ def releasing(run: Callable) -> Callable:
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The column as plain strings, null as empty; called once a batch, it first gives back what the last one left."""
+    """The column as plain strings, null as empty; called once a batch, it first gives back what the last one left.
+
+    The texts stay in the batch's own memory, unless a null hides bytes.
+    """
     release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if not len(column):
+        return pc.fill_null(column, "")
+    _, offsets, data = column.buffers()
+    size = np.diff(np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1])
+    if column.null_count and size[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return pc.fill_null(column, "")
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, offsets, data], null_count=0, offset=column.offset)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
