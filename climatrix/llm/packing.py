@@ -37,6 +37,8 @@ STEP = 0.5
 ETA = 4.0
 #: Words whose ids a task keeps; others are encoded again.
 KEPT_WORDS = 1_000_000
+#: Words whose encodings, about 1 kB each, are held at a time.
+ENCODED_WORDS = 1000
 
 
 def default_tokenizer() -> str:
@@ -64,34 +66,43 @@ class Encoder:
         self.begin = np.empty(0, dtype=np.int32)  # of each word's ids in flat
         self.size = np.empty(0, dtype=np.int32)
         self.flat = np.empty(0, dtype="<u4")
-        self.fresh: list[tuple[np.ndarray, list[list[int]]]] = []  # words to be put in their places, some thousands at a time
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words (hash, size, ids) to be put in their places, some thousands at a time
         self.stop = np.zeros(256, dtype="<u4")
         self.trim = np.zeros(256, dtype=bool)
         for c in ".,;:!?":
-            own = self._encode([c])[0]
+            own, _ = self._encode([c])
             if len(own) == 1:
                 self.trim[ord(c)], self.stop[ord(c)] = True, own[0]
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in turn, and how many each has."""
+        flat, size = [np.empty(0, dtype="<u4")], [np.empty(0, dtype=np.int64)]
+        for k in range(0, len(words), ENCODED_WORDS):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + ENCODED_WORDS], add_special_tokens=False)]
+            size.append(np.array([len(x) for x in own], dtype=np.int64))
+            flat.append(np.fromiter((y for x in own for y in x), dtype="<u4", count=int(size[-1].sum())))
+        return np.concatenate(flat), np.concatenate(size)
 
-    def _learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def _learn(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """Keep new words, as long as there is room; sorting them in waits until there are enough."""
         room = KEPT_WORDS - len(self.hash)
         if room <= 0:
             return
-        self.fresh.append((h[:room], ids[:room]))
-        if sum(len(x) for x, _ in self.fresh) < min(room, 30_000):
+        size = size[:room]
+        self.fresh.append((h[:room], size, ids[: size.sum()]))
+        if sum(len(x) for x, _, _ in self.fresh) < min(room, 30_000):
             return
-        h, first = np.unique(np.concatenate([x for x, _ in self.fresh]), return_index=True)
-        every = [x for _, own in self.fresh for x in own]
-        own = [every[k] for k in first.tolist()]
+        h, size, ids = (np.concatenate([x[k] for x in self.fresh]) for k in range(3))
         self.fresh = []
-        size = np.array([len(x) for x in own], dtype=np.int32)
-        begin = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
-        self.flat = np.concatenate([self.flat, np.fromiter((y for x in own for y in x), dtype="<u4", count=int(size.sum()))])
+        begin = np.cumsum(size) - size
+        h, first = np.unique(h, return_index=True)
+        begin, size = begin[first], size[first]
+        ends = np.cumsum(size)
+        own = ids[np.repeat(begin - (ends - size), size) + np.arange(size.sum())]
+        begin = (len(self.flat) + ends - size).astype(np.int32)
+        self.flat = np.concatenate([self.flat, own])
         at = np.searchsorted(self.hash, h)
-        self.hash, self.begin, self.size = np.insert(self.hash, at, h), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.hash, self.begin, self.size = np.insert(self.hash, at, h), np.insert(self.begin, at, begin), np.insert(self.size, at, size.astype(np.int32))
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, and where each text's begin (one more than texts)."""
@@ -105,15 +116,13 @@ class Encoder:
             known = self.hash[place] == h
             begin[known], size[known] = self.begin[place[known]], self.size[place[known]]
         new = np.flatnonzero(~known)
-        flat = self.flat
+        flat, added = self.flat, np.empty(0, dtype="<u4")
         if len(new):
             body = w.data.tobytes()
-            ids = self._encode([body[w.start[k] : w.end[k]].decode() for k in at[new].tolist()])
-            size[new] = [len(x) for x in ids]
+            added, size[new] = self._encode([body[w.start[k] : w.end[k]].decode() for k in at[new].tolist()])
             begin[new] = len(flat) + np.cumsum(size[new]) - size[new]
-            flat = np.concatenate([flat, np.fromiter((y for x in ids for y in x), dtype="<u4", count=int(size[new].sum()))])
             if plain:
-                self._learn(h[new], ids)
+                self._learn(h[new], added, size[new])
         trimmed = np.zeros(len(w.hash), dtype=np.int64)
         if plain and len(w.hash):
             behind = w.data[np.minimum(w.end, len(w.data) - 1)]
@@ -126,7 +135,11 @@ class Encoder:
         last = ends[1:][trimmed > 0] - 1
         slot[last] = False
         word_ends = np.concatenate([[0], np.cumsum(count)])
-        out[slot] = flat[np.repeat(begin[which] - word_ends[:-1], count) + np.arange(word_ends[-1])]
+        place = np.repeat(begin[which] - word_ends[:-1], count) + np.arange(word_ends[-1])
+        kept = place < len(flat)
+        found = np.empty(len(place), dtype="<u4")
+        found[kept], found[~kept] = flat[place[kept]], added[place[~kept] - len(flat)]
+        out[slot] = found
         if len(last):
             out[last] = self.stop[behind[trimmed > 0]]
         return out, ends[w.first]

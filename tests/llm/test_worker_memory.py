@@ -66,3 +66,22 @@ def test_ids_do_not_depend_on_slices(column):
     col = T.texts(column)
     ids = [b"".join(packing.Encoder(packing.default_tokenizer()).ids(col[i:j])[0].tobytes() for i, j in T.slices(col, n)) for n in (1 << 16, 1 << 18, 1 << 20)]
     assert ids[0] == ids[1] == ids[2]
+
+
+def test_new_words_are_encoded_some_at_a_time():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    inner, sizes = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return inner.encode_batch_fast(words, **options)
+
+    encoder.tokenizer = Counting()
+    body = " ".join(f"zq{i}x" for i in range(70_000))
+    column = pa.array([body, body], pa.large_string())
+    ids, first = encoder.ids(column)
+    again, _ = encoder.ids(column)
+    assert max(sizes) <= 1000 and sum(sizes) == 70_000  # known the second time
+    assert len(encoder.hash) == 70_000 and (ids == again).all()
+    assert ids[: first[1]].tolist() == inner.encode(body, add_special_tokens=False).ids
