@@ -296,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = numbered(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"])
+    ranked = numbered(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"], whole_buckets=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "slot")
     return rows.mapInArrow(T.releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -35,10 +35,12 @@ def fold(doc_id: str, n: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def numbered(rows: DataFrame, by: str, deal: list[str], order: list[str], per_bucket: int = 20_000) -> DataFrame:
+def numbered(rows: DataFrame, by: str, deal: list[str], order: list[str], per_bucket: int = 20_000, whole_buckets: bool = False) -> DataFrame:
     """Stored ``rows`` with ``slot``, gapless from 0 in each value of ``by``; no task sorts one value's rows alone.
 
     Rows are dealt into buckets by the hash of ``deal``; the buckets' counts give the first slot of each.
+    With ``whole_buckets`` a bucket's rows stay in one task: as many tasks as the rows need, and even ones
+    where ``by`` has many values with few rows and some with many.
     """
     buckets = max(1, -(-rows.count() // per_bucket))
     keys = F.xxhash64(*deal, F.lit(7))
@@ -46,6 +48,11 @@ def numbered(rows: DataFrame, by: str, deal: list[str], order: list[str], per_bu
     counts = dealt.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if whole_buckets:  # a join would deal by both keys; so the first slot comes as a row of its own, ahead of those that it counts for
+        both = dealt.unionByName(first, allowMissingColumns=True).repartition("bucket")
+        inside = Window.partitionBy(by, "bucket").orderBy(F.col("first").isNull(), *order)
+        out = both.withColumns({"place": F.row_number().over(inside), "base": F.first("first").over(inside)}).where(F.col("first").isNull())
+        return out.withColumn("slot", (F.col("base") + F.col("place") - 2).cast("long")).drop("bucket", "place", "base", "first")
     place = F.row_number().over(Window.partitionBy(by, "bucket").orderBy(*order))
     out = dealt.withColumn("place", place).join(first, [by, "bucket"])
     return out.withColumn("slot", (F.col("first") + F.col("place") - 1).cast("long")).drop("bucket", "place", "first")

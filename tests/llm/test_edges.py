@@ -9,8 +9,10 @@ import pyarrow as pa
 import pytest
 import zstandard
 from llm import brute
+from pyspark.sql import functions as F
 
 from climatrix.llm import audit, centroids, compression, decontaminate, hyperminhash, katz, kdtree, licenses, packing, quality, sanitise, simhash, substrings
+from climatrix.llm.tables import numbered
 
 OPERATORS = {
     "licenses": licenses.license_scan,
@@ -449,3 +451,30 @@ def test_metadata_of_any_type_shards(spark):
     docs = spark.range(120).selectExpr("id AS doc_id", "repeat(chr(97 + CAST(id % 25 AS INT)), CAST(id AS INT) + 1) AS text", "CASE id % 3 WHEN 0 THEN 'many' WHEN 1 THEN '-5' END AS n_chars", "array(id % 2) AS lang", "IF(id % 5 = 0, null, id % 4) AS source", "id AS unit", "id AS same")
     got = kdtree.shard(docs, 6)
     assert got.count() == 120 and got.select("shard").distinct().count() == 6
+
+
+def test_packed_rows_lie_in_whole_buckets(spark):
+    """A result of a few thousand rows is one bucket, so one part, however many shuffle partitions there are; no length's rows stand out."""
+    docs = spark.range(3000).selectExpr("nullif(id, 7) AS doc_id", "IF(id % 2 = 0, 'word', repeat('word ', CAST(id AS INT) % 500)) AS text")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        for limit in ("-1", "10m"):  # counts by a shuffle, by a broadcast
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            out = packing.pack(docs)
+            rows = out.withColumn("part", F.spark_partition_id()).collect()
+            assert len(rows) == 3000 and len({r["part"] for r in rows}) == 1
+            ends = {}
+            for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+                assert r["offset"] == ends.get(r["sequence_id"], 0)
+                ends[r["sequence_id"]] = r["offset"] + r["length"]
+            assert max(ends.values()) <= packing.CAPACITY
+            ranked = numbered(spark.range(4000).selectExpr("id", "id % 7 AS kind"), "kind", ["id"], ["id"], per_bucket=100, whole_buckets=True).withColumn("part", F.spark_partition_id()).collect()
+            slots = {k: sorted(r["slot"] for r in ranked if r["kind"] == k) for k in range(7)}
+            assert all(v == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 4000
+            assert 10 < len({r["part"] for r in ranked}) <= 31
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in keep.items():
+            spark.conf.set(k, v)
